@@ -5,9 +5,10 @@ from __future__ import annotations
 import importlib.util
 from collections.abc import Callable
 
-from millrace.llm import quality
+from millrace.llm import minhash, quality
 
 QUERIES: dict[str, Callable] = {
+    "op7_minhash_near_dedup": minhash.op7_minhash_near_dedup,
     "op8_quality_classifier": quality.op8_quality_classifier,
 }
 
