@@ -5,14 +5,17 @@ from __future__ import annotations
 import importlib.util
 from collections.abc import Callable
 
-from millrace.llm import minhash, quality
+from millrace.llm import decontam, minhash, quality
 
 QUERIES: dict[str, Callable] = {
+    "op9_benchmark_decontamination": decontam.op9_benchmark_decontamination,
     "op7_minhash_near_dedup": minhash.op7_minhash_near_dedup,
     "op8_quality_classifier": quality.op8_quality_classifier,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op9_benchmark_decontamination": decontam.SQL,
+}
 
 
 def queries() -> dict[str, Callable]:
