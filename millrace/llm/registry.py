@@ -5,9 +5,10 @@ from __future__ import annotations
 import importlib.util
 from collections.abc import Callable
 
-from millrace.llm import decontam, minhash, quality
+from millrace.llm import decontam, minhash, pii, quality
 
 QUERIES: dict[str, Callable] = {
+    "op10_pii_surrogates": pii.op10_pii_surrogates,
     "op9_benchmark_decontamination": decontam.op9_benchmark_decontamination,
     "op7_minhash_near_dedup": minhash.op7_minhash_near_dedup,
     "op8_quality_classifier": quality.op8_quality_classifier,
