@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import importlib.util
 from collections.abc import Callable
 
-from millrace.llm import decontam, minhash, pii, quality
+from millrace.llm import decontam, minhash, pieces, pii, quality
 
 QUERIES: dict[str, Callable] = {
+    "op2_sentencepiece": pieces.op2_sentencepiece,
     "op10_pii_surrogates": pii.op10_pii_surrogates,
     "op9_benchmark_decontamination": decontam.op9_benchmark_decontamination,
     "op7_minhash_near_dedup": minhash.op7_minhash_near_dedup,
@@ -20,13 +20,12 @@ ORACLES: dict[str, str] = {
 
 
 def queries() -> dict[str, Callable]:
-    out = dict(QUERIES)
-    if importlib.util.find_spec("corpus_pipeline") is not None:
-        import corpus_pipeline
+    import corpus_pipeline
 
-        out["pipeline"] = corpus_pipeline.run
-    return out
+    return QUERIES | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(ORACLES)
+    import corpus_pipeline
+
+    return ORACLES | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
