@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from millrace.llm import decontam, minhash, pieces, pii, quality
+from millrace.llm import decontam, licenses, minhash, pieces, pii, quality, tokens
 
 QUERIES: dict[str, Callable] = {
+    "op5_license_scan": licenses.op5_license_scan,
+    "op6_token_counts": tokens.op6_token_counts,
     "op2_sentencepiece": pieces.op2_sentencepiece,
     "op10_pii_surrogates": pii.op10_pii_surrogates,
     "op9_benchmark_decontamination": decontam.op9_benchmark_decontamination,
@@ -15,6 +17,7 @@ QUERIES: dict[str, Callable] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op5_license_scan": licenses.SQL,
     "op9_benchmark_decontamination": decontam.SQL,
 }
 
