@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from millrace.llm import decontam, licenses, minhash, pieces, pii, quality, tokens
+from millrace.llm import decontam, embeddings, licenses, minhash, pieces, pii, quality, tokens
 
 QUERIES: dict[str, Callable] = {
+    "op1_embedding_near_dedup": embeddings.op1_embedding_near_dedup,
     "op5_license_scan": licenses.op5_license_scan,
     "op6_token_counts": tokens.op6_token_counts,
     "op2_sentencepiece": pieces.op2_sentencepiece,
