@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from millrace.llm import decontam, embeddings, licenses, minhash, pieces, pii, quality, tokens
+from millrace.llm import decontam, embeddings, langid, licenses, minhash, pieces, pii, quality, tokens, toxicity
 
 QUERIES: dict[str, Callable] = {
+    "op3_toxicity": toxicity.op3_toxicity,
+    "op4_language_id": langid.op4_language_id,
     "op1_embedding_near_dedup": embeddings.op1_embedding_near_dedup,
     "op5_license_scan": licenses.op5_license_scan,
     "op6_token_counts": tokens.op6_token_counts,
