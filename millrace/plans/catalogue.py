@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from millrace.plans.queries import enrich, serving, transform, validation  # noqa: F401  (they register themselves)
+from millrace.plans.queries.base import ORACLES, QUERIES  # noqa: F401
