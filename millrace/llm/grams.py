@@ -20,7 +20,7 @@ def bit_table(hashes: list[int], least_bits: int = 12, most_bits: int = 24) -> t
         at = h & ((1 << n) - 1)
         cells[at >> 6] |= 1 << (at & 63)
     signed = [c - (1 << 64) if c >= 1 << 63 else c for c in cells]
-    return F.lit(signed), 1 << n
+    return F.lit(signed).cast("array<bigint>"), 1 << n
 
 
 def may_hold(bits: tuple[Column, int], h: Column) -> Column:
