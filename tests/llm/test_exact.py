@@ -1,0 +1,312 @@
+"""Operators with exact results, against brute force or the library."""
+
+import itertools
+import random
+import re
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from millrace.llm import common as C
+from millrace.llm import decontam, embeddings, licenses, minhash, pieces, pii, tokens
+
+WORD = re.compile(C.WORD)
+
+
+def words(text):
+    return WORD.findall((text or "").translate(str.maketrans(C.UPPER, C.LOWER)))
+
+
+def test_word_forms_agree(spark, docs):
+    for r in docs.select("text", C.words(F.col("text")).alias("w")).collect():
+        assert r.w == words(r.text) == [w.decode() for w in C.byte_words(r.text)]
+
+
+def test_components(spark):
+    random.seed(3)
+    pairs = [(random.randrange(60), random.randrange(60)) for _ in range(45)] + [(100, 101), (101, 102), (102, 103), (103, 104)]
+    got = {r.node: r.component for r in C.components(spark.createDataFrame(pairs, "a long, b long")).collect()}
+    low = {n: n for p in pairs for n in p if p[0] != p[1]}
+    for _ in range(100):
+        for a, b in pairs:
+            if a != b:
+                low[a] = low[b] = min(low[a], low[b])
+    assert got == low
+    assert C.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+# near-duplicates
+
+
+def test_registers_estimate_probability_jaccard():
+    rng = np.random.default_rng(1)
+    keys = rng.integers(1, 2**63, 60).astype(np.uint64)
+    xk, yk = np.sort(keys[:45]), np.sort(keys[10:60])
+    xw, yw = rng.integers(1, 5, 45).astype(float), rng.integers(1, 5, 50).astype(float)
+    m = 20_000
+    sig = minhash.registers(2, np.repeat([0, 1], [45, 50]), np.concatenate([xk, yk]), np.concatenate([xw, yw]), m)
+    naive = sum(1 / sum(max(x.get(j, 0) / x[i], y.get(j, 0) / y[i]) for j in set(x) | set(y)) for x, y in [(dict(zip(xk.tolist(), xw)), dict(zip(yk.tolist(), yw)))] for i in set(x) & set(y))
+    assert minhash.jp(xk, xw, yk, yw) == pytest.approx(naive)
+    assert (sig[0] == sig[1]).mean() == pytest.approx(naive, abs=0.02)
+    assert minhash.jp(xk, np.ones(45), yk, np.ones(50)) == pytest.approx(35 / 60)
+
+
+def brute_classes(rows):
+    memo = minhash.WordHashes()
+    sets = [minhash.shingles([t], memo)[1:] for _, t in rows]
+    low = list(range(len(rows)))
+    for _ in range(len(rows)):
+        before = list(low)
+        for i, j in itertools.combinations(range(len(rows)), 2):
+            if (rows[i][1] or "") == (rows[j][1] or "") or minhash.jp(*sets[i], *sets[j]) >= 0.8:
+                low[i] = low[j] = min(low[i], low[j])
+        if low == before:
+            break
+    ids = {}
+    for (i, _), c in zip(rows, low, strict=True):
+        if i is not None:
+            ids[c] = min(ids.get(c, i), i)
+    return sorted((str(i), str(ids.get(c))) for (i, _), c in zip(rows, low, strict=True))
+
+
+def test_minhash_against_brute_force(spark, docs):
+    random.seed(5)
+    vocabulary = [f"w{i}" for i in range(400)]
+    made = []
+    for g in range(6):
+        base = [random.choice(vocabulary) for _ in range(120)]
+        for k in range(8):
+            copy = list(base)
+            for _ in range(k):
+                copy[random.randrange(120)] = random.choice(vocabulary)
+            made.append((100 + 10 * g + k, " ".join(copy)))
+    df = docs.select("doc_id", "text").union(spark.createDataFrame(made, "doc_id long, text string"))
+    rows = [(r.doc_id, r.text) for r in df.collect()]
+    got = sorted((str(r.doc_id), str(r.class_id)) for r in minhash.classes(df).collect())
+    assert got == brute_classes(rows)
+
+
+def test_minhash_chunks_lose_nothing(spark, monkeypatch):
+    random.seed(8)
+    base = [f"w{random.randrange(300)}" for _ in range(100)]
+    made = [(k, " ".join(w if random.random() > 0.035 else f"z{random.randrange(9999)}" for w in base)) for k in range(40)]
+    monkeypatch.setattr(minhash, "CHUNK", 8)
+    got = sorted((str(r.doc_id), str(r.class_id)) for r in minhash.classes(spark.createDataFrame(made, "doc_id long, text string")).collect())
+    assert got == brute_classes(made)
+
+
+def test_deduplicated_keeps_one_of_each(spark, docs, none):
+    out = minhash.deduplicated(docs)
+    assert out.columns == docs.columns
+    assert sorted(str(r.doc_id) for r in out.collect()) == sorted(["1", "4", "6", "7", "8", "9", "10", "None"])
+    assert minhash.deduplicated(none).count() == 0 and minhash.classes(none).count() == 0
+
+
+# embeddings
+
+
+def brute_links(rows, least):
+    ok = [(i, np.array(v, float)) for i, v in rows if i is not None and v and None not in v and np.isfinite(np.array(v, float)).all() and np.any(v)]
+    low, n = {i: i for i, _ in ok}, {}
+    hits = [(a, b) for (a, u), (b, v) in itertools.combinations(ok, 2) if len(u) == len(v) and u @ v / (np.sqrt(u @ u) * np.sqrt(v @ v)) >= least]
+    for a, b in hits:
+        n[a], n[b] = n.get(a, 0) + 1, n.get(b, 0) + 1
+    for _ in range(len(ok)):
+        for a, b in hits:
+            low[a] = low[b] = min(low[a], low[b])
+    return {i: (n.get(i, 0), low.get(i, i)) for i, _ in rows if i is not None}
+
+
+@pytest.mark.parametrize(("size", "leaf"), [(16, 4), (8192, 512)])
+def test_embeddings_against_brute_force(spark, size, leaf):
+    rng = np.random.default_rng(2)
+    rows = [(i, (rng.normal(size=12) if i % 3 else rng.normal(size=12) * 0.12 + np.eye(12)[i % 4]).tolist()) for i in range(150)]
+    rows += [(500 + i, rows[i][1]) for i in range(5)] + [(600, None), (601, [0.0] * 12), (602, [1.0, None] + [0.0] * 10), (603, [float("nan")] * 12), (604, [1.0, 2.0]), (605, [2.0, 4.0]), (None, [1.0] * 12)]
+    df = spark.createDataFrame([(i, v, 1) for i, v in rows], "vec_id long, embedding array<double>, label int")
+    out = embeddings.near_duplicates(df, 0.95, size, leaf).collect()
+    assert {r.vec_id: (r.n_links, r.component_id) for r in out if r.vec_id is not None} == brute_links(rows, 0.95)
+    assert len(out) == len(rows) and all(r.kept == (r.vec_id is not None and r.vec_id == r.component_id) for r in out)
+
+
+def test_no_embeddings(spark):
+    assert embeddings.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
+
+
+# decontamination
+
+
+def brute_hits(rows, items):
+    wins = {}
+    for i, t in items:
+        w = words(t)
+        for k in range(max(1, len(w) - 12) if w else 0):
+            wins.setdefault(tuple(w[k : k + 13]), set()).add(str(i))
+    out = []
+    for d, t in rows:
+        w, hit, found = words(t), set(), set()
+        for n in {len(x) for x in wins}:
+            for k in range(len(w) - n + 1):
+                got = wins.get(tuple(w[k : k + n]))
+                if got:
+                    hit |= set(range(k, k + n))
+                    found |= got
+        out.append((str(d), len(w), len(hit), len(found), bool(hit) and 20 * len(hit) >= len(w)))
+    return sorted(out)
+
+
+def test_decontamination(spark, docs, none):
+    random.seed(4)
+    vocabulary = [f"v{i}" for i in range(30)]
+    text = [" ".join(random.choice(vocabulary) for _ in range(90)) for _ in range(30)]
+    items = [(i, " ".join(text[i].split()[20 : 20 + n])) for i, n in enumerate((13, 14, 40, 5, 1))] + [(7, None), (8, "..."), (9, "only three words"), (9, "only three words"), (None, "long long")]
+    df = docs.select("doc_id", "text").union(spark.createDataFrame([(50 + i, t) for i, t in enumerate(text)], "doc_id long, text string")).withColumn("row", F.lit(1)).withColumn("term", F.lit(2))
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = sorted((str(r.doc_id), r.n_words, r.n_hit, r.n_items, r.contaminated) for r in decontam.report(df, bench).collect())
+    assert got == brute_hits([(r.doc_id, r.text) for r in df.collect()], [x for x in items if x[0] is not None])
+    assert decontam.report(none, bench).count() == 0
+    assert decontam.report(docs, bench.where("false")).where("contaminated or n_hit > 0").count() == 0
+
+
+def test_proximity(spark):
+    df = spark.createDataFrame([(1, "alpha x x beta x gamma"), (2, "alpha " + "x " * 80 + "beta gamma")], "doc_id long, text string")
+    bench = spark.createDataFrame([(1, "gamma beta alpha")], "item_id long, text string")
+    counts = decontam.term_counts(df, spark.createDataFrame([("alpha",), ("beta",), ("gamma",)], "term string"))
+    stored = decontam.index(df, counts.select("term"), 11)
+    rows = {r.row: r.doc_id for r in stored.collect()}
+    assert [rows[r.row] for r in decontam.proximity(stored, bench, counts, 10).collect()] == [1]
+
+
+# licenses
+
+
+def test_licenses(spark, docs, none):
+    phrases = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
+    out = licenses.scan(docs).collect()
+    assert len(out) == docs.count() and licenses.scan(none).count() == 0
+    by_text = {r.doc_id: r.text for r in docs.collect()}
+    for r in out:
+        w = words(by_text[r.doc_id])
+        want = sorted((label, k) for p, label in phrases.items() for k in range(len(w)) if w[k : k + len(p.split())] == p.split())
+        assert sorted((p.label, p.start) for p in r.places) == want and r.n_words == len(w)
+    notice = "Redistribution and use in source and binary forms, with or without any modification, are permitted provided that the following conditions are met"
+    found = licenses.scan(spark.createDataFrame([(1, f"some text {notice} more text")], "doc_id long, text string")).first()
+    best = max(found.spans, key=lambda s: s.coverage)
+    assert best.label == "bsd" and best.coverage >= licenses.COVERAGE and best.first == 2
+
+
+# tokens
+
+
+def test_token_counts_and_cache(spark, docs, none, tmp_path):
+    import public_tokenizers as P
+    from tokenizers import Tokenizer
+
+    path, cache = P.path("byte_bpe_50k.json"), f"file:{tmp_path}/cache"
+    t = Tokenizer.from_file(path)
+    special = docs.select("doc_id", "text").union(spark.createDataFrame([(77, "a <|endoftext|> b")], "doc_id long, text string"))
+    want = sorted((str(r.doc_id), len((r.text or "").encode()), len(t.encode(r.text or "", add_special_tokens=False))) for r in special.collect())
+    once = sorted((str(r.doc_id), r.n_bytes, r.n_tokens) for r in tokens.counted(special, path, cache).collect())
+    n = spark.read.parquet(cache).count()
+    again = sorted((str(r.doc_id), r.n_bytes, r.n_tokens) for r in tokens.counted(special, path, cache).collect())
+    assert once == want == again and spark.read.parquet(cache).count() == n == special.select(F.coalesce("text", F.lit(""))).distinct().count()
+    more = spark.createDataFrame([(1, "brand new")], "doc_id long, text string")
+    assert tokens.counted(more, path, cache).count() == 1 and spark.read.parquet(cache).count() == n + 1
+    assert tokens.counted(none, path, cache).count() == 0
+
+
+# SentencePiece
+
+
+@pytest.fixture(scope="module")
+def model():
+    import sentencepiece
+
+    raw = pieces.model_bytes()
+    return raw, pieces.Model(raw), sentencepiece.SentencePieceProcessor(model_proto=raw)
+
+
+TEXTS = ["", "  a  b ", "\n\nx\t y  ", "日本語テスト🙂", "a" * 300, "    " * 20, "don't café naïve — ", "thequickbrownfoxjumpsoverthelazydog" * 10, "The end.\nNew line, \"quoted\" (x) [y] {z} 12345 3.14"]
+
+
+@pytest.mark.parametrize("text", TEXTS)
+def test_pieces_are_the_library_s(model, text):
+    _, m, lib = model
+    assert m.encode(text) == lib.encode(text) and m.decode(m.encode(text)) == text
+
+
+def chunked(m, text, size):
+    full = (m.prefix + text).replace(" ", pieces.SPACE)
+    parts = [(lo, lo - max(lo - 2 * m.longest, 0), min(size, len(full) - lo), full[max(lo - 2 * m.longest, 0) : lo + size + 2 * m.longest]) for lo in range(0, len(full), size)]
+    mats = [m.chunk(b, left, left + n, lo == 0) for lo, left, n, b in parts]
+    picked, out = pieces.scan([x[2] for x in mats]), []
+    for k, (_, left, n, b) in enumerate(parts):
+        s, g = mats[k][0][picked[k]], mats[k][1][picked[k + 1]]
+        out += m.backtrace(b, left, left + n, (left + s[0], left + s[1]), (left + n + g[0], left + n + g[1]))
+    return out
+
+
+@pytest.mark.parametrize("size", [5, 16, 33, 100])
+def test_chunks_join_exactly(model, size):
+    _, m, lib = model
+    for text in TEXTS[1:]:
+        assert chunked(m, text, size) == lib.encode(text)
+
+
+def test_unigram_chunks_reach_the_best_score(model):
+    from sentencepiece import sentencepiece_model_pb2 as pb
+
+    proto = pb.ModelProto()
+    proto.ParseFromString(model[0])
+    proto.trainer_spec.model_type = 1
+    for p in proto.pieces:
+        p.score = max(p.score, -40000.0) / 4096
+    m = pieces.Model(proto.SerializeToString())
+    score = lambda ids: sum(m.scores.get(m.names[i], 0.0) for i in ids)
+    import sentencepiece
+
+    lib = sentencepiece.SentencePieceProcessor(model_proto=proto.SerializeToString())
+    for text in ["The quick brown fox jumps over the lazy dog", "internationalization of tokenizers", "aaaaaaaaaaaa bbbb"]:
+        best = score(m.encode(text))
+        assert best == pytest.approx(score(lib.encode(text)), abs=1e-3)
+        for size in (7, 20):
+            assert score(chunked(m, text, size)) == pytest.approx(best, abs=1e-6)
+
+
+def test_encoded_frames(spark, docs, none, model):
+    raw, m, lib = model
+    out = pieces.encoded(docs, raw, ("doc_id", "lang"), chunk=500).collect()
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    assert len(out) == docs.count() and all(r.ids == lib.encode(texts[r.doc_id] or "") and r.round_trip for r in out)
+    assert pieces.encoded(none, raw).count() == 0
+
+
+# personal data
+
+
+def test_surrogates(spark, docs, none):
+    text = "Mail Una.26@Mail6.example.com or una.26@mail6.example.com, +1 (017) 555-7713 or 017-555-7713; 97.51.17.173, 4111111111111111, 4111 1111 1111 1111, a@b.co, Mrs. Alice Smith and Robert Jones, DE44 5001 0517 5407 3249 31, 123-45-6789, b44e15e09fd311c3cf3163b66d5a9875b883d8ce"
+    df = docs.select("doc_id", "text", "ids").union(spark.createDataFrame([(90, text, "x"), (91, "again una.26@mail6.example.com", "x")], "doc_id long, text string, ids string"))
+    out = {r.doc_id: r for r in pii.replaced(df).collect()}
+    for i, t in ((r.doc_id, r.text) for r in df.collect() if r.doc_id not in (90, 91)):
+        assert out[i].text == t and not (out[i].entities or [])
+    e = [x.surrogate for x in out[90].entities]
+    kinds = [x.kind for x in out[90].entities]
+    assert kinds == ["email", "email", "phone", "phone", "ip", "card", "card", "email", "name", "name", "iban", "ssn", "secret"]
+    shape = lambda s: re.sub("[a-z]", "a", re.sub("[A-Z]", "A", re.sub("[0-9]", "9", s)))
+    old = re.split(", | or |; ", text[5:])
+    assert [shape(x) for x in (e[0], e[2], e[5], e[6], e[11])] == [shape(x) for x in (old[0], old[2], "4111111111111111", "4111 1111 1111 1111", "123-45-6789")]
+    assert e[0].lower() == e[1] and e[0] != "Una.26@Mail6.example.com" and e[1] in out[91].text
+    assert e[2].endswith(e[3][-8:]) and e[5] == e[6].replace(" ", "")
+    assert sum(sum(divmod(int(c) * (1 + i % 2), 10)) for i, c in enumerate(reversed(e[5]))) % 10 == 0
+    assert e[8].startswith("Mrs. ") and e[8].split()[1] in pii.POOLS["female_latin"] and e[9].split()[0] in pii.POOLS["male_latin"]
+    assert "Alice" not in e[8] and "Robert" not in e[9] and "26@Mail6" not in out[90].text
+    assert pii.replaced(none).count() == 0
+
+
+def test_surrogates_are_distinct(spark):
+    canon = [f"{a}@{b}.co" for a in "abcdefghijklmnopqrstuvwxyz" for b in "abcdefghij"] + [f"{i}.{i}.1.9" for i in range(50)]
+    found = spark.createDataFrame([("email" if "@" in c else "ip", c) for c in canon], "kind string, canon string")
+    tweaks = pii.redrawn(found, "k")
+    s = [r.s for r in found.select("canon", pii.surrogate(F.col("canon"), F.col("kind"), "k", pii.tweak_of(F.col("canon"), tweaks)).alias("s")).where("s <> canon").collect()]
+    assert len(set(s)) == len(canon)
