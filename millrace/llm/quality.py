@@ -36,7 +36,7 @@ def features(texts: list[str | None], good, bad, plain) -> np.ndarray:
 
 
 def compressors(model: dict) -> tuple:
-    make = lambda d: zstandard.ZstdCompressor(level=LEVEL, dict_data=d and zstandard.ZstdCompressionDict(d), write_content_size=False, write_dict_id=False)
+    make = lambda d: zstandard.ZstdCompressor(level=LEVEL, dict_data=zstandard.ZstdCompressionDict(d) if d else None, write_content_size=False, write_dict_id=False)
     return make(model["good"]), make(model["bad"]), make(None)
 
 

@@ -50,11 +50,11 @@ def test_defined_cases(spark, docs, none):
 
 
 def test_misspelled_and_quoted():
-    model = toxicity.fit([(f"you are an idiot and a moron, {i}", 1) for i in range(90)] + [(f"you are a friend and a saint, {i}", 0) for i in range(90)])
+    model = toxicity.fit([(f"you are the idiot and the moron, {i}", 1) for i in range(90)] + [(f"you are the friend and the saint, {i}", 0) for i in range(90)])
     hits = toxicity.Hits(model)
-    assert [h[0] for h in toxicity.hits_of("what an idi0t and mroon or mor0n", hits)] == [b"idi0t", b"mor0n"]
+    assert [h[0] for h in toxicity.hits_of("what the idi0t and mroon or mor0n", hits)] == [b"idi0t", b"mor0n"]
     assert all(h[3] for h in toxicity.hits_of('the note read "idiot" there', hits)) and not toxicity.hits_of("idiot there", hits)[0][3]
-    x = toxicity.features(["an idiot there", 'the note read "idiot" there', "nothing", None], hits)
+    x = toxicity.features(["the idiot there", 'the note read "idiot" there', "nothing", None], hits)
     assert x[0, 0] > 0 and x[1, 0] == 0 < x[1, 1] and not x[2:].any()
 
 
