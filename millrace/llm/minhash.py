@@ -9,8 +9,9 @@ similarity J_P (equal to the Jaccard similarity where no shingle repeats).
 Candidates come from bands in two rounds. Round one compares each member of a band's
 bucket with the bucket's least member; links that verify make components. Round two
 takes the buckets that still hold several components and compares all their members
-across components, in chunks, so that no link between different texts is lost and no
-group's pairs are all emitted. Every candidate is verified on the whole texts.
+across components inside tasks, in chunks, each pair in the first band that it shares; only links that
+unite components (or lie at the threshold) come out. So no link between
+different texts is lost and no group's pairs are emitted. Every link is verified on the whole texts.
 
 Defined cases: a null text counts as empty; texts without words are alike only if
 they are equal; a text of one to four words is one shingle; equal texts are always one
@@ -194,30 +195,82 @@ def verified(pairs: DataFrame, docs: DataFrame, seed: int, least: float = SIMILA
     return both.select("a", "b", "ta", "tb").mapInArrow(run, "a bigint, b bigint")
 
 
-def across(rows: DataFrame, sigs: DataFrame, labels: DataFrame, least: float = ESTIMATE) -> DataFrame:
+def shingled(docs: DataFrame, nodes: DataFrame, seed: int, width: int) -> DataFrame:
+    """node, keys (32-bit shingle hashes, sorted), counts of one text of each of ``nodes``."""
+    texts = docs.select(F.xxhash64(F.lit(seed), F.coalesce("text", F.lit(""))).alias("node"), "text")
+    few = nodes.limit(MOST_SENT + 1).count() <= MOST_SENT
+    texts = texts.join(F.broadcast(nodes) if few else nodes, "node", "left_semi").dropDuplicates(["node"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo = WordHashes()
+        for batch in batches:
+            keys, counts = [], []
+            for text in batch.column("text").to_pylist():
+                _, key, count = shingles([text], memo, width)
+                low, at = np.unique(key.astype(np.uint32), return_index=True)
+                keys.append(low.tobytes())
+                counts.append(np.minimum(count[at], 65535).astype(np.uint16).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(keys, pa.binary()), pa.array(counts, pa.binary())], names=["node", "keys", "counts"])
+
+    return texts.mapInArrow(run, "node bigint, keys binary, counts binary")
+
+
+def compared(pdf: pd.DataFrame, least: float, estimate: float, margin: float = 0.01) -> pd.DataFrame:
+    """Links to verify between components of one chunk of a bucket: those that unite two, and all near the threshold.
+
+    Similarities come from 32-bit shingle hashes through an inverted list of the chunk; a
+    pair is looked at in the first band that it shares only.
+    """
+    node, comp, own = pdf["node"].to_numpy(), pdf["component"].to_numpy(), pdf["own"].to_numpy()
+    sig = np.frombuffer(b"".join(pdf["sig"]), np.uint32).reshape(len(pdf), -1)
+    bands = np.stack(pdf["bands"].to_numpy())
+    here = int(np.argmax(bands[0] == pdf["band"].iloc[0]))
+    keys = [np.frombuffer(k, np.uint32) for k in pdf["keys"]]
+    counts = [np.frombuffer(c, np.uint16).astype(float) for c in pdf["counts"]]
+    flat, owner = np.concatenate(keys), np.repeat(np.arange(len(keys)), [len(k) for k in keys])
+    order = np.argsort(flat, kind="stable")
+    flat, owner = flat[order], owner[order]
+    size = np.array([len(k) for k in keys])
+    even = np.array([len(c) > 0 and c.min() == c.max() for c in counts])
+    _, root = np.unique(comp, return_inverse=True)
+    out: list[tuple[int, int]] = []
+    for i in np.flatnonzero(own):
+        near = np.flatnonzero((root != root[i]) & ((node > node[i]) | ~own))
+        near = near[(bands[near] == bands[i]).argmax(1) == here]
+        if not len(near):
+            continue
+        lo, hi = np.searchsorted(flat, keys[i], "left"), np.searchsorted(flat, keys[i], "right")
+        span = hi - lo
+        at = np.repeat(lo - np.concatenate([[0], np.cumsum(span)[:-1]]), span) + np.arange(span.sum())
+        shared = np.bincount(owner[at], minlength=len(keys))[near]
+        like = shared / (size[near] + size[i] - shared)
+        for k in np.flatnonzero(~(even[near] & even[i])):
+            j = near[k]
+            like[k] = jp(keys[i], counts[i], keys[j], counts[j]) if shared[k] and (sig[i] == sig[j]).mean() >= estimate else 0.0
+        for k in np.argsort(-like):
+            j = near[k]
+            if like[k] < least - margin:
+                break
+            if root[i] != root[j]:
+                out.append((min(node[i], node[j]), max(node[i], node[j])))
+                if like[k] >= least + margin:
+                    root[root == root[j]] = root[i]
+    return pd.DataFrame(np.array(out, np.int64).reshape(-1, 2), columns=["a", "b"])
+
+
+def across(docs: DataFrame, rows: DataFrame, sigs: DataFrame, labels: DataFrame, seed: int, least: float, estimate: float, width: int) -> DataFrame:
     """Pairs to verify between different components that meet in a bucket; rows: band, lead, node."""
-    named = rows.join(labels, "node", "left").select("band", "lead", "node", F.coalesce("component", "node").alias("component"))
+    named = rows.join(labels, "node", "left").select("band", "node", F.coalesce("component", "node").alias("component"))
     split = named.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo <> hi").select("band", "lo", F.ceil(F.col("n") / CHUNK).cast("int").alias("chunks"))
     home = F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")
     dealt = (
         named.join(split, "band").withColumn("home", home)
         .withColumn("chunk", F.explode(F.when(F.col("component") == F.col("lo"), F.array("home")).otherwise(F.sequence(F.lit(0), F.col("chunks") - 1))))
-        .join(sigs, "node")
-        .select("band", "chunk", "node", "component", (F.col("home") == F.col("chunk")).alias("own"), "sig")
+        .select("band", "chunk", "node", "component", (F.col("home") == F.col("chunk")).alias("own"))
     )
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        sig = np.frombuffer(b"".join(pdf["sig"]), np.uint32).reshape(len(pdf), -1)
-        node, comp, own = pdf["node"].to_numpy(), pdf["component"].to_numpy(), pdf["own"].to_numpy()
-        out = []
-        for i in np.flatnonzero(own):
-            near = np.flatnonzero((comp != comp[i]) & ((node > node[i]) | ~own))
-            hit = near[(sig[near] == sig[i]).mean(1) >= least]
-            out.append(np.stack([np.minimum(node[hit], node[i]), np.maximum(node[hit], node[i])], 1))
-        pairs = np.concatenate(out) if out else np.zeros((0, 2), np.int64)
-        return pd.DataFrame(pairs, columns=["a", "b"])
-
-    return dealt.groupBy("band", "chunk").applyInPandas(run, "a bigint, b bigint").distinct()
+    dealt = C.written(dealt, "minhash-mixed")
+    known = C.written(shingled(docs, C.written(dealt.select("node").distinct(), "minhash-mixed-nodes"), seed, width).join(sigs, "node"), "minhash-shingles")
+    return dealt.join(known, "node").groupBy("band", "chunk").applyInPandas(lambda pdf: compared(pdf, least, estimate), "a bigint, b bigint").distinct()
 
 
 def classes(docs: DataFrame, least: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, width: int = WIDTH) -> DataFrame:
@@ -230,7 +283,7 @@ def classes(docs: DataFrame, least: float = SIMILARITY, bands: int = BANDS, rows
         if not per.where("lo <> hi").limit(1).count():
             break  # no two texts share a hash
         C.drop_path(docs.sparkSession, base)
-    sigs = base.where(F.size("bands") > 0).groupBy("node").agg(F.first("sig").alias("sig"))
+    sigs = base.where(F.size("bands") > 0).groupBy("node").agg(F.first("sig").alias("sig"), F.first("bands").alias("bands"))
     row = base.select("node", F.explode("bands").alias("band"))
     lead = C.written(row.groupBy("band").agg(F.min("node").alias("lead"), F.max("node").alias("hi")).where("lead <> hi").drop("hi"), "minhash-buckets")
     member = C.written(row.join(lead, "band").select("band", "lead", "node").distinct(), "minhash-members")
@@ -239,7 +292,7 @@ def classes(docs: DataFrame, least: float = SIMILARITY, bands: int = BANDS, rows
     sigs = C.written(sigs.join(met, "node", "left_semi"), "minhash-compared")
     links = C.written(verified(C.written(alike(star, sigs, estimate), "minhash-pairs"), docs, seed, least, width), "minhash-links")
     labels = C.components(links, "minhash-components")
-    more = C.written(across(member, sigs, labels, estimate), "minhash-across")
+    more = C.written(across(docs, member, sigs, labels, seed, least, estimate, width), "minhash-across")
     if more.limit(1).count():
         found = C.written(verified(more, docs, seed, least, width), "minhash-links2")
         if found.limit(1).count():
