@@ -1,0 +1,15 @@
+"""Record types of the platform: messages, model records, and broker metadata, as schemas to read and write with."""
+
+from __future__ import annotations
+
+MESSAGE = "stream_id string, timestamp timestamp, source string, event_type string, data string, metadata map<string,string>"
+META = "struct<topic:string,partition:int,offset:bigint>"
+DELIVERY = "struct<delivery_tag:string,topic:string,partition:int,offset:bigint,queue:string,group_id:string>"
+DEAD_LETTER = "struct<source_topic:string,partition:int,offset:bigint,reason:string,failed_at:timestamp>"
+MODEL_STATE = "model_name string, state string, version int, saved_at timestamp, metadata string"
+MODEL_METADATA = "name string, class_path string, hyperparameters string, description string, tags array<string>, created_at timestamp, updated_at timestamp"
+PREDICTION = "prediction string, probability map<string,double>, features string, latency_ms double, timestamp timestamp"
+LEARNING = "loss double, metric_updates map<string,double>, latency_ms double, timestamp timestamp"
+EVALUATION = "metrics map<string,double>, sample_count int, window_size int, timestamp timestamp"
+DRIFT = "detector string, drift_score double, threshold double, is_drift boolean, timestamp timestamp, details string"
+EXPERIMENT = "experiment_id string, name string, model_name string, config string, metrics map<string,double>, status string, started_at timestamp, completed_at timestamp, tags array<string>"

@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from millrace.operators import audit, clean, convert, envelope
+from millrace.operators import audit, clean, convert, envelope, learning
 from millrace.operators import windows as W
 from millrace.plans.pipeline import Pipeline
 from millrace.plans.queries.base import QUERIES, ORACLES, big, events, query, r6
@@ -196,3 +196,13 @@ def full_pipeline(t):
         "stream_id", "source", "event_type", d("event_id").alias("event_id"), d("user_id").alias("user_id"), big(d("event_type")).alias("type_code"), r6(d("value")).alias("value"), big(d("hour")).alias("hour"),
         big(d("is_weekend")).alias("is_weekend"), big(d("trail_count")).alias("trail_count"), r6(d("trail_mean")).alias("trail_mean"), F.round(d("total_sum"), 5).alias("total_sum"),
     )
+
+
+@query("drift_records", """
+WITH p AS (SELECT time_bucket(INTERVAL 1 DAY, ts, TIMESTAMP '1970-01-01') AS d, avg(value) AS m, stddev_samp(value) AS s FROM events GROUP BY 1),
+q AS (SELECT d, coalesce(abs(m - lag(m) OVER (ORDER BY d)) / greatest(lag(s) OVER (ORDER BY d), 1e-8), 0) AS z FROM p)
+SELECT strftime(d + INTERVAL 1 DAY, '%Y-%m-%d %H:%M:%S') AS closed_at, round(z, 6) AS drift_score, z > 0.1 AS is_drift FROM q
+""")
+def drift_records(t):
+    out = learning.drift(events(t), "ts", "value", "1 day", 0.1)
+    return out.select(F.date_format("timestamp", "yyyy-MM-dd HH:mm:ss").alias("closed_at"), r6("drift_score").alias("drift_score"), "is_drift")

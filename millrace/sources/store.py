@@ -84,3 +84,83 @@ class ConfigStore:
         if n:
             new.select("service_name", "config_data", F.lit(1).alias("version"), F.lit(None).cast("string").alias("description"), F.lit(False).alias("deleted"), F.current_timestamp().alias("updated_at")).write.mode("append").parquet(self.path)
         return n
+
+
+class Collection:
+    """Documents under ids, append-only: save, find, update, delete, count. ``fields`` is the documents' schema."""
+
+    def __init__(self, spark: SparkSession, path: str, fields: str):
+        self.spark, self.path = spark, path
+        self.schema = f"_id string, _version bigint, _deleted boolean, {fields}"
+
+    def _all(self) -> DataFrame:
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        there = at.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(at)
+        return self.spark.read.schema(self.schema).parquet(self.path) if there else self.spark.createDataFrame([], self.schema)
+
+    def current(self) -> DataFrame:
+        return latest(self._all(), ["_id"], "_version").where(~F.col("_deleted")).drop("_deleted", "_version")
+
+    def _next(self) -> int:
+        return (self._all().agg(F.max("_version")).first()[0] or 0) + 1
+
+    def save(self, rows: DataFrame) -> int:
+        """Rows with or without _id; returns how many."""
+        rows = rows if "_id" in rows.columns else rows.withColumn("_id", F.expr("uuid()"))
+        out = rows.withColumns({"_version": F.lit(self._next()).cast("bigint"), "_deleted": F.lit(False)})
+        columns = self.spark.createDataFrame([], self.schema).columns
+        out.select(*columns).write.mode("append").parquet(self.path)
+        return rows.count()
+
+    def find(self, query: dict[str, Any] | None = None, sort: list | None = None, limit: int = 100, offset: int = 0) -> DataFrame:
+        return find(self.current(), query, sort, limit, offset)
+
+    def find_one(self, query: dict[str, Any]) -> dict | None:
+        row = self.find(query, limit=1).first()
+        return row.asDict() if row else None
+
+    def count(self, query: dict[str, Any] | None = None) -> int:
+        df = self.current()
+        for k, v in (query or {}).items():
+            df = df.where(F.col(k) == v)
+        return df.count()
+
+    def update(self, query: dict[str, Any], changes: dict[str, Any]) -> int:
+        rows = find(self.current(), query, limit=2_147_483_647)
+        return self.save(rows.withColumns({k: F.lit(v) for k, v in changes.items()}))
+
+    def delete(self, query: dict[str, Any]) -> int:
+        rows = find(self.current(), query, limit=2_147_483_647).withColumns({"_version": F.lit(self._next()).cast("bigint"), "_deleted": F.lit(True)}).cache()
+        n = rows.count()
+        rows.select(*self.spark.createDataFrame([], self.schema).columns).write.mode("append").parquet(self.path)
+        rows.unpersist()
+        return n
+
+
+class StateStore:
+    """Model states by name and version; the last ``most`` versions of each count."""
+
+    SCHEMA = "model_name string, state string, version int, saved_at timestamp, metadata string"
+
+    def __init__(self, spark: SparkSession, path: str, most: int = 10):
+        self.spark, self.path, self.most = spark, path, most
+
+    def history(self) -> DataFrame:
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        there = at.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(at)
+        rows = self.spark.read.schema(self.SCHEMA).parquet(self.path) if there else self.spark.createDataFrame([], self.SCHEMA)
+        return retained(rows, ["model_name"], "version", self.most)
+
+    def save(self, name: str, state: dict, metadata: dict | None = None) -> int:
+        version = (self.history().where(F.col("model_name") == name).agg(F.max("version")).first()[0] or 0) + 1
+        row = self.spark.createDataFrame([(name, json.dumps(state), version, json.dumps(metadata or {}))], "model_name string, state string, version int, metadata string")
+        row.select("model_name", "state", "version", F.current_timestamp().alias("saved_at"), "metadata").write.mode("append").parquet(self.path)
+        return version
+
+    def load(self, name: str, version: int | None = None) -> dict | None:
+        rows = self.history().where(F.col("model_name") == name)
+        row = (rows.where(F.col("version") == version) if version else rows.orderBy(F.desc("version"))).first()
+        return json.loads(row.state) if row else None
+
+    def names(self) -> DataFrame:
+        return self.history().groupBy("model_name").agg(F.max("version").alias("version"), F.count(F.lit(1)).alias("versions")).orderBy("model_name")

@@ -74,3 +74,13 @@ def test_streams_agree_with_batches(spark, tmp_path):
     assert got < batch and len(batch - got) <= 2  # the last windows stay open
     query.append(stateful.dedup(live, ["k"], "ts", "1 day").select("k"), str(tmp_path / "o3"), str(tmp_path / "c3")).wait()
     assert spark.read.parquet(str(tmp_path / "o3")).count() == 7
+
+
+def test_collection_and_states(spark, tmp_path):
+    c = store.Collection(spark, f"file:{tmp_path}/docs", "kind string, v bigint")
+    rows = spark.createDataFrame([("a", "x", 1), ("b", "x", 2), ("c", "y", 3)], "_id string, kind string, v long")
+    assert c.save(rows) == 3 and c.count({"kind": "x"}) == 2 and c.find_one({"_id": "b"})["v"] == 2
+    assert c.update({"kind": "x"}, {"v": 9}) == 2 and [r.v for r in c.find(sort=["_id"]).collect()] == [9, 9, 3]
+    assert c.delete({"_id": "a"}) == 1 and c.count() == 2 and c.find_one({"_id": "a"}) is None
+    s = store.StateStore(spark, f"file:{tmp_path}/states", most=2)
+    assert [s.save("m", {"k": i}) for i in range(3)] == [1, 2, 3] and s.load("m") == {"k": 2} and s.load("m", 1) is None and s.names().first().versions == 2
