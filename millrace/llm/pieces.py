@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -32,7 +33,7 @@ from pyspark.sql import functions as F
 
 from millrace.llm import common as C
 
-SPACE, CHUNK, KNOWN = "▁", 16_384, 300_000
+SPACE, CHUNK, KNOWN = "▁", 16_384, 500_000
 NONE = -np.inf
 
 
@@ -51,6 +52,7 @@ class Model:
         self.prefix = SPACE if norm.add_dummy_prefix else ""
         self.names = [p.piece for p in proto.pieces]
         self.ids = {p.piece: i for i, p in enumerate(proto.pieces) if p.type in (1, 4)}
+        self.alone = {p: (i,) for p, i in self.ids.items()}
         self.scores = {p.piece: p.score for p in proto.pieces if p.type in (1, 4)}
         self.bytes = {int(p.piece[3:5], 16): i for i, p in enumerate(proto.pieces) if p.type == 6}
         self.unknown = next(i for i, p in enumerate(proto.pieces) if p.type == 2)
@@ -60,8 +62,19 @@ class Model:
         self.closed = not any(p[1:] == SPACE and p[0] != SPACE for p in self.pairs)
         alone = "\n" if not any("\n" in p for p in self.pairs) else ""
         self.segment = re.compile((f"{alone}|" if alone else "") + f"{SPACE}+[^{SPACE}{alone}]*|[^{SPACE}{alone}]+") if self.closed else re.compile(r"(?s).+")
-        self.own: dict[str, bool] = {}
-        self.next: dict[tuple[str, str], bool] = {}
+        self.trie: dict[str, list] = {}  # character -> [the same below it, the piece that ends there or None]
+        for p in self.ids:
+            if self.kind == "bpe" and self.merged(p) != [p]:
+                continue  # merging never yields it
+            below, node = self.trie, None
+            for c in p:
+                node = below.setdefault(c, [{}, None])
+                below = node[0]
+            node[1] = p
+        back = {i: b for b, i in self.bytes.items()}
+        self.raw = [bytes([back[i]]) if i in back else n.encode() for i, n in enumerate(self.names)]
+        self.next: dict[str, dict[str, bool]] = {}
+        self.pairs_known = 0
         self.solved: dict[str, tuple[int, ...]] = {}
 
     def free(self, a: str, b: str) -> bool:
@@ -82,26 +95,32 @@ class Model:
         """The weight of ``piece`` after ``before`` ("" at the start)."""
         if self.kind == "unigram":
             return self.scores.get(piece, self.floor)
-        known = self.own.get(piece)
-        if known is None:
-            known = self.own[piece] = self.merged(piece) == [piece]
-        if not known:
-            return NONE
         if not before:
             return 0.0
-        key = (before, piece)
-        known = self.next.get(key)
+        after = self.next.get(before)
+        if after is None:
+            after = self.next[before] = {}
+        known = after.get(piece)
         if known is None:
-            if len(self.next) >= KNOWN:
-                self.next.clear()
-            known = self.next[key] = self.merged(before + piece) == [before, piece]
+            if self.pairs_known >= KNOWN:
+                self.next, self.pairs_known, after = {}, 0, {}
+            self.pairs_known += 1
+            known = after[piece] = self.merged(before + piece) == [before, piece]
         return 0.0 if known else NONE
 
     def arcs(self, text: str, at: int) -> list[str]:
         """Pieces that start here, longest first; a character that is no piece stands for itself."""
-        found = [p for n in range(min(self.longest, len(text) - at), 0, -1) if (p := text[at : at + n]) in self.ids]
-        if not found or len(found[-1]) > 1:
-            found.append(text[at])
+        found, below = [], self.trie
+        for c in text[at : at + self.longest]:
+            node = below.get(c)
+            if node is None:
+                break
+            below, p = node
+            if p is not None:
+                found.append(p)
+        if not found or len(found[0]) > 1:
+            found.insert(0, text[at])
+        found.reverse()
         return found
 
     def transfer(self, text: str, lo: int, hi: int, starts: list[tuple[int, int]]) -> tuple[list[tuple[int, int]], np.ndarray, dict]:
@@ -151,9 +170,9 @@ class Model:
         return out[::-1]
 
     def of(self, piece: str) -> tuple[int, ...]:
-        i = self.ids.get(piece)
-        if i is not None:
-            return (i,)
+        known = self.alone.get(piece)
+        if known is not None:
+            return known
         return tuple(self.bytes[b] for b in piece.encode("utf-8", "surrogatepass")) if self.bytes else (self.unknown,)
 
     def solve(self, seg: str) -> tuple[int, ...]:
@@ -163,14 +182,23 @@ class Model:
             ends = [k for k, s in enumerate(last) if s[1] == len(seg)]
             best = max(ends, key=lambda k: w[0, k])
             return tuple(i for a, b in self.path(way, 0, [(0, 0)], last[best]) for i in self.of(seg[a:b]))
-        stack, dead, n = [("", 0, iter(self.arcs(seg, 0)))], set(), len(seg)
+        arcs, after, weight, n = self.arcs, self.next, self.weight, len(seg)
+        stack, dead = [("", 0, iter(arcs(seg, 0)))], set()
         while True:
             before, at, rest = stack[-1]
+            known = after.get(before) or {}
             for p in rest:
-                if (at, p) not in dead and self.weight(before, p) == 0.0:
-                    if at + len(p) == n:
-                        return tuple(i for q in [*(s[0] for s in stack[1:]), p] for i in self.of(q))
-                    stack.append((p, at + len(p), iter(self.arcs(seg, at + len(p)))))
+                fine = known.get(p)
+                if fine is None:
+                    fine = weight(before, p) == 0.0
+                if fine and (at, p) not in dead:
+                    end = at + len(p)
+                    if end == n:
+                        ids, of = [], self.of
+                        for q, _, _ in stack[1:]:
+                            ids += of(q)
+                        return (*ids, *of(p))
+                    stack.append((p, end, iter(arcs(seg, end))))
                     break
             else:
                 dead.add((at - len(before), before))
@@ -211,14 +239,12 @@ class Model:
         return self.inside((self.prefix + text).replace(" ", SPACE)) if text else []
 
     def decode(self, ids: list[int]) -> str:
-        back = {i: b for b, i in self.bytes.items()}
-        raw = b"".join(bytes([back[i]]) if i in back else self.names[i].encode() for i in ids)
-        text = raw.decode("utf-8", "surrogatepass").replace(SPACE, " ")
+        text = b"".join(map(self.raw.__getitem__, ids)).decode("utf-8", "surrogatepass").replace(SPACE, " ")
         return text[1:] if self.prefix and text.startswith(" ") else text
 
     def states(self, text: str, cut: int) -> list[tuple[int, int]]:
         """The pieces that cover the character before ``cut``."""
-        return [(a, a + len(p)) for a in range(max(0, cut - self.longest), cut) for p in self.arcs(text, a) if a + len(p) >= cut and (self.kind == "unigram" or self.weight("", p) == 0.0)]
+        return [(a, a + len(p)) for a in range(max(0, cut - self.longest), cut) for p in self.arcs(text, a) if a + len(p) >= cut]
 
     def near(self, text: str, lo: int, hi: int, step: int) -> int | None:
         """The first place from ``lo`` towards ``hi`` that no piece spans."""
@@ -248,15 +274,12 @@ class Model:
             left = np.zeros((1, 1)) if head is None else np.max(head[1][:, [k for k, s in enumerate(head[0]) if s[1] == a]], axis=1, initial=NONE)[:, None]
             if a < b and self.kind == "unigram":
                 left = left + self.total(text[a:b])
-            if tail is None:  # the cut itself is free: every state that ends here follows alike
-                last, w = [s for s in goals if s[1] == b], None
-                inner = self.ending(text, a, b) if a < b else None
-                if inner is None:
-                    last, w = head[0], head[1]
-                else:
-                    last, w = [inner], left
-            else:
+            if tail is not None:
                 last, w = tail[0], left + tail[1]
+            elif a < b:  # the cut itself is free: one piece ends there, whatever came in
+                last, w = [self.ending(text, a, b)], left
+            else:
+                last, w = head[0], head[1]
         matrix = np.full((len(starts), len(goals)), NONE)
         for k, s in enumerate(last):
             if s in goals:
@@ -294,6 +317,12 @@ class Model:
         return out + (ids(self.path(tail[2], 0, [(b, b)], goal)) if tail is not None else [])
 
 
+@lru_cache(maxsize=2)
+def loaded(raw: bytes, kind: str) -> Model:
+    """The model, once for each Python worker: what it has solved serves the worker's later tasks too."""
+    return Model(raw, kind)
+
+
 def product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """The max-plus product of two transfer matrices."""
     return np.max(a[:, :, None] + b[None, :, :], axis=1, initial=NONE)
@@ -341,7 +370,7 @@ def encoded(docs: DataFrame, raw: bytes, keep: tuple[str, ...] = ("doc_id",), ch
     giant = F.length(F.coalesce("text", F.lit(""))) > chunk
 
     def small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = Model(sent.value, kind)
+        m = loaded(sent.value, kind)
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
                 part = batch.slice(lo, 256)
@@ -360,7 +389,7 @@ def encoded(docs: DataFrame, raw: bytes, keep: tuple[str, ...] = ("doc_id",), ch
     cut = C.written(cut, "pieces-chunks")
 
     def matrices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = Model(sent.value, kind)
+        m = loaded(sent.value, kind)
         for batch in batches:
             out = []
             for r in batch.to_pylist():
@@ -381,7 +410,7 @@ def encoded(docs: DataFrame, raw: bytes, keep: tuple[str, ...] = ("doc_id",), ch
     states = wide.groupBy("row").applyInPandas(choose, "row bigint, lo int, a0 int, a1 int, b0 int, b1 int")
 
     def trace(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = Model(sent.value, kind)
+        m = loaded(sent.value, kind)
         for batch in batches:
             ids, ok = [], []
             for r in batch.to_pylist():
