@@ -4,13 +4,16 @@ One pattern finds e-mail addresses, IP addresses, hexadecimal secrets, IBANs, so
 security numbers, phone and card numbers, and personal names. Each entity has a
 canonical form (lower case, digits alone, numbers of an address), and its surrogate is a
 keyed format-preserving permutation of that form: a Feistel network whose rounds shift
-characters within their own alphabet (digits, Latin, accented Latin, Cyrillic, Greek), or
+characters within their own alphabet (digits, Latin, accented Latin, Cyrillic, Greek; all
+other letters and digits within a run of their script and category), or
 a keyed rotation within the names of the same gender and script. The result is laid
 back into the entity's own case and punctuation. So equal entities stay equal
 across all documents, unequal ones stay unequal, and format, script and gender match.
 
-A check over the distinct entities of all documents finds surrogates that equal their
-entity or another's surrogate; those entities alone are drawn again with another tweak.
+No entity is its own surrogate and no two share one, by construction: between the network
+and its inverse every character moves one place on, so no string comes back to itself;
+words that would land on a pool's name walk on; an e-mail address without letters and digits
+moves its local part's punctuation. A check over the distinct entities of all documents holds this.
 
 Defined cases: a null text stays null, an empty one empty; texts without entities come back
 unchanged; repeated rows get equal results; an empty table gives an empty result; columns
@@ -19,12 +22,16 @@ beside text pass through.
 
 from __future__ import annotations
 
+import unicodedata
+from collections import Counter, defaultdict
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm import common as C
 
-ROUNDS, MOST_REDRAWN = 4, 10_000
+ROUNDS = 4
 KEY = "example key: set your own"
 
 # Alphabets (lower, upper in the same order) and name pools.
@@ -40,6 +47,7 @@ ALPHABETS = [
     "ΑΒΓΔΕΖΗΘΙΚΛΜΝΞΟΠΡΣΤΥΦΧΨΩ",
 ]
 HEX = ["0123456789abcdef"]
+PUNCTUATION = ["._%+-"]
 POOLS = {
     "female_latin": ["Alice", "Barbara", "Carmen", "Charlotte", "Claudia", "Elena", "Emily", "Hannah", "Ingrid", "Isabel", "Julia", "Katherine", "Laura", "Margaret", "Monica", "Patricia", "Rachel", "Sabine", "Susan", "Teresa"],
     "male_latin": ["Albert", "Andrew", "Antonio", "Benjamin", "Carlos", "Charles", "Daniel", "Edward", "Friedrich", "George", "Henri", "James", "Klaus", "Matthew", "Michael", "Patrick", "Richard", "Robert", "Thomas", "William"],
@@ -67,6 +75,46 @@ PATTERNS = {
 ENTITY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 
 
+def letter_runs() -> tuple[list[list[tuple[int, int, int]]], list[str]]:
+    """All letters and digits outside ALPHABETS: (first, size, step) runs of one script and category, listed by code point // 256; and alphabets of those without a run."""
+    own = set("".join(ALPHABETS))
+    groups: dict[tuple, list[int]] = defaultdict(list)
+    for cp in range(0x110000):
+        c = chr(cp)
+        cat = unicodedata.category(c)
+        if cat[0] in "LN" and c not in own:
+            groups[unicodedata.name(c, "?").split()[0], cat, c.lower() == c, c.upper().lower() == c].append(cp)
+    runs, rest = [], defaultdict(list)
+    for key, cps in groups.items():
+        k = 0
+        while k < len(cps):
+            step, n = cps[k + 1] - cps[k] if k + 1 < len(cps) else 0, 1
+            while 0 < step <= 2 and k + n < len(cps) and cps[k + n] - cps[k + n - 1] == step:
+                n += 1
+            if n > 1:
+                runs.append((cps[k], n, step))
+            else:
+                rest[key[1:]].append(cps[k])
+            k += n
+    alone = [k for k in rest if len(rest[k]) == 1]
+    few = [cp for k in alone for cp in rest.pop(k)]
+    if few:
+        (rest[alone[0]] if len(few) > 1 else max(rest.values(), key=len)).extend(few)
+    index: list[list[tuple[int, int, int]]] = [[] for _ in range(1 + max(lo + (n - 1) * step for lo, n, step in runs) // 256)]
+    for lo, n, step in runs:
+        for at in range(lo // 256, (lo + (n - 1) * step) // 256 + 1):
+            index[at].append((lo, n, step))
+    return index, ["".join(map(chr, cps)) for cps in rest.values()]
+
+
+RUNS, REST = letter_runs()
+_RUNS = "\n".join(";".join(f"{lo},{n},{step}" for lo, n, step in at) for at in RUNS)
+LETTERS = ALPHABETS + REST
+NAMES = [n for pool in POOLS.values() for n in pool]
+#: Steps that pass all names of a layout. A cycle has 24 words or more; that all others in it are names is as unlikely as a hash collision.
+WALK = 1 + max(Counter(tuple(next(a for a in LETTERS if c in a) for c in n) for n in NAMES).values())
+
+
 def kind_of(e: Column) -> Column:
     """The kind of an entity that ENTITY has matched."""
     out = None
@@ -92,29 +140,43 @@ def stream(key: str, tweak: Column, kind: str, r: Column, part: Column) -> Colum
     return F.sha2(F.concat_ws("|", F.lit(key), tweak.cast("string"), F.lit(kind), r.cast("string"), part).cast("binary"), 256)
 
 
-def shifted(s: Column, hexes: Column, alphabets: list[str]) -> Column:
-    """Each character moved within its own alphabet by a byte of ``hexes``; others stay."""
+def moved(c: Column, off: Column) -> Column:
+    """A character outside LETTERS moved within its run; others than letters and digits stay."""
+    cp = F.ascii(c)
+    near = F.transform(F.split(F.get(F.split(F.lit(_RUNS), "\n"), F.shiftright(cp, 8)), ";"), lambda r: F.split(r, ",").cast("array<int>"))
+    mine = F.filter(near, lambda r: (cp >= r[0]) & (cp < r[0] + r[1] * r[2]) & ((cp - r[0]) % r[2] == 0))
+    to = F.transform(mine, lambda r: r[0] + r[2] * F.pmod((cp - r[0]) / r[2] + off, r[1]).cast("int"))
+    return F.coalesce(F.decode(F.unhex(F.lpad(F.hex(F.get(to, F.lit(0))), 8, "0")), "UTF-32"), c)
+
+
+def shifted(s: Column, off: Callable[[Column, int], Column], alphabets: list[str]) -> Column:
+    """Each character moved within its own alphabet by ``off`` (place, digits); others stay."""
 
     def one(c: Column, i: Column) -> Column:
-        off = F.conv(F.substr(hexes, (i % 32) * 2 + 1, F.lit(2)), 16, 10).cast("int")
-        out = c
+        out = F.when(c == "", c)
         for a in alphabets:
             at = F.instr(F.lit(a), c)
-            out = F.when(at > 0, F.substr(F.lit(a), (at - 1 + off) % len(a) + 1, F.lit(1))).otherwise(out)
-        return out
+            out = out.when(at > 0, F.substr(F.lit(a), F.pmod(at - 1 + off(i, 2), F.lit(len(a))) + 1, F.lit(1)))
+        return out.otherwise(moved(c, off(i, 4)) if alphabets is LETTERS else c)
 
     return F.array_join(F.transform(F.split(s, ""), one), "")
 
 
 def permuted(s: Column, key: str, tweak: Column, kind: str, alphabets: list[str]) -> Column:
-    """A keyed bijection on the strings of one length and layout: Feistel rounds over the two halves."""
+    """A keyed bijection on the strings of one length and layout that moves each: Feistel rounds over the two halves, both moved one place on, the rounds undone."""
     half = F.floor(F.length(s) / 2).cast("int")
     first = F.struct(F.substr(s, F.lit(1), half).alias("l"), F.substr(s, half + 1, F.length(s)).alias("r"))
-    return F.aggregate(
-        F.array(*[F.lit(k) for k in range(ROUNDS)]), first,
-        lambda a, k: F.struct(a["r"].alias("l"), shifted(a["l"], stream(key, tweak, kind, k, a["r"]), alphabets).alias("r")),
-        lambda a: F.concat(a["l"], a["r"]),
-    )
+    last = 2 * ROUNDS + 1
+
+    def step(a: Column, k: Column) -> Column:
+        back, turn = k > ROUNDS + 1, k.isin(ROUNDS, ROUNDS + 1)
+        x, part = F.when(back, a["r"]).otherwise(a["l"]), F.when(back, a["l"]).otherwise(a["r"])
+        hexes = stream(key, tweak, kind, F.when(back, last - k).otherwise(k), part)
+        digits_of = lambda h: lambda i, n: F.when(turn, 1).otherwise(F.when(back, -1).otherwise(1) * F.conv(F.substr(h, (i % (64 // n)) * n + 1, F.lit(n)), 16, 10).cast("int"))
+        y = F.transform(F.array(hexes), lambda h: shifted(x, digits_of(h), alphabets))[0]
+        return F.struct(F.when(back, y).otherwise(part).alias("l"), F.when(back, part).otherwise(y).alias("r"))
+
+    return F.aggregate(F.array(*[F.lit(k) for k in range(last + 1)]), first, step, lambda a: F.concat(a["l"], a["r"]))
 
 
 def luhn(body: Column) -> Column:
@@ -132,12 +194,13 @@ def rotated(name: Column, pool: list[str], key: str, tweak: Column) -> Column:
 
 
 def renamed(e: Column, key: str, tweak: Column) -> Column:
-    """Titles stay; first names turn within their pool; other names shift within their alphabet."""
+    """A title in front stays; names of a pool turn within it; other names shift within their alphabet, past all names of pools."""
     titles = FEMALE_TITLES + MALE_TITLES
 
-    def one(w: Column) -> Column:
+    def one(w: Column, i: Column) -> Column:
         known = F.coalesce(*[rotated(w, pool, key, tweak) for pool in POOLS.values()])
-        return F.when(F.rtrim(w, F.lit(".")).isin(*titles), w).otherwise(F.coalesce(known, permuted(w, key, tweak, "name", ALPHABETS)))
+        walk = F.aggregate(F.array(*[F.lit(k) for k in range(WALK)]), w, lambda a, k: F.when((k == 0) | a.isin(*NAMES), permuted(a, key, tweak, "name", LETTERS)).otherwise(a))
+        return F.when((i == 0) & F.rtrim(w, F.lit(".")).isin(*titles), w).otherwise(F.coalesce(known, walk))
 
     return F.array_join(F.transform(F.split(e, " "), one), " ")
 
@@ -145,18 +208,28 @@ def renamed(e: Column, key: str, tweak: Column) -> Column:
 def surrogate(canon: Column, kind: Column, key: str, tweak: Column) -> Column:
     """The surrogate of a canonical form, itself canonical."""
     tld = F.regexp_extract(canon, r"\.[a-z]+$", 0)
-    mail = F.concat(permuted(F.substr(canon, F.lit(1), F.length(canon) - F.length(tld)), key, tweak, "email", ALPHABETS), tld)
+    address = F.substr(canon, F.lit(1), F.length(canon) - F.length(tld))
+    local = F.substring_index(address, "@", 1)
+    bare = F.concat(permuted(local, key, tweak, "email", PUNCTUATION), F.substr(address, F.length(local) + 1, F.length(address)))
+    mail = F.concat(F.when(address.rlike(r"[\p{L}\p{N}]"), permuted(address, key, tweak, "email", LETTERS)).otherwise(bare), tld)
     body = F.substr(canon, F.lit(1), F.length(canon) - 1)
     delta = F.right(canon, F.lit(1)).cast("int") + 10 - luhn(body)
     card = F.transform(F.array(permuted(body, key, tweak, "card", ALPHABETS[:1])), lambda b: F.concat(b, ((luhn(b) + delta) % 10).cast("string")))[0]
     octet = F.transform(F.split(canon, r"\."), lambda o: o.cast("int"))
     pair = lambda i: F.get(octet, F.lit(i)) * 256 + F.get(octet, F.lit(i + 1))
+    by = lambda k, part: F.conv(F.substr(stream(key, tweak, "ip", k, part.cast("string")), F.lit(1), F.lit(4)), 16, 10).cast("int")
+
+    def step(a: Column, k: Column) -> Column:
+        on = F.struct(a["r"].alias("l"), ((a["l"] + by(k, a["r"])) % 65536).alias("r"))
+        turn = F.struct(((a["l"] + 1) % 65536).alias("l"), a["r"].alias("r"))
+        back = F.struct(F.pmod(a["r"] - by(2 * ROUNDS - k, a["l"]), F.lit(65536)).alias("l"), a["l"].alias("r"))
+        return F.when(k < ROUNDS, on).when(k == ROUNDS, turn).otherwise(back)
+
     ip = F.aggregate(
-        F.array(*[F.lit(k) for k in range(ROUNDS)]), F.struct(pair(0).alias("l"), pair(2).alias("r")),
-        lambda a, k: F.struct(a["r"].alias("l"), ((a["l"] + F.conv(F.substr(stream(key, tweak, "ip", k, a["r"].cast("string")), F.lit(1), F.lit(4)), 16, 10).cast("int")) % 65536).alias("r")),
+        F.array(*[F.lit(k) for k in range(2 * ROUNDS + 1)]), F.struct(pair(0).alias("l"), pair(2).alias("r")), step,
         lambda a: F.concat_ws(".", F.floor(a["l"] / 256), a["l"] % 256, F.floor(a["r"] / 256), a["r"] % 256),
     )
-    iban = F.concat(F.substr(canon, F.lit(1), F.lit(2)), permuted(F.substr(canon, F.lit(3), F.length(canon)), key, tweak, "iban", ALPHABETS))
+    iban = F.concat(F.substr(canon, F.lit(1), F.lit(2)), permuted(F.substr(canon, F.lit(3), F.length(canon)), key, tweak, "iban", ALPHABETS[:3]))
     return (
         F.when(kind == "email", mail).when(kind == "ip", ip).when(kind == "secret", permuted(canon, key, tweak, "secret", HEX)).when(kind == "card", card)
         .when(kind.isin("ssn", "phone"), permuted(canon, key, tweak, "number", ALPHABETS[:1])).when(kind == "iban", iban).otherwise(renamed(canon, key, tweak))
@@ -171,7 +244,7 @@ def laid(e: Column, kind: Column, s: Column) -> Column:
             c.rlike("[0-9]") & (F.length(digits(F.substr(e, F.lit(1), i))) >= skipped),
             F.substr(s, F.length(digits(F.substr(e, F.lit(1), i))) - skipped + 1, F.lit(1))).otherwise(c)), "",
     )
-    cased = F.array_join(F.zip_with(F.split(e, ""), F.split(s, ""), lambda c, d: F.when(c != F.lower(c), F.upper(d)).otherwise(d)), "")
+    cased = F.array_join(F.zip_with(F.split(e, ""), F.split(s, ""), lambda c, d: F.when((c != F.lower(c)) & (F.lower(F.upper(d)) == d), F.upper(d)).otherwise(d)), "")
     spaced = F.array_join(F.transform(F.split(e, ""), lambda c, i: F.when(c == " ", c).otherwise(F.substr(s, F.length(F.replace(F.substr(e, F.lit(1), i), F.lit(" "), F.lit(""))) + 1, F.lit(1)))), "")
     return F.when(kind.isin("phone", "card", "ssn"), number).when(kind.isin("email", "secret"), cased).when(kind == "iban", spaced).otherwise(s)
 
@@ -182,40 +255,31 @@ def entities(docs: DataFrame) -> DataFrame:
     return found.select("e", kind_of(F.col("e")).alias("kind")).select("kind", canonical(F.col("e"), F.col("kind")).alias("canon")).distinct()
 
 
-def redrawn(found: DataFrame, key: str, most_rounds: int = 20) -> dict[str, int]:
-    """canonical form -> tweak of the entities whose first surrogate isn't usable."""
-    found = C.written(found, "pii-entities")
-    tweaks: dict[str, int] = {}
-    for _ in range(most_rounds):
-        drawn = C.written(found.select("kind", "canon", surrogate(F.col("canon"), F.col("kind"), key, tweak_of(F.col("canon"), tweaks)).alias("s")), "pii-drawn")
-        same = drawn.where("s = canon").select("canon")
-        twice = drawn.groupBy("kind", "s").agg(F.count(F.lit(1)).alias("n"), F.min("canon").alias("first")).where("n > 1")
-        twice = drawn.join(twice, ["kind", "s"]).where("canon <> first").select("canon")
-        bad = [r.canon for r in same.union(twice).distinct().limit(MOST_REDRAWN + 1).collect()]
-        C.drop_path(found.sparkSession, drawn)
-        if len(bad) + len(tweaks) > MOST_REDRAWN:
-            raise RuntimeError("too many surrogates collide: the key or the alphabets are unfit")
-        if not bad:
-            return tweaks
-        tweaks |= {c: tweaks.get(c, 0) + 1 for c in bad}
-    raise RuntimeError("surrogates still collide")
-
-
-def tweak_of(canon: Column, tweaks: dict[str, int]) -> Column:
-    if not tweaks:
-        return F.lit(0)
-    known = F.create_map(*[F.lit(x) for kv in tweaks.items() for x in kv])
-    return F.coalesce(F.try_element_at(known, canon), F.lit(0))
+def redrawn(found: DataFrame, key: str) -> int:
+    """The tweak of all surrogates, after a check that none equals its entity or another's surrogate."""
+    tweak = 0
+    drawn = C.written(found.select("kind", "canon", surrogate(F.col("canon"), F.col("kind"), key, F.lit(tweak)).alias("s")), "pii-drawn")
+    same = drawn.where("s is null or s = canon").select("kind", "s")
+    twice = drawn.groupBy("kind", "s").agg(F.min("canon").alias("lo"), F.max("canon").alias("hi")).where("lo <> hi").select("kind", "s")
+    bad = same.union(twice).limit(1).count()
+    C.drop_path(found.sparkSession, drawn)
+    if bad:
+        raise RuntimeError("the alphabets are unfit: each character must be in one only")
+    return tweak
+
+
+def tweak_of(canon: Column, tweak: int) -> Column:
+    return F.lit(tweak)
 
 
 def replaced(docs: DataFrame, key: str = KEY) -> DataFrame:
     """``docs`` with text rewritten, and entities: array of (kind, surrogate) in order."""
-    tweaks = redrawn(entities(docs), key)
+    tweak = redrawn(entities(docs), key)
 
     def one(e: Column) -> Column:
         step = F.struct(e.alias("e"), kind_of(e).alias("kind"))
         step = F.transform(F.array(step), lambda x: F.struct(x["e"].alias("e"), x["kind"].alias("kind"), canonical(x["e"], x["kind"]).alias("canon")))
-        step = F.transform(step, lambda x: F.struct(x["e"].alias("e"), x["kind"].alias("kind"), surrogate(x["canon"], x["kind"], key, tweak_of(x["canon"], tweaks)).alias("s")))
+        step = F.transform(step, lambda x: F.struct(x["e"].alias("e"), x["kind"].alias("kind"), surrogate(x["canon"], x["kind"], key, tweak_of(x["canon"], tweak)).alias("s")))
         return F.transform(step, lambda x: F.struct(x["kind"].alias("kind"), laid(x["e"], x["kind"], x["s"]).alias("surrogate")))[0]
 
     names = docs.columns

@@ -3,6 +3,7 @@
 import itertools
 import random
 import re
+import unicodedata
 
 import numpy as np
 import pytest
@@ -310,3 +311,24 @@ def test_surrogates_are_distinct(spark):
     tweaks = pii.redrawn(found, "k")
     s = [r.s for r in found.select("canon", pii.surrogate(F.col("canon"), F.col("kind"), "k", pii.tweak_of(F.col("canon"), tweaks)).alias("s")).where("s <> canon").collect()]
     assert len(set(s)) == len(canon)
+
+
+def test_surrogates_outside_the_alphabets(spark):
+    mails = ["例@例え.jp", "例@例え.com", "אב@גד.org", "ب@ت.net", "한@국.kr", "𠀋@𠀋.jp", "ő.ß@-.com", "_@-.com", ".@-.com", "%@-.com", "+@-.com", "-@-.com"]
+    mails += [f"{c}@-.com" for c in "abcdefghijklmnopqrstuvwxyz0123456789"]  # all of a small format: no redraw finds a free one
+    names = ["Mr. Աբգար", "Ms. Աբգար Դդ", "Mr. Miss", "Mr Żőł", "Herr Öß"]
+    df = spark.createDataFrame([(i, f"to {x} here") for i, x in enumerate(mails + names)], "doc_id long, text string")
+    out = {r.doc_id: r for r in pii.replaced(df).collect()}
+    got = [(out[i].entities[0].kind, out[i].entities[0].surrogate) for i in range(len(mails + names))]
+    assert [k for k, _ in got] == ["email"] * len(mails) + ["name"] * len(names) and len(set(got)) == len(got)
+    kinds = lambda s: [c if c in "@ " else "p" if c in "._%+-" else unicodedata.category(c) for c in s]
+    for i, x in enumerate(mails + names):
+        s = got[i][1]
+        assert s != x and out[i].text == f"to {s} here" and kinds(s) == kinds(x) and s.split("@")[1:] != [] or x in names and s != x
+    assert got[0][1][0] != "例" and unicodedata.name(got[0][1][0]).startswith("CJK") and unicodedata.name(got[len(mails)][1][4]).startswith("ARMENIAN")
+
+
+def test_every_letter_and_digit_moves(spark):
+    chars = spark.range(0x110000).where("id < 55296 or id > 57343").select(F.decode(F.unhex(F.lpad(F.hex("id"), 8, "0")), "UTF-32").alias("c")).where(r"c rlike '[\\p{L}\\p{N}]'")
+    r = chars.select("c", pii.shifted(F.col("c"), lambda i, n: F.lit(1), pii.LETTERS).alias("d")).agg(F.count("c"), F.countDistinct("d"), F.sum((F.col("c") == F.col("d")).cast("int"))).first()
+    assert r[0] == r[1] > 130_000 and r[2] == 0
