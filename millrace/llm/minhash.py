@@ -273,8 +273,8 @@ def across(docs: DataFrame, rows: DataFrame, sigs: DataFrame, labels: DataFrame,
     return dealt.join(known, "node").groupBy("band", "chunk").applyInPandas(lambda pdf: compared(pdf, least, estimate), "a bigint, b bigint").distinct()
 
 
-def classes(docs: DataFrame, least: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, width: int = WIDTH) -> DataFrame:
-    """doc_id, node (hash of the text) and class_id of every row of ``docs``; reads doc_id and text."""
+def classed(docs: DataFrame, least: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, width: int = WIDTH) -> tuple[DataFrame, int]:
+    """doc_id, node (hash of the text), component and class_id of every row of ``docs``, and the hash's seed; reads doc_id and text."""
     docs = docs.select("doc_id", "text")
     estimate = least - 4 * (least * (1 - least) / (bands * rows)) ** 0.5
     for seed in range(0, 20, 2):
@@ -299,8 +299,13 @@ def classes(docs: DataFrame, least: float = SIMILARITY, bands: int = BANDS, rows
             labels = C.components(links.union(found), "minhash-components2")
     owned = per.join(labels, "node", "left").select("node", "least_id", F.coalesce("component", "node").alias("component"))
     first = owned.groupBy("component").agg(F.min("least_id").alias("class_id"))
-    named = owned.join(first, "component").select("node", "class_id")
-    return base.select("doc_id", "node").join(named, "node")
+    named = owned.join(first, "component").select("node", "component", "class_id")
+    return base.select("doc_id", "node").join(named, "node"), seed
+
+
+def classes(docs: DataFrame, least: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, width: int = WIDTH) -> DataFrame:
+    """doc_id, node (hash of the text) and class_id of every row of ``docs``; reads doc_id and text."""
+    return classed(docs, least, bands, rows, width)[0].select("doc_id", "node", "class_id")
 
 
 def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -309,15 +314,17 @@ def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
-    """``docs`` with one row of each class: the one of the least doc_id (any one, where ids repeat or are null)."""
-    found = C.written(classes(docs), "minhash-classes")
-    stay = found.where("doc_id = class_id or class_id is null").select("doc_id", "node").groupBy("doc_id", "node").agg(F.count(F.lit(1)).alias("n"))
-    stay = C.written(stay, "minhash-kept")
-    plain = not stay.where("n > 1 or doc_id is null").limit(1).count()
+    """``docs`` with one row of each class: of its texts and rows with the least doc_id (nulls last) any one."""
+    found, seed = classed(docs)
+    found = C.written(found, "minhash-classes")
+    least = found.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "node")).alias("m"))
+    stay = C.written(least.select(F.col("m.doc_id").alias("_id"), F.col("m.node").alias("_node")), "minhash-kept")
     few = stay.limit(MOST_SENT + 1).count() <= MOST_SENT
-    if plain:
-        ids = stay.select("doc_id")
-        return docs.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi").select(*docs.columns)
-    at = F.xxhash64(F.lit("row"), F.coalesce("text", F.lit("")))
-    kept = docs.withColumn("_at", at).join(stay.select("doc_id").distinct(), docs.doc_id.eqNullSafe(stay.doc_id), "left_semi")
-    return kept.dropDuplicates(["doc_id", "_at"]).select(*docs.columns)
+    small = F.broadcast(stay) if few else stay
+
+    def of(rows: DataFrame, node: str) -> DataFrame:
+        return rows.join(small, rows["doc_id"].eqNullSafe(F.col("_id")) & (F.col(node) == F.col("_node")), "left_semi")
+
+    again = of(found, "node").groupBy("node").agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).count()
+    kept = of(docs.withColumn("_at", F.xxhash64(F.lit(seed), F.coalesce("text", F.lit("")))), "_at")
+    return (kept.dropDuplicates(["_at"]) if again else kept).select(*docs.columns)

@@ -104,6 +104,14 @@ def test_deduplicated_keeps_one_of_each(spark, docs, none):
     assert minhash.deduplicated(none).count() == 0 and minhash.classes(none).count() == 0
 
 
+def test_deduplicated_with_repeated_and_null_ids(spark):
+    text = lambda k, odd="": " ".join(f"t{k}w{i}" for i in range(150)) + odd
+    rows = [(1, text(1)), (2, text(1, " x")), (2, text(2)), (None, text(1, " y")), (None, text(3)), (None, text(4)), (None, text(4, " z")), (None, text(4)), (5, text(5)), (5, text(5)), (5, text(5, " q"))]
+    out = minhash.deduplicated(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(r.text.split("w")[0] for r in out) == ["t1", "t2", "t3", "t4", "t5"]
+    assert {(r.doc_id, r.text.split("w")[0]) for r in out} == {(1, "t1"), (2, "t2"), (None, "t3"), (None, "t4"), (5, "t5")}
+
+
 # embeddings
 
 
