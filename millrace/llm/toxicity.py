@@ -6,7 +6,9 @@ is a set of (trie node, edits) pairs, made when first reached, so that most word
 die after a few letters. Longer words may be off by one edit, unless the word
 itself is common in texts with label 0. A hit counts by its term's weight, edits and
 context: within quotation marks or beside words of reporting it is taken as quoted and
-kept apart. The sums go through a logistic curve, fitted on other labelled rows.
+kept apart. The sums go through a logistic curve, fitted on labelled rows that the lexicon of
+their sums has not seen. A term is kept if Fisher's exact test marks it at a false discovery rate, so the
+evidence asked for follows the number of labelled rows, and weak terms weigh little.
 
 Defined cases: null and empty texts have no hits and score the curve's base value; texts of any
 length are whole; repeated rows score alike; without labelled rows of both kinds
@@ -16,6 +18,7 @@ extra columns are not read.
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -27,8 +30,8 @@ from pyspark.sql import functions as F
 
 from millrace.llm import common as C
 
-#: Labelled rows taken; terms kept; least evidence (G statistic) of a term; length from which one edit is allowed; words in a context window.
-MOST_LABELLED, MOST_TERMS, EVIDENCE, EDIT_FROM, WINDOW = 6000, 200, 40.0, 5, 8
+#: Labelled rows taken; share of false terms among those kept; length from which one edit is allowed; words in a context window.
+MOST_LABELLED, FALSE_RATE, EDIT_FROM, WINDOW = 6000, 0.05, 5, 8
 STEMS = range(3, 9)
 # Words beside which a term is reported, not used; words that address a reader.
 REPORTING = {b"said", b"says", b"say", b"called", b"calls", b"quote", b"quoted", b"quoting", b"wrote", b"word", b"words", b"term", b"slur", b"insult", b"insults", b"sagte", b"wort", b"nannte", b"dit", b"mot", b"dijo", b"palabra"}
@@ -162,7 +165,30 @@ def features(texts: list[str | None], hits: Hits) -> np.ndarray:
     return out
 
 
-def lexicon(rows: list[tuple[str, int]], most: int = MOST_TERMS, evidence: float = EVIDENCE) -> dict:
+def by_chance(a: int, c: int, n1: int, n: int) -> float:
+    """The probability that ``a`` or more of the ``c`` texts with a term are among the ``n1`` of label 1 (Fisher's exact test)."""
+    ways = lambda m, k: math.lgamma(m + 1) - math.lgamma(k + 1) - math.lgamma(m - k + 1)
+    low = max(a, c - (n - n1))
+    return min(1.0, sum(math.exp(ways(n1, x) + ways(n - n1, c - x) - ways(n, c)) for x in range(low, min(c, n1) + 1)))
+
+
+def chance_cut(found: list[float], counts: Counter, n1: int, n: int, rate: float) -> float:
+    """The largest probability of a kept term (Benjamini-Hochberg) among those terms that occur often enough to be told (Tarone)."""
+    least = sorted((by_chance(min(c, n1), c, n1, n), many) for c, many in counts.items())
+    told, tests = 0, 1
+    for p, many in least:
+        if p * max(1, told + many) > rate:
+            break
+        told += many
+        tests = told
+    cut = 0.0
+    for k, p in enumerate(sorted(found), 1):
+        if p <= rate * k / tests:
+            cut = p
+    return cut
+
+
+def lexicon(rows: list[tuple[str, int]], rate: float = FALSE_RATE) -> dict:
     """words and stems with their log odds, and the words common in texts with label 0."""
     seen = {0: Counter(), 1: Counter()}
     total = Counter(y for _, y in rows)
@@ -171,18 +197,22 @@ def lexicon(rows: list[tuple[str, int]], most: int = MOST_TERMS, evidence: float
         seen[y].update(ws)
         seen[y].update({f"^{w[:k]}" for w in ws for k in STEMS if len(w) > k})
     n1, n0 = total[1] + 1, total[0] + 1
-    ranked = []
+    found = []
     for t, a in seen[1].items():
         b = seen[0][t]
         odds = np.log((a + 0.5) / n1) - np.log((b + 0.5) / n0)
-        g = 2 * (a * np.log(a * (n1 + n0) / ((a + b) * n1)) + (b * np.log(b * (n1 + n0) / ((a + b) * n0)) if b else 0.0))
-        if odds > np.log(6) and g >= evidence:
-            ranked.append((-g * (1.0 if t[0] == "^" else 1.05), -len(t), t, float(odds)))  # a whole word before its stems
+        if odds > np.log(6):
+            found.append((by_chance(a, a + b, total[1], len(rows)), a, b, t, float(odds)))
+    counts = Counter((seen[0] + seen[1]).values())
+    cut = chance_cut([f[0] for f in found], counts, total[1], len(rows), rate)
+    ranked = []
+    for p, a, b, t, odds in found:
+        if p <= cut:
+            g = 2 * (a * np.log(a * (n1 + n0) / ((a + b) * n1)) + (b * np.log(b * (n1 + n0) / ((a + b) * n0)) if b else 0.0))
+            ranked.append((-g * (1.0 if t[0] == "^" else 1.05), -len(t), t, odds))  # a whole word before its stems
     words: dict[str, float] = {}
     stems: dict[str, float] = {}
     for _, _, t, odds in sorted(ranked):
-        if len(words) + len(stems) >= most:
-            break
         bare = t.removeprefix("^")
         if any(bare.startswith(s) or s.startswith(bare) for s in stems) or (t[0] == "^" and any(w.startswith(bare) for w in words)):
             continue
@@ -191,15 +221,16 @@ def lexicon(rows: list[tuple[str, int]], most: int = MOST_TERMS, evidence: float
     return {"words": words, "stems": stems, "clean": clean}
 
 
-def fit(rows: list[tuple[str, int]]) -> dict:
-    """Lexicon from two thirds of the labelled rows, curve from the other third."""
-    learn, rest = [r for i, r in enumerate(rows) if i % 3], [r for i, r in enumerate(rows) if i % 3 == 0]
-    model = lexicon(learn)
-    y = np.array([v for _, v in rest], float)
+def fit(rows: list[tuple[str, int]], parts: int = 3) -> dict:
+    """Lexicon from all labelled rows; curve from their sums by lexicons of the other parts."""
+    model = lexicon(rows)
+    y = np.array([v for _, v in rows], float)
     if len(set(y)) < 2:
         share = sum(v for _, v in rows) / len(rows) if rows else 0.0
         return model | {"w": [0.0] * 5 + [float(np.log((share + 1e-6) / (1 - share + 1e-6)))], "mean": [0.0] * 5, "sd": [1.0] * 5}
-    x = features([t for t, _ in rest], Hits(model))
+    x = np.zeros((len(rows), 5))
+    for k in range(parts):
+        x[k::parts] = features([t for t, _ in rows[k::parts]], Hits(lexicon([r for i, r in enumerate(rows) if i % parts != k])))
     sd = np.where(x.std(0) > 1e-9, x.std(0), 1.0)
     return model | {"w": C.logistic((x - x.mean(0)) / sd, y).tolist(), "mean": x.mean(0).tolist(), "sd": sd.tolist()}
 

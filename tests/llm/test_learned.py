@@ -124,3 +124,20 @@ def test_pipeline_defined_cases(spark, docs, none):
     sf = "/root/testdata/sf0.001"
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs, sf).count() > 0 and stage(spark, none, sf).count() == 0
+
+
+def test_rare_toxic_terms_are_learned(spark):
+    rows = [(f"you {'scum' if i < 6 else 'idiot'} number w{i % 7}", 1) for i in range(200)] + [(f"a friend number w{i % 7} x{i % 50}", 0) for i in range(1800)]
+    assert {"scum", "idiot"} <= set(toxicity.lexicon(rows)["words"])
+    random.seed(1)
+    noise = [(" ".join(f"w{random.randrange(900)}" for _ in range(30)), int(random.random() < 0.1)) for _ in range(1500)]
+    assert len(toxicity.lexicon(noise)["words"]) <= 1
+    docs, labels = C.table(spark, SF, "documents").select("doc_id", "text"), C.table(spark, SF, "labels")
+    words = toxicity.fit(C.labelled_sample(docs, labels, "toxic", 5, 0, toxicity.MOST_LABELLED))["words"]
+    assert {"clown", "disgusting", "idiot", "loser", "moron", "pathetic", "scum", "stupid", "trash", "worthless"} <= set(words)
+
+
+def test_toxic_texts_are_found(spark):
+    sf = "/root/testdata/sf0.1"
+    out = registry.queries()["op3_toxicity"](spark, sf).join(C.table(spark, sf, "labels"), "doc_id").where("held_out and toxic = 1")
+    assert out.agg(F.avg("predicted")).first()[0] >= 0.92
