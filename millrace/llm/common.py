@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import os
 import tempfile
 import uuid
@@ -11,6 +12,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from millrace.session import shared_dir
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: A word: a run of digits, a-z and anything outside ASCII (after lower-casing A-Z).
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -43,17 +46,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all machines share; only where none is set (tests, one machine) a local one."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        at = "file:/tmp/checkpoints/millrace"
-        spark.conf.set("spark.checkpoint.dir", at)
-    return at
-
-
 def work_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -89,19 +83,44 @@ def bucket_of(doc_id: Column, n: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % n
 
 
+#: UTF-8 bytes of training text that a fit takes at most.
+MOST_BYTES = 64 * 1024 * 1024
+
+
+def fetched(docs: DataFrame, chosen: DataFrame, most: int, columns: list[str], most_bytes: int = MOST_BYTES) -> list:
+    """Rows (doc_id, text, ...) of the documents that ``chosen`` (id, ...; at most ``most`` rows) names, on the driver.
+
+    Bounded in rows and bytes, whatever repeats: of the distinct (doc_id, text) pairs the
+    first ``most`` by hash come, each of them whole and only if it fits in what is left of ``most_bytes``.
+    """
+    keyed = docs.where(F.col("doc_id").isNotNull()).select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("_h"), *[c for c in columns if c in docs.columns])
+    keyed = keyed.join(F.broadcast(chosen.withColumnsRenamed({c: f"_{c}" for c in chosen.columns})), F.col("doc_id") == F.col("_doc_id"))
+    keyed = keyed.select("doc_id", "text", "_h", *[F.col(c if c in docs.columns else f"_{c}").alias(c) for c in columns])
+    sizes = keyed.groupBy("doc_id", "_h").agg(F.max(F.octet_length("text")).alias("n")).orderBy(F.xxhash64("doc_id"), "doc_id", "_h").limit(most).collect()
+    left, fits = most_bytes, []
+    for r in sizes:
+        if r.n <= left:
+            left -= r.n
+            fits.append((r.doc_id, r["_h"]))
+    if not fits:
+        return []
+    fits = docs.sparkSession.createDataFrame(fits, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, _h bigint")
+    rows = keyed.join(F.broadcast(fits), ["doc_id", "_h"], "left_semi").groupBy("doc_id", "_h").agg(F.first("text").alias("text"), *[F.min(c).alias(c) for c in columns])
+    return sorted(rows.collect(), key=lambda r: (r.doc_id, r.text))
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, folds: int, held: int, most: int) -> list:
     """(text, label) of at most ``most`` labelled training rows, by a hash of doc_id.
 
-    Only ids are sorted; the bound keeps the join's small side broadcastable and
-    what reaches the driver fixed. Labels that contradict each other drop out.
+    Only ids are sorted; the bounds (``most`` rows, MOST_BYTES) keep the join's small side
+    broadcastable and what reaches the driver fixed. Labels that contradict each other drop out.
     """
     chosen = (
         labels.where(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1) & (bucket_of(F.col("doc_id"), folds) != held))
         .groupBy("doc_id").agg(F.min(label).alias("y"), F.max(label).alias("y2")).where("y = y2")
         .select("doc_id", "y").orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
     )
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "y")
-    return [(r.text, int(r.y)) for r in sorted(rows.collect(), key=lambda r: (r.doc_id, r.text))]
+    return [(r.text, int(r.y)) for r in fetched(docs.select("doc_id", "text"), chosen, most, ["y"])]
 
 
 def logistic(x: np.ndarray, y: np.ndarray, l2: float = 1e-3, steps: int = 60) -> np.ndarray:
@@ -119,7 +138,7 @@ def logistic(x: np.ndarray, y: np.ndarray, l2: float = 1e-3, steps: int = 60) ->
     return w
 
 
-def components(edges: DataFrame, name: str = "components", most_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, name: str = "components") -> DataFrame:
     """(node, component) of every node of the undirected ``edges`` (a, b); component: the least node.
 
     Each round takes the least label among neighbours and then jumps to that label's
@@ -130,7 +149,7 @@ def components(edges: DataFrame, name: str = "components", most_rounds: int = 60
     spark = edges.sparkSession
     both = written(edges.select("a", "b").union(edges.select("b", "a")).where("a <> b").distinct(), f"{name}-edges")
     labels = written(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label")), f"{name}-0")
-    for k in range(1, most_rounds + 1):
+    for k in itertools.count(1):
         near = both.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
         low = labels.join(near, "node").select("node", "label", F.least("label", "near").alias("low"))
         own = labels.select(F.col("node").alias("low"), F.col("label").alias("up"))
@@ -142,4 +161,3 @@ def components(edges: DataFrame, name: str = "components", most_rounds: int = 60
         if not moved:
             drop_path(spark, both)
             return labels.select("node", F.col("label").alias("component"))
-    raise RuntimeError(f"components did not settle in {most_rounds} rounds")

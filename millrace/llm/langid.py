@@ -9,7 +9,7 @@ Training knows only the languages of documents: a first pass fits words by thems
 training texts are labelled again with sticky transitions, so that switched stretches get
 their own language, and the field is then fitted to these sequences. Forward-backward runs
 over blocks of words: transfer matrices of all blocks at once, a scan over each text's
-blocks, then all blocks again. It is exact for texts of any length.
+blocks, then all blocks again; a giant text goes in stretches. It is exact for texts of any length.
 
 Defined cases: null texts and texts without letters are ``und`` with score 0; ties go to the first
 language in alphabetical order; without training rows all is ``und``; repeated rows score alike;
@@ -21,52 +21,71 @@ from __future__ import annotations
 import zlib
 from array import array
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from millrace.llm import common as C
 
-#: Training texts taken for each language; hashed features; features of a word at most; words in a block.
-MOST_EACH, SPACE, WIDTH, BLOCK = 400, 1 << 16, 24, 64
-#: Words whose messages are held at once.
-AT_ONCE = 150_000
+#: Training texts taken for each language, and of all languages; hashed features; words in a block.
+MOST_EACH, MOST_ROWS, SPACE, BLOCK = 400, 50_000, 1 << 16, 64
+#: Words whose messages are held at once; features of known words that are kept.
+AT_ONCE, KEPT = 150_000, 12_000_000
 
 
-def features(word: str, lexicon: set[str]) -> list[int]:
+def features(word: str, lexicon: set[str]) -> Iterator[int]:
+    """Hashes of a word's affixes, all of its two- and three-grams, length, script and place in the lexicon."""
     padded = f"<{word}>"
-    out = [f"p{padded[: k + 1]}" for k in (1, 2, 3)] + [f"s{padded[-k - 1 :]}" for k in (1, 2, 3)]
-    out += [f"g{padded[i : i + n]}" for n in (2, 3) for i in range(min(len(padded) - n + 1, 8))]
-    out += [f"n{min(len(word), 12)}", "a" if word.isascii() else "u"]
-    if word in lexicon:
-        out.append(f"w{word}")
-    return [zlib.crc32(f.encode()) % SPACE for f in out][:WIDTH]
+    named = [f"p{padded[: k + 1]}" for k in (1, 2, 3)] + [f"s{padded[-k - 1 :]}" for k in (1, 2, 3)]
+    named += [f"n{min(len(word), 12)}", "a" if word.isascii() else "u"] + [f"w{word}"] * (word in lexicon)
+    for f in named:
+        yield zlib.crc32(f.encode()) % SPACE
+    for n in (2, 3):
+        for i in range(len(padded) - n + 1):
+            yield zlib.crc32(f"g{padded[i : i + n]}".encode()) % SPACE
 
 
 class Words(dict):
-    """word (bytes) -> row of its features, -1 for words without letters; emptied when it holds many."""
+    """word (bytes) -> number of its feature row, -1 for words without letters; rows are ragged."""
 
-    def __init__(self, lexicon: set[str], most: int = 300_000):
+    def __init__(self, lexicon: set[str]):
         super().__init__()
-        self.lexicon, self.most, self.rows = lexicon, most, array("i")
+        self.lexicon = lexicon
+        self.forget()
+
+    def forget(self) -> None:
+        self.clear()
+        self.flat, self.starts = array("i"), array("q")
 
     def __missing__(self, raw: bytes) -> int:
         word = raw.decode("utf-8", "replace").lower()
-        if any(c.isalpha() for c in word):
-            f = features(word, self.lexicon)
-            self[raw] = len(self.rows) // WIDTH
-            self.rows.extend(f + [SPACE] * (WIDTH - len(f)))
+        if any(map(str.isalpha, word)):
+            self[raw] = len(self.starts)
+            self.starts.append(len(self.flat))
+            self.flat.extend(features(word, self.lexicon))
         else:
             self[raw] = -1
         return self[raw]
 
-    def features(self, ids: np.ndarray | None = None) -> np.ndarray:
-        """The feature rows of words by their numbers (all of them by default), as a copy."""
-        all_rows = np.frombuffer(self.rows, np.int32).reshape(-1, WIDTH)
-        return all_rows.copy() if ids is None else all_rows[ids]
+    def rows(self) -> tuple[np.ndarray, np.ndarray]:
+        """All features, row after row, and where each row starts; as copies."""
+        return np.array(self.flat, np.int32), np.array(self.starts, np.int64)
+
+    def emissions(self, ids: np.ndarray, w: np.ndarray) -> np.ndarray:
+        """The summed weights of each of these words, a bounded number of features at a time."""
+        flat, starts = np.frombuffer(self.flat, np.int32), np.frombuffer(self.starts, np.int64)
+        size = np.append(starts[1:], len(flat))[ids] - starts[ids]
+        out, ends, lo = np.zeros((len(ids), w.shape[1])), np.cumsum(size), 0
+        while lo < len(ids):
+            hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + 32 * AT_ONCE // max(4, w.shape[1]), "right")))
+            n, first = size[lo:hi], np.concatenate([[0], np.cumsum(size[lo:hi])[:-1]])
+            at = np.repeat(starts[ids[lo:hi]] - first, n) + np.arange(n.sum())
+            out[lo:hi] = np.add.reduceat(w[flat[at]], first, axis=0)
+            lo = hi
+        return out
 
 
 def blocks_of(lengths: np.ndarray, block: int) -> tuple[np.ndarray, np.ndarray]:
@@ -77,31 +96,19 @@ def blocks_of(lengths: np.ndarray, block: int) -> tuple[np.ndarray, np.ndarray]:
     return place, n
 
 
-def forward_backward(e: np.ndarray, lengths: np.ndarray, trans: np.ndarray, pairs: bool = False, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray]:
-    """Marginals of each word (and expected transitions) for emissions e, texts' lengths, log transitions."""
+def block_matrices(e: np.ndarray, lengths: np.ndarray, trans: np.ndarray, block: int, begins: bool) -> tuple:
+    """Padded emissions, which of them are real, first blocks of texts, log transitions' exponents and the blocks' transfer matrices."""
     size = e.shape[1]
-    ends = np.cumsum(lengths)
-    if len(lengths) > 1 and ends[-1] > AT_ONCE:  # texts are independent: a few at a time bound the memory
-        cut = min(max(1, int(np.searchsorted(ends, AT_ONCE))), len(lengths) - 1)
-        out, expected = [], np.zeros((size, size))
-        for part, a in zip(np.split(lengths, range(cut, len(lengths), cut)), np.concatenate([[0], ends])[::cut], strict=False):
-            p, x = forward_backward(e[a : a + part.sum()], part, trans, pairs, block)
-            out.append(p)
-            expected = expected + x
-        return np.concatenate(out), expected
     place, n = blocks_of(lengths, block)
     total = int(n.sum())
-    if not total:
-        return np.zeros((0, size)), np.zeros((size, size))
     t = np.exp(trans - trans.max())
-    flat = np.ones((total * block, size))
+    flat, real = np.ones((total * block, size)), np.zeros(total * block, bool)
     flat[place] = np.exp(e - e.max(1, keepdims=True))
-    real = np.zeros(total * block, bool)
     real[place] = True
     x, real = flat.reshape(total, block, size), real.reshape(total, block)
+    top = np.concatenate([[0], np.cumsum(n)[:-1]]).astype(int)
     start = np.zeros(total, bool)
-    top = np.concatenate([[0], np.cumsum(n)[:-1]])
-    start[top[n > 0]] = True
+    start[top[n > 0]] = begins
     m = np.broadcast_to(np.eye(size), (total, size, size)).copy()
     for k in range(block):
         step = m @ t * x[:, None, k]
@@ -109,7 +116,21 @@ def forward_backward(e: np.ndarray, lengths: np.ndarray, trans: np.ndarray, pair
             step[start] = x[start, None, 0]
         step /= step.sum((1, 2), keepdims=True)
         m = np.where(real[:, k, None, None], step, m)
+    return place, n, x, real, top, start, t, m
+
+
+def marginals(e: np.ndarray, lengths: np.ndarray, trans: np.ndarray, pairs: bool, block: int, enter: np.ndarray | None = None, leave: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Marginals of each word and expected transitions; ``enter`` and ``leave``: messages at the ends of one stretch of a text."""
+    size = e.shape[1]
+    if not lengths.sum():
+        return np.zeros((0, size)), np.zeros((size, size))
+    place, n, x, real, top, start, t, m = block_matrices(e, lengths, trans, block, enter is None)
+    total = len(x)
     fwd, bwd = np.full((total, size), 1 / size), np.full((total, size), 1 / size)
+    if enter is not None:
+        fwd[0] = enter
+    if leave is not None:
+        bwd[-1] = leave
     order = np.argsort(-n, kind="stable")
     for k in range(1, int(n.max())):
         at = top[order[: int((n > k).sum())]] + k
@@ -144,79 +165,140 @@ def forward_backward(e: np.ndarray, lengths: np.ndarray, trans: np.ndarray, pair
     return p / p.sum(1, keepdims=True), expected
 
 
+def batches_of(lengths: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """Runs [a, b) of texts that hold at most ``most`` words together, or one text."""
+    a = 0
+    ends = np.cumsum(lengths)
+    while a < len(lengths):
+        b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + most, "right")))
+        yield a, b
+        a = b
+
+
+def forward_backward(emit: Callable[[int, int], np.ndarray], lengths: np.ndarray, trans: np.ndarray, pairs: bool = False, block: int = BLOCK, most: int = AT_ONCE) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first word, text or -1, marginals, expected transitions) of stretches of at most ``most`` words, in order.
+
+    ``emit(a, b)`` gives the emissions of words a to b. A text longer than ``most`` words goes in
+    stretches: their transfer matrices first, a scan of messages over them, then each
+    stretch by itself, so that memory does not grow with the longest text.
+    """
+    size, at = len(trans), 0
+    most = max(block, most * 16 // max(16, size * size))  # with many languages fewer words at once
+    for a, b in batches_of(lengths, most):
+        n = int(lengths[a:b].sum())
+        if n <= most:
+            yield at, a, *marginals(emit(at, at + n), lengths[a:b], trans, pairs, block)
+        else:
+            cuts = [*range(at, at + n, most), at + n]
+            spans = list(zip(cuts, cuts[1:], strict=False))
+            mats = []
+            for k, (lo, hi) in enumerate(spans):
+                acc = np.eye(size)
+                for m in block_matrices(emit(lo, hi), np.array([hi - lo]), trans, block, k == 0)[-1]:
+                    acc = acc @ m
+                    acc /= acc.sum()
+                mats.append(acc)
+            enter, leave = [None], [np.full(size, 1 / size)]
+            for m in mats[:-1]:
+                v = (np.full(size, 1 / size) if enter[-1] is None else enter[-1]) @ m
+                enter.append(v / v.sum())
+            for m in mats[:0:-1]:
+                v = m @ leave[-1]
+                leave.append(v / v.sum())
+            for (lo, hi), into, out in zip(spans, enter, leave[::-1], strict=True):
+                yield lo, a, *marginals(emit(lo, hi), np.array([hi - lo]), trans, pairs, block, into, out)
+        at += n
+
+
 def fit(rows: list[tuple[str, str]], rounds: int = 12, chain_rounds: int = 6) -> dict:
     """Languages, hashed weights and transitions from (text, lang)."""
+    nothing = {"langs": [], "w": np.zeros((SPACE, 1), np.float32), "trans": np.zeros((1, 1)), "lexicon": set()}
     langs = sorted({y for _, y in rows})
-    if not langs:
-        return {"langs": [], "w": np.zeros((SPACE + 1, 1), np.float32), "trans": np.zeros((1, 1)), "lexicon": set()}
     texts = [C.byte_words(t) for t, _ in rows]
     often: dict[str, Counter] = {y: Counter() for y in langs}
     for ws, (_, y) in zip(texts, rows, strict=True):
         often[y].update(set(ws))
     lexicon = {w.decode("utf-8", "replace").lower() for c in often.values() for w, n in c.most_common(300) if n >= 5}
-    words = Words(lexicon, 1 << 60)
+    words = Words(lexicon)
     ids = [np.array([i for i in map(words.__getitem__, ws) if i >= 0], np.int64) for ws in texts]
-    lengths = np.array([len(i) for i in ids])
+    lengths = np.array([len(i) for i in ids], np.int64)
     flat = np.concatenate(ids) if ids else np.zeros(0, np.int64)
     del texts, ids
     if not len(flat):
-        return {"langs": [], "w": np.zeros((SPACE + 1, 1), np.float32), "trans": np.zeros((1, 1)), "lexicon": set()}
-    feats = words.features()
+        return nothing
+    feats, starts = words.rows()
     del words
+    owner = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(feats))))
     size, y = len(langs), np.repeat([langs.index(v) for _, v in rows], lengths)
-    w, cache = np.zeros((SPACE + 1, size)), np.full((SPACE + 1, size), 1e-8)
+    w, cache = np.zeros((SPACE, size)), np.full((SPACE, size), 1e-8)
 
     def emit() -> np.ndarray:
-        return sum(w[feats[:, k]] for k in range(WIDTH))
+        return np.stack([np.add.reduceat(w[feats, k], starts) for k in range(size)], 1)
 
     def climb(grad: np.ndarray, rate: float) -> None:
-        g = np.stack([np.bincount(feats.ravel(), np.repeat(grad[:, k], WIDTH), SPACE + 1) for k in range(size)], 1) - 1e-3 * w
-        g[SPACE] = 0
+        g = np.stack([np.bincount(feats, grad[owner, k], SPACE) for k in range(size)], 1) - 1e-3 * w
         cache[:] += g * g
         w[:] += rate * g / np.sqrt(cache)
 
-    counts = np.stack([np.bincount(flat, y == k, len(feats)) for k in range(size)], 1)
+    def marginal(trans: np.ndarray, pairs: bool) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+        e = emit()
+        for at, _, p, expected in forward_backward(lambda a, b: e[flat[a:b]], lengths, trans, pairs):
+            yield at, at + len(p), p, expected
+
+    counts = np.stack([np.bincount(flat, y == k, len(starts)) for k in range(size)], 1)
     for _ in range(rounds):
         e = emit()
         p = np.exp(e - e.max(1, keepdims=True))
         climb(counts - counts.sum(1, keepdims=True) * p / p.sum(1, keepdims=True), 0.3)
     stay = np.log(np.where(np.eye(size, dtype=bool), 0.99, 0.01 / max(1, size - 1)))
-    e = emit()[flat]
-    p, _ = forward_backward(e, lengths, stay)
-    y = np.where(p.max(1) > 0.99, p.argmax(1), y)  # switched stretches get their own label
-    counts = np.stack([np.bincount(flat, y == k, len(feats)) for k in range(size)], 1)
+    for a, b, p, _ in marginal(stay, False):
+        y[a:b] = np.where(p.max(1) > 0.99, p.argmax(1), y[a:b])  # switched stretches get their own label
+    counts = np.stack([np.bincount(flat, y == k, len(starts)) for k in range(size)], 1)
     follow = np.ones(len(flat), bool)
     follow[np.concatenate([[0], np.cumsum(lengths)[:-1]])[lengths > 0]] = False
     seen = np.zeros((size, size))
     np.add.at(seen, (y[np.flatnonzero(follow) - 1], y[follow]), 1)
     trans = np.log((seen + 0.5) / (seen + 0.5).sum(1, keepdims=True))
     for _ in range(chain_rounds):
-        p, expected = forward_backward(emit()[flat], lengths, trans, True)
-        got = np.stack([np.bincount(flat, p[:, k], len(feats)) for k in range(size)], 1)
+        got, expected = np.zeros_like(counts), np.zeros((size, size))
+        for a, b, p, x in marginal(trans, True):
+            got += np.stack([np.bincount(flat[a:b], p[:, k], len(starts)) for k in range(size)], 1)
+            expected += x
         climb(counts - got, 0.1)
         trans += 0.5 * (seen - expected) / (seen.sum(1, keepdims=True) + 1)
     return {"langs": langs, "w": w.astype(np.float32), "trans": trans, "lexicon": lexicon}
 
 
-def tagged(texts: list[str | None], model: dict, words: Words) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """For each text: probabilities, lengths and places (in all words) of its words with letters."""
-    if len(words) > words.most:
-        words.clear()
-        del words.rows[:]
-    split = [C.byte_words(t) for t in texts]
+def tagged(texts: list[str | None], model: dict, words: Words) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(text, probabilities, lengths, places among all words) of stretches of words with letters, in order."""
+    if len(words.flat) > KEPT:
+        words.forget()
     ids, sizes, at = [], [], []
-    for ws in split:
+    for t in texts:
+        ws = C.byte_words(t)
         i = np.fromiter(map(words.__getitem__, ws), np.int64, len(ws))
         keep = np.flatnonzero(i >= 0)
-        ids.append(i[keep])
-        at.append(keep)
-        sizes.append(np.fromiter(map(len, ws), np.int64, len(ws))[keep])
-    lengths = np.array([len(i) for i in ids])
-    flat, which = np.unique(np.concatenate(ids), return_inverse=True) if ids else (np.zeros(0, np.int64), np.zeros(0, np.int64))
-    e = model["w"][words.features(flat)].sum(1).astype(float)[which]
-    p, _ = forward_backward(e, lengths, model["trans"])
+        ids.append(i[keep].astype(np.int32))
+        at.append(keep.astype(np.int32))
+        sizes.append(np.fromiter(map(len, ws), np.int32, len(ws))[keep])
+    lengths = np.array([len(i) for i in ids], np.int64)
+    if not lengths.sum():
+        return
+    flat, sizes, at = np.concatenate(ids), np.concatenate(sizes), np.concatenate(at)
+
+    def emit(a: int, b: int) -> np.ndarray:
+        some, which = np.unique(flat[a:b], return_inverse=True)
+        return words.emissions(some, model["w"])[which]
+
     ends = np.cumsum(lengths)
-    return [(p[b - n : b], s, a) for b, n, s, a in zip(ends, lengths, sizes, at, strict=True)]
+    for lo, first, p, _ in forward_backward(emit, lengths, model["trans"]):
+        k, done = first, 0
+        while done < len(p):  # a stretch holds whole texts or a part of one
+            n = int(min(ends[k], lo + len(p)) - (lo + done))
+            if n:
+                yield k, p[done : done + n], sizes[lo + done : lo + done + n], at[lo + done : lo + done + n]
+            done += n
+            k += 1
 
 
 def predicted(docs: DataFrame, model: dict, runs: bool = False) -> DataFrame:
@@ -228,24 +310,26 @@ def predicted(docs: DataFrame, model: dict, runs: bool = False) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
-        words = Words(m["lexicon"])
+        words, size = Words(m["lexicon"]), max(1, len(m["langs"]))
         for batch in batches:
             for lo in range(0, batch.num_rows, 128):
                 part = batch.slice(lo, 128)
-                lang, score, spans = [], [], []
-                found = tagged(part.column("text").to_pylist(), m, words) if m["langs"] else [(np.zeros((0, 1)),) * 3] * part.num_rows
-                for p, size, at in found:
-                    if not len(p):
-                        lang.append("und")
-                        score.append(0.0)
-                        spans.append([])
-                        continue
-                    mean = (p * size[:, None]).sum(0) / size.sum()
-                    lang.append(m["langs"][int(mean.argmax())])
-                    score.append(min(1.0, float(mean.max())))
-                    best = p.argmax(1)
-                    cut = np.flatnonzero(np.diff(best)) + 1 if runs else []
-                    spans.append([{"first": int(at[a]), "last": int(at[b - 1]), "lang": m["langs"][int(best[a])]} for a, b in zip([0, *cut], [*cut, len(best)], strict=True)] if runs else [])
+                n = part.num_rows
+                mass, spans = np.zeros((n, size)), [[] for _ in range(n)]
+                for k, p, length, at in tagged(part.column("text").to_pylist(), m, words) if m["langs"] else ():
+                    mass[k] += (p * length[:, None]).sum(0)
+                    if runs:
+                        best = p.argmax(1)
+                        cut = np.flatnonzero(np.diff(best)) + 1
+                        for a, b in zip([0, *cut], [*cut, len(best)], strict=True):
+                            lang, last = m["langs"][int(best[a])], spans[k][-1] if spans[k] else None
+                            if last and last["lang"] == lang:
+                                last["last"] = int(at[b - 1])
+                            else:
+                                spans[k].append({"first": int(at[a]), "last": int(at[b - 1]), "lang": lang})
+                total = mass.sum(1)
+                lang = [m["langs"][int(v.argmax())] if s else "und" for v, s in zip(mass, total, strict=True)]
+                score = np.where(total > 0, np.minimum(1.0, mass.max(1) / np.where(total > 0, total, 1.0)), 0.0)
                 cols = [*part.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64())]
                 names = [*part.schema.names, "lang_pred", "score"]
                 if runs:
@@ -257,23 +341,19 @@ def predicted(docs: DataFrame, model: dict, runs: bool = False) -> DataFrame:
     return docs.mapInArrow(run, f"{fields}, lang_pred string, score double" + ", runs array<struct<first:int,last:int,lang:string>>" * runs)
 
 
-def training_rows(docs: DataFrame, most_each: int = MOST_EACH) -> list[tuple[str, str]]:
-    """At most ``most_each`` training texts of each language, by a hash of doc_id; the ids alone are ranked."""
-    known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (C.bucket_of(F.col("doc_id"), 4) != 2)).select("doc_id", "lang")
-    langs = [r.lang for r in known.select("lang").distinct().limit(257).collect()]
-    if len(langs) > 256:
-        raise ValueError("over 256 languages")
-    rows = []
-    for lang in sorted(langs):  # a bounded top-k for each language: no group is gathered
-        ids = known.where(F.col("lang") == lang).select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_each)
-        rows.append(ids)
-    if not rows:
+def training_rows(docs: DataFrame, most_each: int = MOST_EACH, most: int = MOST_ROWS) -> list[tuple[str, str]]:
+    """At most ``most_each`` training texts of each language and about ``most`` of all (one for each at least), by a hash of doc_id.
+
+    One pass ranks ids: each task keeps its first few of each language before the shuffle. Bounded in bytes too.
+    """
+    known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (C.bucket_of(F.col("doc_id"), 4) != 2)).select("doc_id", "text", "lang")
+    langs = known.select("lang").distinct().count()
+    if not langs:
         return []
-    ids = rows[0]
-    for more in rows[1:]:
-        ids = ids.union(more)
-    found = docs.where("lang is not null and text is not null").join(F.broadcast(ids.distinct()), "doc_id", "left_semi").select("doc_id", "text", "lang").collect()
-    return [(r.text, r.lang) for r in sorted(found, key=lambda r: (r.doc_id is None, r.doc_id, r.text))]
+    each = max(1, min(most_each, most // langs))
+    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
+    chosen = known.where(F.col("doc_id").isNotNull()).select("doc_id", "lang").withColumn("n", F.row_number().over(order)).where(F.col("n") <= each).groupBy("doc_id").agg(F.min("lang").alias("only"))
+    return [(r.text, r.lang) for r in C.fetched(known, chosen, each * langs, ["lang"])]
 
 
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
