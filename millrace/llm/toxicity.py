@@ -1,27 +1,31 @@
 """Toxicity: Levenshtein automata intersected with a lexicon trie, weighed by context windows.
 
 The lexicon is learned from labelled texts: words, and stems that words start with,
-that mark label 1. Its trie is intersected with Levenshtein automata: a state
-is a set of (trie node, edits) pairs, made when first reached, so that most words
-die after a few letters. Longer words may be off by one edit, unless the word
-itself is common in texts with label 0. A hit counts by its term's weight, edits and
-context: within quotation marks or beside words of reporting it is taken as quoted and
-kept apart. The sums go through a logistic curve, fitted on labelled rows that the lexicon of
-their sums has not seen. A term is kept if Fisher's exact test marks it at a false discovery rate, so the
-evidence asked for follows the number of labelled rows, and weak terms weigh little.
-
-Defined cases: null and empty texts have no hits and score the curve's base value; texts of any
-length are whole; repeated rows score alike; without labelled rows of both kinds
-scores are the share of label 1 (0 without any); an empty table gives an empty result;
-extra columns are not read.
+that mark label 1. Its trie is intersected with Levenshtein automata (a swap of
+neighbours counts as one edit): a state is a set of (trie node, edits, letter still due)
+items, made when first reached, so that most words die after a few letters. Terms of four
+letters or more and stems of five or more may be off by one edit, long words by two, unless the word
+itself is common in texts with label 0. A hit counts by its term's weight and edits. Its context window
+tells how it is used: within quotation marks, beside words of reporting, or plainly; beside words
+that address a reader; and beside words that labelled rows mark for either label. Each kind of
+use is a feature of its own, and a logistic curve, fitted on labelled rows that the lexicon of their
+sums has not seen, learns what it weighs. A term is kept if Fisher's exact test marks it at a
+false discovery rate, so the evidence asked for follows the number of labelled rows.
+
+Defined cases: null and empty texts have no hits and score the curve's base value; texts, words and
+quotations of any length are whole (a quotation ends at a blank line at latest); repeated rows score
+alike; without labelled rows of both kinds scores are the share of label 1 (0 without any);
+an empty table gives an empty result; extra columns are not read.
 """
 
 from __future__ import annotations
 
+import bisect
 import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -30,52 +34,66 @@ from pyspark.sql import functions as F
 
 from millrace.llm import common as C
 
-#: Labelled rows taken; share of false terms among those kept; length from which one edit is allowed; words in a context window.
-MOST_LABELLED, FALSE_RATE, EDIT_FROM, WINDOW = 6000, 0.05, 5, 8
+#: Labelled rows taken; share of false terms among those kept; words in a context window on either side.
+MOST_LABELLED, FALSE_RATE, WINDOW = 6000, 0.05, 8
 STEMS = range(3, 9)
-# Words beside which a term is reported, not used; words that address a reader.
+#: Least lengths of words for one and for two edits, and of stems for one; states kept at most.
+ONE_EDIT, TWO_EDITS, STEM_EDIT, MOST_STATES = 4, 8, 5, 100_000
+#: Where labelled rows show no misspelled terms, an edit keeps this share of a weight; the evidence that this prior is worth.
+EDIT_KEEPS, EDIT_PRIOR = 0.8, 5.0
+# Words beside which a term is reported, not used; words that address a reader. What they weigh is learned.
 REPORTING = {b"said", b"says", b"say", b"called", b"calls", b"quote", b"quoted", b"quoting", b"wrote", b"word", b"words", b"term", b"slur", b"insult", b"insults", b"sagte", b"wort", b"nannte", b"dit", b"mot", b"dijo", b"palabra"}
 ADDRESS = {b"you", b"your", b"youre", b"du", b"dich", b"dein", b"ihr", b"tu", b"toi", b"vous", b"ton", b"usted", b"eres", b"ti"}
-QUOTES = re.compile(r'"[^"\n]{1,400}"|“[^”\n]{1,400}”|«[^»\n]{1,400}»|„[^“\n]{1,400}“|‘[^’\n]{1,400}’')
+# Opening quotation marks and what closes them.
+CLOSES = {k.encode(): v.encode() for k, v in (('"', '"'), ("“", "”"), ("«", "»"), ("„", "“"), ("‘", "’"))}
+MARK = re.compile(b"|".join(re.escape(m) for m in sorted({*CLOSES, *CLOSES.values()})) + rb"|\n[ \t\r]*\n")
 WORD = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
+N_FEATURES = 8
 
 
 class Automaton:
-    """The terms' trie within one edit, as a lazily built deterministic automaton over characters."""
+    """The terms' trie within their edits, as a lazily built deterministic automaton over characters."""
 
-    def __init__(self, words: dict[str, float], stems: dict[str, float], edit_from: int = EDIT_FROM):
+    def __init__(self, words: dict[str, float], stems: dict[str, float]):
         self.terms = [(t, w, False) for t, w in words.items()] + [(t, w, True) for t, w in stems.items()]
+        self.edits = [int(len(t) >= STEM_EDIT) if stem else (len(t) >= ONE_EDIT) + (len(t) >= TWO_EDITS) for t, _, stem in self.terms]
         self.child: list[dict[str, int]] = [{}]
         self.ends: list[list[int]] = [[]]
-        self.loose = [False]  # whether a term below may be off by an edit
-        for k, (t, _, stem) in enumerate(self.terms):
-            free, node = not stem and len(t) >= edit_from, 0
-            self.loose[0] |= free
+        self.loose = [0]  # the most edits that a term below may have
+        for k, (t, _, _) in enumerate(self.terms):
+            node = 0
+            self.loose[0] = max(self.loose[0], self.edits[k])
             for c in t:
                 if c not in self.child[node]:
                     self.child[node][c] = len(self.child)
                     self.child.append({})
                     self.ends.append([])
-                    self.loose.append(False)
+                    self.loose.append(0)
                 node = self.child[node][c]
-                self.loose[node] |= free
+                self.loose[node] = max(self.loose[node], self.edits[k])
             self.ends[node].append(k)
-        self.free = [not s and len(t) >= edit_from for t, _, s in self.terms]
-        self.sets: list[frozenset] = []
-        self.ids: dict[frozenset, int] = {}
+        self.restart()
+
+    def restart(self) -> None:
+        self.sets: list[tuple] = []
+        self.ids: dict[tuple, int] = {}
         self.moves: list[dict[str, int]] = []
-        self.root = self.state({(0, 0)})
+        self.root = self.state({(0, 0, "")})
 
     def state(self, items: set) -> int:
-        todo = [x for x in items if x[0] >= 0]
+        todo = [x for x in items if x[0] >= 0 and not x[2]]
         while todo:  # a letter of the term may be missing
-            node, k = todo.pop()
-            if k == 0 and self.loose[node]:
-                for below in self.child[node].values():
-                    if self.loose[below] and (below, 1) not in items:
-                        items.add((below, 1))
-            items |= {(-1 - t, 0) for t in self.ends[node] if k == 0 and self.terms[t][2]}
-        key = frozenset(items)
+            node, k, _ = todo.pop()
+            for below in self.child[node].values():
+                item = (below, k + 1, "")
+                if k < self.loose[below] and item not in items:
+                    items.add(item)
+                    todo.append(item)
+            items |= {(-1 - t, k, "") for t in self.ends[node] if self.terms[t][2] and k <= self.edits[t]}
+        fewest: dict[tuple, int] = {}
+        for node, k, due in items:
+            fewest[node, due] = min(k, fewest.get((node, due), k))
+        key = tuple(sorted((node, k, due) for (node, due), k in fewest.items()))
         if key not in self.ids:
             self.ids[key] = len(self.sets)
             self.sets.append(key)
@@ -84,22 +102,30 @@ class Automaton:
 
     def move(self, at: int, c: str) -> int:
         out = set()
-        for node, k in self.sets[at]:
+        for node, k, due in self.sets[at]:
             if node < 0:  # a stem has matched: the rest of the word is free
-                out.add((node, k))
-                continue
-            for d, below in self.child[node].items():
-                if d == c:
-                    out.add((below, k))
-                elif k == 0 and self.loose[below]:
-                    out.add((below, 1))
-            if k == 0 and self.loose[node]:
-                out.add((node, 1))
+                out.add((node, k, ""))
+            elif due:  # the second letter of a swap
+                if c == due:
+                    out.add((node, k, ""))
+            else:
+                for d, below in self.child[node].items():
+                    if d == c:
+                        out.add((below, k, ""))
+                    elif k < self.loose[below]:
+                        out.add((below, k + 1, ""))
+                        after = self.child[below].get(c)
+                        if after is not None and k < self.loose[after]:
+                            out.add((after, k + 1, d))
+                if k < self.loose[node]:
+                    out.add((node, k + 1, ""))
         to = self.moves[at][c] = self.state(out)
         return to
 
     def best(self, word: str) -> tuple[int, int] | None:
         """(term, edits) of the heaviest match with the fewest edits."""
+        if len(self.sets) > MOST_STATES:
+            self.restart()
         at, moves = self.root, self.moves
         for c in word:
             to = moves[at].get(c)
@@ -107,61 +133,97 @@ class Automaton:
             if not self.sets[at]:
                 return None
         found = []
-        for node, k in self.sets[at]:
+        for node, k, due in self.sets[at]:
             if node < 0:
                 found.append((k, -self.terms[-1 - node][1], -1 - node))
-            else:
-                found += [(k, -self.terms[t][1], t) for t in self.ends[node] if k == 0 or self.free[t]]
+            elif not due:
+                found += [(k, -self.terms[t][1], t) for t in self.ends[node] if k <= self.edits[t]]
         return (min(found)[2], min(found)[0]) if found else None
 
 
 class Hits(dict):
-    """word (bytes) -> signed weight: 0 for none, negative for one that is off by an edit; emptied when it holds many."""
+    """word (bytes) -> (weight, edits), weight 0 for no hit; emptied when it holds many."""
 
     def __init__(self, model: dict):
         super().__init__()
-        self.auto, self.clean = Automaton(model["words"], model["stems"]), model["clean"]
+        self.auto, self.clean, self.near, self.keeps = Automaton(model["words"], model["stems"]), model["clean"], model.get("near", {}), model.get("keeps", EDIT_KEEPS)
 
-    def __missing__(self, raw: bytes) -> float:
+    def __missing__(self, raw: bytes) -> tuple[float, int]:
         if len(self) >= 300_000:
             self.clear()
         word = raw.decode("utf-8", "replace")
-        got = self.auto.best(word) if len(raw) <= 64 else None
+        got = self.auto.best(word)
         if got is None or (got[1] and word in self.clean):
-            self[raw] = 0.0
+            self[raw] = 0.0, 0
         else:
-            self[raw] = self.auto.terms[got[0]][1] * (-1 if got[1] else 1)
+            self[raw] = self.auto.terms[got[0]][1], got[1]
         return self[raw]
 
 
-def hits_of(text: str, hits: Hits) -> list[tuple[bytes, int, float, bool, bool]]:
-    """(word, place among words, weight, quoted, addressed) of each hit of a text."""
+def quotations(raw: bytes) -> list[tuple[int, int]]:
+    """Byte spans between matching quotation marks, merged and in order; one scan."""
+    spans, due = [], {}
+    for m in MARK.finditer(raw):
+        mark = m.group()
+        if mark in due:
+            spans.append((due.pop(mark), m.end()))
+        elif mark in CLOSES:
+            due.setdefault(CLOSES[mark], m.start())
+        elif mark[:1] == b"\n":
+            due.clear()
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(spans):
+        if out and a < out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return out
+
+
+class Hit(NamedTuple):
+    word: bytes
+    place: int
+    weight: float
+    edits: int
+    quoted: bool
+    reported: bool
+    addressed: bool
+    context: float
+
+
+def hits_of(text: str, hits: Hits) -> list[Hit]:
+    """The hits of a text, with their places among its words and what their context windows tell."""
     ws = C.byte_words(text)
-    found = [(i, v) for i, v in enumerate(map(hits.__getitem__, ws)) if v]
+    found = [(i, *v) for i, v in enumerate(map(hits.__getitem__, ws)) if v[0]]
     if not found:
         return []
     raw = text.encode("utf-8", "surrogatepass")
-    spans, quoted = None, set()
-    if any(q in text for q in '"“«„‘'):
-        spans = [(len(text[: m.start()].encode("utf-8", "surrogatepass")), len(text[: m.end()].encode("utf-8", "surrogatepass"))) for m in QUOTES.finditer(text)]
-        starts = [m.start() for m in WORD.finditer(raw)]
-        quoted = {i for i, _ in found if any(a <= starts[i] < b for a, b in spans)} if spans else set()
+    spans = quotations(raw)
+    starts = [m.start() for m in WORD.finditer(raw)] if spans else []
+    opens = [a for a, _ in spans]
     out = []
-    for i, v in found:
-        near = set(ws[max(0, i - WINDOW) : i + WINDOW + 1])
-        out.append((ws[i], i, v, i in quoted or bool(near & REPORTING), bool(near & ADDRESS)))
+    for i, v, k in found:
+        at = bisect.bisect_right(opens, starts[i]) - 1 if spans else -1
+        near = set(ws[max(0, i - WINDOW) : i]) | set(ws[i + 1 : i + WINDOW + 1])
+        told = sum(hits.near.get(w, 0.0) for w in near) if hits.near else 0.0
+        out.append(Hit(ws[i], i, v, k, at >= 0 and starts[i] < spans[at][1], bool(near & REPORTING), bool(near & ADDRESS), max(-3.0, min(3.0, told))))
     return out
 
 
 def features(texts: list[str | None], hits: Hits) -> np.ndarray:
-    """Sums of weights used and quoted, the heaviest, distinct terms used, and use by length."""
-    out = np.zeros((len(texts), 5))
+    """Sums of weights used, quoted, reported and addressed; the heaviest and distinct terms used; use by length; context."""
+    out = np.zeros((len(texts), N_FEATURES))
     for k, text in enumerate(texts):
         if text and (found := hits_of(text, hits)):
-            use = [(w, (0.8 * -v if v < 0 else v) * (1.2 if a else 1.0)) for w, _, v, q, a in found if not q]
-            said = sum(abs(v) for _, _, v, q, _ in found if q)
-            total = sum(v for _, v in use)
-            out[k] = np.log1p(total), np.log1p(said), max((v for _, v in use), default=0.0), np.log1p(len({w for w, _ in use})), total / (10 + len(text)) ** 0.5
+            v = [h.weight * hits.keeps**h.edits for h in found]
+            plain = [(h.word, x) for h, x in zip(found, v, strict=True) if not h.quoted and not h.reported]
+            of = lambda test: np.log1p(sum(x for h, x in zip(found, v, strict=True) if test(h)))  # noqa: B023, E731
+            total = sum(x for _, x in plain)
+            out[k] = (
+                np.log1p(total), of(lambda h: h.quoted), of(lambda h: h.reported and not h.quoted), of(lambda h: h.addressed and not h.quoted),
+                max((x for _, x in plain), default=0.0), np.log1p(len({w for w, _ in plain})), total / (10 + len(text)) ** 0.5,
+                sum(x * h.context for h, x in zip(found, v, strict=True)) / sum(v),
+            )
     return out
 
 
@@ -221,26 +283,49 @@ def lexicon(rows: list[tuple[str, int]], rate: float = FALSE_RATE) -> dict:
     return {"words": words, "stems": stems, "clean": clean}
 
 
+def contexts(rows: list[tuple[str, int]], model: dict, rate: float = FALSE_RATE) -> dict:
+    """``model`` with near (log odds of words beside hits, by label) and keeps (what an edit keeps of a weight), from the labels' hits."""
+    hits, seen, texts, edited = Hits(model), {0: Counter(), 1: Counter()}, Counter(), Counter()
+    for text, y in rows:
+        if not (found := hits_of(text, hits)):
+            continue
+        ws = C.byte_words(text)
+        texts[y] += 1
+        seen[y].update({w for h in found for w in (*ws[max(0, h.place - WINDOW) : h.place], *ws[h.place + 1 : h.place + WINDOW + 1]) if not hits[w][0]})
+        edited[y] += all(h.edits for h in found)
+    n, counts = texts[0] + texts[1], Counter((seen[0] + seen[1]).values())
+    near = {}
+    for y in (0, 1):
+        found = [(by_chance(a, a + seen[1 - y][w], texts[y], n), w) for w, a in seen[y].items() if a * texts[1 - y] > 2 * seen[1 - y][w] * texts[y]]
+        cut = chance_cut([p for p, _ in found], counts, texts[y], n, rate) if texts[0] and texts[1] else 0.0
+        for p, w in found:
+            if p <= cut:
+                near[w] = float(np.log((seen[1][w] + 0.5) / (texts[1] + 1)) - np.log((seen[0][w] + 0.5) / (texts[0] + 1)))
+    keeps = (edited[1] + EDIT_KEEPS * EDIT_PRIOR) / (edited[1] + edited[0] + EDIT_PRIOR)
+    return model | {"near": near, "keeps": keeps}
+
+
 def fit(rows: list[tuple[str, int]], parts: int = 3) -> dict:
-    """Lexicon from all labelled rows; curve from their sums by lexicons of the other parts."""
-    model = lexicon(rows)
+    """Lexicon and contexts from all labelled rows; the curve from sums by those of the other parts."""
+    model = contexts(rows, lexicon(rows))
     y = np.array([v for _, v in rows], float)
     if len(set(y)) < 2:
         share = sum(v for _, v in rows) / len(rows) if rows else 0.0
-        return model | {"w": [0.0] * 5 + [float(np.log((share + 1e-6) / (1 - share + 1e-6)))], "mean": [0.0] * 5, "sd": [1.0] * 5}
-    x = np.zeros((len(rows), 5))
+        return model | {"w": [0.0] * N_FEATURES + [float(np.log((share + 1e-6) / (1 - share + 1e-6)))], "mean": [0.0] * N_FEATURES, "sd": [1.0] * N_FEATURES}
+    x = np.zeros((len(rows), N_FEATURES))
     for k in range(parts):
-        x[k::parts] = features([t for t, _ in rows[k::parts]], Hits(lexicon([r for i, r in enumerate(rows) if i % parts != k])))
+        rest = [r for i, r in enumerate(rows) if i % parts != k]
+        x[k::parts] = features([t for t, _ in rows[k::parts]], Hits(contexts(rest, lexicon(rest))))
     sd = np.where(x.std(0) > 1e-9, x.std(0), 1.0)
     return model | {"w": C.logistic((x - x.mean(0)) / sd, y).tolist(), "mean": x.mean(0).tolist(), "sd": sd.tolist()}
 
 
 def score(docs: DataFrame, model: dict, spans: bool = False) -> DataFrame:
-    """``docs`` with score and predicted; with spans also hits (word, place, weight, quoted)."""
+    """``docs`` with score and predicted; with spans also hits (word, place, weight, edits, quoted, reported)."""
     spark = docs.sparkSession
     C.ship(spark)
     sent = spark.sparkContext.broadcast(model)
-    kind = pa.list_(pa.struct([("word", pa.string()), ("place", pa.int32()), ("weight", pa.float64()), ("quoted", pa.bool_())]))
+    kind = pa.list_(pa.struct([("word", pa.string()), ("place", pa.int32()), ("weight", pa.float64()), ("edits", pa.int32()), ("quoted", pa.bool_()), ("reported", pa.bool_())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
@@ -254,13 +339,13 @@ def score(docs: DataFrame, model: dict, spans: bool = False) -> DataFrame:
                 cols = [*part.columns, pa.array(p, pa.float64()), pa.array((p >= 0.5).astype("int32"))]
                 names = [*part.schema.names, "score", "predicted"]
                 if spans:
-                    cols.append(pa.array([[{"word": h[0].decode("utf-8", "replace"), "place": h[1], "weight": h[2], "quoted": h[3]} for h in hits_of(t, hits)] if t else [] for t in texts], kind))
+                    cols.append(pa.array([[{"word": h.word.decode("utf-8", "replace"), "place": h.place, "weight": h.weight, "edits": h.edits, "quoted": h.quoted, "reported": h.reported} for h in hits_of(t, hits)] if t else [] for t in texts], kind))
                     names.append("hits")
                 yield pa.RecordBatch.from_arrays(cols, names=names)
 
     docs = docs.drop("score", "predicted", "hits")
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(run, f"{fields}, score double, predicted int" + ", hits array<struct<word:string,place:int,weight:double,quoted:boolean>>" * spans)
+    return docs.mapInArrow(run, f"{fields}, score double, predicted int" + ", hits array<struct<word:string,place:int,weight:double,edits:int,quoted:boolean,reported:boolean>>" * spans)
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

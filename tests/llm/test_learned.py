@@ -52,50 +52,171 @@ def test_defined_cases(spark, docs, none):
 def test_misspelled_and_quoted():
     model = toxicity.fit([(f"you are the idiot and the moron, {i}", 1) for i in range(90)] + [(f"you are the friend and the saint, {i}", 0) for i in range(90)])
     hits = toxicity.Hits(model)
-    assert [h[0] for h in toxicity.hits_of("what the idi0t and mroon or mor0n", hits)] == [b"idi0t", b"mor0n"]
-    assert all(h[3] for h in toxicity.hits_of('the note read "idiot" there', hits)) and not toxicity.hits_of("idiot there", hits)[0][3]
+    assert [(h.word, h.edits) for h in toxicity.hits_of("what the idi0t and mroon or mor0n and m0r0n", hits)] == [(b"idi0t", 1), (b"mroon", 1), (b"mor0n", 1)]
+    assert all(h.quoted for h in toxicity.hits_of('the note read "idiot" there', hits)) and not toxicity.hits_of("idiot there", hits)[0].quoted
     x = toxicity.features(["the idiot there", 'the note read "idiot" there', "nothing", None], hits)
     assert x[0, 0] > 0 and x[1, 0] == 0 < x[1, 1] and not x[2:].any()
 
 
-def test_automaton_against_edit_distance():
-    def distance(a, b):
-        row = list(range(len(b) + 1))
-        for i, c in enumerate(a, 1):
-            last, row[0] = row[:], i
-            for j, d in enumerate(b, 1):
-                row[j] = min(last[j] + 1, row[j - 1] + 1, last[j - 1] + (c != d))
-        return row[-1]
+def test_long_words_and_quotations_are_whole():
+    hits = toxicity.Hits({"words": {"moron": 2.0}, "stems": {"idiot": 2.0}, "clean": set()})
+    assert [h.word for h in toxicity.hits_of("an idiot" + "o" * 65 + " and " + "x" * 90, hits)] == [b"idiot" + b"o" * 65]
+    for a, b in (('"', '"'), ("“", "”"), ("«", "»"), ("„", "“")):
+        inside = a + "ein word " * 60 + "moron ü " + "and more " * 60 + b
+        got = toxicity.hits_of(f"é {inside} then moron", hits)
+        assert [h.quoted for h in got] == [True, False]
+    assert [h.quoted for h in toxicity.hits_of('an open " mark\n\nmoron and " moron', hits)] == [False, False]
+
+
+def test_context_is_learned():
+    rows = [(f"honestly a moron {i}", 1) for i in range(90)] + [(f"dictionary entry moron {i}", 0) for i in range(30)] + [(f"a fine day {i}", 0) for i in range(120)]
+    model = toxicity.contexts(rows, {"words": {"moron": 2.0}, "stems": {}, "clean": set()})
+    assert model["near"][b"dictionary"] < 0 < model["near"][b"honestly"]
+    hits = toxicity.Hits(model)
+    assert toxicity.hits_of("dictionary entry moron", hits)[0].context < 0 < toxicity.hits_of("honestly a moron", hits)[0].context
+
+
+def distance(a, b):
+    """Edits between two strings; a swap of neighbours is one."""
+    d = [[i + j if not i * j else 0 for j in range(len(b) + 1)] for i in range(len(a) + 1)]
+    for i in range(1, len(a) + 1):
+        for j in range(1, len(b) + 1):
+            d[i][j] = min(d[i - 1][j] + 1, d[i][j - 1] + 1, d[i - 1][j - 1] + (a[i - 1] != b[j - 1]))
+            if i > 1 and j > 1 and a[i - 1] == b[j - 2] and a[i - 2] == b[j - 1]:
+                d[i][j] = min(d[i][j], d[i - 2][j - 2] + 1)
+    return d[-1][-1]
 
+
+def test_automaton_against_edit_distance():
     random.seed(0)
-    terms = {"idiot": 1.0, "scum": 2.0, "moron": 1.5}
-    auto = toxicity.Automaton(terms, {})
-    for _ in range(4000):
-        w = list(random.choice(list(terms)))
-        for _ in range(random.randint(0, 2)):
+    words, stems = {"idiot": 1.0, "scum": 2.0, "moron": 1.5, "bum": 1.0, "disgusting": 3.0}, {"trash": 1.0, "low": 1.0}
+    auto = toxicity.Automaton(words, stems)
+    for _ in range(6000):
+        w = list(random.choice([*words, *stems]))
+        for _ in range(random.randint(0, 3)):
             i = random.randrange(len(w) + 1)
-            w[i : i + random.randint(0, 1)] = random.choice(["", *"idotmrnx"])
-        w = "".join(w)
-        want = min((distance(w, t) for t in terms if distance(w, t) <= (len(t) >= 5)), default=None)
+            if random.random() < 0.3:
+                w[i : i + 2] = w[i : i + 2][::-1]
+            else:
+                w[i : i + random.randint(0, 1)] = random.choice(["", *"idotmrnx"])
+        w = "".join(w) + random.choice(["", "er"])
+        edits = [distance(w, t) for t in words if distance(w, t) <= (len(t) >= 4) + (len(t) >= 8)]
+        edits += [k for t in stems if (k := min(distance(w[:i], t) for i in range(len(w) + 1))) <= (len(t) >= 5)]
         got = auto.best(w)
-        assert (None if got is None else got[1]) == want
+        assert (None if got is None else got[1]) == min(edits, default=None), w
 
 
 def test_forward_backward_against_enumeration():
     rng = np.random.default_rng(0)
     e, trans, lengths = rng.normal(size=(12, 3)), rng.normal(size=(3, 3)), np.array([4, 0, 1, 7])
-    p, expected = langid.forward_backward(e, lengths, trans, True, block=2)
-    at = 0
-    for n in lengths:
-        want = np.zeros((n, 3))
-        for path in itertools.product(range(3), repeat=int(n)):
-            w = np.exp(sum(e[at + i, s] for i, s in enumerate(path)) + sum(trans[a, b] for a, b in itertools.pairwise(path)))
-            for i, s in enumerate(path):
-                want[i, s] += w
-        if n:
-            assert np.allclose(p[at : at + n], want / want.sum(1, keepdims=True))
-        at += n
-    assert np.isclose(expected.sum(), 9)
+    for most in (100, 4, 2):  # whole, some texts at once, texts in stretches
+        parts = list(langid.forward_backward(lambda a, b: e[a:b], lengths, trans, True, block=2, most=most))
+        p, expected = np.concatenate([x[2] for x in parts]), sum(x[3] for x in parts)
+        at = 0
+        for n in lengths:
+            want = np.zeros((n, 3))
+            for path in itertools.product(range(3), repeat=int(n)):
+                w = np.exp(sum(e[at + i, s] for i, s in enumerate(path)) + sum(trans[a, b] for a, b in itertools.pairwise(path)))
+                for i, s in enumerate(path):
+                    want[i, s] += w
+            if n:
+                assert np.allclose(p[at : at + n], want / want.sum(1, keepdims=True))
+            at += n
+        assert np.isclose(expected.sum(), 9)
+
+
+def test_long_words_keep_their_features():
+    word = "donaudampfschifffahrtsgesellschaft"
+    row = lambda w, lexicon=(): list(langid.features(w, set(lexicon)))
+    assert set(row(word)) != set(row(word[:15] + "xyz" + word[18:])) and len(row(word, [word])) == len(row(word)) + 1
+    words = langid.Words({word})
+    ids = np.array([words[w.encode()] for w in ("a", word, "bc", word * 50)])
+    w = np.random.default_rng(0).normal(size=(langid.SPACE, 3))
+    assert np.allclose(words.emissions(ids, w), [w[row(x, [word])].sum(0) for x in ("a", word, "bc", word * 50)])
+
+
+def test_language_against_brute_force(spark, docs):
+    """Every text's label and score by a plain forward-backward in log space, word after word."""
+    rows = [(f"the cat sat on the mat with the hat {i}", "en") for i in range(20)] + [(f"der hund und die katze sind nicht hier {i}", "de") for i in range(20)]
+    model = langid.fit(rows)
+
+    def plain(text):
+        ws = [w for w in C.byte_words(text) if any(c.isalpha() for c in w.decode("utf-8", "replace"))]
+        if not ws:
+            return "und", 0.0
+        e = np.array([model["w"][list(langid.features(w.decode("utf-8", "replace").lower(), model["lexicon"]))].astype(float).sum(0) for w in ws])
+        add = lambda x: np.logaddexp.reduce(x, axis=0)
+        alpha, beta = [e[0]], [np.zeros(2)]
+        for x in e[1:]:
+            alpha.append(x + add(alpha[-1][:, None] + model["trans"]))
+        for x in e[:0:-1]:
+            beta.append(add((model["trans"] + x + beta[-1]).T))
+        p = np.array(alpha) + np.array(beta[::-1])
+        p = np.exp(p - np.logaddexp.reduce(p, axis=1)[:, None])
+        size = np.array([len(w) for w in ws])
+        mean = (p * size[:, None]).sum(0) / size.sum()
+        return model["langs"][int(mean.argmax())], float(mean.max())
+
+    for r in langid.predicted(docs, model).select("text", "lang_pred", "score").collect():
+        want = plain(r.text)
+        assert r.lang_pred == want[0] and abs(r.score - want[1]) < 1e-6
+
+
+def test_training_rows_are_bounded(spark):
+    rows = [(i % 40, f"text {i}", "ab"[i % 2]) for i in range(400)] + [(None, "x", "a"), (1, "x", None), (2, None, "a"), (3, "y" * 1000, "a")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = langid.training_rows(docs, most_each=3)
+    assert 0 < len(got) <= 6 and {y for _, y in got} <= {"a", "b"}
+    assert langid.training_rows(docs.where("false")) == []
+    chosen = docs.select("doc_id").where("doc_id < 10").distinct().withColumn("y", F.lit(1))
+    assert len(C.fetched(docs, chosen, 7, ["y"])) == 7 and sum(len(r.text or "") for r in C.fetched(docs, chosen, 100, ["y"], most_bytes=50)) <= 50
+
+
+def test_toxicity_against_brute_force(spark, docs):
+    """The query's scores by edit distances to every term, quotations by splitting, and the curve."""
+    rows = [(f"you are the idiot and the moron {i}", 1) for i in range(90)] + [(f"you are the friend and the saint {i}", 0) for i in range(90)]
+    model = toxicity.fit(rows)
+    texts = ["the idiot there", "an idi0t", 'he wrote "moron" once', "nothing", "", "saint idiot morons", "friend"]
+
+    def plain(text):
+        x, ws = np.zeros(toxicity.N_FEATURES), C.byte_words(text)
+        found = []
+        for i, w in enumerate(ws):
+            word = w.decode()
+            near = [(distance(word, t), -v) for t, v in model["words"].items() if distance(word, t) <= (len(t) >= 4) + (len(t) >= 8)]
+            near += [(k, -v) for t, v in model["stems"].items() if (k := min(distance(word[:j], t) for j in range(len(word) + 1))) <= (len(t) >= 5)]
+            if near and not (min(near)[0] and word in model["clean"]):
+                around = set(ws[max(0, i - 8) : i] + ws[i + 1 : i + 9])
+                quoted = text.lower().split(word)[0].count('"') % 2 == 1
+                found.append((word, -min(near)[1] * model["keeps"] ** min(near)[0], quoted, bool(around & toxicity.REPORTING), bool(around & toxicity.ADDRESS), sum(model["near"].get(a, 0) for a in around)))
+        if found:
+            use = [(w, v) for w, v, q, r, *_ in found if not q and not r]
+            total = sum(v for _, v in use)
+            x[:] = (np.log1p(total), np.log1p(sum(f[1] for f in found if f[2])), np.log1p(sum(f[1] for f in found if f[3] and not f[2])), np.log1p(sum(f[1] for f in found if f[4] and not f[2])),
+                    max((v for _, v in use), default=0), np.log1p(len({w for w, _ in use})), total / (10 + len(text)) ** 0.5, sum(f[1] * max(-3, min(3, f[5])) for f in found) / sum(f[1] for f in found))
+        z = (x - model["mean"]) / np.array(model["sd"]) @ np.array(model["w"][:-1]) + model["w"][-1]
+        return 1 / (1 + np.exp(-z))
+
+    got = toxicity.score(spark.createDataFrame([(t,) for t in texts], "text string"), model).collect()
+    for r in got:
+        assert abs(r.score - plain(r.text)) < 1e-9 and r.predicted == int(r.score >= 0.5)
+
+
+def test_quality_against_brute_force(spark, docs):
+    """Scores by one-shot compression of whole texts with either dictionary, and the curve."""
+    import zstandard
+
+    rows = [("good clean prose about rivers and mountains " * 3 + str(i), 1) for i in range(40)] + [(f"bad %%% ### {i} !!! ||| " * 5, 0) for i in range(40)]
+    model = quality.fit(rows)
+    size = lambda raw, d: len(zstandard.ZstdCompressor(level=quality.LEVEL, dict_data=zstandard.ZstdCompressionDict(d) if d else None, write_content_size=False, write_dict_id=False).compress(raw))
+    for r in quality.score(docs, model).collect():
+        raw = (r.text or "").encode()
+        x = np.zeros(3)
+        if raw:
+            g, b, p = size(raw, model["good"]), size(raw, model["bad"]), size(raw, None)
+            x[:] = (b - g) / p, (b - g) / len(raw), p / len(raw)
+        z = (x - model["mean"]) / np.array(model["sd"]) @ np.array(model["w"][:-1]) + model["w"][-1]
+        assert abs(r.score - 1 / (1 + np.exp(-z))) < 1e-9
 
 
 def test_switches_are_tagged(spark):
