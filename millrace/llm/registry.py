@@ -20,6 +20,7 @@ QUERIES: dict[str, Callable] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op1_embedding_near_dedup": embeddings.SQL,
     "op5_license_scan": licenses.SQL,
     "op9_benchmark_decontamination": decontam.SQL,
 }

@@ -116,26 +116,53 @@ def test_deduplicated_with_repeated_and_null_ids(spark):
 
 
 def brute_links(rows, least):
-    ok = [(i, np.array(v, float)) for i, v in rows if i is not None and v and None not in v and np.isfinite(np.array(v, float)).all() and np.any(v)]
-    low, n = {i: i for i, _ in ok}, {}
+    """(vec_id, links, component) of every row, in exact scale: components are divided by the largest first."""
+    fine = lambda v: v and None not in v and np.isfinite(np.array(v, float)).all() and np.any(v)
+    ok = [(k, np.array(v, float) / np.abs(v).max()) for k, (i, v) in enumerate(rows) if i is not None and fine(v)]
+    low, n = {k: rows[k][0] for k, _ in ok}, {}
     hits = [(a, b) for (a, u), (b, v) in itertools.combinations(ok, 2) if len(u) == len(v) and u @ v / (np.sqrt(u @ u) * np.sqrt(v @ v)) >= least]
     for a, b in hits:
         n[a], n[b] = n.get(a, 0) + 1, n.get(b, 0) + 1
     for _ in range(len(ok)):
         for a, b in hits:
             low[a] = low[b] = min(low[a], low[b])
-    return {i: (n.get(i, 0), low.get(i, i)) for i, _ in rows if i is not None}
+    return sorted(((i, n.get(k, 0), low.get(k, i)) for k, (i, _) in enumerate(rows)), key=str)
 
 
-@pytest.mark.parametrize(("size", "leaf"), [(16, 4), (8192, 512)])
-def test_embeddings_against_brute_force(spark, size, leaf):
+@pytest.mark.parametrize(("size", "leaf", "fan"), [(16, 4, 2), (8192, 512, 16)])
+def test_embeddings_against_brute_force(spark, size, leaf, fan):
     rng = np.random.default_rng(2)
     rows = [(i, (rng.normal(size=12) if i % 3 else rng.normal(size=12) * 0.12 + np.eye(12)[i % 4]).tolist()) for i in range(150)]
     rows += [(500 + i, rows[i][1]) for i in range(5)] + [(600, None), (601, [0.0] * 12), (602, [1.0, None] + [0.0] * 10), (603, [float("nan")] * 12), (604, [1.0, 2.0]), (605, [2.0, 4.0]), (None, [1.0] * 12)]
+    rows += [(700, [1.0, 0.0]), (700, [0.0, 1.0]), (701, [2.0, 0.0]), (701, [2.0, 0.0]), (3, rows[9][1])]  # repeated ids
+    rows += [(800, [1e200, 2e200, 0.0]), (801, [1e-200, 2e-200, 0.0]), (802, [5e-324, 1e-323, 0.0]), (803, [1e308, -1e308, 1e308]), (804, [float("inf"), 1.0, 1.0])]
     df = spark.createDataFrame([(i, v, 1) for i, v in rows], "vec_id long, embedding array<double>, label int")
-    out = embeddings.near_duplicates(df, 0.95, size, leaf).collect()
-    assert {r.vec_id: (r.n_links, r.component_id) for r in out if r.vec_id is not None} == brute_links(rows, 0.95)
-    assert len(out) == len(rows) and all(r.kept == (r.vec_id is not None and r.vec_id == r.component_id) for r in out)
+    out = embeddings.near_duplicates(df, 0.95, size, leaf, fan).collect()
+    assert sorted(((r.vec_id, r.n_links, r.component_id) for r in out), key=str) == brute_links(rows, 0.95)
+    assert all(r.kept == (r.vec_id is not None and r.vec_id == r.component_id) for r in out)
+
+
+def test_long_vectors(spark):
+    rng = np.random.default_rng(4)
+    base = rng.normal(size=(6, 4096))
+    rows = [(i, (base[i % 6] + 0.2 * rng.normal(size=4096) * (i // 6)).tolist()) for i in range(24)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    exact = [(r.vec_id, r.embedding) for r in df.collect()]
+    out = embeddings.near_duplicates(df, 0.95, 5, 2, 2).collect()
+    assert sorted(((r.vec_id, r.n_links, r.component_id) for r in out), key=str) == brute_links(exact, 0.95)
+
+
+def test_distant_blocks_are_skipped(spark):
+    """Two clouds far apart: no pair of intervals joins them."""
+    rng = np.random.default_rng(5)
+    x = np.concatenate([rng.normal(size=(64, 8)) * 0.02 + np.eye(8)[k] for k in (0, 1)])
+    found = embeddings.nodes(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>"))
+    line = embeddings.ordered(found, embeddings.directions(found, 8), 0.3163, 16)
+    pairs = {(r.a, r.b) for r in embeddings.interval_pairs(line, 0.3163, fan=2).collect()}
+    assert {(i, i) for i in range(8)} <= pairs and len(pairs) < 36
+    boxes = {r.interval: (np.min(r.b, 0), np.max(r.b, 0)) for r in line.groupBy("interval").agg(F.collect_list("box").alias("b")).collect()}
+    gap = lambda a, b: np.sum(np.maximum(0, np.maximum(boxes[a][0] - boxes[b][1], boxes[b][0] - boxes[a][1])) ** 2) ** 0.5
+    assert pairs == {(a, b) for a in boxes for b in boxes if a <= b and gap(a, b) <= 0.3163 + embeddings.SLACK}
 
 
 def test_no_embeddings(spark):
