@@ -262,7 +262,7 @@ def op1_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 #: Every pair's cosine, and what is reachable over links.
 SQL = f"""
 WITH RECURSIVE v AS (SELECT row_number() OVER () AS r, vec_id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings),
-u AS (SELECT * FROM v WHERE vec_id IS NOT NULL AND len(x) > 0 AND len(list_filter(x, e -> e IS NULL OR isnan(e) OR isinf(e))) = 0 AND len(list_filter(x, e -> e <> 0)) > 0),
+u AS (SELECT * FROM v WHERE vec_id IS NOT NULL AND len(x) > 0 AND list_count(x) = len(x) AND isfinite(list_max(x)) AND isfinite(list_min(x)) AND (list_max(x) <> 0 OR list_min(x) <> 0)),
 l AS MATERIALIZED (SELECT a.r AS a, b.r AS b FROM u a JOIN u b ON a.r <> b.r AND len(a.x) = len(b.x) AND list_cosine_similarity(a.x, b.x) >= {COSINE}),
 reach AS (SELECT r AS a, r AS b FROM v UNION SELECT reach.a, l.b FROM reach JOIN l ON reach.b = l.a),
 c AS (SELECT reach.a, min(v.vec_id) AS component_id FROM reach JOIN v ON v.r = reach.b GROUP BY reach.a),
