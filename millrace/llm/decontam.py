@@ -1,17 +1,19 @@
 """Benchmark decontamination by a distributed positional inverted index. DataFrame functions only.
 
 1. The benchmark's windows (13 words; a shorter item is one window) and its vocabulary.
-2. One pass over the corpus counts the vocabulary's terms; each window takes its rarest
-   terms as anchors.
-3. A second pass stores postings of the anchor terms: term, row, position, and the words
-   around it as far as a window reaches. The table is written to the shared folder.
-4. Postings lists, shifted by the anchors' offsets, are intersected from the rarest term
-   on: a start that the rarest list gives is compared with the stored neighbours, which
-   hold the other lists' entries at that place. ``phrases`` returns exact occurrences,
-   ``proximity`` documents that hold an item's rarest terms within a span.
-
-Texts aren't shuffled, lists are combined per row before the only shuffles, and the
-windows are broadcast only while their number is below MOST_WINDOWS.
+2. One pass over the corpus counts the vocabulary's terms; each window takes its ANCHORS
+   rarest terms, each at its first offset.
+3. A second pass stores the index: postings (row, term, position) of those terms, as 64-bit hashes of the
+   terms. It holds no text and no other words.
+4. Lists are intersected from the rarest term on: every posting of a window's rarest term gives a start
+   (position minus offset), and a start stays only if the list of the next term holds the place start plus that
+   term's offset. Lists meet by (row, term, position), so no frequent term is a key of its own.
+5. What survives all lists is compared with the texts' own words; these are read again
+   for those texts alone. ``phrases`` returns exact occurrences, ``proximity`` the rows where
+   an item's rarest terms stand within a span of words.
+
+Texts aren't shuffled while what survives is small enough to be broadcast; tables made from the benchmark are
+broadcast only while their number of rows, counted, is at most MOST_SENT.
 
 Defined cases: null and empty texts have no words; items without words or id have no
 windows; repeated item ids count once; repeated documents are judged one by one;
@@ -20,107 +22,167 @@ an empty table gives an empty result; extra columns are not read.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm import common as C
 from millrace.llm import grams as G
 
-#: Words in a window; windows (or anchor terms) up to which they are broadcast; anchors of a window.
-WINDOW, MOST_WINDOWS, ANCHORS = 13, 500_000, 1
+#: Words in a window; rows up to which a table is broadcast; rarest terms whose lists are intersected.
+WINDOW, MOST_SENT, ANCHORS = 13, 500_000, 3
+#: Proximity: an item's so many rarest terms, all within so many words of the rarest.
+NEAR_TERMS, SPAN = 3, 50
 
 
-def windows_of(items: DataFrame, size: int = WINDOW) -> DataFrame:
-    """words, items: each distinct window and the ids (as strings) of the items that hold it."""
-    w = items.where(F.col("item_id").isNotNull()).select(F.col("item_id").cast("string").alias("item"), C.words(F.col("text")).alias("w")).where(F.size("w") > 0)
-    starts = F.sequence(F.lit(1), F.greatest(F.size("w") - size + 1, F.lit(1)))
-    return w.select("item", F.explode(F.transform(starts, lambda i: F.slice("w", i, size))).alias("words")).groupBy("words").agg(F.collect_set("item").alias("items"))
+def item_words(items: DataFrame) -> DataFrame:
+    """item (id as string), w: of items with an id and words."""
+    return items.where(F.col("item_id").isNotNull()).select(F.col("item_id").cast("string").alias("item"), C.words(F.col("text")).alias("w")).where(F.size("w") > 0)
 
 
-def anchored(windows: DataFrame, counts: DataFrame, anchors: int = ANCHORS) -> DataFrame:
-    """For each window and each of its rarest terms: term, offset, words, items, rank (0: the rarest)."""
-    term = windows.select("words", "items", F.posexplode("words").alias("offset", "term"))
-    n = term.join(counts, "term", "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    least = n.groupBy("words", "term").agg(F.min("offset").alias("offset"), F.first("n").alias("n"), F.first("items").alias("items"))
-    best = least.groupBy("words").agg(F.first("items").alias("items"), F.slice(F.array_sort(F.collect_list(F.struct("n", "term", "offset"))), 1, anchors).alias("best"))
-    return best.select("words", "items", F.posexplode("best").alias("rank", "b")).select("words", "items", "rank", "b.term", "b.offset", "b.n")
+def windows_of(items: DataFrame, size: int = WINDOW) -> tuple[DataFrame, DataFrame]:
+    """Stored: (wid, words) of each distinct window, and (wid, item) of the items that hold it."""
+    starts = F.sequence(F.lit(1), F.greatest(F.size("w") - size + 1, F.lit(1)))
+    held = item_words(items).select("item", F.explode(F.transform(starts, lambda i: F.slice("w", i, size))).alias("words")).distinct()
+    wins = C.written(held.select("words").distinct().withColumn("wid", F.monotonically_increasing_id()), "decontam-windows")
+    return wins, C.written(held.join(wins, "words").select("wid", "item"), "decontam-members")
 
 
-def small(df: DataFrame, most: int = MOST_WINDOWS) -> DataFrame:
-    """Broadcast a table derived from the benchmark if its number of rows, counted, allows it."""
+def small(df: DataFrame, most: int = MOST_SENT) -> DataFrame:
+    """Broadcast a table if its number of rows, counted, allows it."""
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
+def named(term: Column) -> Column:
+    return F.xxhash64(term)
+
+
 def term_counts(docs: DataFrame, vocabulary: DataFrame) -> DataFrame:
-    """term, n: occurrences in all of ``docs`` of the vocabulary's terms."""
-    term = docs.select(F.explode(C.words(F.col("text"))).alias("term"))
-    return term.join(small(vocabulary), "term").groupBy("term").agg(F.count(F.lit(1)).alias("n"))
+    """term, n: occurrences in all of ``docs`` of the vocabulary's terms; counted before any join."""
+    bits = G.bit_table_of(vocabulary, named(F.col("term")))
+    seen = docs.select(F.explode(F.filter(C.words(F.col("text")), lambda w: G.may_hold(bits, named(w)))).alias("term"))
+    return seen.groupBy("term").agg(F.count(F.lit(1)).alias("n")).join(small(vocabulary), "term", "left_semi")
 
 
-def index(docs: DataFrame, terms: DataFrame, reach: int = WINDOW, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The stored index: row, the kept columns, n_words, posts (term, pos, start of context, context)."""
-    bits = G.bit_table(G.hashes_of(terms, F.xxhash64("term"))) if terms.limit(MOST_WINDOWS + 1).count() <= MOST_WINDOWS else None
-    split = docs.select(F.monotonically_increasing_id().alias("row"), *keep, C.words(F.col("text")).alias("w"))
-    spots = F.when(F.size("w") > 0, F.sequence(F.lit(0), F.size("w") - 1)).otherwise(F.array().cast("array<int>"))
-    found = F.filter(spots, lambda i: G.may_hold(bits, F.xxhash64(F.get("w", i)))) if bits else spots
+def rarest(terms: DataFrame, counts: DataFrame, key: str, most: int) -> DataFrame:
+    """key, rank, t, offset: of (key, term, offset) the ``most`` rarest distinct terms of each key, rank 0 the rarest."""
+    n = terms.groupBy(key, "term").agg(F.min("offset").alias("offset")).join(small(counts), "term", "left")
+    order = F.array_sort(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "term", "offset")))  # a window's or an item's own terms
+    best = n.groupBy(key).agg(F.slice(order, 1, most).alias("best"))
+    return best.select(key, F.posexplode("best").alias("rank", "b")).select(key, "rank", named(F.col("b.term")).alias("t"), "b.offset")
 
-    def post(i: Column) -> Column:
-        low = F.greatest(i - (reach - 1), F.lit(0))
-        return F.struct(F.get("w", i).alias("term"), i.alias("pos"), low.alias("low"), F.slice("w", low + 1, i - low + reach).alias("near"))
 
-    out = split.select("row", *keep, "w", found.alias("at")).select("row", *keep, F.size("w").alias("n_words"), F.transform("at", post).alias("posts"))
-    return C.written(out, "decontam-index")
+def index(docs: DataFrame, terms: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The stored index of every row: row, the kept columns, n_words, h1 and h2 (the text's name), posts (t, pos)."""
+    bits = G.bit_table_of(terms, F.col("t"))
+    text = F.coalesce(F.col("text"), F.lit(""))
+    split = docs.select(F.monotonically_increasing_id().alias("row"), *keep, F.xxhash64(F.lit(0), text).alias("h1"), F.xxhash64(F.lit(1), text).alias("h2"), C.words(F.col("text")).alias("w"))
+    posts = F.filter(F.transform("w", lambda w, i: F.struct(named(w).alias("t"), i.alias("pos"))), lambda p: G.may_hold(bits, p["t"]))
+    return C.written(split.select("row", *keep, F.size("w").alias("n_words"), "h1", "h2", posts.alias("posts")), "decontam-index")
 
 
-def phrases(stored: DataFrame, anchors: DataFrame) -> DataFrame:
-    """row, start, length, items of every exact occurrence of a window."""
-    lists = stored.select("row", F.explode("posts").alias("p")).select("row", "p.*")
-    first = anchors.where("rank = 0").select("term", "offset", "words", "items")
-    start = F.col("pos") - F.col("offset")
-    met = lists.join(small(first), "term").where((start >= F.col("low")) & (F.slice("near", F.greatest(start - F.col("low") + 1, F.lit(1)), F.size("words")) == F.col("words")))
-    return met.select("row", start.alias("start"), F.size("words").alias("length"), "items")
+def lists(stored: DataFrame) -> DataFrame:
+    """row, t, pos of every posting."""
+    return stored.select("row", F.explode("posts").alias("p")).select("row", "p.t", "p.pos")
 
 
-def proximity(stored: DataFrame, items: DataFrame, counts: DataFrame, span: int = 50, terms: int = 3) -> DataFrame:
-    """row, item: rows where an item's ``terms`` rarest terms all occur within ``span`` words of the rarest one.
+def intersected(stored: DataFrame, anchors: DataFrame, key: str, on: list[Callable[[DataFrame, DataFrame], DataFrame]]) -> DataFrame:
+    """row, key, start: the places of the rarest term's list that all further lists agree with.
 
-    ``stored`` must hold postings of those terms with contexts that reach ``span`` words
-    (``index(..., reach=span + 1)``).
+    ``on``: for each further rank what keeps those starts (row2, key, start, t2, offset2) that its postings (row, t, pos) agree with.
     """
-    w = items.where(F.col("item_id").isNotNull()).select(F.col("item_id").cast("string").alias("item"), F.array_distinct(C.words(F.col("text"))).alias("w"))
-    term = w.select("item", F.explode("w").alias("term")).join(counts, "term", "left")
-    best = term.groupBy("item").agg(F.slice(F.array_sort(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "term"))), 1, terms).alias("best"))
-    rare = best.select("item", F.element_at("best", 1)["term"].alias("term"), F.transform("best", lambda b: b["term"]).alias("all"))
-    lists = stored.select("row", F.explode("posts").alias("p")).select("row", "p.term", "p.near")
-    return lists.join(small(rare), "term").where(F.size(F.array_except("all", "near")) == 0).select("row", "item").distinct()
-
-
-def report(docs: DataFrame, items: DataFrame, keep: tuple[str, ...] = ("doc_id",), size: int = WINDOW) -> DataFrame:
-    """Per row: kept columns, n_words, n_hit, n_items, items_sha256, contaminated (5 % of words hit)."""
-    wins = C.written(windows_of(items, size), "decontam-windows")
-    vocabulary = wins.select(F.explode("words").alias("term")).distinct()
-    anchors = C.written(anchored(wins, term_counts(docs, vocabulary)), "decontam-anchors")
-    stored = index(docs, anchors.select("term").distinct(), size, keep)
-    hits = phrases(stored, anchors)
-    per = hits.groupBy("row").agg(F.collect_set(F.struct("start", "length")).alias("spans"), F.array_distinct(F.flatten(F.collect_set("items"))).alias("items"))
+    first = anchors.where("rank = 0").select(key, "t", "offset")
+    found = lists(stored).join(small(first), "t").select("row", key, (F.col("pos") - F.col("offset")).alias("start")).where("start >= 0")
+    found = C.written(found, "decontam-starts")
+    posts = lists(stored.join(small(found.select("row").distinct()), "row", "left_semi"))
+    for rank, test in enumerate(on, 1):
+        more = anchors.where(F.col("rank") == rank).select(key, F.col("t").alias("t2"), F.col("offset").alias("offset2"))
+        asked = found.join(small(more), key, "left")
+        want = asked.where("t2 is not null").select(F.col("row").alias("row2"), key, "start", "t2", "offset2")
+        held = test(want, posts)
+        found = held.select(F.col("row2").alias("row"), key, "start").unionByName(asked.where("t2 is null").select("row", key, "start"))
+    return found
+
+
+def at_offset(want: DataFrame, posts: DataFrame) -> DataFrame:
+    """Those whose further term stands at its own offset."""
+    want = want.withColumn("pos2", F.col("start") + F.col("offset2"))
+    return want.join(posts, (F.col("row2") == F.col("row")) & (F.col("t2") == F.col("t")) & (F.col("pos2") == F.col("pos")), "left_semi")
+
+
+def within(span: int) -> Callable[[DataFrame, DataFrame], DataFrame]:
+    """Those whose further term stands within ``span`` words; met through cells of that many words."""
+
+    def test(want: DataFrame, posts: DataFrame) -> DataFrame:
+        cell = F.floor(F.col("start") / span)
+        want = want.withColumn("cell2", F.explode(F.array(cell - 1, cell, cell + 1)))
+        posts = posts.withColumn("cell", F.floor(F.col("pos") / span))
+        near = (F.col("row2") == F.col("row")) & (F.col("t2") == F.col("t")) & (F.col("cell2") == F.col("cell")) & (F.abs(F.col("pos") - F.col("start")) <= span)
+        return want.join(posts, near, "left_semi").select("row2", *[c for c in want.columns if c not in ("row2", "cell2")]).distinct()
+
+    return test
+
+
+def phrases(docs: DataFrame, stored: DataFrame, anchors: DataFrame, wins: DataFrame) -> DataFrame:
+    """Stored: h1, h2 (a text's name), wid, start, length of every exact occurrence of a window."""
+    last = anchors.agg(F.max("rank")).first()[0] or 0
+    survived = intersected(stored, anchors, "wid", [at_offset] * last)
+    spots = survived.join(stored.select("row", "h1", "h2"), "row").select("h1", "h2", "wid", "start").distinct()
+    sized = C.written(spots.join(small(wins.select("wid", F.size("words").alias("length"))), "wid"), "decontam-survivors")
+    asked = sized.groupBy("h1", "h2").agg(F.collect_list(F.struct("wid", "start", "length")).alias("spots"))  # of one text
+    text = F.coalesce(F.col("text"), F.lit(""))
+    few = sized.limit(MOST_SENT + 1).count() <= MOST_SENT
+    again = docs.select(F.xxhash64(F.lit(0), text).alias("h1"), F.xxhash64(F.lit(1), text).alias("h2"), "text").join(F.broadcast(asked) if few else asked, ["h1", "h2"])
+    got = again.select("h1", "h2", C.words(F.col("text")).alias("w"), "spots").select("h1", "h2", F.explode(F.transform("spots", lambda s: F.struct(
+        s["wid"].alias("wid"), s["start"].alias("start"), s["length"].alias("length"), F.slice("w", s["start"] + 1, s["length"]).alias("words")))).alias("s")).select("h1", "h2", "s.*")
+    true = got.join(small(wins.select("wid", F.col("words").alias("want"))), "wid").where(F.col("words") == F.col("want"))
+    return C.written(true.select("h1", "h2", "wid", "start", "length").distinct(), "decontam-phrases")
+
+
+def proximity(stored: DataFrame, rare: DataFrame, span: int = SPAN) -> DataFrame:
+    """row, item: rows where each of an item's rarest terms stands within ``span`` words of one place of the rarest."""
+    last = rare.agg(F.max("rank")).first()[0] or 0
+    return intersected(stored, rare.withColumn("offset", F.lit(0)), "item", [within(span)] * last).select("row", "item").distinct()
+
+
+def report(docs: DataFrame, items: DataFrame, keep: tuple[str, ...] = ("doc_id",), size: int = WINDOW, anchors: int = ANCHORS, near: bool = False) -> DataFrame:
+    """Per row: kept columns, n_words, n_hit, n_items, items_sha256, contaminated (5 % of words hit); with near also n_near, items met by proximity."""
+    wins, members = windows_of(items, size)
+    vocabulary = C.written(item_words(items).select(F.explode("w").alias("term")).distinct(), "decontam-vocabulary")
+    counts = C.written(term_counts(docs, vocabulary), "decontam-counts")
+    chosen = C.written(rarest(wins.select("wid", F.posexplode("words").alias("offset", "term")), counts, "wid", anchors), "decontam-anchors")
+    terms, rare = chosen.select("t"), None
+    if near:
+        rare = C.written(rarest(item_words(items).select("item", F.posexplode("w").alias("offset", "term")), counts, "item", NEAR_TERMS), "decontam-rare")
+        terms = terms.union(rare.select("t"))
+    stored = index(docs, terms, keep)
+    hits = phrases(docs, stored, chosen, wins)
+    spans = hits.groupBy("h1", "h2").agg(F.collect_set(F.struct("start", "length")).alias("spans"))
     covered = F.aggregate(
         F.array_sort("spans"),
         F.struct(F.lit(0).alias("n"), F.lit(0).alias("end")),
         lambda a, s: F.struct((a["n"] + F.greatest(s["start"] + s["length"] - F.greatest(a["end"], s["start"]), F.lit(0))).alias("n"), F.greatest(a["end"], s["start"] + s["length"]).alias("end")),
         lambda a: a["n"],
     )
-    per = per.select("row", covered.alias("n_hit"), F.array_sort("items").alias("items"))
-    all_rows = stored.select("row", *keep, "n_words").join(per, "row", "left")
-    n_hit = F.coalesce("n_hit", F.lit(0)).cast("long")
-    return all_rows.select(
-        *keep, F.col("n_words").cast("long").alias("n_words"), n_hit.alias("n_hit"), F.coalesce(F.size("items"), F.lit(0)).cast("long").alias("n_items"),
-        F.sha2(F.coalesce(F.array_join("items", ","), F.lit("")).cast("binary"), 256).alias("items_sha256"),
-        ((n_hit > 0) & (20 * n_hit >= F.col("n_words"))).alias("contaminated"),
+    held = hits.select("h1", "h2", "wid").distinct().join(small(members), "wid").groupBy("h1", "h2").agg(F.array_sort(F.collect_set("item")).alias("items"))
+    per = spans.select("h1", "h2", covered.cast("long").alias("n_hit")).join(held, ["h1", "h2"])
+    per = per.select("h1", "h2", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("sha"))
+    rows = stored.select("row", *keep, F.col("n_words").cast("long").alias("n_words"), "h1", "h2").join(small(C.written(per, "decontam-texts")), ["h1", "h2"], "left")
+    extra = []
+    if near:
+        met = proximity(stored, rare).groupBy("row").agg(F.count(F.lit(1)).alias("n_near"))
+        rows = rows.join(met, "row", "left")
+        extra = [F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near")]
+    n_hit = F.coalesce("n_hit", F.lit(0).cast("long"))
+    return rows.select(
+        *keep, "n_words", n_hit.alias("n_hit"), F.coalesce("n_items", F.lit(0).cast("long")).alias("n_items"),
+        F.coalesce("sha", F.sha2(F.lit("").cast("binary"), 256)).alias("items_sha256"), ((n_hit > 0) & (20 * n_hit >= F.col("n_words"))).alias("contaminated"), *extra,
     )
 
 
 def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return report(C.table(spark, sf_dir, "documents"), C.table(spark, sf_dir, "benchmark"))
+    return report(C.table(spark, sf_dir, "documents"), C.table(spark, sf_dir, "benchmark"), near=True)
 
 
 _WORDS = r"""regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"""
@@ -135,8 +197,15 @@ g AS (SELECT r, i, lens.n AS n, w[i : i + lens.n - 1] AS win
       FROM d, lens, LATERAL unnest(generate_series(1, len(w) - lens.n + 1)) AS t(i) WHERE len(w) >= lens.n),
 hits AS (SELECT g.r, g.i, g.n, wins.item FROM g JOIN wins ON g.win = wins.win AND g.n = wins.n),
 pos AS (SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT DISTINCT r, i, n FROM hits), LATERAL unnest(generate_series(i, i + n - 1)) AS t(p) GROUP BY r),
-its AS (SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT r, item FROM hits) GROUP BY r)
+its AS (SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT r, item FROM hits) GROUP BY r),
+it AS (SELECT DISTINCT item, unnest(w) AS term FROM b),
+p AS MATERIALIZED (SELECT r, unnest(generate_series(1, len(w))) AS pos, unnest(w) AS term FROM d),
+n AS (SELECT term, count(*) AS n FROM p WHERE term IN (SELECT term FROM it) GROUP BY term),
+rare AS (SELECT item, term, k FROM (SELECT item, it.term, row_number() OVER (PARTITION BY item ORDER BY coalesce(n, 0), it.term) AS k FROM it LEFT JOIN n ON n.term = it.term) WHERE k <= {NEAR_TERMS}),
+p0 AS (SELECT r, item, pos FROM p JOIN rare ON p.term = rare.term AND k = 1),
+p1 AS (SELECT p0.r, p0.item, p0.pos, count(DISTINCT rare.k) AS got FROM p0 JOIN rare ON rare.item = p0.item JOIN p ON p.r = p0.r AND p.term = rare.term AND abs(p.pos - p0.pos) <= {SPAN} GROUP BY p0.r, p0.item, p0.pos),
+nr AS (SELECT r, count(DISTINCT p1.item) AS n_near FROM p1 JOIN (SELECT item, count(*) AS c FROM rare GROUP BY item) AS c ON c.item = p1.item AND got = c GROUP BY r)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
-       sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
-FROM d LEFT JOIN pos USING (r) LEFT JOIN its USING (r)
+       sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated, CAST(coalesce(n_near, 0) AS BIGINT) AS n_near
+FROM d LEFT JOIN pos USING (r) LEFT JOIN its USING (r) LEFT JOIN nr USING (r)
 """

@@ -204,13 +204,45 @@ def test_decontamination(spark, docs, none):
     assert decontam.report(docs, bench.where("false")).where("contaminated or n_hit > 0").count() == 0
 
 
-def test_proximity(spark):
-    df = spark.createDataFrame([(1, "alpha x x beta x gamma"), (2, "alpha " + "x " * 80 + "beta gamma")], "doc_id long, text string")
-    bench = spark.createDataFrame([(1, "gamma beta alpha")], "item_id long, text string")
-    counts = decontam.term_counts(df, spark.createDataFrame([("alpha",), ("beta",), ("gamma",)], "term string"))
-    stored = decontam.index(df, counts.select("term"), 11)
-    rows = {r.row: r.doc_id for r in stored.collect()}
-    assert [rows[r.row] for r in decontam.proximity(stored, bench, counts, 10).collect()] == [1]
+def test_lists_are_intersected(spark):
+    """A start that the rarest term's list gives falls where the next list disagrees, before any text is read."""
+    item = "one two three four five six seven eight nine ten eleven twelve thirteen"
+    wrong = item.replace("three", "x").replace("two", "three").replace("x", "two")
+    df = spark.createDataFrame([(1, "the " + item), (2, "the " + wrong), (3, "one " * 50), (4, "two three " * 30)], "doc_id long, text string")
+    wins, _ = decontam.windows_of(spark.createDataFrame([(1, item)], "item_id long, text string"))
+    terms = wins.select("wid", F.posexplode("words").alias("offset", "term"))
+    counts = spark.createDataFrame([(w, 1 if w == "one" else 2 if w in ("two", "three") else 9) for w in item.split()], "term string, n long")
+    chosen = decontam.rarest(terms, counts, "wid", 3)
+    assert [r.offset for r in chosen.orderBy("rank").collect()] == [0, 2, 1]
+    stored = decontam.index(df, chosen.select("t"))
+    names = {r.row: r.doc_id for r in stored.collect()}
+    starts = lambda n: sorted((names[r.row], r.start) for r in decontam.intersected(stored, chosen, "wid", [decontam.at_offset] * n).collect())
+    assert starts(0) == [(1, 1), (2, 1)] + [(3, k) for k in range(50)] and starts(1) == starts(2) == [(1, 1)]
+    assert {(r.start, r.length) for r in decontam.phrases(df, stored, chosen, wins).collect()} == {(1, 13)}
+
+
+def brute_near(rows, items, terms, span):
+    count = {}
+    for _, t in rows:
+        for w in words(t):
+            count[w] = count.get(w, 0) + 1
+    out = []
+    for d, t in rows:
+        w, n = words(t), 0
+        for x in {str(i): words(x) for i, x in items if i is not None and words(x)}.values():
+            rare = sorted(set(x), key=lambda v: (count.get(v, 0), v))[:terms]
+            n += any(w[k] == rare[0] and all(v in w[max(0, k - span) : k + span + 1] for v in rare) for k in range(len(w)))
+        out.append((str(d), n))
+    return sorted(out)
+
+
+def test_proximity(spark, docs):
+    random.seed(6)
+    texts = ["alpha x x beta x gamma", "alpha " + "x " * 80 + "beta gamma", "gamma " + "y " * 49 + "beta alpha", None, ""] + [" ".join(random.choice(["alpha", "beta", "gamma", *"uvwxyz"]) for _ in range(60)) for _ in range(20)]
+    rows, items = list(enumerate(texts)), [(1, "gamma beta alpha"), (2, "u"), (3, "alpha nowhere"), (4, "u v w x"), (None, "u"), (5, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").union(docs.select("doc_id", "text"))
+    got = decontam.report(df, spark.createDataFrame(items, "item_id long, text string"), near=True)
+    assert sorted((str(r.doc_id), r.n_near) for r in got.collect()) == brute_near([(r.doc_id, r.text) for r in df.collect()], items, decontam.NEAR_TERMS, decontam.SPAN)
 
 
 # licenses
