@@ -30,7 +30,7 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
     named = docs.select(*COLUMNS, F.xxhash64("text").alias("_h"))
     bad = decontam.report(named, common.table(spark, sf_dir, "benchmark"), ("doc_id", "_h")).where("contaminated")
     bad = common.written(bad.select(F.col("doc_id").alias("_id"), F.col("_h").alias("_bad")).distinct(), "contaminated")
-    small = decontam.small(bad, minhash.MOST_SENT)
+    small = decontam.small(bad)
     return named.join(small, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_bad")), "left_anti").select(*COLUMNS)
 
 
