@@ -65,6 +65,31 @@ def drop_path(spark: SparkSession, df: DataFrame) -> None:
         at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` does not have yet."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+#: Keys with at least so many rows may be hot; at most so many keys can hold more than their share of all rows.
+HOT_ROWS, HOT_KEYS = 1000, 50_000
+
+
+def spread_join(rows: DataFrame, table: DataFrame, key: str, copies: str = "copies") -> DataFrame:
+    """``rows`` with the columns of ``table``: unique keys, and ``copies``, how many of ``rows`` have the key.
+
+    Keys that hold more than a 50,000th of all rows, hence fewer than 50,000 of them, are
+    broadcast, so that no task gathers the copies of one key; the others are shuffled.
+    """
+    total = table.agg(F.sum(copies)).first()[0] or 0
+    bar = max(HOT_ROWS, total // HOT_KEYS)
+    hot, rest = table.where(F.col(copies) > bar).drop(copies), table.where(F.col(copies) <= bar).drop(copies)
+    near = rows.join(F.broadcast(hot), key)
+    return near.unionByName(rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(rest, key))
+
+
 def lowered(text: Column) -> Column:
     """A-Z to a-z, all else as it is; null counts as empty."""
     return F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER)

@@ -6,12 +6,19 @@ its next arrival is later than the latest register. Registers hold the shingle t
 came first, so two documents agree in a register with the probability Jaccard
 similarity J_P (equal to the Jaccard similarity where no shingle repeats).
 
-Candidates come from bands in two rounds. Round one compares each member of a band's
-bucket with the bucket's least member; links that verify make components. Round two
-takes the buckets that still hold several components and compares all their members
-across components inside tasks, in chunks, each pair in the first band that it shares; only links that
-unite components (or lie at the threshold) come out. So no link between
-different texts is lost and no group's pairs are emitted. Every link is verified on the whole texts.
+Candidates come from bands in two rounds, over distinct texts. Round one compares each member of a
+band's bucket with the bucket's least member; links that verify make components. Round two
+takes the buckets that still hold several components and compares their members
+across components inside tasks, in blocks, each pair in the first band that it shares; only links that
+unite components (or lie at the threshold) come out, so no group's pairs are emitted. A bucket where
+more than CHUNK members lie outside its largest component (texts that share a passage, mostly) is
+split first by its members' rarest shingles: J_P is at most the mass of what two texts share, so
+two texts of similarity s share a shingle among the rarest that make up more than 1 - s
+of either (ranked by how often they occur in the bucket), and meet there. Every link is verified on the whole texts.
+
+What can be lost: a pair of similarity s shares no band with a chance of (1 - s^4)^24, 3e-6 at 0.8; and a
+candidate whose registers agree six standard errors below the threshold (a chance under 1e-6 at 0.8) is not
+verified. Nothing else is left out, at any size.
 
 Defined cases: a null text counts as empty; texts without words are alike only if
 they are equal; a text of one to four words is one shingle; equal texts are always one
@@ -21,6 +28,7 @@ rows stay rows of one class; an empty table gives an empty result; extra columns
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,10 +42,10 @@ from millrace.llm import common as C
 
 #: Registers (bands times rows), words in a shingle, least similarity to link.
 BANDS, ROWS, WIDTH, SIMILARITY = 24, 4, 5, 0.8
-#: Candidates whose estimate is over four standard errors below SIMILARITY aren't verified.
-ESTIMATE = SIMILARITY - 4 * (SIMILARITY * (1 - SIMILARITY) / (BANDS * ROWS)) ** 0.5
-#: Members of a bucket compared in one task; candidate ids up to which they are broadcast (8 bytes each).
-CHUNK, MOST_SENT = 2048, 1_000_000
+#: Candidates whose estimate lies so many standard errors below the threshold aren't verified.
+ERRORS = 6
+#: Members of a block compared in one task; candidate ids up to which they are broadcast (8 bytes each); texts that a task remembers.
+CHUNK, MOST_SENT, SEEN = 512, 1_000_000, 200_000
 
 _M1, _M2, _GOLD = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 
@@ -132,19 +140,25 @@ def jp(xk: np.ndarray, xw: np.ndarray, yk: np.ndarray, yw: np.ndarray) -> float:
 
 
 def signatures(docs: DataFrame, seed: int = 0, bands: int = BANDS, rows: int = ROWS, width: int = WIDTH) -> DataFrame:
-    """doc_id, node and check (two hashes of the text), bands and sig of every document."""
+    """doc_id, node and check (two hashes of the text) of every document; bands and sig at least once for each text (else empty)."""
     spark = docs.sparkSession
     C.ship(spark)
     m = bands * rows
     text = F.coalesce(F.col("text"), F.lit(""))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = WordHashes()
+        memo, seen = WordHashes(), set()
         for batch in batches:
             for lo in range(0, batch.num_rows, 200):
                 part = batch.slice(lo, 200)
-                n = part.num_rows
-                doc, key, weight = shingles(part.column("text").to_pylist(), memo, width)
+                n, texts = part.num_rows, part.column("text").to_pylist()
+                if len(seen) > SEEN:
+                    seen.clear()
+                for i, node in enumerate(part.column("node").to_pylist()):
+                    if node in seen:
+                        texts[i] = None  # a copy: its text has its sketch already
+                    seen.add(node)
+                doc, key, weight = shingles(texts, memo, width)
                 sig = registers(n, doc, key, weight, m)
                 full = np.zeros(n, bool)
                 full[doc] = True
@@ -159,7 +173,7 @@ def signatures(docs: DataFrame, seed: int = 0, bands: int = BANDS, rows: int = R
     return source.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, node bigint, check bigint, bands array<bigint>, sig binary")
 
 
-def alike(pairs: DataFrame, sigs: DataFrame, least: float = ESTIMATE) -> DataFrame:
+def alike(pairs: DataFrame, sigs: DataFrame, least: float) -> DataFrame:
     """The pairs (a, b) whose registers agree often enough to be worth verifying."""
     both = pairs.join(sigs.select(F.col("node").alias("a"), F.col("sig").alias("sa")), "a").join(sigs.select(F.col("node").alias("b"), F.col("sig").alias("sb")), "b")
 
@@ -209,24 +223,26 @@ def shingled(docs: DataFrame, nodes: DataFrame, seed: int, width: int) -> DataFr
                 _, key, count = shingles([text], memo, width)
                 low, at = np.unique(key.astype(np.uint32), return_index=True)
                 keys.append(low.tobytes())
-                counts.append(np.minimum(count[at], 65535).astype(np.uint16).tobytes())
+                counts.append(np.minimum(count[at], 2**32 - 1).astype(np.uint32).tobytes())
             yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(keys, pa.binary()), pa.array(counts, pa.binary())], names=["node", "keys", "counts"])
 
     return texts.mapInArrow(run, "node bigint, keys binary, counts binary")
 
 
 def compared(pdf: pd.DataFrame, least: float, estimate: float, margin: float = 0.01) -> pd.DataFrame:
-    """Links to verify between components of one chunk of a bucket: those that unite two, and all near the threshold.
+    """Links to verify between components of one task: those that unite two, and all near the threshold.
 
-    Similarities come from 32-bit shingle hashes through an inverted list of the chunk; a
+    Rows of side 0 are compared with those of side 1; where there is one side alone, with each
+    other. Similarities come from 32-bit shingle hashes through an inverted list of the task; a
     pair is looked at in the first band that it shares only.
     """
-    node, comp, own = pdf["node"].to_numpy(), pdf["component"].to_numpy(), pdf["own"].to_numpy()
+    node, comp, side = pdf["node"].to_numpy(), pdf["component"].to_numpy(), pdf["side"].to_numpy()
+    alone = side.min() == side.max()
     sig = np.frombuffer(b"".join(pdf["sig"]), np.uint32).reshape(len(pdf), -1)
     bands = np.stack(pdf["bands"].to_numpy())
     here = int(np.argmax(bands[0] == pdf["band"].iloc[0]))
     keys = [np.frombuffer(k, np.uint32) for k in pdf["keys"]]
-    counts = [np.frombuffer(c, np.uint16).astype(float) for c in pdf["counts"]]
+    counts = [np.frombuffer(c, np.uint32).astype(float) for c in pdf["counts"]]
     flat, owner = np.concatenate(keys), np.repeat(np.arange(len(keys)), [len(k) for k in keys])
     order = np.argsort(flat, kind="stable")
     flat, owner = flat[order], owner[order]
@@ -234,8 +250,8 @@ def compared(pdf: pd.DataFrame, least: float, estimate: float, margin: float = 0
     even = np.array([len(c) > 0 and c.min() == c.max() for c in counts])
     _, root = np.unique(comp, return_inverse=True)
     out: list[tuple[int, int]] = []
-    for i in np.flatnonzero(own):
-        near = np.flatnonzero((root != root[i]) & ((node > node[i]) | ~own))
+    for i in range(len(pdf)) if alone else np.flatnonzero(side == 0):
+        near = np.flatnonzero((root != root[i]) & ((node > node[i]) if alone else (side == 1)))
         near = near[(bands[near] == bands[i]).argmax(1) == here]
         if not len(near):
             continue
@@ -258,49 +274,100 @@ def compared(pdf: pd.DataFrame, least: float, estimate: float, margin: float = 0
     return pd.DataFrame(np.array(out, np.int64).reshape(-1, 2), columns=["a", "b"])
 
 
+def groups_of(named: DataFrame, key: list[str]) -> DataFrame:
+    """key, main (the largest component), n (members), others (members outside it) of groups with several components."""
+    per = named.groupBy(*key, "component").agg(F.count(F.lit(1)).alias("n"))
+    most = F.max(F.struct("n", "component"))
+    return per.groupBy(*key).agg(most.alias("m"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("several")).where("several > 1").select(*key, F.col("m.component").alias("main"), "n", (F.col("n") - F.col("m.n")).alias("others"))
+
+
+def dealt(named: DataFrame, groups: DataFrame, key: list[str], chunk: int) -> DataFrame:
+    """band, key, task, side, node, component: blocks of at most about ``chunk`` members on either side that cover every pair across components.
+
+    A small group is one task. Otherwise blocks of the largest component meet blocks of the others, and blocks of
+    the others meet each other: members are copied as often as their opposite has blocks, once where the others are few.
+    """
+    block = lambda n: F.greatest(F.ceil(n / F.lit(chunk)).cast("int"), F.lit(1))
+    h = F.pmod(F.xxhash64("node", F.lit(7)), F.lit(1 << 30)).cast("int")
+    rows = named.join(groups, key).withColumn("mains", block(F.col("n") - F.col("others"))).withColumn("blocks", block(F.col("others")))
+    own = F.col("component") == F.col("main")
+    task = lambda kind, x, y, side: F.struct(F.lit(kind).alias("kind"), x.alias("x"), y.alias("y"), F.lit(side).alias("side"))
+    zero = F.lit(0)
+    met = F.transform(F.sequence(zero, F.col("blocks") - 1), lambda k: task(1, h % F.col("mains"), k, 0))
+    meet = F.transform(F.sequence(zero, F.col("mains") - 1), lambda k: task(1, k, h % F.col("blocks"), 1))
+    b = h % F.col("blocks")
+    each = F.transform(F.sequence(zero, F.col("blocks") - 1), lambda k: F.struct(F.lit(2).alias("kind"), F.least(b, k).alias("x"), F.greatest(b, k).alias("y"), (b > k).cast("int").alias("side")))
+    tasks = F.when(F.col("n") <= chunk, F.array(task(0, zero, zero, 0))).when(own, met).otherwise(F.concat(meet, each))
+    return rows.select(*key, "node", "component", F.explode(tasks).alias("t")).select(*key, "t.kind", "t.x", "t.y", "t.side", "node", "component")
+
+
+def rarest(named: DataFrame, known: DataFrame, least: float) -> DataFrame:
+    """band, node, component, shingle: the rarest shingles of each member, as many as hold more than 1 - ``least`` of its mass."""
+    kinds = "node bigint, shingle bigint, share double"
+
+    def shares(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for node, k, c in zip(*(batch.column(n).to_pylist() for n in ("node", "keys", "counts")), strict=True):
+                keys, counts = np.frombuffer(k, np.uint32), np.frombuffer(c, np.uint32).astype(float)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), node)), pa.array(keys.astype(np.int64)), pa.array(counts / counts.sum())], names=["node", "shingle", "share"])
+
+    mass = known.select("node", "keys", "counts").mapInArrow(shares, kinds)
+    each = C.written(named.join(mass, "node"), "minhash-shares")
+    often = each.groupBy("band", "shingle").agg(F.count(F.lit(1)).alias("n"))
+    order = F.array_sort(F.collect_list(F.struct("n", "shingle", "share")))  # of one text
+    full = each.join(often, ["band", "shingle"]).groupBy("band", "node", "component").agg(order.alias("s"))
+    step = F.aggregate("s", F.struct(F.array().cast("array<bigint>").alias("kept"), F.lit(0.0).alias("mass")), lambda a, x: F.when(
+        a["mass"] > 1 - least + 1e-9, a).otherwise(F.struct(F.concat(a["kept"], F.array(x["shingle"])).alias("kept"), (a["mass"] + x["share"]).alias("mass"))), lambda a: a["kept"])
+    return full.select("band", "node", "component", F.explode(step).alias("shingle"))
+
+
 def across(docs: DataFrame, rows: DataFrame, sigs: DataFrame, labels: DataFrame, seed: int, least: float, estimate: float, width: int) -> DataFrame:
     """Pairs to verify between different components that meet in a bucket; rows: band, lead, node."""
-    named = rows.join(labels, "node", "left").select("band", "node", F.coalesce("component", "node").alias("component"))
-    split = named.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo <> hi").select("band", "lo", F.ceil(F.col("n") / CHUNK).cast("int").alias("chunks"))
-    home = F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")
-    dealt = (
-        named.join(split, "band").withColumn("home", home)
-        .withColumn("chunk", F.explode(F.when(F.col("component") == F.col("lo"), F.array("home")).otherwise(F.sequence(F.lit(0), F.col("chunks") - 1))))
-        .select("band", "chunk", "node", "component", (F.col("home") == F.col("chunk")).alias("own"))
-    )
-    dealt = C.written(dealt, "minhash-mixed")
-    known = C.written(shingled(docs, C.written(dealt.select("node").distinct(), "minhash-mixed-nodes"), seed, width).join(sigs, "node"), "minhash-shingles")
-    return dealt.join(known, "node").groupBy("band", "chunk").applyInPandas(lambda pdf: compared(pdf, least, estimate), "a bigint, b bigint").distinct()
+    named = C.written(rows.join(labels, "node", "left").select("band", "node", F.coalesce("component", "node").alias("component")), "minhash-named")
+    groups = C.written(groups_of(named, ["band"]), "minhash-groups")
+    mixed = named.join(groups.select("band"), "band", "left_semi")
+    known = C.written(shingled(docs, C.written(mixed.select("node").distinct(), "minhash-mixed-nodes"), seed, width).join(sigs, "node"), "minhash-shingles")
+    key = ["band", "shingle"]
+    plain = groups.where(F.col("others") <= CHUNK)
+    tasks = dealt(named, plain, ["band"], CHUNK).withColumn("shingle", F.lit(-1).cast("bigint"))
+    if groups.where(F.col("others") > CHUNK).limit(1).count():
+        crowd = named.join(groups.where(F.col("others") > CHUNK).select("band"), "band", "left_semi")
+        split = C.written(rarest(crowd, known, least), "minhash-rarest")
+        tasks = tasks.unionByName(dealt(split, groups_of(split, key), key, CHUNK))
+    tasks = C.written(tasks, "minhash-mixed")
+    return tasks.join(known, "node").groupBy(*key, "kind", "x", "y").applyInPandas(lambda pdf: compared(pdf, least, estimate), "a bigint, b bigint").distinct()
 
 
 def classed(docs: DataFrame, least: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, width: int = WIDTH) -> tuple[DataFrame, int]:
     """doc_id, node (hash of the text), component and class_id of every row of ``docs``, and the hash's seed; reads doc_id and text."""
-    docs = docs.select("doc_id", "text")
-    estimate = least - 4 * (least * (1 - least) / (bands * rows)) ** 0.5
-    for seed in range(0, 20, 2):
+    docs, spark = docs.select("doc_id", "text"), docs.sparkSession
+    estimate = least - ERRORS * (least * (1 - least) / (bands * rows)) ** 0.5
+    for seed in itertools.count(0, 2):
         base = C.written(signatures(docs, seed, bands, rows, width), "minhash-signatures")
-        per = C.written(base.groupBy("node").agg(F.min("doc_id").alias("least_id"), F.min("check").alias("lo"), F.max("check").alias("hi")), "minhash-texts")
+        per = C.written(base.groupBy("node").agg(F.min("doc_id").alias("least_id"), F.min("check").alias("lo"), F.max("check").alias("hi"), F.count(F.lit(1)).alias("copies")), "minhash-texts")
         if not per.where("lo <> hi").limit(1).count():
             break  # no two texts share a hash
-        C.drop_path(docs.sparkSession, base)
-    sigs = base.where(F.size("bands") > 0).groupBy("node").agg(F.first("sig").alias("sig"), F.first("bands").alias("bands"))
-    row = base.select("node", F.explode("bands").alias("band"))
+        C.drop_path(spark, base)
+    sigs = C.written(base.where(F.size("bands") > 0).groupBy("node").agg(F.first("sig").alias("sig"), F.first("bands").alias("bands")), "minhash-sketches")
+    row = sigs.select("node", F.explode("bands").alias("band"))
     lead = C.written(row.groupBy("band").agg(F.min("node").alias("lead"), F.max("node").alias("hi")).where("lead <> hi").drop("hi"), "minhash-buckets")
-    member = C.written(row.join(lead, "band").select("band", "lead", "node").distinct(), "minhash-members")
+    member = C.written(row.join(lead, "band").select("band", "lead", "node"), "minhash-members")
     star = C.written(member.where("node <> lead").select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct(), "minhash-stars")
     met = star.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    sigs = C.written(sigs.join(met, "node", "left_semi"), "minhash-compared")
-    links = C.written(verified(C.written(alike(star, sigs, estimate), "minhash-pairs"), docs, seed, least, width), "minhash-links")
+    near = C.written(sigs.join(met, "node", "left_semi"), "minhash-compared")
+    links = C.written(verified(C.written(alike(star, near, estimate), "minhash-pairs"), docs, seed, least, width), "minhash-links")
     labels = C.components(links, "minhash-components")
-    more = C.written(across(docs, member, sigs, labels, seed, least, estimate, width), "minhash-across")
+    more = C.written(across(docs, member, near, labels, seed, least, estimate, width), "minhash-across")
     if more.limit(1).count():
         found = C.written(verified(more, docs, seed, least, width), "minhash-links2")
         if found.limit(1).count():
             labels = C.components(links.union(found), "minhash-components2")
-    owned = per.join(labels, "node", "left").select("node", "least_id", F.coalesce("component", "node").alias("component"))
+    for done in (sigs, lead, member, star, near, more):
+        C.drop_path(spark, done)
+    owned = per.join(labels, "node", "left").select("node", "least_id", "copies", F.coalesce("component", "node").alias("component"))
     first = owned.groupBy("component").agg(F.min("least_id").alias("class_id"))
-    named = owned.join(first, "component").select("node", "component", "class_id")
-    return base.select("doc_id", "node").join(named, "node"), seed
+    named = C.written(owned.join(first, "component").select("node", "component", "class_id", "copies"), "minhash-named-texts")
+    return C.spread_join(base.select("doc_id", "node"), named, "node"), seed
 
 
 def classes(docs: DataFrame, least: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, width: int = WIDTH) -> DataFrame:
@@ -317,14 +384,15 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     """``docs`` with one row of each class: of its texts and rows with the least doc_id (nulls last) any one."""
     found, seed = classed(docs)
     found = C.written(found, "minhash-classes")
+    id_, node, at = (C.fresh(docs, n) for n in ("_id", "_node", "_at"))
     least = found.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "node")).alias("m"))
-    stay = C.written(least.select(F.col("m.doc_id").alias("_id"), F.col("m.node").alias("_node")), "minhash-kept")
+    stay = C.written(least.select(F.col("m.doc_id").alias(id_), F.col("m.node").alias(node)), "minhash-kept")
     few = stay.limit(MOST_SENT + 1).count() <= MOST_SENT
     small = F.broadcast(stay) if few else stay
 
-    def of(rows: DataFrame, node: str) -> DataFrame:
-        return rows.join(small, rows["doc_id"].eqNullSafe(F.col("_id")) & (F.col(node) == F.col("_node")), "left_semi")
+    def of(rows: DataFrame, name: str) -> DataFrame:
+        return rows.join(small, rows["doc_id"].eqNullSafe(F.col(id_)) & (F.col(name) == F.col(node)), "left_semi")
 
     again = of(found, "node").groupBy("node").agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).count()
-    kept = of(docs.withColumn("_at", F.xxhash64(F.lit(seed), F.coalesce("text", F.lit("")))), "_at")
-    return (kept.dropDuplicates(["_at"]) if again else kept).select(*docs.columns)
+    kept = of(docs.withColumn(at, F.xxhash64(F.lit(seed), F.coalesce("text", F.lit("")))), at)
+    return (kept.dropDuplicates([at]) if again else kept).select(*docs.columns)

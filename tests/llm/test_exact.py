@@ -88,15 +88,72 @@ def test_minhash_against_brute_force(spark, docs):
     assert got == brute_classes(rows)
 
 
-def test_minhash_chunks_lose_nothing(spark, monkeypatch):
+@pytest.mark.parametrize("chunk", [4, 8, 512])
+def test_minhash_blocks_lose_nothing(spark, monkeypatch, chunk):
+    """Near copies of one text, and texts that share a long passage: buckets with many components are split by rare shingles."""
     random.seed(8)
     base = [f"w{random.randrange(300)}" for _ in range(100)]
     made = [(k, " ".join(w if random.random() > 0.035 else f"z{random.randrange(9999)}" for w in base)) for k in range(40)]
-    monkeypatch.setattr(minhash, "CHUNK", 8)
+    for k in range(30):
+        own = [f"o{k // 2}x{i}" for i in range(90)] + ([f"p{k}"] if k % 3 else [])
+        made.append((100 + k, " ".join(base + own)))
+    monkeypatch.setattr(minhash, "CHUNK", chunk)
     got = sorted((str(r.doc_id), str(r.class_id)) for r in minhash.classes(spark.createDataFrame(made, "doc_id long, text string")).collect())
     assert got == brute_classes(made)
 
 
+def test_dealt_blocks_meet_every_pair(spark):
+    """Each pair of a group across components is in exactly one task, on opposite sides or in a one-sided task."""
+    comp = {n: 0 if n < 30 else n for n in range(52)}
+    named = spark.createDataFrame([(1, n, c) for n, c in comp.items()] + [(2, n, n % 2) for n in range(5)] + [(3, n, 9) for n in range(6)], "band long, node long, component long")
+    groups = minhash.groups_of(named, ["band"])
+    assert {r.band for r in groups.collect()} == {1, 2}
+    for chunk in (4, 7, 25, 100):
+        tasks, met = {}, []
+        for r in minhash.dealt(named, groups, ["band"], chunk).collect():
+            tasks.setdefault((r.band, r.kind, r.x, r.y), []).append(r)
+        for (band, *_), rows in tasks.items():
+            alone = len({r.side for r in rows}) == 1
+            met += [(band, *sorted((a.node, b.node))) for a, b in itertools.combinations(rows, 2) if a.component != b.component and (alone or a.side != b.side)]
+        want = [(1, a, b) for a, b in itertools.combinations(range(52), 2) if comp[a] != comp[b]] + [(2, a, b) for a, b in itertools.combinations(range(5), 2) if a % 2 != b % 2]
+        assert set(met) == set(want)
+        assert len(met) == len(want) or chunk < 100
+
+
+def test_minhash_recall(spark, capsys):
+    """All pairs of sf0.01 of J_P 0.8 or more, by an inverted list of shingles: their share in one class."""
+    docs = C.table(spark, "/root/testdata/sf0.01", "documents").select("doc_id", "text")
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    memo = minhash.WordHashes()
+    sets = [minhash.shingles([t], memo)[1:] for _, t in rows]
+    holders = {}
+    for i, (keys, _) in enumerate(sets):
+        for k in keys.tolist():
+            holders.setdefault(k, []).append(i)
+    pairs = {p for h in holders.values() if len(h) > 1 for p in itertools.combinations(h, 2)}
+    true = [p for p in pairs if minhash.jp(*sets[p[0]], *sets[p[1]]) >= 0.8]
+    cls = {r.doc_id: r.class_id for r in minhash.classes(docs).collect()}
+    recall = np.mean([cls[rows[a][0]] == cls[rows[b][0]] for a, b in true])
+    with capsys.disabled():
+        print(f"\nrecall of {len(true)} pairs at J_P >= 0.8: {recall:.4f}")
+    assert len(true) > 50 and recall >= 0.99
+
+
+def test_counts_are_wide(spark):
+    many = "line of five same words " * 14_000
+    a, b = many + "and a tail", many * 2 + "and another tail here"
+    got = minhash.shingled(spark.createDataFrame([(a,), (b,)], "text string"), spark.createDataFrame([(a,), (b,)], "text string").select(F.xxhash64(F.lit(0), "text").alias("node")), 0, 5).collect()
+    assert max(np.frombuffer(r.counts, np.uint32).max() for r in got) == 28_000
+
+
+def test_hot_keys_are_spread(spark, monkeypatch):
+    monkeypatch.setattr(C, "HOT_ROWS", 3)
+    rows = spark.createDataFrame([(k % 7 if k < 40 else 1, k) for k in range(90)], "key long, v long")
+    table = rows.groupBy("key").agg(F.count(F.lit(1)).alias("copies"), F.max("v").alias("m"))
+    got = C.spread_join(rows, table, "key")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, rows.join(table.drop("copies"), "key").collect()))
+
+
 def test_deduplicated_keeps_one_of_each(spark, docs, none):
     out = minhash.deduplicated(docs)
     assert out.columns == docs.columns
