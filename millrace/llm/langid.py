@@ -33,7 +33,7 @@ from millrace.llm import common as C
 #: Training texts taken for each language, and of all languages; hashed features; words in a block.
 MOST_EACH, MOST_ROWS, SPACE, BLOCK = 400, 50_000, 1 << 16, 64
 #: Words whose messages are held at once; features of known words that are kept.
-AT_ONCE, KEPT = 150_000, 12_000_000
+AT_ONCE, KEPT = 60_000, 3_000_000
 
 
 def features(word: str, lexicon: set[str]) -> Iterator[int]:
@@ -301,8 +301,8 @@ def tagged(texts: list[str | None], model: dict, words: Words) -> Iterator[tuple
             k += 1
 
 
-def predicted(docs: DataFrame, model: dict, runs: bool = False) -> DataFrame:
-    """``docs`` with lang_pred and score; with runs also the stretches (first, last word, lang) of one language."""
+def predicted(docs: DataFrame, model: dict, runs: bool = False, keep: list[str] | None = None) -> DataFrame:
+    """``docs`` (or its columns ``keep``) with lang_pred and score; with runs also the stretches (first, last word, lang) of one language."""
     spark = docs.sparkSession
     C.ship(spark)
     sent = spark.sparkContext.broadcast(model)
@@ -330,14 +330,15 @@ def predicted(docs: DataFrame, model: dict, runs: bool = False) -> DataFrame:
                 total = mass.sum(1)
                 lang = [m["langs"][int(v.argmax())] if s else "und" for v, s in zip(mass, total, strict=True)]
                 score = np.where(total > 0, np.minimum(1.0, mass.max(1) / np.where(total > 0, total, 1.0)), 0.0)
-                cols = [*part.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64())]
-                names = [*part.schema.names, "lang_pred", "score"]
+                cols = [*(part.column(c) for c in kept), pa.array(lang, pa.string()), pa.array(score, pa.float64())]
+                names = [*kept, "lang_pred", "score"]
                 if runs:
                     cols, names = [*cols, pa.array(spans, kind)], [*names, "runs"]
                 yield pa.RecordBatch.from_arrays(cols, names=names)
 
     docs = docs.drop("lang_pred", "score", "runs")
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
+    kept = docs.columns if keep is None else keep
+    fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in kept)
     return docs.mapInArrow(run, f"{fields}, lang_pred string, score double" + ", runs array<struct<first:int,last:int,lang:string>>" * runs)
 
 
@@ -359,5 +360,5 @@ def training_rows(docs: DataFrame, most_each: int = MOST_EACH, most: int = MOST_
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = C.table(spark, sf_dir, "documents")
     model = fit(training_rows(docs))
-    out = predicted(docs.select("doc_id", "text"), model)
+    out = predicted(docs.select("doc_id", "text"), model, keep=["doc_id"])
     return out.select("doc_id", (C.bucket_of(F.col("doc_id"), 4) == 2).alias("held_out"), "lang_pred", "score")

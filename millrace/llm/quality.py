@@ -72,8 +72,8 @@ def fit(rows: list[tuple[str, int]], dict_bytes: int = DICT_BYTES) -> dict:
     return model | {"w": C.logistic((x - mean) / sd, y).tolist(), "mean": mean.tolist(), "sd": sd.tolist()}
 
 
-def score(docs: DataFrame, model: dict) -> DataFrame:
-    """``docs`` with score and predicted; in one pass, without a shuffle."""
+def score(docs: DataFrame, model: dict, keep: list[str] | None = None) -> DataFrame:
+    """``docs`` (or its columns ``keep``) with score and predicted; in one pass, without a shuffle."""
     spark = docs.sparkSession
     C.ship(spark)
     sent = spark.sparkContext.broadcast(model)
@@ -86,11 +86,12 @@ def score(docs: DataFrame, model: dict) -> DataFrame:
                 part = batch.slice(lo, 256)
                 x = features(part.column("text").to_pylist(), *tools)
                 p = 1 / (1 + np.exp(-np.clip(((x - mean) / sd) @ w[:-1] + w[-1], -30, 30)))
-                cols = [*part.columns, pa.array(p, pa.float64()), pa.array((p >= 0.5).astype("int32"))]
-                yield pa.RecordBatch.from_arrays(cols, schema=pa.schema([*part.schema, ("score", pa.float64()), ("predicted", pa.int32())]))
+                cols = [*(part.column(c) for c in kept), pa.array(p, pa.float64()), pa.array((p >= 0.5).astype("int32"))]
+                yield pa.RecordBatch.from_arrays(cols, names=[*kept, "score", "predicted"])
 
     docs = docs.drop("score", "predicted")
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
+    kept = docs.columns if keep is None else keep
+    fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in kept)
     return docs.mapInArrow(run, f"{fields}, score double, predicted int")
 
 
@@ -101,5 +102,5 @@ def trained(spark: SparkSession, sf_dir: str, docs: DataFrame | None = None, mos
 
 def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = C.table(spark, sf_dir, "documents").select("doc_id", "text")
-    out = score(docs, trained(spark, sf_dir))
+    out = score(docs, trained(spark, sf_dir), ["doc_id"])
     return out.select("doc_id", (C.bucket_of(F.col("doc_id"), 3) == 1).alias("held_out"), "score", "predicted")

@@ -320,8 +320,8 @@ def fit(rows: list[tuple[str, int]], parts: int = 3) -> dict:
     return model | {"w": C.logistic((x - x.mean(0)) / sd, y).tolist(), "mean": x.mean(0).tolist(), "sd": sd.tolist()}
 
 
-def score(docs: DataFrame, model: dict, spans: bool = False) -> DataFrame:
-    """``docs`` with score and predicted; with spans also hits (word, place, weight, edits, quoted, reported)."""
+def score(docs: DataFrame, model: dict, spans: bool = False, keep: list[str] | None = None) -> DataFrame:
+    """``docs`` (or its columns ``keep``) with score and predicted; with spans also hits (word, place, weight, edits, quoted, reported)."""
     spark = docs.sparkSession
     C.ship(spark)
     sent = spark.sparkContext.broadcast(model)
@@ -336,20 +336,21 @@ def score(docs: DataFrame, model: dict, spans: bool = False) -> DataFrame:
                 part = batch.slice(lo, 256)
                 texts = part.column("text").to_pylist()
                 p = 1 / (1 + np.exp(-np.clip(((features(texts, hits) - mean) / sd) @ w[:-1] + w[-1], -30, 30)))
-                cols = [*part.columns, pa.array(p, pa.float64()), pa.array((p >= 0.5).astype("int32"))]
-                names = [*part.schema.names, "score", "predicted"]
+                cols = [*(part.column(c) for c in kept), pa.array(p, pa.float64()), pa.array((p >= 0.5).astype("int32"))]
+                names = [*kept, "score", "predicted"]
                 if spans:
                     cols.append(pa.array([[{"word": h.word.decode("utf-8", "replace"), "place": h.place, "weight": h.weight, "edits": h.edits, "quoted": h.quoted, "reported": h.reported} for h in hits_of(t, hits)] if t else [] for t in texts], kind))
                     names.append("hits")
                 yield pa.RecordBatch.from_arrays(cols, names=names)
 
     docs = docs.drop("score", "predicted", "hits")
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
+    kept = docs.columns if keep is None else keep
+    fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in kept)
     return docs.mapInArrow(run, f"{fields}, score double, predicted int" + ", hits array<struct<word:string,place:int,weight:double,edits:int,quoted:boolean,reported:boolean>>" * spans)
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = C.table(spark, sf_dir, "documents").select("doc_id", "text")
     model = fit(C.labelled_sample(docs, C.table(spark, sf_dir, "labels"), "toxic", 5, 0, MOST_LABELLED))
-    out = score(docs, model)
+    out = score(docs, model, keep=["doc_id"])
     return out.select("doc_id", (C.bucket_of(F.col("doc_id"), 5) == 0).alias("held_out"), "score", "predicted")
