@@ -5,8 +5,10 @@ word k-gram hashes of every text are tested against a bit table of the templates
 k-gram hashes inside the row; the survivors are joined with the templates' positions on hash and
 words. A match votes for the diagonal "text position - template position" of its row and
 template. A base phrase stands wherever one diagonal holds all of its k-grams. For the
-longer notices neighbouring diagonals (words added or left out) merge into one span, which
-counts if its distinct template positions cover COVERAGE of the notice.
+longer notices the diagonals up to DRIFT after a first one (words added or left out) merge into one span.
+Each span is verified by aligning it with its notice: of each template position the first text position
+in the span counts if it lies behind those of all earlier template positions. A span counts if
+what is aligned covers COVERAGE of the notice; of overlapping spans the best is reported.
 
 Defined cases: null and empty texts have no words and no labels; texts of any length are whole;
 repeated rows are scanned one by one; an empty table gives an empty result; extra columns are
@@ -15,14 +17,14 @@ not read.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from millrace.llm import common as C
 from millrace.llm import grams as G
 
-#: Words in a k-gram of base phrases and notices; diagonals that far apart merge; share of a notice to cover.
-BASE_K, NOTICE_K, GAP, COVERAGE = 2, 3, 3, 0.75
+#: Words in a k-gram of base phrases and notices; words that a span may add or leave out; share of a notice to align.
+BASE_K, NOTICE_K, DRIFT, COVERAGE = 2, 3, 6, 0.75
 
 # The contract's phrases, and notices with their labels.
 BASE = [("mit", "mit license"), ("apache", "apache license"), ("gpl", "general public license")]
@@ -88,23 +90,27 @@ def scan(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), base: list = BASE
         hit.join(F.broadcast(tpl), ["h", "gram"]).withColumn("diagonal", F.col("pos") - F.col("tpos"))
         .groupBy("row", "template", "label", "is_base", "grams", "diagonal").agg(F.collect_set("tpos").alias("voted"))
     )
-    lines = votes.groupBy("row", "template", "label", "is_base", "grams").agg(F.array_sort(F.collect_list(F.struct("diagonal", "voted"))).alias("lines"))
-
-    def merge(acc: Column, line: Column) -> Column:
-        last = F.element_at(acc, -1)
-        near = (F.size(acc) > 0) & (line["diagonal"] - F.try_element_at(acc, F.lit(-1))["hi"] <= GAP)
-        grown = F.struct(last["lo"].alias("lo"), line["diagonal"].alias("hi"), F.array_union(last["voted"], line["voted"]).alias("voted"))
-        fresh = F.struct(line["diagonal"].alias("lo"), line["diagonal"].alias("hi"), line["voted"].alias("voted"))
-        return F.when(near, F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), F.array(grown))).otherwise(F.concat(acc, F.array(fresh)))
-
-    empty = F.array().cast("array<struct<lo:int,hi:int,voted:array<int>>>")
-    merged = F.aggregate("lines", empty, merge)
-    spans = F.transform(F.when(F.col("is_base"), empty).otherwise(merged), lambda s: F.struct(
-        F.col("template"), F.col("label"), (s["lo"] + F.array_min(s["voted"])).alias("first"), (s["hi"] + F.array_max(s["voted"]) + NOTICE_K - 1).alias("last"),
-        (F.size(s["voted"]) / F.col("grams")).alias("coverage")))
-    whole = F.filter("lines", lambda x: (F.size(x["voted"]) == F.col("grams")) & F.col("is_base"))
-    places = F.transform(whole, lambda x: F.struct(F.col("label"), x["diagonal"].cast("long").alias("start")))
-    per = lines.select("row", spans.alias("spans"), places.alias("places")).groupBy("row").agg(F.flatten(F.collect_list("spans")).alias("spans"), F.flatten(F.collect_list("places")).alias("places"))
+    key = ["row", "template", "label", "grams"]
+    whole = votes.where(F.col("is_base") & (F.size("voted") == F.col("grams"))).groupBy("row").agg(F.collect_list(F.struct("label", F.col("diagonal").cast("long").alias("start"))).alias("places"))
+    # a window holds one row's diagonals for one template
+    line = Window.partitionBy(*key).orderBy("diagonal")
+    near = votes.where(~F.col("is_base")).select(*key, "diagonal", F.collect_list(F.struct("diagonal", "voted")).over(line.rangeBetween(0, DRIFT)).alias("lines"))
+    spots = F.array_sort(F.flatten(F.transform("lines", lambda x: F.transform(x["voted"], lambda t: F.struct(t.alias("tpos"), (x["diagonal"] + t).alias("pos"))))))
+    start = F.struct(F.lit(-1).alias("tpos"), F.lit(-1).alias("last"), F.lit(0).alias("n"), F.lit(-1).alias("first"))
+
+    def align(acc: Column, x: Column) -> Column:
+        on = (x["tpos"] > acc["tpos"]) & (x["pos"] > acc["last"])
+        return F.struct(
+            x["tpos"].alias("tpos"), F.when(on, x["pos"]).otherwise(acc["last"]).alias("last"), (acc["n"] + on.cast("int")).alias("n"),
+            F.when(on & (acc["first"] < 0), x["pos"]).otherwise(acc["first"]).alias("first"),
+        )
+
+    met = near.select(*key, "diagonal", F.aggregate(spots, start, align).alias("a")).withColumn("coverage", F.col("a.n") / F.col("grams"))
+    before, after = F.max("coverage").over(line.rangeBetween(-DRIFT, -1)), F.max("coverage").over(line.rangeBetween(1, DRIFT))
+    best = met.withColumn("before", before).withColumn("after", after).where((F.col("coverage") > F.coalesce("before", F.lit(0.0))) & (F.col("coverage") >= F.coalesce("after", F.lit(0.0))))
+    span = F.struct("template", "label", F.col("a.first").alias("first"), (F.col("a.last") + NOTICE_K - 1).alias("last"), "coverage")
+    spans = best.groupBy("row").agg(F.collect_list(span).alias("spans"))
+    per = spans.join(whole, "row", "full")
     none = lambda c: F.coalesce(c, F.array().cast(per.schema[c].dataType)).alias(c)
     return stored.select("row", *keep, "n_words").join(per, "row", "left").select(*keep, "n_words", none("places"), none("spans"))
 
@@ -126,7 +132,7 @@ _WORDS = r"""regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQ
 
 
 def _sql() -> str:
-    """The same scan in DuckDB's SQL: k-grams joined to templates, diagonals merged by a running gap."""
+    """The same scan in DuckDB's SQL: k-grams joined to templates, diagonals merged and aligned."""
     tpl = ", ".join(f"({n}, '{label}', {str(b).lower()}, '{text}')" for n, (label, text, b) in enumerate([(*x, True) for x in BASE] + [(*x, False) for x in NOTICES]))
     return rf"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS} AS w FROM documents),
@@ -137,10 +143,10 @@ g AS (SELECT r, i - 1 AS pos, ks.k AS k, array_to_string(w[i : i + ks.k - 1], '
 v AS (SELECT DISTINCT r, template, label, is_base, grams, pos - tpos AS diag, tpos FROM g JOIN t USING (k, gram)),
 l AS (SELECT r, template, label, is_base, grams, diag, count(*) AS votes FROM v GROUP BY ALL),
 places AS (SELECT r, label, diag AS start FROM l WHERE is_base AND votes = grams),
-gap AS (SELECT *, CASE WHEN diag - lag(diag) OVER (PARTITION BY r, template ORDER BY diag) <= {GAP} THEN 0 ELSE 1 END AS fresh FROM l WHERE NOT is_base),
-grp AS (SELECT *, sum(fresh) OVER (PARTITION BY r, template ORDER BY diag) AS s FROM gap),
-spans AS (SELECT grp.r, grp.template, grp.label, s, CAST(count(DISTINCT v.tpos) AS DOUBLE) / max(grp.grams) AS coverage
-          FROM grp JOIN v ON v.r = grp.r AND v.template = grp.template AND v.diag = grp.diag GROUP BY grp.r, grp.template, grp.label, s),
+spot AS (SELECT l.r, l.template, l.label, l.grams, l.diag, v.tpos, min(v.diag + v.tpos) AS pos
+         FROM l JOIN v ON v.r = l.r AND v.template = l.template AND v.diag BETWEEN l.diag AND l.diag + {DRIFT} WHERE NOT l.is_base GROUP BY l.r, l.template, l.label, l.grams, l.diag, v.tpos),
+run AS (SELECT *, max(pos) OVER (PARTITION BY r, template, diag ORDER BY tpos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS far FROM spot),
+spans AS (SELECT r, template, label, CAST(count(*) FILTER (WHERE far IS NULL OR pos > far) AS DOUBLE) / max(grams) AS coverage FROM run GROUP BY r, template, label, diag),
 pa AS (SELECT r, count(*) AS n_base, min(start) AS first_word, max(start) AS last_word FROM places GROUP BY r),
 bl AS (SELECT r, string_agg(label, ',' ORDER BY label) AS base_labels FROM (SELECT DISTINCT r, label FROM places) GROUP BY r),
 al AS (SELECT r, string_agg(label, ',' ORDER BY label) AS labels FROM (SELECT r, label FROM places UNION SELECT r, label FROM spans WHERE coverage >= {COVERAGE}) GROUP BY r),
