@@ -4,8 +4,9 @@ Content is normalised to what a tokenizer sees (null counts as empty) and digest
 (sha256) together with the tokenizer's version, itself the digest of its vocabulary file.
 Digests are looked up in the cache, Parquet files of (digest, n_tokens) in a shared
 folder; only the distinct misses are encoded, by the library that belongs to the
-file, and their counts are appended to the cache. Texts move at most once, one copy of
-each distinct text for each input partition, and only where something is missing.
+file, and their counts are appended to the cache. Digests that one row alone holds are encoded where their row
+is read; only texts that several rows share are shuffled, one copy from each input partition, so that each
+is encoded once. A digest that many rows hold is joined back by broadcast, not in one task.
 
 Defined cases: null and empty texts have 0 tokens; strings of special tokens inside a text
 are handled as the library's default; a text of any length is whole; repeated rows share
@@ -25,8 +26,8 @@ from pyspark.sql import functions as F
 
 from millrace.llm import common as C
 
-#: Tokens over which a text counts as long; UTF-8 bytes handed to the library at once.
-LIMIT, SLICE = 1024, 2_000_000
+#: Tokens over which a text counts as long; UTF-8 bytes handed to the library at once; digests up to which they are broadcast.
+LIMIT, SLICE, MOST_SENT = 1024, 2_000_000, 1_000_000
 
 
 #: How a byte-level BPE splits text before its merges; and texts of long-settled Latin letters, for which all Unicode tables agree on it.
@@ -125,21 +126,33 @@ def counted(docs: DataFrame, path: str, cache: str, keep: tuple[str, ...] = ("do
         raw = f.read()
     version = hashlib.sha256(raw).hexdigest()
     text = F.coalesce(F.col("text"), F.lit(""))
-    keyed = C.written(docs.select(*keep, digest(text, version).alias("digest"), F.octet_length(text).cast("long").alias("n_bytes")), "token-digests")
+    names = [f"k{i}" for i in range(len(keep))]
+    kept = [F.col(c).alias(n) for c, n in zip(keep, names, strict=True)]
+    keyed = C.written(docs.select(*kept, digest(text, version).alias("digest"), F.octet_length(text).cast("long").alias("n_bytes")), "token-digests")
+    distinct = C.written(keyed.groupBy("digest").agg(F.count(F.lit(1)).alias("copies")), "token-distinct")
     jvm = spark._jvm
     at = jvm.org.apache.hadoop.fs.Path(cache)
     stored = at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
-    known = spark.read.schema("digest binary, n_tokens bigint").parquet(cache) if stored else None
     texts = docs.select(digest(text, version).alias("digest"), text.alias("text"))
-    if known is not None:
-        misses = C.written(keyed.select("digest").distinct().join(known.select("digest"), "digest", "left_anti"), "token-misses")
-        few = misses.limit(1_000_001).count() <= 1_000_000
-        texts = texts.join(F.broadcast(misses) if few else misses, "digest", "left_semi")
-    fresh = encoded(texts.dropDuplicates(["digest"]), path, raw)
-    fresh.write.mode("append").parquet(cache)
+    if stored:
+        known = spark.read.schema("digest binary, n_tokens bigint").parquet(cache)
+        misses = C.written(distinct.join(known.select("digest"), "digest", "left_anti"), "token-misses")
+        alone = texts.join(few(misses.where("copies = 1").select("digest")), "digest", "left_semi")
+    else:
+        misses = distinct
+        alone = texts.join(few(misses.where("copies > 1").select("digest")), "digest", "left_anti")
+    shared = texts.join(few(misses.where("copies > 1").select("digest")), "digest", "left_semi").dropDuplicates(["digest"])
+    encoded(alone.unionByName(shared), path, raw).write.mode("append").parquet(cache)
     counts = spark.read.schema("digest binary, n_tokens bigint").parquet(cache)
     counts = counts.groupBy("digest").agg(F.min("n_tokens").alias("n_tokens"))  # another writer may have added the same
-    return keyed.join(counts, "digest").select(*keep, "n_bytes", "n_tokens")
+    found = C.written(distinct.join(counts, "digest"), "token-found")
+    out = C.spread_join(keyed, found, "digest")
+    return out.select(*[F.col(n).alias(c) for n, c in zip(names, keep, strict=True)], "n_bytes", "n_tokens")
+
+
+def few(digests: DataFrame) -> DataFrame:
+    """Digests (32 bytes each), broadcast if their number, counted, allows it."""
+    return F.broadcast(digests) if digests.limit(MOST_SENT + 1).count() <= MOST_SENT else digests
 
 
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -317,7 +317,20 @@ def test_licenses(spark, docs, none):
     notice = "Redistribution and use in source and binary forms, with or without any modification, are permitted provided that the following conditions are met"
     found = licenses.scan(spark.createDataFrame([(1, f"some text {notice} more text")], "doc_id long, text string")).first()
     best = max(found.spans, key=lambda s: s.coverage)
-    assert best.label == "bsd" and best.coverage >= licenses.COVERAGE and best.first == 2
+    assert best.label == "bsd" and best.coverage >= licenses.COVERAGE and best.first == 2 and best.last == 2 + len(words(notice)) - 1
+
+
+def test_spans_are_verified(spark):
+    """The grams of a notice in another order, or spread over a long text, vote but do not align."""
+    notice = "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met".split()
+    turned = " ".join(notice[14:] + notice[7:14] + notice[:7])
+    spread = " x y z w ".join(" ".join(notice[i : i + 4]) for i in range(0, len(notice), 4))
+    twice = " ".join(notice) + " and then some other words here " + " ".join(notice[:9] + ["also"] + notice[9:])
+    out = {r.doc_id: r for r in licenses.scan(spark.createDataFrame([(1, turned), (2, spread), (3, twice)], "doc_id long, text string")).collect()}
+    of = lambda i: [(s.first, s.last, s.coverage) for s in out[i].spans if s.label == "bsd"]
+    assert of(1) and of(2) and max(c for *_, c in of(1) + of(2)) < licenses.COVERAGE
+    n = len(notice)
+    assert sorted((a, b) for a, b, c in of(3) if c >= licenses.COVERAGE) == [(0, n - 1), (n + 6, 2 * n + 6)]
 
 
 # tokens
@@ -335,11 +348,28 @@ def test_token_counts_and_cache(spark, docs, none, tmp_path):
     n = spark.read.parquet(cache).count()
     again = sorted((str(r.doc_id), r.n_bytes, r.n_tokens) for r in tokens.counted(special, path, cache).collect())
     assert once == want == again and spark.read.parquet(cache).count() == n == special.select(F.coalesce("text", F.lit(""))).distinct().count()
+    keep = special.withColumn("digest", F.lit(1)).withColumn("n_tokens", F.lit(2)).withColumn("copies", F.lit(3))
+    assert tokens.counted(keep, path, cache, ("doc_id", "digest", "copies")).columns == ["doc_id", "digest", "copies", "n_bytes", "n_tokens"]
     more = spark.createDataFrame([(1, "brand new")], "doc_id long, text string")
     assert tokens.counted(more, path, cache).count() == 1 and spark.read.parquet(cache).count() == n + 1
     assert tokens.counted(none, path, cache).count() == 0
 
 
+def test_pieces_of_a_split_count_as_the_library_does():
+    """Counting by remembered pieces against the library on random strings of the letters it is used for, and of others."""
+    import public_tokenizers as P
+    from tokenizers import Tokenizer
+
+    path = P.path("byte_bpe_50k.json")
+    with open(path, "rb") as f:
+        raw = f.read()
+    t, count = Tokenizer.from_str(raw.decode()), tokens.counter(path, raw)
+    random.seed(9)
+    alphabet = [*"abcXYZ 019 \t\n'sdmtrevl.,!-_()éüßñÀ\u00a0\u2028日𝒳", " the", "'ll", "  ", "<|endoftext|>", "<|end"]
+    texts = ["".join(random.choice(alphabet) for _ in range(random.randint(0, 40))) for _ in range(6000)]
+    assert count(texts) == [len(e) for e in t.encode_batch(texts, add_special_tokens=False)]
+
+
 # SentencePiece
 
 
