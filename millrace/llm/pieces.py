@@ -9,18 +9,20 @@ admitted, the library's own. Both are the same max-plus computation.
 A giant text is cut into chunks of CHUNK characters wherever that falls. A state at a cut
 is a piece that covers the character before it; a chunk's transfer matrix holds the best
 weight from each state at its left cut to each at its right cut. A document's matrices
-are multiplied as a tree, which fixes the state at every cut; then each chunk is
-backtraced by itself. Between places that no piece of the model can span (before a space,
+are multiplied as a tree of FAN-wide ranges, each range a group of its own, which fixes the state at
+every cut from the top downwards; then each chunk is backtraced by itself. Between places that no piece of the model can span (before a space,
 mostly) a chunk's inside is independent of its cuts, so equal segments are solved once.
 
 Models: byte fallback or unknown pieces, identity normalisation with escaped white space
 and an optional dummy prefix; others are refused. Defined cases: null and empty texts
 have no ids; U+2581 in a text decodes to a space, as in the library; a text of any length is
-whole; repeated rows encode alike; an empty table gives an empty result.
+whole; repeated rows encode alike; null ids decode to null, ids of control pieces to nothing; an empty table
+gives an empty result.
 """
 
 from __future__ import annotations
 
+import codecs
 import re
 from collections.abc import Iterator
 from functools import lru_cache
@@ -34,9 +36,14 @@ from pyspark.sql import functions as F
 from millrace.llm import common as C
 
 SPACE, CHUNK, KNOWN = "▁", 16_384, 500_000
+#: Matrices of one text that are multiplied in one group; bytes of giant texts that a task slices at once.
+FAN = 256
 NONE = -np.inf
 
 
+codecs.register_error("millrace_each_byte", lambda e: ("\ufffd" * (e.end - e.start), e.end))
+
+
 class Model:
     """Pieces of a SentencePiece model and their lattice."""
 
@@ -72,7 +79,9 @@ class Model:
                 below = node[0]
             node[1] = p
         back = {i: b for b, i in self.bytes.items()}
-        self.raw = [bytes([back[i]]) if i in back else n.encode() for i, n in enumerate(self.names)]
+        special = {i: " ⁇ ".encode() if p.type == 2 else b"" for i, p in enumerate(proto.pieces) if p.type in (2, 3)}  # as the library shows them
+        self.raw = [bytes([back[i]]) if i in back else special.get(i, n.replace(SPACE, " ").encode()) for i, n in enumerate(self.names)]
+        self.leading = {i for p, i in self.ids.items() if p[0] == SPACE}
         self.next: dict[str, dict[str, bool]] = {}
         self.pairs_known = 0
         self.solved: dict[str, tuple[int, ...]] = {}
@@ -239,8 +248,9 @@ class Model:
         return self.inside((self.prefix + text).replace(" ", SPACE)) if text else []
 
     def decode(self, ids: list[int]) -> str:
-        text = b"".join(map(self.raw.__getitem__, ids)).decode("utf-8", "surrogatepass").replace(SPACE, " ")
-        return text[1:] if self.prefix and text.startswith(" ") else text
+        text = b"".join(map(self.raw.__getitem__, ids)).decode("utf-8", "millrace_each_byte").replace(SPACE, " ")
+        first = next((i for i in ids if self.raw[i]), None)  # control pieces show nothing
+        return text[1:] if self.prefix and first in self.leading else text
 
     def states(self, text: str, cut: int) -> list[tuple[int, int]]:
         """The pieces that cover the character before ``cut``."""
@@ -328,11 +338,9 @@ def product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.max(a[:, :, None] + b[None, :, :], axis=1, initial=NONE)
 
 
-def scan(mats: list[np.ndarray]) -> list[int]:
-    """The state at each cut on the best path: products combined as a tree downwards, chosen from its top."""
+def scan(mats: list[np.ndarray], first: int | None = None, last: int | None = None) -> tuple[list[int], np.ndarray]:
+    """The state at each cut on the best path (from ``first`` to ``last`` where they are given) and the product of all, combined as a tree."""
     n = len(mats)
-    if n == 1:
-        return [0, int(np.argmax(mats[0][0]))]
 
     def build(lo: int, hi: int):
         if hi - lo == 1:
@@ -341,23 +349,73 @@ def scan(mats: list[np.ndarray]) -> list[int]:
         x, y = build(lo, mid), build(mid, hi)
         return (product(x[0], y[0]), x, y)
 
-    chosen = [0] * (n + 1)
+    root = build(0, n)
+    chosen = [0 if first is None else first] * (n + 1)
+    chosen[n] = int(np.argmax(root[0][chosen[0]])) if last is None else last
 
     def choose(node, lo: int, hi: int) -> None:
-        if node[1] is None:
-            return
-        mid = (lo + hi) // 2
-        chosen[mid] = int(np.argmax(node[1][0][chosen[lo]] + node[2][0][:, chosen[hi]]))
-        choose(node[1], lo, mid)
-        choose(node[2], mid, hi)
+        if node[1] is not None:
+            mid = (lo + hi) // 2
+            chosen[mid] = int(np.argmax(node[1][0][chosen[lo]] + node[2][0][:, chosen[hi]]))
+            choose(node[1], lo, mid)
+            choose(node[2], mid, hi)
 
-    root = build(0, n)
-    chosen[n] = int(np.argmax(root[0][0]))
     choose(root, 0, n)
-    return chosen
+    return chosen, root[0]
+
+
+MATRIX = "row bigint, at bigint, starts array<int>, goals array<int>, w array<double>"
+STATES = "row bigint, at bigint, a0 int, a1 int, b0 int, b1 int"
+
+
+def matrices_of(pdf: pd.DataFrame) -> tuple[list, list, list]:
+    starts, goals = ([np.array(x).reshape(-1, 2) for x in pdf[c]] for c in ("starts", "goals"))
+    return starts, goals, [np.array(w).reshape(len(s), len(g)) for w, s, g in zip(pdf["w"], starts, goals, strict=True)]
+
+
+def multiplied(pdf: pd.DataFrame, fan: int) -> pd.DataFrame:
+    """The product of one range's matrices."""
+    pdf = pdf.sort_values("at")
+    starts, goals, mats = matrices_of(pdf)
+    whole = scan(mats)[1]
+    return pd.DataFrame({"row": pdf["row"].iloc[:1], "at": pdf["at"].iloc[:1] // fan, "starts": [starts[0].ravel()], "goals": [goals[-1].ravel()], "w": [whole.ravel()]})
+
+
+def stated(pdf: pd.DataFrame) -> pd.DataFrame:
+    """The states at both cuts of each matrix of one range, whose own ends (a0, a1, b0, b1) are known below the top."""
+    pdf = pdf.sort_values("at")
+    starts, goals, mats = matrices_of(pdf)
+    first = last = None
+    if "a0" in pdf:
+        first = starts[0].tolist().index([pdf["a0"].iloc[0], pdf["a1"].iloc[0]])
+        last = goals[-1].tolist().index([pdf["b0"].iloc[0], pdf["b1"].iloc[0]])
+    picked, _ = scan(mats, first, last)
+    a = [s[i] for s, i in zip(starts, picked[:-1], strict=True)]
+    b = [g[i] for g, i in zip(goals, picked[1:], strict=True)]
+    return pd.DataFrame({"row": pdf["row"], "at": pdf["at"], "a0": [x[0] for x in a], "a1": [x[1] for x in a], "b0": [x[0] for x in b], "b1": [x[1] for x in b]})
+
+
+def states_of(mats: DataFrame, fan: int = FAN) -> DataFrame:
+    """STATES of MATRIX rows, numbered 0, 1, ... in each text: products of ranges upwards, states downwards.
 
+    Rows are dealt by text and range over as many tasks as a shuffle has, however few bytes they are: it is their products that take time.
+    """
+    tasks = int(mats.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    longest = mats.agg(F.max("at")).first()[0]
+    levels = [mats]
+    while longest is not None and longest >= fan:
+        up = levels[-1].withColumn("range", F.floor(F.col("at") / fan)).repartition(tasks, "row", "range").groupBy("row", "range")
+        levels.append(C.written(up.applyInPandas(lambda pdf: multiplied(pdf, fan), MATRIX), "pieces-products"))
+        longest //= fan
+    known = levels[-1].repartition(tasks, "row").groupBy("row").applyInPandas(stated, STATES)
+    for below in levels[-2::-1]:
+        ends = known.withColumnRenamed("at", "range")
+        ranged = below.withColumn("range", F.floor(F.col("at") / fan)).join(ends, ["row", "range"])
+        known = ranged.repartition(tasks, "row", "range").groupBy("row", "range").applyInPandas(stated, STATES)
+    return known
 
-def encoded(docs: DataFrame, raw: bytes, keep: tuple[str, ...] = ("doc_id",), chunk: int = CHUNK, kind: str = "auto") -> DataFrame:
+
+def encoded(docs: DataFrame, raw: bytes, keep: tuple[str, ...] = ("doc_id",), chunk: int = CHUNK, kind: str = "auto", fan: int = FAN) -> DataFrame:
     """keep columns, ids (array<int>) and round_trip (decoding gives the text) of every document."""
     spark = docs.sparkSession
     C.ship(spark)
@@ -381,12 +439,21 @@ def encoded(docs: DataFrame, raw: bytes, keep: tuple[str, ...] = ("doc_id",), ch
 
     short = docs.where(~giant).select(*kept, "text").mapInArrow(small, f"{types}, ids array<int>, round_trip boolean")
 
-    full = F.replace(F.concat(F.lit(prefix), F.col("text")), F.lit(" "), F.lit(SPACE))
-    at = F.explode(F.sequence(F.lit(0), F.length("full") - 1, F.lit(chunk)))
-    cut = docs.where(giant).select(F.monotonically_increasing_id().alias("row"), *kept, full.alias("full")).select("row", *names, "full", at.alias("lo"))
-    low = F.greatest(F.col("lo") - 2 * edge, F.lit(0))
-    cut = cut.select("row", *names, "lo", (F.col("lo") - low).alias("left"), F.least(F.length("full") - F.col("lo"), F.lit(chunk)).alias("size"), F.substr("full", low + 1, F.col("lo") - low + chunk + 2 * edge).alias("body"))
-    cut = C.written(cut, "pieces-chunks")
+    def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fields = ("row", "lo", "left", "size", "body")
+        for batch in batches:
+            for k in range(batch.num_rows):  # one text at a time, sliced in one pass
+                part = batch.slice(k, 1)
+                full = (prefix + part.column("text")[0].as_py()).replace(" ", SPACE)
+                lows = range(0, len(full), chunk)
+                row = part.column("row")[0].as_py()
+                out = [(row, lo, lo - max(lo - 2 * edge, 0), min(chunk, len(full) - lo), full[max(lo - 2 * edge, 0) : lo + chunk + 2 * edge]) for lo in lows]
+                kept_ = [pa.array([part.column(n)[0].as_py()] * len(out), part.schema.field(n).type) for n in names]
+                cols = [pa.array([o[i] for o in out], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.string()))]
+                yield pa.RecordBatch.from_arrays([*kept_, *cols], names=[*names, *fields])
+
+    giants = docs.where(giant).select(F.monotonically_increasing_id().alias("row"), *kept, "text")
+    cut = C.written(giants.mapInArrow(slices, f"{types}, row bigint, lo bigint, left int, size int, body string"), "pieces-chunks")
 
     def matrices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = loaded(sent.value, kind)
@@ -394,20 +461,11 @@ def encoded(docs: DataFrame, raw: bytes, keep: tuple[str, ...] = ("doc_id",), ch
             out = []
             for r in batch.to_pylist():
                 starts, goals, w = m.chunk(r["body"], r["left"], r["left"] + r["size"], r["lo"] == 0)
-                out.append((r["row"], r["lo"], [x for s in starts for x in s], [x for s in goals for x in s], w.ravel().tolist()))
-            yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], t) for i, t in enumerate((pa.int64(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.float64())))], names=["row", "lo", "starts", "goals", "w"])
+                out.append((r["row"], r["lo"] // chunk, [x for s in starts for x in s], [x for s in goals for x in s], w.ravel().tolist()))
+            yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.float64())))], names=["row", "at", "starts", "goals", "w"])
 
-    def choose(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("lo")
-        goals = [np.array(g).reshape(-1, 2) for g in pdf["goals"]]
-        starts = [np.array(s).reshape(-1, 2) for s in pdf["starts"]]
-        picked = scan([np.array(w).reshape(len(s), len(g)) for w, s, g in zip(pdf["w"], starts, goals, strict=True)])
-        a = [s[i] for s, i in zip(starts, picked[:-1], strict=True)]
-        b = [g[i] for g, i in zip(goals, picked[1:], strict=True)]
-        return pd.DataFrame({"row": pdf["row"], "lo": pdf["lo"], "a0": [x[0] for x in a], "a1": [x[1] for x in a], "b0": [x[0] for x in b], "b1": [x[1] for x in b]})
-
-    wide = cut.select("row", "lo", "left", "size", "body").mapInArrow(matrices, "row bigint, lo int, starts array<int>, goals array<int>, w array<double>")
-    states = wide.groupBy("row").applyInPandas(choose, "row bigint, lo int, a0 int, a1 int, b0 int, b1 int")
+    mats = C.written(cut.select("row", "lo", "left", "size", "body").mapInArrow(matrices, MATRIX), "pieces-matrices")
+    states = states_of(mats, fan).withColumn("lo", F.col("at") * chunk)
 
     def trace(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = loaded(sent.value, kind)
@@ -423,12 +481,33 @@ def encoded(docs: DataFrame, raw: bytes, keep: tuple[str, ...] = ("doc_id",), ch
             keys = [batch.column(n) for n in ("row", "lo", *names)]
             yield pa.RecordBatch.from_arrays([*keys, pa.array(ids, pa.list_(pa.int32())), pa.array(ok)], names=["row", "lo", *names, "ids", "ok"])
 
-    traced = cut.join(states, ["row", "lo"]).select("row", "lo", *names, "left", "size", "body", "a0", "a1", "b0", "b1").mapInArrow(trace, f"row bigint, lo int, {types}, ids array<int>, ok boolean")
+    traced = cut.join(states.drop("at"), ["row", "lo"]).select("row", "lo", *names, "left", "size", "body", "a0", "a1", "b0", "b1").mapInArrow(trace, f"row bigint, lo bigint, {types}, ids array<int>, ok boolean")
     joined = traced.groupBy("row").agg(*[F.first(n).alias(n) for n in names], F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("lo", "ids"))), lambda x: x["ids"])).alias("ids"), F.min("ok").alias("round_trip"))
     out = short.unionByName(joined.select(*names, "ids", "round_trip"))
     return out.select(*[F.col(n).alias(c) for n, c in zip(names, keep, strict=True)], "ids", "round_trip")
 
 
+def decoded(df: DataFrame, raw: bytes, kind: str = "auto", keep: tuple[str, ...] | None = None) -> DataFrame:
+    """``df``'s columns ``keep`` (all but ids by default) with text: what its ids (array<int>) decode to, as in the library."""
+    spark = df.sparkSession
+    C.ship(spark)
+    sent = spark.sparkContext.broadcast(raw)
+    keep = tuple(c for c in df.columns if c not in ("ids", "text")) if keep is None else keep
+    names = [f"k{i}" for i in range(len(keep))]
+    types = ", ".join(f"{n} {df.schema[c].dataType.simpleString()}" for n, c in zip(names, keep, strict=True))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = loaded(sent.value, kind)
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 256):
+                part = batch.slice(lo, 256)
+                texts = [None if i is None else m.decode(i) for i in part.column("ids").to_pylist()]
+                yield pa.RecordBatch.from_arrays([*(part.column(n) for n in names), pa.array(texts, pa.string())], names=[*names, "text"])
+
+    out = df.select(*[F.col(c).alias(n) for c, n in zip(keep, names, strict=True)], "ids").mapInArrow(run, f"{types}{', ' if names else ''}text string")
+    return out.select(*[F.col(n).alias(c) for n, c in zip(names, keep, strict=True)], "text")
+
+
 def model_bytes(path: str | None = None) -> bytes:
     """The model file, read by the driver and sent to the executors."""
     if path is None:

@@ -394,7 +394,7 @@ def chunked(m, text, size):
     full = (m.prefix + text).replace(" ", pieces.SPACE)
     parts = [(lo, lo - max(lo - 2 * m.longest, 0), min(size, len(full) - lo), full[max(lo - 2 * m.longest, 0) : lo + size + 2 * m.longest]) for lo in range(0, len(full), size)]
     mats = [m.chunk(b, left, left + n, lo == 0) for lo, left, n, b in parts]
-    picked, out = pieces.scan([x[2] for x in mats]), []
+    picked, out = pieces.scan([x[2] for x in mats])[0], []
     for k, (_, left, n, b) in enumerate(parts):
         s, g = mats[k][0][picked[k]], mats[k][1][picked[k + 1]]
         out += m.backtrace(b, left, left + n, (left + s[0], left + s[1]), (left + n + g[0], left + n + g[1]))
@@ -434,6 +434,27 @@ def test_encoded_frames(spark, docs, none, model):
     texts = {r.doc_id: r.text for r in docs.collect()}
     assert len(out) == docs.count() and all(r.ids == lib.encode(texts[r.doc_id] or "") and r.round_trip for r in out)
     assert pieces.encoded(none, raw).count() == 0
+    back = pieces.decoded(spark.createDataFrame([(r.doc_id, r.ids) for r in out] + [(None, None)], "doc_id long, ids array<int>"), raw).collect()
+    assert sorted(((str(r.doc_id), r.text) for r in back), key=str) == sorted([(str(r.doc_id), r.text or "") for r in docs.collect()] + [("None", None)], key=str)
+
+
+@pytest.mark.parametrize("fan", [2, 3, 256])
+def test_matrices_are_multiplied_in_ranges(spark, docs, model, fan):
+    """Small chunks and ranges: several levels of products, and the library's ids."""
+    raw, _, lib = model
+    long = " ".join(f"word{i} thequickbrown" for i in range(60))
+    df = docs.select("doc_id", "text").where("doc_id <> 9 or doc_id is null").union(spark.createDataFrame([(50, long), (51, "x" * 333)], "doc_id long, text string"))
+    texts = {r.doc_id: r.text for r in df.collect()}
+    out = pieces.encoded(df, raw, chunk=40, fan=fan).collect()
+    assert len(out) == df.count() and all(r.ids == lib.encode(texts[r.doc_id] or "") and r.round_trip for r in out)
+
+
+def test_any_ids_decode_as_in_the_library(model):
+    _, m, lib = model
+    random.seed(3)
+    for _ in range(3000):
+        ids = [random.choice([random.randrange(len(m.names)), random.randrange(300)]) for _ in range(random.randint(0, 6))]
+        assert m.decode(ids) == lib.decode(ids), ids
 
 
 # personal data
