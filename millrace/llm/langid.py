@@ -32,24 +32,35 @@ from millrace.llm import common as C
 
 #: Training texts taken for each language, and of all languages; hashed features; words in a block.
 MOST_EACH, MOST_ROWS, SPACE, BLOCK = 400, 50_000, 1 << 16, 64
-#: Words whose messages are held at once; features of known words that are kept.
-AT_ONCE, KEPT = 60_000, 3_000_000
+#: Words whose messages are held at once; words that a task remembers.
+AT_ONCE, KEPT = 60_000, 400_000
 
 
-def features(word: str, lexicon: set[str]) -> Iterator[int]:
-    """Hashes of a word's affixes, all of its two- and three-grams, length, script and place in the lexicon."""
+class Hashes(dict):
+    """feature -> its place in the table of weights; emptied when it holds many."""
+
+    def __missing__(self, feature: str) -> int:
+        if len(self) >= KEPT:
+            self.clear()
+        h = self[feature] = zlib.crc32(feature.encode()) % SPACE
+        return h
+
+
+#: Two- and three-grams, and all other features, of this process.
+GRAMS, OTHERS = Hashes(), Hashes()
+
+
+def features(word: str, lexicon: set[str]) -> list[int]:
+    """Places of a word's affixes, all of its two- and three-grams, length, script and place in the lexicon."""
     padded = f"<{word}>"
     named = [f"p{padded[: k + 1]}" for k in (1, 2, 3)] + [f"s{padded[-k - 1 :]}" for k in (1, 2, 3)]
     named += [f"n{min(len(word), 12)}", "a" if word.isascii() else "u"] + [f"w{word}"] * (word in lexicon)
-    for f in named:
-        yield zlib.crc32(f.encode()) % SPACE
-    for n in (2, 3):
-        for i in range(len(padded) - n + 1):
-            yield zlib.crc32(f"g{padded[i : i + n]}".encode()) % SPACE
+    grams, n = GRAMS, len(padded)
+    return [OTHERS[f] for f in named] + [grams[padded[i : i + 2]] for i in range(n - 1)] + [grams[padded[i : i + 3]] for i in range(n - 2)]
 
 
 class Words(dict):
-    """word (bytes) -> number of its feature row, -1 for words without letters; rows are ragged."""
+    """word (bytes) -> number of its row, -1 for words without letters; the rows' features are ragged."""
 
     def __init__(self, lexicon: set[str]):
         super().__init__()
@@ -58,12 +69,13 @@ class Words(dict):
 
     def forget(self) -> None:
         self.clear()
-        self.flat, self.starts = array("i"), array("q")
+        self.flat, self.starts, self.scores, self.n = array("i"), array("q"), array("f"), 0
 
     def __missing__(self, raw: bytes) -> int:
         word = raw.decode("utf-8", "replace").lower()
         if any(map(str.isalpha, word)):
-            self[raw] = len(self.starts)
+            self[raw] = self.n
+            self.n += 1
             self.starts.append(len(self.flat))
             self.flat.extend(features(word, self.lexicon))
         else:
@@ -74,18 +86,16 @@ class Words(dict):
         """All features, row after row, and where each row starts; as copies."""
         return np.array(self.flat, np.int32), np.array(self.starts, np.int64)
 
-    def emissions(self, ids: np.ndarray, w: np.ndarray) -> np.ndarray:
-        """The summed weights of each of these words, a bounded number of features at a time."""
-        flat, starts = np.frombuffer(self.flat, np.int32), np.frombuffer(self.starts, np.int64)
-        size = np.append(starts[1:], len(flat))[ids] - starts[ids]
-        out, ends, lo = np.zeros((len(ids), w.shape[1])), np.cumsum(size), 0
-        while lo < len(ids):
-            hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + 32 * AT_ONCE // max(4, w.shape[1]), "right")))
-            n, first = size[lo:hi], np.concatenate([[0], np.cumsum(size[lo:hi])[:-1]])
-            at = np.repeat(starts[ids[lo:hi]] - first, n) + np.arange(n.sum())
-            out[lo:hi] = np.add.reduceat(w[flat[at]], first, axis=0)
+    def emissions(self, w: np.ndarray) -> np.ndarray:
+        """The summed weights of every word met so far; features of new words are summed, a bounded number at a time, and let go."""
+        flat, starts = self.rows()
+        ends, lo = np.append(starts[1:], len(flat)), 0
+        while lo < len(starts):
+            hi = max(lo + 1, int(np.searchsorted(ends, starts[lo] + 32 * AT_ONCE // max(4, w.shape[1]), "right")))
+            self.scores.frombytes(np.add.reduceat(w[flat[starts[lo] : ends[hi - 1]]], starts[lo:hi] - starts[lo], axis=0).astype(np.float32).tobytes())
             lo = hi
-        return out
+        self.flat, self.starts = array("i"), array("q")
+        return np.array(self.scores, np.float32).reshape(-1, w.shape[1])
 
 
 def blocks_of(lengths: np.ndarray, block: int) -> tuple[np.ndarray, np.ndarray]:
@@ -271,7 +281,7 @@ def fit(rows: list[tuple[str, str]], rounds: int = 12, chain_rounds: int = 6) ->
 
 def tagged(texts: list[str | None], model: dict, words: Words) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
     """(text, probabilities, lengths, places among all words) of stretches of words with letters, in order."""
-    if len(words.flat) > KEPT:
+    if len(words) > KEPT:
         words.forget()
     ids, sizes, at = [], [], []
     for t in texts:
@@ -286,9 +296,10 @@ def tagged(texts: list[str | None], model: dict, words: Words) -> Iterator[tuple
         return
     flat, sizes, at = np.concatenate(ids), np.concatenate(sizes), np.concatenate(at)
 
+    known = words.emissions(model["w"])
+
     def emit(a: int, b: int) -> np.ndarray:
-        some, which = np.unique(flat[a:b], return_inverse=True)
-        return words.emissions(some, model["w"])[which]
+        return known[flat[a:b]].astype(float)
 
     ends = np.cumsum(lengths)
     for lo, first, p, _ in forward_backward(emit, lengths, model["trans"]):
@@ -343,18 +354,23 @@ def predicted(docs: DataFrame, model: dict, runs: bool = False, keep: list[str]
 
 
 def training_rows(docs: DataFrame, most_each: int = MOST_EACH, most: int = MOST_ROWS) -> list[tuple[str, str]]:
-    """At most ``most_each`` training texts of each language and about ``most`` of all (one for each at least), by a hash of doc_id.
+    """At most ``most_each`` training texts of each language and about ``most`` of all (one for each at least), those of least hash of doc_id.
 
-    One pass ranks ids: each task keeps its first few of each language before the shuffle. Bounded in bytes too.
+    Rows of each language are counted first, so that only about four times as many ids as are wanted are ranked,
+    however many there are (where few ids repeat over many rows, fewer may come). Bounded in bytes too.
     """
-    known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (C.bucket_of(F.col("doc_id"), 4) != 2)).select("doc_id", "text", "lang")
-    langs = known.select("lang").distinct().count()
-    if not langs:
+    h = F.xxhash64("doc_id")
+    known = docs.where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull() & (C.bucket_of(F.col("doc_id"), 4) != 2)).select("doc_id", "text", "lang")
+    counts = known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()  # one row for each language
+    if not counts:
         return []
-    each = max(1, min(most_each, most // langs))
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = known.where(F.col("doc_id").isNotNull()).select("doc_id", "lang").withColumn("n", F.row_number().over(order)).where(F.col("n") <= each).groupBy("doc_id").agg(F.min("lang").alias("only"))
-    return [(r.text, r.lang) for r in C.fetched(known, chosen, each * langs, ["lang"])]
+    each = max(1, min(most_each, most // len(counts)))
+    bars = [(r.lang, min(2**63 - 1, -(2**63) + int(2**64 * min(1.0, 4 * each / r.n)))) for r in counts]
+    bar = docs.sparkSession.createDataFrame(bars, "lang string, bar bigint")
+    low = known.select("doc_id", "lang", h.alias("h")).join(F.broadcast(bar), "lang").where("h <= bar")
+    order = Window.partitionBy("lang").orderBy("h", "doc_id")
+    chosen = low.withColumn("n", F.row_number().over(order)).where(F.col("n") <= each).groupBy("doc_id").agg(F.min("lang").alias("only"))
+    return [(r.text, r.lang) for r in C.fetched(known, chosen, each * len(counts), ["lang"])]
 
 
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
