@@ -96,13 +96,19 @@ def convert(c: Column, kind: T.DataType, target: str, **options) -> Column:
         return to_bool(c, kind, options.get("true_words"), options.get("false_words"))
     if target == "datetime":
         return to_datetime(c, kind, options.get("formats"))
-    return c.cast("string")
+    return F.when(c, "True").otherwise(F.when(c.isNotNull(), "False")) if isinstance(kind, T.BooleanType) else c.cast("string")
+
+
+#: What every layout of DATE_FORMATS looks like; a cheap test before the layouts are tried.
+DATE_LIKE = r"^\s*[0-9]{1,4}[-/][0-9]{1,2}[-/][0-9]{1,4}(?:$|[ T\s])"
+WHOLE = r"^\s*[+-]?[0-9]+(?:_[0-9]+)*\s*$"
 
 
 def inferred(df: DataFrame, columns: list[str]) -> dict[str, str]:
     """For each text column the first of int, float, bool, datetime that all its values convert to, else string.
 
-    One aggregation over all rows; a column without values stays string.
+    One aggregation over all rows; layouts of dates are tried only on columns whose values all look like dates.
+    A column without values stays string.
     """
     text = [c for c in columns if is_text(df.schema[c].dataType)]
     if not text:
@@ -110,9 +116,25 @@ def inferred(df: DataFrame, columns: list[str]) -> dict[str, str]:
     aggs = []
     for c in text:
         missing = is_missing(F.col(c), T.StringType())
-        whole = F.col(c).rlike(r"^\s*[+-]?[0-9]+(?:_[0-9]+)*\s*$")
         aggs.append(F.count_if(~missing).alias(f"{c}|n"))
-        aggs.append(F.count_if(~missing & F.coalesce(whole, F.lit(False))).alias(f"{c}|int"))
-        aggs += [F.count_if(~missing & convert(F.col(c), T.StringType(), t).isNotNull()).alias(f"{c}|{t}") for t in ("float", "bool", "datetime")]
+        aggs += [F.count_if(~missing & F.coalesce(F.col(c).rlike(p), F.lit(False))).alias(f"{c}|{t}") for t, p in (("int", WHOLE), ("dated", DATE_LIKE))]
+        aggs += [F.count_if(~missing & convert(F.col(c), T.StringType(), t).isNotNull()).alias(f"{c}|{t}") for t in ("float", "bool")]
     row = df.agg(*aggs).first()
-    return {c: next((t for t in ("int", "float", "bool", "datetime") if row[f"{c}|n"] and row[f"{c}|{t}"] == row[f"{c}|n"]), "string") for c in text}
+    out = {c: next((t for t in ("int", "float", "bool") if row[f"{c}|n"] and row[f"{c}|{t}"] == row[f"{c}|n"]), "string") for c in text}
+    dated = [c for c in text if out[c] == "string" and row[f"{c}|n"] and row[f"{c}|dated"] == row[f"{c}|n"]]
+    if dated:
+        fine = df.agg(*[F.count_if(~is_missing(F.col(c), T.StringType()) & convert(F.col(c), T.StringType(), "datetime").isNotNull()).alias(c) for c in dated]).first()
+        out |= {c: "datetime" for c in dated if fine[c] == row[f"{c}|n"]}
+    return out
+
+
+def inferred_value(c: Column) -> Column:
+    """Each text value by itself: type (int, float, bool, datetime or string; null if missing) and its value in the field of that type."""
+    none = is_missing(c, T.StringType())
+    whole, number, flag = c.rlike(WHOLE), to_float(c), to_bool(c)
+    date = F.when(c.rlike(DATE_LIKE), to_datetime(c))
+    kind = F.when(none, None).when(whole, "int").when(number.isNotNull(), "float").when(flag.isNotNull(), "bool").when(date.isNotNull(), "datetime").otherwise("string")
+    return F.struct(
+        kind.alias("type"), F.when(kind == "int", to_int(c)).alias("int"), F.when(kind == "float", number).alias("float"), F.when(kind == "bool", flag).alias("bool"),
+        F.when(kind == "datetime", date).alias("datetime"), F.when(kind == "string", c).alias("string"),
+    )

@@ -93,14 +93,52 @@ def arithmetic(text: str, schema: T.StructType) -> Column:
     return F.coalesce(F.when(~F.isnan(c), c), F.lit(0.0))
 
 
-TERNARY = re.compile(r"^(.+?)\?(.+?):(.+)$", re.S)
-IF_THEN = re.compile(r"^\s*if\s+(.+?)\s+then\s+(.+?)\s+else\s+(.+)$", re.S | re.I)
+#: Parts of a conditional: quoted text, words, signs; whatever lies between them is kept.
+TOKEN = re.compile(r"'[^']*'|\"[^\"]*\"|[A-Za-z_][A-Za-z_0-9.]*|.", re.S)
+
+
+def _outer(text: str) -> list[re.Match]:
+    """The tokens outside of all brackets."""
+    depth, out = 0, []
+    for t in TOKEN.finditer(text):
+        depth -= t.group() in ")]"
+        if not depth:
+            out.append(t)
+        depth += t.group() in "(["
+    return out
+
+
+def _parts(text: str) -> tuple[str, str, str] | None:
+    """Test and branches of the outermost conditional; its branches may hold conditionals themselves."""
+    tokens = _outer(text)
+    words = [t.group().lower() for t in tokens]
+    spoken = next((w for w in words if w.strip()), "") == "if"
+    opens, middle, closes = ("if", "then", "else") if spoken else ("?", "?", ":")
+    first, inner = None, 0
+    for t, w in zip(tokens, words, strict=True):
+        if first is None:
+            first = t if w == middle else None
+        elif w == opens:
+            inner += 1
+        elif w == closes and inner:
+            inner -= 1
+        elif w == closes:
+            start = next(t.end() for t, w in zip(tokens, words, strict=True) if w == "if") if spoken else 0
+            return text[start : first.start()], text[first.end() : t.start()], text[t.end() :]
+    return None
 
 
 def conditional(text: str, schema: T.StructType) -> Column:
-    """``c ? a : b`` or ``if c then a else b``; anything else is 0.0."""
-    m = TERNARY.match(text) or IF_THEN.match(text)
-    if not m:
+    """``c ? a : b`` or ``if c then a else b``, nested too; anything else is 0.0."""
+    parts = _parts(text)
+    if not parts:
         return F.lit(0.0)
-    c, a, b = (arithmetic(p, schema) for p in m.groups())
-    return F.when(c != 0, a).otherwise(b)
+    test, *branches = parts
+
+    def branch(part: str) -> Column:
+        part = part.strip()
+        bare = part[1:-1] if len(_outer(part)) == 2 and part[:1] == "(" else part  # brackets around all of it
+        return conditional(bare, schema) if _parts(bare) else arithmetic(bare, schema)
+
+    a, b = map(branch, branches)
+    return F.when(arithmetic(test, schema) != 0, a).otherwise(b)

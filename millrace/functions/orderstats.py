@@ -1,33 +1,184 @@
-"""Order statistics by floor index: the value at place int(n * p) of the sorted values."""
+"""Order statistics: values at given places of the sorted values, for groups of any size, and as they run.
+
+Groups: distinct values are counted, dealt to partitions by range of (group, value) and stored;
+each partition's totals are carried to the later ones, and a window inside each (group,
+partition) finds the places. No task sees a whole group unless it is small.
+
+Running: rows of a group go through one sorted pass, which keeps the values of the frame in sorted blocks; an array for each
+row is never made. A group's frame is held by one task (8 bytes a value), as any exact running order statistic must.
+"""
 
 from __future__ import annotations
 
+from bisect import bisect_left, insort
+from collections import deque
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from millrace.session import drop_written, written
+
+# The names and shares of the percentiles.
 PERCENTILES = {"p25": 0.25, "p50": 0.50, "p75": 0.75, "p90": 0.90, "p95": 0.95, "p99": 0.99}
 
 
+def floor_place(n: Column, p: float) -> Column:
+    """The place int(n * p), at most the last."""
+    return F.least(F.floor(n * F.lit(float(p))), n - 1)
+
+
 def pick(values: Column, p: float) -> Column:
-    """Of an array (nulls aside); null if it is empty."""
+    """Of an array (nulls aside); null if it is empty. For the windows of streams, which hold their values."""
     s = F.array_sort(F.filter(values, lambda x: x.isNotNull()))
-    n = F.size(s)
-    return F.get(s, F.least(F.floor(n * F.lit(float(p))).cast("int"), n - 1))
+    return F.get(s, floor_place(F.size(s), p).cast("int"))
 
 
-def middle(values: Column) -> Column:
-    """The median of an array: the mean of the two middle values of an even number."""
-    s = F.array_sort(F.filter(values, lambda x: x.isNotNull()))
-    n = F.size(s)
-    return (F.get(s, F.floor((n - 1) / 2).cast("int")) + F.get(s, F.floor(n / 2).cast("int"))) / 2
+def group_places(df: DataFrame, groups: list[str], value: str, places: dict[str, Column]) -> DataFrame:
+    """groups and, under each name, the value at that place (from 0; a function of _all, the number of values) of each group's sorted values.
+
+    Null is a group; null values do not count; groups without values give no row.
+    """
+    named = {g: f"_g{i}" for i, g in enumerate(groups)}
+    keys = list(named.values())
+    counts = df.where(F.col(value).isNotNull()).groupBy(*[F.col(g).alias(k) for g, k in named.items()], F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
+    stored = written(counts.repartitionByRange(*keys, "_v").withColumn("_part", F.spark_partition_id()), "orderstats")
+    before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a group has as many rows here as partitions
+    totals = stored.groupBy(*keys, "_part").agg(F.sum("_n").alias("_own")) if keys else stored.groupBy("_part").agg(F.sum("_n").alias("_own"))
+    carried = totals.withColumn("_before", F.coalesce(F.sum("_own").over(before), F.lit(0))).withColumn("_all", F.sum("_own").over(Window.partitionBy(*keys)))
+    carried = carried.select(*[F.col(k).alias(f"{k}c") for k in keys], F.col("_part").alias("_partc"), "_before", "_all")
+    on = F.col("_part") == F.col("_partc")
+    for k in keys:
+        on = on & F.col(k).eqNullSafe(F.col(f"{k}c"))
+    inside = Window.partitionBy(*keys, "_part").orderBy("_v")
+    ranked = stored.join(carried, on).withColumn("_upto", F.col("_before") + F.sum("_n").over(inside))
+    hit = lambda at: (F.col("_upto") > at) & (F.col("_upto") - F.col("_n") <= at)
+    made = [F.max(F.when(hit(at), F.col("_v"))).alias(k) for k, at in places.items()]
+    found = written(ranked.groupBy(*keys).agg(*made), "orderstats-found")
+    drop_written(stored)
+    return found.select(*[F.col(k).alias(g) for g, k in named.items()], *places)
 
 
 def group_percentiles(df: DataFrame, groups: list[str], value: str, wanted: dict[str, float] | None = None) -> DataFrame:
-    """Floor-index percentiles of each group through ranks of distinct values: no group is gathered in an array."""
-    wanted = wanted or PERCENTILES
-    counts = df.where(F.col(value).isNotNull()).groupBy(*groups, value).agg(F.count(F.lit(1)).alias("_n"))
-    w = Window.partitionBy(*groups)
-    ranked = counts.withColumn("_upto", F.sum("_n").over(w.orderBy(value))).withColumn("_all", F.sum("_n").over(w))
-    at = {k: F.least(F.floor(F.col("_all") * F.lit(float(p))), F.col("_all") - 1) for k, p in wanted.items()}
-    hit = lambda k: (F.col("_upto") > at[k]) & (F.col("_upto") - F.col("_n") <= at[k])
-    return ranked.groupBy(*groups).agg(*[F.max(F.when(hit(k), F.col(value))).alias(k) for k in wanted])
+    """Floor-index percentiles of each group."""
+    return group_places(df, groups, value, {k: floor_place(F.col("_all"), p) for k, p in (PERCENTILES if wanted is None else wanted).items()})
+
+
+def group_statistics(df: DataFrame, groups: list[str], value: str, names: list[str]) -> DataFrame:
+    """groups and each of ``names``: percentiles, and median (the mean of the two middle values)."""
+    places = {k: floor_place(F.col("_all"), PERCENTILES[k]) for k in names if k != "median"}
+    if "median" in names:
+        places |= {"_low": F.floor((F.col("_all") - 1) / 2), "_high": F.floor(F.col("_all") / 2)}
+    out = group_places(df, groups, value, places)
+    return out.select(*groups, *[((F.col("_low") + F.col("_high")) / 2).alias(n) if n == "median" else F.col(n) for n in names])
+
+
+class Sorted:
+    """Values in sorted blocks: insertion, removal and the value at a place; NaN is above all others."""
+
+    BLOCK = 1000
+
+    def __init__(self) -> None:
+        self.blocks: list[list[float]] = [[]]
+        self.highest: list[float] = [float("-inf")]
+        self.n = self.nans = 0
+
+    def _at(self, v: float) -> int:
+        return min(bisect_left(self.highest, v), len(self.blocks) - 1)
+
+    def add(self, v: float) -> None:
+        self.n += 1
+        if v != v:
+            self.nans += 1
+            return
+        k = self._at(v)
+        block = self.blocks[k]
+        insort(block, v)
+        if len(block) > 2 * self.BLOCK:
+            self.blocks[k : k + 1] = [block[: self.BLOCK], block[self.BLOCK :]]
+            self.highest[k : k + 1] = [block[self.BLOCK - 1], block[-1]]
+        else:
+            self.highest[k] = block[-1]
+
+    def remove(self, v: float) -> None:
+        self.n -= 1
+        if v != v:
+            self.nans -= 1
+            return
+        k = self._at(v)
+        block = self.blocks[k]
+        del block[bisect_left(block, v)]
+        if block:
+            self.highest[k] = block[-1]
+        elif len(self.blocks) > 1:
+            del self.blocks[k], self.highest[k]
+        else:
+            self.highest[0] = float("-inf")
+
+    def __getitem__(self, place: int) -> float:
+        if place >= self.n - self.nans:
+            return float("nan")
+        for block in self.blocks:
+            if place < len(block):
+                return block[place]
+            place -= len(block)
+        raise IndexError(place)
+
+    def statistic(self, name: str) -> float | None:
+        if not self.n:
+            return None
+        if name == "median":
+            return (self[(self.n - 1) // 2] + self[self.n // 2]) / 2
+        return self[min(int(np.floor(self.n * PERCENTILES[name])), self.n - 1)]
+
+
+def running_statistics(df: DataFrame, groups: list[Column], order: list[Column], value: Column, made: dict[str, str], back: float | None = None) -> DataFrame:
+    """``df`` with columns of running statistics (column name -> "median", "p25", ..., "unique") of each row's frame.
+
+    Frames: all rows of the group up to this one in ``order``; with ``back``, rows whose first order value lies at most ``back``
+    below (and all rows of the same one, also later ones). Null values don't count; frames without values give null (unique: 0).
+    """
+    names, keys = df.columns, [f"_k{i}" for i in range(len(groups))]
+    sorts = [f"_o{i}" for i in range(len(order))]
+    placed = df.select(*names, *[g.alias(k) for g, k in zip(groups, keys, strict=True)], *[o.alias(k) for o, k in zip(order, sorts, strict=True)], value.cast("double").alias("_x"))
+    dealt = placed.repartition(*keys) if keys else placed.coalesce(1)
+    dealt = dealt.sortWithinPartitions(*keys, *sorts)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        state, group = (Sorted(), {}, deque()), object()
+        for batch in batches:
+            here = list(zip(*(batch.column(k).to_pylist() for k in keys), strict=True)) if keys else [()] * batch.num_rows
+            at = batch.column(sorts[0]).to_pylist()
+            x = batch.column("_x").to_pylist()
+            out: dict[str, list] = {m: [] for m in made}
+            for i in range(batch.num_rows):
+                if here[i] != group:
+                    state, group = (Sorted(), {}, deque()), here[i]
+                values, times, line = state
+                if back is not None and at[i] is not None:
+                    while line and line[0][0] < at[i] - back:
+                        _, v = line.popleft()
+                        values.remove(v)
+                        v = "nan" if v != v else v
+                        times[v] -= 1
+                        if not times[v]:
+                            del times[v]
+                if x[i] is not None:
+                    values.add(x[i])
+                    v = "nan" if x[i] != x[i] else x[i]
+                    times[v] = times.get(v, 0) + 1
+                    if back is not None:
+                        line.append((at[i], x[i]))
+                for m, kind in made.items():
+                    out[m].append(len(times) if kind == "unique" else values.statistic(kind))
+            new = [pa.array(out[m], pa.int64() if kind == "unique" else pa.float64()) for m, kind in made.items()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *new], names=[*batch.schema.names, *made])
+
+    types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in dealt.schema) + "".join(f", `{m}` {'bigint' if k == 'unique' else 'double'}" for m, k in made.items())
+    out = dealt.mapInArrow(run, types)
+    if back is not None:  # rows of one order value share the frame of the last of them
+        peers = Window.partitionBy(*keys, sorts[0]).orderBy(*sorts[1:]).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+        out = out.withColumns({m: F.last(m).over(peers) for m in made})
+    return out.select(*names, *made)

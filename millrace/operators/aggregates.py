@@ -54,16 +54,21 @@ def running(df: DataFrame, agg: Aggregation, order: str) -> DataFrame:
         made = {"count": n, "sum": s, "mean": s / n, "min": F.col("_lo"), "max": F.col("_hi"), "std": F.sqrt(var), "var": var, "first": F.col("_f"), "last": F.col("_l")}
         out = got.withColumns({f"{agg.name}_{f}": F.when(c.isNotNull(), made[f]) for f in agg.functions})
         return out.drop("_n", "_s", "_q", "_lo", "_hi", "_f", "_l")
+    ranks = {f"{agg.name}_{f}": f for f in agg.functions if f == "median" or f in O.PERCENTILES}
+    if ranks:
+        df = O.running_statistics(df, [F.col(g) for g in agg.group_by], [F.col(order)], x, ranks)
+    if "unique" in agg.functions:  # a value counts where it stands for the first time
+        once = F.row_number().over(Window.partitionBy(*agg.group_by, c).orderBy(order)) == 1
+        df = df.withColumn("_once", (once & c.isNotNull()).cast("int"))
     w = Window.partitionBy(*agg.group_by).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     n = F.count(c).over(w)
-    gathered = F.collect_list(x).over(w)
     made = {
         "count": lambda: n, "sum": lambda: F.coalesce(F.sum(x).over(w), F.lit(0.0)), "mean": lambda: F.avg(x).over(w), "min": lambda: F.min(x).over(w), "max": lambda: F.max(x).over(w),
         "std": lambda: F.coalesce(F.stddev_pop(x).over(w), F.lit(0.0)), "var": lambda: F.coalesce(F.var_pop(x).over(w), F.lit(0.0)),
-        "first": lambda: F.first(c, ignorenulls=True).over(w), "last": lambda: F.last(c, ignorenulls=True).over(w), "median": lambda: O.middle(gathered),
-        "unique": lambda: F.size(F.collect_set(c).over(w)), "rate": lambda: rate(agg, order, c, n),
-    } | {k: (lambda p: lambda: O.pick(gathered, p))(p) for k, p in O.PERCENTILES.items()}
-    return df.withColumns({f"{agg.name}_{f}": F.when(c.isNotNull(), made[f]()) for f in agg.functions})
+        "first": lambda: F.first(c, ignorenulls=True).over(w), "last": lambda: F.last(c, ignorenulls=True).over(w),
+        "unique": lambda: F.sum("_once").over(w).cast("int"), "rate": lambda: rate(agg, order, c, n),
+    } | {f: (lambda f: lambda: F.col(f"{agg.name}_{f}"))(f) for f in ranks.values()}
+    return df.withColumns({f"{agg.name}_{f}": F.when(c.isNotNull(), made[f]()) for f in agg.functions}).drop("_once")
 
 
 def rate(agg: Aggregation, order: str, c: Column, n: Column) -> Column:
@@ -83,14 +88,14 @@ def rate(agg: Aggregation, order: str, c: Column, n: Column) -> Column:
 
 
 def grouped(df: DataFrame, agg: Aggregation, order: str) -> DataFrame:
-    """One row for each group (null is a group): partial and final hash aggregation; percentiles by ranks."""
+    """One row for each group (null is a group): partial and final hash aggregation; median and percentiles by ranks."""
     c = F.col(agg.source)
     x = c.try_cast("double")
     at = F.when(c.isNotNull(), F.col(order))
     n = F.count(c)
     made = {
         "count": n, "sum": F.coalesce(F.sum(x), F.lit(0.0)), "mean": F.avg(x), "min": F.min(x), "max": F.max(x), "std": F.coalesce(F.stddev_pop(x), F.lit(0.0)), "var": F.coalesce(F.var_pop(x), F.lit(0.0)),
-        "first": F.min_by(c, at), "last": F.max_by(c, at), "median": F.median(x), "unique": F.count_distinct(c),
+        "first": F.min_by(c, at), "last": F.max_by(c, at), "unique": F.count_distinct(c),
     }
     if agg.time:
         t = F.when(c.isNotNull(), seconds(F.col(agg.time)))
@@ -98,9 +103,9 @@ def grouped(df: DataFrame, agg: Aggregation, order: str) -> DataFrame:
         made["rate"] = F.when(F.count(t) < 2, 0.0).when(span <= 0, n.cast("double")).otherwise(n / span)
     plain = [f for f in agg.functions if f in made]
     out = df.groupBy(*agg.group_by).agg(*[made[f].alias(f"{agg.name}_{f}") for f in plain]) if plain else None
-    ranks = {k: p for k, p in O.PERCENTILES.items() if k in agg.functions}
+    ranks = [f for f in agg.functions if f == "median" or f in O.PERCENTILES]
     if ranks:
-        got = O.group_percentiles(df, agg.group_by, agg.source, ranks)
+        got = O.group_statistics(df.select(*agg.group_by, x.alias("_x")), agg.group_by, "_x", ranks)
         got = got.select(*[F.col(g).alias(f"_g_{g}") for g in agg.group_by], *[F.col(k).alias(f"{agg.name}_{k}") for k in ranks])
         if out is None:
             return got.withColumnsRenamed({f"_g_{g}": g for g in agg.group_by})

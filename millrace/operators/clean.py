@@ -14,6 +14,8 @@ from millrace.operators import audit as A
 
 STAGE = "clean"
 ACTIONS = ("reject", "remove_field", "cap", "clip", "log_warn")
+# The names of errors.
+NOT_ALLOWED, FORBIDDEN = "value_not_allowed", "value_forbidden"
 
 
 @dataclass(frozen=True)
@@ -21,7 +23,7 @@ class Rule:
     """Bounds are inclusive; null passes a range, fails allowed_values; a pattern is anchored at the start and reads text alone."""
 
     field: str
-    action: str = "reject"
+    action: str | None = None  # none: the action that all rules share
     min_value: Any = None
     max_value: Any = None
     allowed_values: list | None = None
@@ -37,9 +39,9 @@ class Rule:
         if self.max_value is not None:
             out.append(("above_maximum", c > F.lit(self.max_value)))
         if self.allowed_values is not None:
-            out.append(("not_allowed", ~_among(c, self.allowed_values)))
+            out.append((NOT_ALLOWED, ~_among(c, self.allowed_values)))
         if self.forbidden_values is not None:
-            out.append(("forbidden", _among(c, self.forbidden_values)))
+            out.append((FORBIDDEN, _among(c, self.forbidden_values)))
         if self.pattern is not None and K.is_text(kind):
             out.append(("pattern_mismatch", ~c.rlike(f"^(?:{self.pattern})")))
         if self.custom is not None:
@@ -60,26 +62,27 @@ def rules_of(config: Any) -> list[Rule]:
     return list(last.values())
 
 
-def clean(df: DataFrame, rules: list[Rule], strict: bool = False) -> DataFrame:
-    """Apply the rules; every check sees the value as it came. capped_fields: names of capped columns."""
+def clean(df: DataFrame, rules: list[Rule], strict: bool = False, action: str = "reject") -> DataFrame:
+    """Apply the rules; every check sees the value as it came. ``action``: of rules without their own. capped_fields: names of capped columns."""
     df = A.audited(df)
     errors, warnings, changes, capped = [], [], {}, []
     for r in {r.field: r for r in rules}.values():
         if r.field not in df.columns:
             continue
-        if r.action not in ACTIONS:
-            raise ValueError(f"unknown action {r.action}")
+        how = r.action or action
+        if how not in ACTIONS:
+            raise ValueError(f"unknown action {how}")
         c, tests = F.col(r.field), r.tests(df)
         items = [(t, A.item(STAGE, r.field, n, c)) for n, t in tests]
         inside = [n in ("below_minimum", "above_maximum") for n, _ in tests]
-        if r.action == "log_warn":
+        if how == "log_warn":
             warnings += items
-        elif r.action == "remove_field":
+        elif how == "remove_field":
             broken = F.lit(False)
             for t, _ in items:
                 broken = broken | t
             changes[r.field] = F.when(broken, F.lit(None)).otherwise(c)
-        elif r.action in ("cap", "clip"):
+        elif how in ("cap", "clip"):
             v = c
             if r.min_value is not None:
                 v = F.when(c < F.lit(r.min_value), F.lit(r.min_value).cast(df.schema[r.field].dataType)).otherwise(v)
@@ -93,3 +96,20 @@ def clean(df: DataFrame, rules: list[Rule], strict: bool = False) -> DataFrame:
     if capped:
         changes["capped_fields"] = F.array_distinct(F.filter(F.array(*capped), lambda x: x.isNotNull()))
     return A.applied(df, A.failures(errors), changes, A.failures(warnings), strict)
+
+
+@dataclass
+class Cleaner:
+    """Rules that change between batches: one for each field."""
+
+    rules: dict[str, Rule] = field(default_factory=dict)
+    action: str = "reject"
+
+    def add(self, rule: Rule) -> None:
+        self.rules[rule.field] = rule
+
+    def remove(self, name: str) -> bool:
+        return self.rules.pop(name, None) is not None
+
+    def apply(self, df: DataFrame, strict: bool = False) -> DataFrame:
+        return clean(df, list(self.rules.values()), strict, self.action)

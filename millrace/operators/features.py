@@ -72,3 +72,20 @@ def build(df: DataFrame, features: list[Feature], safe_mode: bool = True, strict
         c = column_of(df, f)
         new[f.name] = c.cast(_CASTS[f.output_type]) if f.output_type else c
     return A.applied(df, A.failures(tests), new, strict=strict) if tests else df.withColumns(new)
+
+
+@dataclass
+class Builder:
+    """Feature definitions that change between batches: one for each name."""
+
+    features: dict[str, Feature] = field(default_factory=dict)
+    safe_mode: bool = True
+
+    def add(self, feature: Feature) -> None:
+        self.features[feature.name] = feature
+
+    def remove(self, name: str) -> bool:
+        return self.features.pop(name, None) is not None
+
+    def apply(self, df: DataFrame, strict: bool = False) -> DataFrame:
+        return build(df, list(self.features.values()), self.safe_mode, strict)

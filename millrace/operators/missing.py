@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.functions import casting as K
+from millrace.functions import orderstats as O
 from millrace.functions import running as R
 from millrace.operators import audit as A
 
@@ -32,7 +33,8 @@ def statistic(df: DataFrame, c: str, strategy: str, order: str | None) -> Any:
     if strategy == "fill_mean":
         return df.agg(F.avg(number)).first()[0]
     if strategy == "fill_median":
-        return df.agg(F.median(number)).first()[0]
+        row = O.group_statistics(df.select(number.alias("_x")), [], "_x", ["median"]).first()
+        return row.median if row else None
     first = F.min(order) if order else F.lit(0)
     top = df.where(v.isNotNull()).groupBy(v.alias("v")).agg(F.count(F.lit(1)).alias("n"), first.alias("first")).orderBy(F.desc("n"), "first", "v").first()
     return top.v if top else None
@@ -93,7 +95,11 @@ def impute(df: DataFrame, columns: list[str] | None = None, strategy: str = "fil
     return A.applied(df, A.failures(tests), changes, strict=strict).drop(*drop)
 
 
-def stats(df: DataFrame, columns: list[str]) -> DataFrame:
-    """field, total_rows, missing: by one aggregation, in long form."""
+def stats(df: DataFrame, columns: list[str], done: DataFrame | None = None) -> DataFrame:
+    """field, total_rows, missing: by one aggregation, in long form; with ``done``, what ``impute`` made of ``df``, also filled and rejected rows."""
     one = df.agg(F.count(F.lit(1)).alias("total_rows"), *[F.count_if(gap(df, c)).alias(c) for c in columns])
-    return one.unpivot("total_rows", columns, "field", "missing").select("field", "total_rows", "missing")
+    out = one.unpivot("total_rows", columns, "field", "missing").select("field", "total_rows", "missing")
+    if done is None:
+        return out
+    left = done.agg(F.count_if(~F.col(A.VALID)).alias("rejected"), *[F.count_if(gap(done, c)).alias(c) for c in columns]).unpivot("rejected", columns, "field", "left")
+    return out.join(F.broadcast(left), "field").select("field", "total_rows", "missing", (F.col("missing") - F.col("left")).alias("filled"), "rejected")

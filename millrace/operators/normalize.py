@@ -48,12 +48,11 @@ class Normalizer:
 
 def quartiles(df: DataFrame, f: str) -> dict[str, float]:
     """median (two middle values averaged), q1 = sorted[n // 4], q3 = sorted[3n // 4]."""
-    v = df.select(F.col(f).cast("double").alias("v")).where("v is not null")
-    n = v.count()
-    if not n:
+    v, n = df.select(F.col(f).cast("double").alias("v")), F.col("_all")
+    at = {"q1": F.floor(n / 4), "q3": F.floor(3 * n / 4), "m1": F.floor((n - 1) / 2), "m2": F.floor(n / 2)}
+    got = orderstats.group_places(v, [], "v", at).first()
+    if got is None or got.q1 is None:
         return {"median": None, "q1": None, "q3": None}
-    at = {"q1": n // 4, "q3": 3 * n // 4, "m1": (n - 1) // 2, "m2": n // 2}
-    got = orderstats.group_percentiles(v, [], "v", {k: (i + 0.5) / n for k, i in at.items()}).first()
     return {"median": (got.m1 + got.m2) / 2, "q1": got.q1, "q3": got.q3}
 
 

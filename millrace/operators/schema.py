@@ -13,9 +13,6 @@ from millrace.functions import casting as K
 from millrace.operators import audit as A
 
 STAGE = "schema"
-# What a boolean field accepts as text.
-TRUE = ["1", "true", "t", "yes", "y", "on"]
-FALSE = ["0", "false", "f", "no", "n", "off"]
 
 
 @dataclass(frozen=True)
@@ -46,7 +43,7 @@ def coerced(c: Column, kind: T.DataType, target: str) -> Column:
     if target == "bool":
         if K.is_number(kind):
             return F.when(c == 1, True).when(c == 0, False)
-        return K.to_bool(c, kind, TRUE, FALSE)
+        return K.to_bool(c, kind)
     return K.convert(c, kind, target)
 
 
@@ -80,3 +77,17 @@ def validate(df: DataFrame, fields: list[Field], strict: bool = False) -> DataFr
 
 def _spark(name: str) -> str:
     return {"string": "string", "int": "bigint", "float": "double", "bool": "boolean", "datetime": "timestamp"}[K.TYPE_NAMES.get(name, "string")]
+
+
+@dataclass
+class Validator:
+    """A schema that can be swapped between batches."""
+
+    fields: list[Field]
+    strict: bool = False
+
+    def swap(self, schema: Any = None, field_types: dict[str, str] | None = None, required: list[str] | None = None) -> None:
+        self.fields = fields_of(schema, field_types, required)
+
+    def apply(self, df: DataFrame) -> DataFrame:
+        return validate(df, self.fields, self.strict)

@@ -42,18 +42,16 @@ class TimeWindow:
     emit_on_close: bool = False
 
 
-def _made(w: TimeWindow, frame, x: Column, t: Column) -> dict[str, Column]:
+def _made(frame, x: Column, t: Column) -> dict[str, Column]:
     """Each function over a frame; deviations are the sample's."""
     first_t, last_t, n = F.min(t).over(frame), F.max(t).over(frame), F.count(x).over(frame)
-    values = F.collect_list(x).over(frame)
     span = (last_t - first_t) / 60
-    out = {
+    return {
         "count": n, "sum": F.sum(x).over(frame), "mean": F.avg(x).over(frame), "min": F.min(x).over(frame), "max": F.max(x).over(frame),
         "std": F.coalesce(F.stddev_samp(x).over(frame), F.lit(0.0)), "var": F.coalesce(F.var_samp(x).over(frame), F.lit(0.0)),
-        "first": F.first(x, ignorenulls=True).over(frame), "last": F.last(x, ignorenulls=True).over(frame), "median": O.middle(values), "unique": F.size(F.collect_set(x).over(frame)),
+        "first": F.first(x, ignorenulls=True).over(frame), "last": F.last(x, ignorenulls=True).over(frame),
         "rate": F.when(n < 2, 0.0).when(span <= 0, n.cast("double")).otherwise(n / span),
     }
-    return out | {k: O.pick(values, p) for k, p in O.PERCENTILES.items()}
 
 
 def session_ids(df: DataFrame, time: str, groups: list[str], gap: float, order: str) -> DataFrame:
@@ -70,22 +68,33 @@ def running(df: DataFrame, w: TimeWindow, order: str) -> DataFrame:
     x, t = F.col(w.source).try_cast("double"), seconds(F.col(w.time))
     size = duration(w.size)
     x = F.when(t.isNotNull(), x)
+    keys, sorts, back = [F.col(g) for g in w.group_by], [t, F.col(order)], None
     if w.type == "session":
         df = session_ids(df, w.time, w.group_by, size, order)
-        frame = Window.partitionBy(*w.group_by, "_session").orderBy(t, order).rowsBetween(Window.unboundedPreceding, 0)
+        keys.append(F.col("_session"))
     elif w.type == "tumbling":
-        frame = Window.partitionBy(*w.group_by, F.floor(t / size)).orderBy(t, order).rowsBetween(Window.unboundedPreceding, 0)
+        keys.append(F.floor(t / size))
     elif w.type == "sliding" or w.watermark is not None:
-        back = size if w.type == "sliding" else duration(w.watermark)
-        frame = Window.partitionBy(*w.group_by).orderBy(micros(F.col(w.time))).rangeBetween(-round(back * 1e6), 0)
-    else:
-        frame = Window.partitionBy(*w.group_by).orderBy(t, order).rowsBetween(Window.unboundedPreceding, 0)
-    made = _made(w, frame, x, t)
-    return df.withColumns({f"{w.name}_{f}": F.when(x.isNotNull(), made[f]) for f in w.functions}).drop("_session")
+        back = round((size if w.type == "sliding" else duration(w.watermark)) * 1e6)
+        sorts[0] = micros(F.col(w.time))
+    frame = Window.partitionBy(*keys)
+    frame = frame.orderBy(*sorts).rowsBetween(Window.unboundedPreceding, 0) if back is None else frame.orderBy(sorts[0]).rangeBetween(-back, 0)
+    ranks = {f"{w.name}_{f}": f for f in w.functions if f == "median" or f in O.PERCENTILES or (f == "unique" and back is not None)}
+    if ranks:
+        df = O.running_statistics(df, keys, sorts, x, ranks, back)
+    made = _made(frame, x, t) | {f: F.col(c) for c, f in ranks.items()}
+    if "unique" in w.functions and back is None:  # a value counts where it stands for the first time in its window
+        once = F.row_number().over(Window.partitionBy(*keys, x).orderBy(*sorts)) == 1
+        df = df.withColumn("_once", (once & x.isNotNull()).cast("int"))
+        made["unique"] = F.sum("_once").over(frame)
+    return df.withColumns({f"{w.name}_{f}": F.when(x.isNotNull(), made[f].cast("int") if f == "unique" else made[f]) for f in w.functions}).drop("_session", "_once")
 
 
 def closed(df: DataFrame, w: TimeWindow) -> DataFrame:
-    """One row for each group and window: window_start (and window_end), <name>_<function>. Also for streams."""
+    """One row for each group and window: window_start (and window_end), <name>_<function>. Also for streams.
+
+    Median and percentiles come by ranks; in streams and in sessions, whose windows must hold their values anyway, from those.
+    """
     size = f"{duration(w.size)} seconds"
     if w.type == "session":
         key = F.session_window(w.time, size)
@@ -99,7 +108,22 @@ def closed(df: DataFrame, w: TimeWindow) -> DataFrame:
     span = (F.max(t) - F.min(t)) / 60
     made = {
         "count": n, "sum": F.sum(x), "mean": F.avg(x), "min": F.min(x), "max": F.max(x), "std": F.coalesce(F.stddev_samp(x), F.lit(0.0)), "var": F.coalesce(F.var_samp(x), F.lit(0.0)),
-        "first": F.min_by(x, t), "last": F.max_by(x, t), "median": F.median(x), "unique": F.count_distinct(x), "rate": F.when(n < 2, 0.0).when(span <= 0, n.cast("double")).otherwise(n / span),
-    } | {k: O.pick(F.collect_list(x), p) for k, p in O.PERCENTILES.items()}
-    out = df.groupBy(key.alias("w"), *w.group_by).agg(*[made[f].alias(f"{w.name}_{f}") for f in w.functions])
-    return out.select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), *w.group_by, *[f"{w.name}_{f}" for f in w.functions])
+        "first": F.min_by(x, t), "last": F.max_by(x, t), "unique": F.count_distinct(x), "rate": F.when(n < 2, 0.0).when(span <= 0, n.cast("double")).otherwise(n / span),
+    }
+    ranks = [f for f in w.functions if f == "median" or f in O.PERCENTILES]
+    if df.isStreaming or w.type == "session":
+        made |= {"median": F.median(x)} | {k: O.pick(F.collect_list(x), p) for k, p in O.PERCENTILES.items()}
+        ranks = []
+    plain = [f for f in w.functions if f not in ranks] or ["count"]
+    out = df.groupBy(key.alias("w"), *w.group_by).agg(*[made[f].alias(f"{w.name}_{f}") for f in plain])
+    out = out.select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), *w.group_by, *[f"{w.name}_{f}" for f in plain])
+    if ranks:
+        placed = df.select(key.alias("w"), *w.group_by, x.alias("_x")).select(F.col("w.start").alias("window_start"), *w.group_by, "_x")
+        groups = ["window_start", *w.group_by]
+        got = O.group_statistics(placed, groups, "_x", ranks)
+        got = got.select(*[F.col(g).alias(f"_g_{g}") for g in groups], *[F.col(f).alias(f"{w.name}_{f}") for f in ranks])
+        on = F.lit(True)
+        for g in groups:
+            on = on & F.col(g).eqNullSafe(F.col(f"_g_{g}"))
+        out = out.join(got, on, "left")
+    return out.select("window_start", "window_end", *w.group_by, *[f"{w.name}_{f}" for f in w.functions])

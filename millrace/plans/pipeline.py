@@ -7,8 +7,10 @@ from dataclasses import dataclass, field
 from typing import Any
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from millrace.operators import aggregates, audit, clean, convert, duplicates, encode, features, missing, normalize, schema, windows
+from millrace.session import drop_written, written
 
 
 def on(config: dict | None) -> bool:
@@ -40,8 +42,9 @@ class Pipeline:
     fitted: dict[str, Any] = field(default_factory=dict)
 
     @classmethod
-    def of(cls, config: dict | str, order: str) -> Pipeline:
-        config = json.loads(config) if isinstance(config, str) else config
+    def of(cls, config: dict | str, order: str, defaults: dict | None = None, overrides: dict | None = None) -> Pipeline:
+        """``overrides`` win over ``config``, and that over ``defaults``, block by block."""
+        config = merged(defaults or {}, json.loads(config) if isinstance(config, str) else config, overrides or {})
         return cls(config, order, bool(config.get("strict_mode", False)))
 
     def validate(self, df: DataFrame) -> DataFrame:
@@ -61,7 +64,7 @@ class Pipeline:
         if on(c := first(t, "type_conversion", "type_converter")):
             df = convert.convert(df, first(c, "field_types", "type_mapping"), bool(c.get("auto_infer", False)), bool(c.get("fail_on_error", False)), self.strict, formats=c.get("datetime_formats"), true_words=c.get("boolean_true_values"), false_words=c.get("boolean_false_values"))
         if on(c := first(t, "data_cleaning", "cleaning")):
-            df = clean.clean(df, clean.rules_of(c.get("rules", {})), self.strict)
+            df = clean.clean(df, clean.rules_of(c.get("rules", {})), self.strict, c.get("global_action", "reject"))
         if on(c := first(t, "encoding", "encoder")):
             names = ("strategy", "ordinal_mapping", "handle_unknown", "unknown_value", "drop_first", "max_categories", "keep_original")
             if fit:
@@ -89,10 +92,22 @@ class Pipeline:
         return df
 
     def fit(self, df: DataFrame) -> Pipeline:
-        """Learn codes and scales from what the stages before let through."""
-        self.transform(self.validate(df), fit=True)
+        """Learn codes and scales from what the stages before let through; these are run once, into the shared folder."""
+        t = self.config.get("transformation", {})
+        if on(first(t, "encoding", "encoder")) or on(first(t, "normalization", "normalizer")):
+            stored = written(self.validate(df), "pipeline-fit")
+            self.transform(stored, fit=True)
+            drop_written(stored)
         return self
 
+    def stats(self, df: DataFrame) -> DataFrame:
+        """stage, rows, failed: how many rows each stage has rejected (a row counts in each stage that it failed), then all rows as stage ``total``."""
+        out = self.apply(df).select(audit.ERRORS, audit.VALID)
+        total = out.agg(F.lit("total").alias("stage"), F.count(F.lit(1)).alias("rows"), F.count_if(~F.col(audit.VALID)).alias("failed"))
+        per = out.select(F.explode(F.array_distinct(F.transform(audit.ERRORS, lambda e: e["stage"]))).alias("stage")).groupBy("stage").agg(F.count(F.lit(1)).alias("failed"))
+        rows = total.first()
+        return per.select("stage", F.lit(rows.rows).alias("rows"), "failed").unionByName(total)
+
     def apply(self, df: DataFrame) -> DataFrame:
         """All stages, with audit columns. On a stream only stages without order across rows may be enabled."""
         out = self.transform(self.validate(df))

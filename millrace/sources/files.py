@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def csv(spark: SparkSession, path: str, columns: list[str] | None = None) -> DataFrame:
-    """Header names the columns, every value is text; only the header is read to plan."""
-    reader = spark.read.option("header", True).option("inferSchema", False).option("encoding", "UTF-8").option("multiLine", False)
+def csv(spark: SparkSession, path: str, columns: list[str] | None = None, multiline: bool = False) -> DataFrame:
+    """Header names the columns, every value is text; only the header is read to plan. Quoted newlines need ``multiline``, which reads a file in one task."""
+    reader = spark.read.option("header", True).option("inferSchema", False).option("encoding", "UTF-8").option("multiLine", multiline)
     return reader.schema(text_schema(columns)).csv(path) if columns else reader.csv(path)
 
 
@@ -27,6 +28,16 @@ def json(spark: SparkSession, path: str, schema: T.StructType | str | None = Non
     return (spark.read.schema(schema) if schema else spark.read).json(path)
 
 
+def estimated_rows(spark: SparkSession, path: str, sample: int = 1000) -> int:
+    """About how many rows the text files under ``path`` hold: their bytes over the mean length of their first lines, headers aside."""
+    lines = spark.read.text(path)
+    files = lines.inputFiles()
+    fs = spark._jvm.org.apache.hadoop.fs
+    size = sum(fs.Path(f).getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(fs.Path(f)).getLen() for f in files)
+    mean = lines.limit(sample).agg(F.avg(F.octet_length("value") + 1)).first()[0]
+    return max(0, round(size / mean) - len(files)) if mean else 0
+
+
 def parquet(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
@@ -48,7 +59,7 @@ def read(spark: SparkSession, config: dict) -> DataFrame:
     """By ``{"type": "csv" | "json" | "parquet" | "jdbc" | "kafka", "path": ..., "stream": bool, ...}``."""
     kind, stream = config.get("type", "csv"), config.get("stream", False)
     if kind == "csv":
-        return csv_stream(spark, config["path"], config.get("columns"), config.get("files_per_batch")) if stream else csv(spark, config["path"], config.get("columns"))
+        return csv_stream(spark, config["path"], config.get("columns"), config.get("files_per_batch")) if stream else csv(spark, config["path"], config.get("columns"), config.get("multiline", False))
     if kind == "parquet":
         return parquet_stream(spark, config["path"], config.get("files_per_batch")) if stream else parquet(spark, config["path"])
     if kind == "json":

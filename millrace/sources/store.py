@@ -3,18 +3,21 @@
 from __future__ import annotations
 
 import json
+import time
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from millrace.session import drop_written, written
+
 CONFIG = "service_name string, config_data string, version int, description string, deleted boolean, updated_at timestamp"
 
 
-def latest(df: DataFrame, keys: list[str], version: str) -> DataFrame:
+def latest(df: DataFrame, keys: list[str], version: str | Column) -> DataFrame:
     """The row of the highest version of each key: combined before the shuffle."""
     rest = [c for c in df.columns if c not in keys]
-    return df.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.col(version)).alias("r")).select(*keys, *[F.col(f"r.{c}").alias(c) for c in rest])
+    return df.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.col(version) if isinstance(version, str) else version).alias("r")).select(*keys, *[F.col(f"r.{c}").alias(c) for c in rest])
 
 
 def retained(df: DataFrame, keys: list[str], version: str, most: int = 10) -> DataFrame:
@@ -23,10 +26,16 @@ def retained(df: DataFrame, keys: list[str], version: str, most: int = 10) -> Da
     return df.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= most).drop("_rn")
 
 
-def find(df: DataFrame, query: dict[str, Any] | None = None, sort: list[str | Column] | None = None, limit: int = 100, offset: int = 0) -> DataFrame:
-    """Rows equal to the query, sorted, a page of them."""
+def matching(df: DataFrame, query: dict[str, Any] | None = None) -> DataFrame:
+    """Rows equal to the query."""
     for k, v in (query or {}).items():
         df = df.where(F.col(k).isNull() if v is None else F.col(k) == v)
+    return df
+
+
+def find(df: DataFrame, query: dict[str, Any] | None = None, sort: list[str | Column] | None = None, limit: int = 100, offset: int = 0) -> DataFrame:
+    """Rows equal to the query, sorted, a page of them."""
+    df = matching(df, query)
     df = df.orderBy(*sort) if sort else df
     return (df.offset(offset) if offset else df).limit(limit)
 
@@ -39,8 +48,12 @@ def page(df: DataFrame, number: int, size: int, sort: str, descending: bool = Fa
     return df.orderBy(key).offset((max(1, number) - 1) * size).limit(size), {"total_items": total, "total_pages": -(-total // size), "page": number, "size": size}
 
 
+#: Versions start anew after a deletion, so what was written last counts.
+LAST = ("updated_at", "version")
+
+
 class ConfigStore:
-    """A document for each service; every change appends a version."""
+    """A document for each service; every change appends a version, the first after a deletion is 1."""
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path
@@ -51,10 +64,10 @@ class ConfigStore:
         return self.spark.read.schema(CONFIG).parquet(self.path) if there else self.spark.createDataFrame([], CONFIG)
 
     def list_all(self) -> DataFrame:
-        return latest(self.history(), ["service_name"], "version").where(~F.col("deleted")).drop("deleted").orderBy("service_name")
+        return latest(self.history(), ["service_name"], F.struct(*LAST)).where(~F.col("deleted")).drop("deleted").orderBy("service_name")
 
     def get(self, name: str) -> dict | None:
-        row = latest(self.history().where(F.col("service_name") == name), ["service_name"], "version").where(~F.col("deleted")).first()
+        row = latest(self.history().where(F.col("service_name") == name), ["service_name"], F.struct(*LAST)).where(~F.col("deleted")).first()
         return None if row is None else {"service_name": name, "config": json.loads(row.config_data), "version": row.version, "description": row.description}
 
     def _append(self, name: str, data: str | None, version: int, description: str | None, deleted: bool) -> None:
@@ -63,8 +76,8 @@ class ConfigStore:
 
     def upsert(self, name: str, data: dict, description: str | None = None) -> int:
         """Version 1, or the next one; a description stays if none is given."""
-        last = latest(self.history().where(F.col("service_name") == name), ["service_name"], "version").first()
-        version = 1 if last is None else last.version + 1
+        last = latest(self.history().where(F.col("service_name") == name), ["service_name"], F.struct(*LAST)).first()
+        version = 1 if last is None or last.deleted else last.version + 1
         kept = description if description is not None else (last.description if last is not None and not last.deleted else None)
         self._append(name, json.dumps(data), version, kept, False)
         return version
@@ -101,16 +114,15 @@ class Collection:
     def current(self) -> DataFrame:
         return latest(self._all(), ["_id"], "_version").where(~F.col("_deleted")).drop("_deleted", "_version")
 
-    def _next(self) -> int:
-        return (self._all().agg(F.max("_version")).first()[0] or 0) + 1
+    @staticmethod
+    def _next() -> int:
+        """A version above all earlier ones: the time in nanoseconds, so a write reads nothing."""
+        return time.time_ns()
 
     def save(self, rows: DataFrame) -> int:
         """Rows with or without _id; returns how many."""
         rows = rows if "_id" in rows.columns else rows.withColumn("_id", F.expr("uuid()"))
-        out = rows.withColumns({"_version": F.lit(self._next()).cast("bigint"), "_deleted": F.lit(False)})
-        columns = self.spark.createDataFrame([], self.schema).columns
-        out.select(*columns).write.mode("append").parquet(self.path)
-        return rows.count()
+        return self._write(rows.withColumns({"_version": F.lit(self._next()), "_deleted": F.lit(False)}))
 
     def find(self, query: dict[str, Any] | None = None, sort: list | None = None, limit: int = 100, offset: int = 0) -> DataFrame:
         return find(self.current(), query, sort, limit, offset)
@@ -120,21 +132,27 @@ class Collection:
         return row.asDict() if row else None
 
     def count(self, query: dict[str, Any] | None = None) -> int:
-        df = self.current()
-        for k, v in (query or {}).items():
-            df = df.where(F.col(k) == v)
-        return df.count()
+        return matching(self.current(), query).count()
+
+    def counts(self, field: str) -> DataFrame:
+        """field, n: how many documents have each value."""
+        return self.current().groupBy(field).agg(F.count(F.lit(1)).alias("n"))
+
+    def _write(self, rows: DataFrame) -> int:
+        """Store the rows, then append them: what is read and what is counted is one and the same."""
+        stored = written(rows.select(*self.spark.createDataFrame([], self.schema).columns), "collection")
+        n = stored.count()
+        if n:
+            stored.write.mode("append").parquet(self.path)
+        drop_written(stored)
+        return n
 
     def update(self, query: dict[str, Any], changes: dict[str, Any]) -> int:
-        rows = find(self.current(), query, limit=2_147_483_647)
-        return self.save(rows.withColumns({k: F.lit(v) for k, v in changes.items()}))
+        rows = matching(self.current(), query).withColumns({k: F.lit(v) for k, v in changes.items()})
+        return self._write(rows.withColumns({"_version": F.lit(self._next()), "_deleted": F.lit(False)}))
 
     def delete(self, query: dict[str, Any]) -> int:
-        rows = find(self.current(), query, limit=2_147_483_647).withColumns({"_version": F.lit(self._next()).cast("bigint"), "_deleted": F.lit(True)}).cache()
-        n = rows.count()
-        rows.select(*self.spark.createDataFrame([], self.schema).columns).write.mode("append").parquet(self.path)
-        rows.unpersist()
-        return n
+        return self._write(matching(self.current(), query).withColumns({"_version": F.lit(self._next()), "_deleted": F.lit(True)}))
 
 
 class StateStore:

@@ -2,7 +2,7 @@
 
 A record has topic, partition, offset, value (JSON) and published_at. Groups keep their own
 committed offsets; rejected records go to the topic's dead-letter topic with the
-reason. With Spark's Kafka connector the same calls can be served by ``format("kafka")``.
+reason. A topic has one writer at a time, as a folder of files has no lock. ``millrace.sources.kafka`` writes to and reads from Kafka itself.
 """
 
 from __future__ import annotations
@@ -10,8 +10,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from millrace.session import drop_written, written
+
 RECORD = "topic string, partition int, offset bigint, value string, published_at timestamp"
-COMMIT = "topic string, group_id string, partition int, next_offset bigint"
+COMMIT = "topic string, group_id string, partition int, next_offset bigint, committed_at timestamp"
 HIDDEN = "__consumer_offsets"
 
 
@@ -32,17 +34,37 @@ class Broker:
     def topic_for(exchange: str, routing_key: str) -> str:
         return f"{exchange}__{routing_key}".lower().replace("-", "_")
 
+    def _append(self, rows: DataFrame) -> int:
+        """Append (topic, partition, value, _o); returns how many. Offsets go on from the last in the order of _o.
+
+        Rows are dealt by range of (topic, partition, _o) and stored; each range's count is carried to the later ones, so a
+        topic with one partition needs no single task.
+        """
+        key = ["topic", "partition"]
+        stored = written(rows.select(*key, "value", "_o").repartitionByRange(*key, "_o").withColumn("_part", F.spark_partition_id()), "topic-rows")
+        counts = stored.groupBy(*key, "_part").agg(F.count(F.lit(1)).alias("_n"))
+        before = Window.partitionBy(*key).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # as many rows as ranges
+        last = self.records().groupBy(*key).agg((F.max("offset") + 1).alias("_next"))
+        carried = counts.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).join(last, key, "left").select(*key, "_part", (F.coalesce("_next", F.lit(0)) + F.col("_before")).alias("_first"))
+        own = F.row_number().over(Window.partitionBy(*key, "_part").orderBy("_o")) - 1
+        out = stored.withColumn("_i", own).join(carried, [*key, "_part"])
+        out = out.select("topic", "partition", (F.col("_first") + F.col("_i")).cast("bigint").alias("offset"), "value", F.current_timestamp().alias("published_at"))
+        out.write.mode("append").partitionBy("topic").parquet(f"{self.root}/records")
+        n = counts.agg(F.sum("_n")).first()[0] or 0
+        drop_written(stored)
+        return n
+
     def publish(self, messages: DataFrame, exchange: str, routing_key: str, partitions: int = 1, order: str | None = None) -> int:
-        """Append (value) rows; returns how many. Offsets go on from the last; a partition's order is that of ``order``."""
-        topic = self.topic_for(exchange, routing_key)
+        """Append (value) rows; returns how many. A partition's order is that of ``order``."""
         key = F.col(order) if order else F.monotonically_increasing_id()
-        placed = messages.select("value", key.alias("_o")).withColumn("partition", (F.pmod(F.xxhash64("value"), F.lit(partitions))).cast("int"))
-        last = self.records().where(F.col("topic") == topic).groupBy("partition").agg(F.max("offset").alias("_last"))
-        w = Window.partitionBy("partition").orderBy("_o")
-        rows = placed.withColumn("_i", F.row_number().over(w)).join(F.broadcast(last), "partition", "left")
-        out = rows.select(F.lit(topic).alias("topic"), "partition", (F.coalesce("_last", F.lit(-1)) + F.col("_i")).cast("bigint").alias("offset"), "value", F.current_timestamp().alias("published_at"))
-        out.write.mode("append").partitionBy("topic").parquet(f"{self.root}/records")
-        return messages.count()
+        part = F.pmod(F.xxhash64("value"), F.lit(partitions)).cast("int")
+        return self._append(messages.select(F.lit(self.topic_for(exchange, routing_key)).alias("topic"), part.alias("partition"), "value", key.alias("_o")))
+
+    def publish_batch(self, messages: DataFrame, exchange: str, routing_key: str, partitions: int = 1, order: str | None = None) -> tuple[int, int]:
+        """(published, failed): rows whose value is no JSON object fail and are left out."""
+        fine = F.coalesce(F.try_parse_json("value").isNotNull() & F.col("value").rlike(r"^\s*\{"), F.lit(False))
+        failed = messages.where(~fine).count()
+        return self.publish(messages.where(fine), exchange, routing_key, partitions, order), failed
 
     def peek(self, topic: str, most: int = 10) -> DataFrame:
         """The first records, without committing; with _meta."""
@@ -51,7 +73,9 @@ class Broker:
 
     def committed(self, topic: str, group: str) -> DataFrame:
         c = self._read("commits", COMMIT).where((F.col("topic") == topic) & (F.col("group_id") == group))
-        return c.groupBy("partition").agg(F.max("next_offset").alias("next_offset"))
+        last = c.groupBy("partition").agg(F.max(F.when(F.col("next_offset") < 0, F.col("committed_at"))).alias("_reset"))  # -1: the group left
+        kept = c.join(F.broadcast(last), "partition").where(F.col("_reset").isNull() | (F.col("committed_at") > F.col("_reset")))
+        return kept.groupBy("partition").agg(F.max("next_offset").alias("next_offset"))
 
     def fetch(self, topic: str, group: str, most: int = 10) -> DataFrame:
         """The group's next records, with _delivery; nothing is committed until ``ack``."""
@@ -63,29 +87,39 @@ class Broker:
     def ack(self, deliveries: DataFrame, group: str) -> None:
         """Commit up to the last of these deliveries in each partition."""
         done = deliveries.select("_delivery.*").groupBy("topic", "partition").agg((F.max("offset") + 1).alias("next_offset"))
-        done.select("topic", F.lit(group).alias("group_id"), "partition", "next_offset").write.mode("append").parquet(f"{self.root}/commits")
+        done.select("topic", F.lit(group).alias("group_id"), "partition", "next_offset", F.current_timestamp().alias("committed_at")).write.mode("append").parquet(f"{self.root}/commits")
 
     def nack(self, deliveries: DataFrame, group: str, requeue: bool = False, reason: str = "") -> None:
-        """Without requeue: copy to the dead-letter topic and commit past. With it: leave uncommitted, so it comes again."""
+        """Without requeue: copy to the dead-letter topic and commit past. With it: leave uncommitted, so it comes again.
+
+        A dead letter has the payload's own fields and _dead_letter; a payload that is no object is kept as ``payload``.
+        """
         if requeue:
             return
         d = deliveries.select("value", "_delivery.*")
-        letter = F.to_json(F.struct(F.col("value").alias("payload"), F.struct(F.col("topic").alias("source_topic"), "partition", "offset", F.lit(reason).alias("reason"), F.current_timestamp().alias("failed_at")).alias("_dead_letter")))
-        for row in d.select("topic").distinct().collect():  # the topics of one fetch
-            dead = d.where(F.col("topic") == row.topic).select(letter.alias("value"))
-            name = f"{row.topic}__dlq"
-            last = self.records().where(F.col("topic") == name).agg(F.max("offset")).first()[0]
-            w = Window.orderBy("value")
-            rows = dead.select(F.lit(0).alias("partition"), (F.row_number().over(w) + (-1 if last is None else last)).cast("bigint").alias("offset"), "value", F.current_timestamp().alias("published_at"), F.lit(name).alias("topic"))
-            rows.write.mode("append").partitionBy("topic").parquet(f"{self.root}/records")
+        told = F.struct(F.col("topic").alias("source_topic"), "partition", "offset", F.lit(reason or "rejected").alias("reason"), F.current_timestamp().alias("failed_at"))
+        note = F.concat(F.lit('"_dead_letter":'), F.to_json(told), F.lit("}"))
+        bare = F.regexp_replace(F.rtrim("value"), r"\s*\}$", "")
+        merged = F.when(bare.rlike(r"^\s*\{\s*$"), F.concat(bare, note)).otherwise(F.concat(bare, F.lit(","), note))
+        kept = F.concat(F.regexp_replace(F.to_json(F.struct(F.col("value").alias("payload"))), r"\}$", ","), note)
+        letter = F.when(F.col("value").rlike(r"(?s)^\s*\{.*\}\s*$"), merged).otherwise(F.when(F.col("value").isNull(), F.concat(F.lit("{"), note)).otherwise(kept))
+        self._append(d.select(F.concat("topic", F.lit("__dlq")).alias("topic"), F.lit(0).alias("partition"), letter.alias("value"), F.struct("topic", "partition", "offset").alias("_o")))
         self.ack(deliveries, group)
 
+    def unsubscribe(self, topic: str, group: str) -> None:
+        """Forget a group's offsets: its next fetch begins at the first record."""
+        done = self.committed(topic, group).select(F.lit(topic).alias("topic"), F.lit(group).alias("group_id"), "partition", F.lit(-1).cast("bigint").alias("next_offset"), F.current_timestamp().alias("committed_at"))
+        done.write.mode("append").parquet(f"{self.root}/commits")
+
     def backlog(self) -> DataFrame:
         return backlog(self.records())
 
     def bindings(self, exchange: str) -> DataFrame:
         return bindings(self.records().select("topic"), exchange)
 
+    def stats(self) -> DataFrame:
+        return stats(self.records())
+
     def topics(self) -> DataFrame:
         return self.records().select("topic").distinct().where(F.col("topic") != HIDDEN).orderBy("topic")
 
@@ -100,3 +134,10 @@ def bindings(topics: DataFrame, exchange: str) -> DataFrame:
     """routing_key: what follows the exchange in its topics' names, sorted."""
     prefix = Broker.topic_for(exchange, "")
     return topics.where(F.col("topic").startswith(prefix)).select(F.substr("topic", F.lit(len(prefix) + 1)).alias("routing_key")).distinct().orderBy("routing_key")
+
+
+def stats(records: DataFrame) -> DataFrame:
+    """topic, messages, partitions, first_at, last_at, per_second: of each topic, dead letters as topics of their own."""
+    per = records.groupBy("topic").agg(F.count(F.lit(1)).alias("messages"), F.count_distinct("partition").alias("partitions"), F.min("published_at").alias("first_at"), F.max("published_at").alias("last_at"))
+    span = F.unix_micros("last_at") - F.unix_micros("first_at")
+    return per.withColumn("per_second", F.when(span > 0, F.col("messages") * 1e6 / span).otherwise(F.col("messages").cast("double")))

@@ -1,9 +1,10 @@
-"""Publish statistics of streams, by a listener: attempts, rows, rates, recent errors."""
+"""Statistics of streams: attempts, rows, rates, late rows, recent errors."""
 
 from __future__ import annotations
 
 from collections import deque
 
+from pyspark.sql import SparkSession
 from pyspark.sql.streaming import StreamingQueryListener
 
 
@@ -11,10 +12,16 @@ class Stats(StreamingQueryListener):
     """Totals over all queries of a session; the last 100 errors."""
 
     def __init__(self):
-        self.batches = self.rows = self.failed = 0
+        self.batches = self.rows = self.late = self.failed = 0
         self.first = self.last = None
         self.errors: deque[str] = deque(maxlen=100)
 
+    @classmethod
+    def attached(cls, spark: SparkSession) -> Stats:
+        stats = cls()
+        spark.streams.addListener(stats)
+        return stats
+
     def onQueryStarted(self, event) -> None:
         pass
 
@@ -22,6 +29,7 @@ class Stats(StreamingQueryListener):
         p = event.progress
         self.batches += 1
         self.rows += p.numInputRows
+        self.late += sum(s.numRowsDroppedByWatermark for s in p.stateOperators)
         self.first = self.first or p.timestamp
         self.last = p.timestamp
 
@@ -35,4 +43,4 @@ class Stats(StreamingQueryListener):
 
     def summary(self) -> dict:
         total = self.batches + self.failed
-        return {"batches": self.batches, "rows": self.rows, "failed": self.failed, "first": self.first, "last": self.last, "success_rate": self.batches / total if total else 1.0, "recent_errors": list(self.errors)[-10:]}
+        return {"batches": self.batches, "rows": self.rows, "late_rows": self.late, "failed": self.failed, "first": self.first, "last": self.last, "success_rate": self.batches / total if total else 1.0, "recent_errors": list(self.errors)[-10:]}

@@ -1,6 +1,7 @@
 """Hand-derived cases of each operator."""
 
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -11,7 +12,7 @@ from millrace.functions import expressions as X
 from millrace.functions import orderstats as O
 from millrace.functions import scalars as S
 from millrace.functions.running import running
-from millrace.operators import aggregates, audit, clean, convert, duplicates, encode, envelope, missing, normalize, schema, windows
+from millrace.operators import aggregates, audit, clean, convert, duplicates, encode, envelope, features, missing, normalize, schema, windows
 from millrace.plans.pipeline import Pipeline, merged
 
 NUM = "i long, v double"
@@ -69,8 +70,109 @@ def test_percentiles_by_floor_index(spark):
     df = frame(spark, [1.0, 2.0, 3.0, 4.0])
     got = O.group_percentiles(df, [], "v").first()
     assert (got.p25, got.p50, got.p75, got.p99) == (2.0, 3.0, 4.0, 4.0)
-    arr = df.agg(F.collect_list("v").alias("a")).select(O.pick(F.col("a"), 0.5), O.middle(F.col("a"))).first()
-    assert list(arr) == [3.0, 2.5]
+    arr = df.agg(F.collect_list("v").alias("a")).select(O.pick(F.col("a"), 0.5)).first()
+    assert list(arr) == [3.0] and O.group_statistics(df, [], "v", ["median"]).first().median == 2.5
+
+
+def test_group_places_cross_partitions(spark):
+    """Groups larger than a partition of the sort, a null group, nulls, repeated values, and a group without values."""
+    rng = random.Random(1)
+    rows = [(g, rng.choice([None, float(rng.randrange(40)), rng.random()])) for g in (["a"] * 300 + ["b"] * 5 + [None] * 50)] + [("none", None)]
+    df = spark.createDataFrame(rows, "g string, v double").repartition(5)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = {r.g: r for r in O.group_statistics(df, ["g"], "v", ["median", *O.PERCENTILES]).collect()}
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert set(got) == {"a", "b", None}
+    for g, r in got.items():
+        s = sorted(v for h, v in rows if h == g and v is not None)
+        assert r.median == (s[(len(s) - 1) // 2] + s[len(s) // 2]) / 2
+        assert all(r[k] == s[min(int(len(s) * p), len(s) - 1)] for k, p in O.PERCENTILES.items())
+    assert O.group_statistics(df.where("false"), ["g"], "v", ["median"]).count() == 0
+
+
+def test_sorted_blocks(monkeypatch):
+    monkeypatch.setattr(O.Sorted, "BLOCK", 3)
+    rng, values, plain = random.Random(2), O.Sorted(), []
+    for _ in range(2000):
+        if plain and rng.random() < 0.45:
+            v = plain.pop(rng.randrange(len(plain)))
+            values.remove(v)
+        else:
+            v = float(rng.randrange(30))
+            plain.append(v)
+            values.add(v)
+        plain.sort()
+        assert [values[i] for i in range(values.n)] == plain
+    values.add(float("nan"))
+    assert math.isnan(values[values.n - 1])
+
+
+@pytest.mark.parametrize("back", [None, 5.0])
+def test_running_statistics(spark, back):
+    rng = random.Random(3)
+    rows = [(rng.choice(["a", "b", None]), float(rng.randrange(20)), i, rng.choice([None, 1.0, 2.0, 2.0, 7.5, float("nan")])) for i in range(150)]
+    df = spark.createDataFrame(rows, "g string, t double, i long, x double").repartition(3)
+    got = {r.i: r for r in O.running_statistics(df, [F.col("g")], [F.col("t"), F.col("i")], F.col("x"), {"m": "median", "p": "p90", "u": "unique"}, back).collect()}
+    key = lambda v: (v != v, v)
+    for g, t, i, _ in rows:
+        frame = [(u, j, x) for h, u, j, x in rows if h == g and ((t - back <= u <= t) if back is not None else (u, j) <= (t, i))]
+        s = sorted((x for *_, x in frame if x is not None), key=key)
+        r = got[i]
+        assert r.u == len({str(x) for x in s})
+        if s:
+            want = (s[(len(s) - 1) // 2] + s[len(s) // 2]) / 2, s[min(int(len(s) * 0.9), len(s) - 1)]
+            assert all(a == b or (a != a and b != b) for a, b in zip((r.m, r.p), want, strict=True))
+        else:
+            assert r.m is None and r.p is None
+
+
+def test_nested_conditionals(spark):
+    df = spark.createDataFrame([(2.0, 5.0)], "a double, b double")
+    texts = {"a > 1 ? (b > 9 ? 1 : 2) : 3": 2.0, "a > 5 ? 1 : b > 4 ? 2 : 3": 2.0, "if a > 1 then if b > 9 then 1 else 4 else 3": 4.0, "(a + 1) * 2 > 5 ? (a) + (b) : 0": 7.0, "a ? 1": 0.0}
+    got = df.select(*[X.conditional(t, df.schema) for t in texts]).first()
+    assert list(got) == list(texts.values())
+
+
+def test_runtime_changes(spark):
+    df = frame(spark, [1.0, 5.0])
+    cleaner = clean.Cleaner(action="log_warn")
+    cleaner.add(clean.Rule("v", max_value=2.0))
+    assert cleaner.apply(df).where("_valid").count() == 2 and cleaner.apply(df).where("size(_warnings) > 0").count() == 1
+    cleaner.add(clean.Rule("v", "reject", max_value=2.0))
+    assert cleaner.apply(df).where("_valid").count() == 1 and cleaner.remove("v") and not cleaner.remove("v") and cleaner.apply(df).where("_valid").count() == 2
+    builder = features.Builder()
+    builder.add(features.Feature("twice", "arithmetic", "v * 2"))
+    assert [r.twice for r in builder.apply(df).orderBy("i").collect()] == [2.0, 10.0] and builder.remove("twice") and "twice" not in builder.apply(df).columns
+    validator = schema.Validator(schema.fields_of(field_types={"v": "float"}))
+    assert [c for c in validator.apply(df).columns if c[0] != "_"] == ["v"]
+    validator.swap(field_types={"i": "int"})
+    assert [c for c in validator.apply(df).columns if c[0] != "_"] == ["i"]
+
+
+def test_each_value_is_inferred(spark):
+    texts = ["1", "1.5", "yes", "2024-01-02", "03/04/2024", "S001", "", None, "-7_000", "12-34"]
+    got = {r.v: r.x for r in spark.createDataFrame([(t,) for t in texts], "v string").select("v", K.inferred_value(F.col("v")).alias("x")).collect()}
+    assert [got[t].type for t in texts] == ["int", "float", "bool", "datetime", "datetime", "string", None, None, "int", "string"]
+    assert got["-7_000"].int == -7000 and got["1.5"].float == 1.5 and got["yes"].bool is True and got["S001"].string == "S001" and got["2024-01-02"].datetime.day == 2
+
+
+def test_missing_statistics(spark):
+    df = frame(spark, [1.0, None, None, 4.0])
+    done = missing.impute(df, ["v"], "fill_mean")
+    assert missing.stats(df, ["v"], done).first().asDict() == {"field": "v", "total_rows": 4, "missing": 2, "filled": 2, "rejected": 0}
+    done = missing.impute(df, ["v"], "reject")
+    assert missing.stats(df, ["v"], done).first().asDict() == {"field": "v", "total_rows": 4, "missing": 2, "filled": 0, "rejected": 2}
+
+
+def test_pipeline_precedence_and_statistics(spark):
+    base = {"transformation": {"data_cleaning": {"enabled": True, "rules": {"v": {"max_value": 2.0}}, "global_action": "reject"}}}
+    df = frame(spark, [1.0, 5.0, 9.0])
+    p = Pipeline.of(base, "i", defaults={"strict_mode": True, "transformation": {"data_cleaning": {"enabled": False}}})
+    assert p.strict and {r.stage: (r["rows"], r.failed) for r in p.stats(df).collect()} == {"clean": (3, 2), "total": (3, 2)}
+    off = Pipeline.of(base, "i", overrides={"transformation": {"data_cleaning": {"enabled": False}}})
+    assert off.accepted(df).count() == 3
 
 
 def test_deviations(spark):

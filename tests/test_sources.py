@@ -1,14 +1,17 @@
 """Files, topics, stored documents, and streams against batches."""
 
 import json
+import time
 
 from pyspark.sql import functions as F
 
 from millrace.operators import clean, convert
 from millrace.operators.windows import TimeWindow, closed
 from millrace.sources import files, store
+from millrace.sources.kafka import Kafka
 from millrace.sources.topics import Broker
 from millrace.streaming import query, stateful
+from millrace.streaming.metrics import Stats
 
 
 def test_csv_is_text_and_streams_alike(spark, tmp_path):
@@ -40,17 +43,115 @@ def test_broker(spark, tmp_path):
     b.nack(b.fetch(topic, "g", 1).cache(), "g", reason="bad")
     assert [r._delivery.offset for r in b.fetch(topic, "g", 10).collect()] == [3, 4]
     dead = json.loads(b.peek(f"{topic}__dlq").first().value)
-    assert dead["_dead_letter"]["reason"] == "bad" and dead["_dead_letter"]["offset"] == 2
+    assert dead["row"] == 2 and dead["_dead_letter"]["reason"] == "bad" and dead["_dead_letter"]["offset"] == 2 and dead["_dead_letter"]["source_topic"] == topic
     assert {r.topic: r.depth for r in b.backlog().collect()}[topic] == 5
     assert [r.routing_key for r in b.bindings("Stream-Exchange").collect()] == ["a", "a__dlq", "b"]
 
 
+def test_dead_letters_of_any_payload(spark, tmp_path):
+    b = Broker(spark, f"file:{tmp_path}")
+    values = ["{}", ' {"a": "}"} ', "[1]", "text", None]
+    rows = spark.createDataFrame(list(enumerate(values)), "i long, value string")
+    b.publish(rows, "x", "y", order="i")
+    b.nack(b.fetch("x__y", "g", 10).cache(), "g")
+    dead = [json.loads(r.value) for r in b.peek("x__y__dlq").collect()]
+    assert [d["_dead_letter"]["reason"] for d in dead] == ["rejected"] * 5 and [d["_dead_letter"]["offset"] for d in dead] == [0, 1, 2, 3, 4]
+    assert [{k: v for k, v in d.items() if k != "_dead_letter"} for d in dead] == [{}, {"a": "}"}, {"payload": "[1]"}, {"payload": "text"}, {}]
+
+
+def test_offsets_over_many_partitions(spark, tmp_path):
+    """Offsets are dense and in order, whatever ranges the rows are dealt to; batches go on from the last."""
+    b = Broker(spark, f"file:{tmp_path}")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        for k in range(2):
+            rows = spark.range(300).select((F.col("id") + 300 * k).alias("i"), F.to_json(F.struct("id")).alias("value")).repartition(7)
+            assert b.publish(rows, "e", "k", partitions=3, order="i") == 300
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    per = {}
+    for r in b.records().orderBy("partition", "offset").collect():
+        per.setdefault(r.partition, []).append((r.offset, json.loads(r.value)["id"]))
+    assert len(per) == 3 and sum(map(len, per.values())) == 600
+    for rows in per.values():
+        assert [o for o, _ in rows] == list(range(len(rows)))
+        half = len(rows) // 2
+        assert [v for _, v in rows[:half]] == sorted(v for _, v in rows[:half])
+    stats = b.stats().first()
+    assert (stats.topic, stats.messages, stats.partitions) == ("e__k", 600, 3) and stats.per_second > 0
+    bad = spark.createDataFrame([('{"a": 1}',), ("no json",), (None,), ("[1]",)], "value string")
+    assert b.publish_batch(bad, "e", "z") == (1, 3)
+    b.ack(b.fetch("e__k", "g", 5).cache(), "g")
+    b.unsubscribe("e__k", "g")
+    assert b.fetch("e__k", "g", 1).first()._delivery.offset == 0
+
+
+def test_kafka_options(spark):
+    k = Kafka("host:9092", {"kafka.security.protocol": "SSL"})
+    assert k.producer()["kafka.acks"] == "all" and k.producer()["kafka.bootstrap.servers"] == "host:9092"
+    got = k.consumer(["a", "b"], {"a": {0: 5}}, 100)
+    assert got["subscribe"] == "a,b" and json.loads(got["startingOffsets"]) == {"a": {"0": 5}} and got["maxOffsetsPerTrigger"] == "100" and got["kafka.security.protocol"] == "SSL"
+    m = k.messages(spark.createDataFrame([(1, "x")], "i long, s string"), F.lit("t"), F.col("i")).first()
+    assert (m.key, json.loads(m.value), m.topic) == ("1", {"i": 1, "s": "x"}, "t")
+
+
+def test_row_estimate(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in/a.csv").write_text("id,v\n" + "".join(f"{i:05d},xyz\n" for i in range(2000)))
+    assert abs(files.estimated_rows(spark, str(tmp_path / "in")) - 2000) <= 5
+    (tmp_path / "q.csv").write_text('id,v\n1,"two\nlines"\n')
+    assert [r.v for r in files.csv(spark, str(tmp_path / "q.csv"), multiline=True).collect()] == ["two\nlines"]
+
+
+def test_stream_status_reset_and_reconfiguration(spark, tmp_path):
+    e = spark.range(40).select(F.col("id").cast("string").alias("id"), (F.col("id") % 4).cast("string").alias("v"))
+    e.coalesce(1).write.parquet(str(tmp_path / "in"))
+    stats = Stats.attached(spark)
+    plan = lambda most: lambda cp: query.start(clean.clean(convert.convert(files.parquet_stream(spark, str(tmp_path / "in")), {"v": "int"}), [clean.Rule("v", max_value=most)]), str(tmp_path / "out"), cp, str(tmp_path / "bad"))
+    run = plan(1)(str(tmp_path / "cp"))
+    status = run.wait()
+    assert (status["published"], status["failed"], status["rows"], status["success_rate"]) == (20, 20, 40, 0.5)
+    again = run.reconfigured(plan(2))
+    assert again.wait()["rows"] == 0  # nothing new since the checkpoint
+    again.reset()
+    assert (lambda s: (s["published"], s["failed"]))(plan(2)(str(tmp_path / "cp")).wait()) == (30, 10)
+    e.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    live = plan(2)(str(tmp_path / "cp"))
+    live.wait()
+    polled = query.append(files.parquet_stream(spark, str(tmp_path / "in")), str(tmp_path / "o2"), str(tmp_path / "c2"), interval=0.2)
+    for _ in range(100):
+        if polled.status()["rows"] == 80:
+            break
+        time.sleep(0.2)
+    assert polled.status()["running"] and not polled.stop()["running"] and spark.read.parquet(str(tmp_path / "o2")).count() == 80
+    spark.streams.removeListener(stats)
+    assert stats.summary()["rows"] >= 80 and stats.summary()["success_rate"] == 1.0
+
+
+def test_stream_state_is_exact_for_large_offsets(spark, tmp_path):
+    e = spark.range(60).select("id", F.lit("k").alias("k"), (F.lit(1e9) + F.col("id") % 3).alias("v"))
+    e.coalesce(1).write.parquet(str(tmp_path / "in"))
+    query.append(stateful.running(files.parquet_stream(spark, str(tmp_path / "in")), ["k"], "v", "id", "a"), str(tmp_path / "o"), str(tmp_path / "c")).wait()
+    last = spark.read.parquet(str(tmp_path / "o")).orderBy(F.desc("id")).first()
+    assert abs(last.a_std - (2 / 3) ** 0.5) < 1e-9 and last.a_mean == 1e9 + 1 and last.a_count == 60
+
+
+def test_late_rows_are_counted(spark, tmp_path):
+    folder = tmp_path / "in"
+    for k, hours in enumerate(([0, 1, 10], [0, 11])):
+        spark.createDataFrame([(h * 3600, 1.0) for h in hours], "s long, v double").select(F.timestamp_seconds("s").alias("ts"), "v").coalesce(1).write.mode("append").parquet(str(folder))
+        w = TimeWindow("w", "v", "ts", "tumbling", 3600.0, functions=["count"])
+        status = query.append(stateful.at_close(files.parquet_stream(spark, str(folder)), w, 0), str(tmp_path / "o"), str(tmp_path / "c")).wait()
+    assert status["late_rows"] == 1
+
+
 def test_config_store(spark, tmp_path):
     s = store.ConfigStore(spark, f"file:{tmp_path}/config")
     assert s.get("a") is None and s.upsert("a", {"x": 1}, "first") == 1 and s.upsert("a", {"x": 2}) == 2
     assert s.get("a") == {"service_name": "a", "config": {"x": 2}, "version": 2, "description": "first"}
     assert s.seed({"a": {}, "b": {"y": 1}}) == 1 and [r.service_name for r in s.list_all().collect()] == ["a", "b"]
     assert s.delete("a") and not s.delete("a") and s.get("a") is None
+    assert s.upsert("a", {"x": 3}) == 1 and s.get("a") == {"service_name": "a", "config": {"x": 3}, "version": 1, "description": None} and s.upsert("a", {"x": 4}) == 2
 
 
 def test_page(spark):
@@ -81,6 +182,7 @@ def test_collection_and_states(spark, tmp_path):
     rows = spark.createDataFrame([("a", "x", 1), ("b", "x", 2), ("c", "y", 3)], "_id string, kind string, v long")
     assert c.save(rows) == 3 and c.count({"kind": "x"}) == 2 and c.find_one({"_id": "b"})["v"] == 2
     assert c.update({"kind": "x"}, {"v": 9}) == 2 and [r.v for r in c.find(sort=["_id"]).collect()] == [9, 9, 3]
+    assert {r.kind: r.n for r in c.counts("kind").collect()} == {"x": 2, "y": 1} and c.update({"kind": None}, {"v": 0}) == 0
     assert c.delete({"_id": "a"}) == 1 and c.count() == 2 and c.find_one({"_id": "a"}) is None
     s = store.StateStore(spark, f"file:{tmp_path}/states", most=2)
     assert [s.save("m", {"k": i}) for i in range(3)] == [1, 2, 3] and s.load("m") == {"k": 2} and s.load("m", 1) is None and s.names().first().versions == 2
