@@ -107,10 +107,10 @@ def agg_group_basic(t):
     return out.select("l_returnflag", "l_linestatus", "a_count", F.round("a_sum", 4).alias("a_sum"), r6("a_mean").alias("a_mean"), "a_min", "a_max")
 
 
-@query("agg_std_var", f"SELECT event_id, round(stddev_pop(value) {_W}, 5) AS a_std, round(var_pop(value) {_W} + 0.0000137, 4) AS a_var FROM events")
+@query("agg_std_var", f"SELECT event_id, round(stddev_pop(value) {_W}, 5) AS a_std, CAST(CAST(var_pop(value) {_W} AS FLOAT) AS DOUBLE) AS a_var FROM events")
 def agg_std_var(t):
     out = A.running(t("events"), A.Aggregation("a", "value", ["user_id"], ["std", "var"]), "event_id")
-    return out.select("event_id", F.round("a_std", 5).alias("a_std"), F.round(F.col("a_var") + 0.0000137, 4).alias("a_var"))  # the shift keeps exact halves apart
+    return out.select("event_id", F.round("a_std", 5).alias("a_std"), F.col("a_var").cast("float").cast("double").alias("a_var"))  # to single precision: decimal halves are no ties there
 
 
 @query("agg_first_last", f"SELECT event_id, first_value(value) {_W} AS a_first, last_value(value) {_W} AS a_last FROM events")
@@ -191,11 +191,13 @@ def agg_active_groups(t):
 
 def _window(t, functions, **options):
     w = W.TimeWindow("w", "value", "ts", functions=functions, group_by=["user_id"], **options)
-    return W.running(events(t), w, "event_id").select("event_id", *[F.round(F.col(f"w_{f}") + (0.0000137 if f == "var" else 0.0), {"mean": 9, "var": 4}.get(f, 6)).alias(f"w_{f}") if f not in ("count", "unique") else big(f"w_{f}").alias(f"w_{f}") for f in functions])
+    places = {"mean": 9}
+    shown = lambda f: big(f"w_{f}") if f in ("count", "unique") else F.col(f"w_{f}").cast("float").cast("double") if f == "var" else F.round(F.col(f"w_{f}"), places.get(f, 6))
+    return W.running(events(t), w, "event_id").select("event_id", *[shown(f).alias(f"w_{f}") for f in functions])
 
 
 def _frame(frame: str, functions=("count", "sum", "mean", "min", "max", "std", "first", "last"), source="events") -> str:
-    sql = {"count": "count(value)", "sum": "round(sum(value) OVER w, 6)", "mean": "round(avg(value) OVER w, 9)", "min": "round(min(value) OVER w, 6)", "max": "round(max(value) OVER w, 6)", "std": "round(coalesce(stddev_samp(value) OVER w, 0), 6)", "var": "round(coalesce(var_samp(value) OVER w, 0) + 0.0000137, 4)", "first": "round(first_value(value) OVER w, 6)", "last": "round(last_value(value) OVER w, 6)"}
+    sql = {"count": "count(value)", "sum": "round(sum(value) OVER w, 6)", "mean": "round(avg(value) OVER w, 9)", "min": "round(min(value) OVER w, 6)", "max": "round(max(value) OVER w, 6)", "std": "round(coalesce(stddev_samp(value) OVER w, 0), 6)", "var": "CAST(CAST(coalesce(var_samp(value) OVER w, 0) AS FLOAT) AS DOUBLE)", "first": "round(first_value(value) OVER w, 6)", "last": "round(last_value(value) OVER w, 6)"}
     cols = ", ".join(f"{sql[f] if f != 'count' else 'count(value) OVER w'} AS w_{f}" for f in functions)
     return f"SELECT event_id, {cols} FROM {source} WINDOW w AS ({frame})"
 

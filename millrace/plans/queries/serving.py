@@ -57,9 +57,63 @@ def exchange_bindings(t):
     return topics.bindings(_records(t).select("topic"), "ex")
 
 
-@query("peek_limit", f"SELECT topic, CAST(partition AS BIGINT) AS partition, offset_ AS \"offset\" FROM {_REC} r WHERE topic = 'ex__view' ORDER BY partition, offset_ LIMIT 10")
-def peek_limit(t):
-    return store.find(_records(t), {"topic": "ex__view"}, ["partition", "offset"], 10).select("topic", big("partition").alias("partition"), "offset")
+def _broker(spark, name):
+    return topics.Broker(spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}")
+
+
+def _published(spark, d, name, kind):
+    """A broker with the events of one type, in order, in one partition."""
+    b = _broker(spark, name)
+    rows = spark.read.parquet(f"{d}/events.parquet").where(F.col("event_type") == kind).select("event_id", F.to_json(F.struct("event_id", "user_id")).alias("value"))
+    b.publish(rows, "ex", kind, order="event_id")
+    return b, b.topic_for("ex", kind)
+
+
+def _register(name, sql, f):
+    QUERIES[name], ORACLES[name] = f, sql
+
+
+def peek_limit(spark, d):
+    b, topic = _published(spark, d, "peek", "view")
+    return b.peek(topic, 10).select(F.col("_meta.topic").alias("topic"), big(F.col("_meta.partition")).alias("partition"), F.col("_meta.offset").alias("offset"), F.get_json_object("value", "$.event_id").cast("bigint").alias("event_id"))
+
+
+_register("peek_limit", "SELECT 'ex__view' AS topic, 0::BIGINT AS partition, row_number() OVER (ORDER BY event_id) - 1 AS \"offset\", event_id FROM events WHERE event_type = 'view' ORDER BY event_id LIMIT 10", peek_limit)
+
+
+def consume_after_ack(spark, d):
+    """Twenty records are acknowledged, the next ten requeued: they come again."""
+    b, topic = _published(spark, d, "consume", "click")
+    b.ack(b.fetch(topic, "g", 20), "g")
+    b.nack(b.fetch(topic, "g", 10), "g", requeue=True)
+    out = b.fetch(topic, "g", 10)
+    return out.select(F.col("_delivery.delivery_tag").alias("delivery_tag"), F.col("_delivery.offset").alias("offset"), F.get_json_object("value", "$.event_id").cast("bigint").alias("event_id"))
+
+
+_register("consume_after_ack", "SELECT concat('ex__click:0:', CAST(n AS VARCHAR)) AS delivery_tag, n AS \"offset\", event_id FROM (SELECT event_id, row_number() OVER (ORDER BY event_id) - 1 AS n FROM events WHERE event_type = 'click') WHERE n BETWEEN 20 AND 29", consume_after_ack)
+
+
+def dead_letters(spark, d):
+    """Fifty records are rejected: their fields go to the dead-letter topic with the reason."""
+    b, topic = _published(spark, d, "dead", "error")
+    b.nack(b.fetch(topic, "g", 50), "g")
+    at = lambda path, kind: F.get_json_object("value", path).cast(kind)
+    return b.records().where(F.col("topic") == f"{topic}__dlq").select(
+        "offset", at("$.event_id", "bigint").alias("event_id"), at("$.user_id", "bigint").alias("user_id"), at("$._dead_letter.source_topic", "string").alias("source_topic"),
+        at("$._dead_letter.offset", "bigint").alias("source_offset"), at("$._dead_letter.reason", "string").alias("reason"),
+    )
+
+
+_register("dead_letters", "SELECT n AS \"offset\", event_id, user_id, 'ex__error' AS source_topic, n AS source_offset, 'rejected' AS reason FROM (SELECT event_id, user_id, row_number() OVER (ORDER BY event_id) - 1 AS n FROM events WHERE event_type = 'error') WHERE n < 50", dead_letters)
+
+
+def broker_totals(spark, d):
+    b, topic = _published(spark, d, "totals", "error")
+    b.nack(b.fetch(topic, "g", 5), "g")
+    return b.stats().select("topic", "messages", "partitions")
+
+
+_register("broker_totals", "SELECT 'ex__error' AS topic, count(*) AS messages, 1::BIGINT AS partitions FROM events WHERE event_type = 'error' UNION ALL SELECT 'ex__error__dlq', least(5, count(*)), 1 FROM events WHERE event_type = 'error'", broker_totals)
 
 
 @query("recent_errors", "SELECT event_id, user_id FROM events WHERE event_type = 'error' ORDER BY event_id DESC LIMIT 10")
@@ -78,10 +132,17 @@ def latest_version_upsert(t):
     return store.latest(t("events").select("user_id", F.col("event_id").alias("version"), "value"), ["user_id"], "version")
 
 
-@query("seed_missing", "SELECT DISTINCT user_id FROM events WHERE event_type = 'view' AND user_id NOT IN (SELECT user_id FROM events WHERE event_type = 'error')")
-def seed_missing(t):
-    e = t("events")
-    return e.where("event_type = 'view'").select("user_id").distinct().join(e.where("event_type = 'error'").select("user_id").distinct(), "user_id", "left_anti")
+def seed_missing(spark, d):
+    """Two services are there in their second version; seeding all event types adds the others."""
+    config = store.ConfigStore(spark, f"{shared_dir(spark)}/config-{uuid.uuid4().hex}")
+    for name in ("click", "error", "click", "error"):
+        config.upsert(name, {"own": True})
+    kinds = [r.event_type for r in spark.read.parquet(f"{d}/events.parquet").select("event_type").distinct().collect()]
+    config.seed({k: {"own": False} for k in kinds})
+    return config.list_all().select("service_name", big("version").alias("version"), (F.get_json_object("config_data", "$.own") == "true").alias("own"))
+
+
+_register("seed_missing", "SELECT DISTINCT event_type AS service_name, CASE WHEN event_type IN ('click', 'error') THEN 2 ELSE 1 END::BIGINT AS version, event_type IN ('click', 'error') AS own FROM events", seed_missing)
 
 
 @query("storage_find_paged", "SELECT conv_id, turn FROM conversations WHERE role = 'user' ORDER BY conv_id, turn LIMIT 50 OFFSET 25")
@@ -89,9 +150,17 @@ def storage_find_paged(t):
     return store.find(t("conversations"), {"role": "user"}, ["conv_id", "turn"], 50, 25).select("conv_id", "turn")
 
 
-@query("storage_count", "SELECT role, count(*) AS n FROM conversations GROUP BY role")
-def storage_count(t):
-    return t("conversations").groupBy("role").agg(F.count(F.lit(1)).alias("n"))
+def storage_count(spark, d):
+    """Conversations are saved, the system's turns deleted, the user's updated, and all counted by role and flag."""
+    c = store.Collection(spark, f"{shared_dir(spark)}/collection-{uuid.uuid4().hex}", "role string, turn bigint, seen boolean")
+    rows = spark.read.parquet(f"{d}/conversations.parquet").select(F.concat_ws("/", "conv_id", "turn").alias("_id"), "role", "turn", F.lit(False).alias("seen"))
+    c.save(rows)
+    c.delete({"turn": 0})
+    c.update({"role": "user"}, {"seen": True})
+    return c.current().groupBy("role", "seen").agg(F.count(F.lit(1)).alias("n"))
+
+
+_register("storage_count", "SELECT role, role = 'user' AS seen, count(*) AS n FROM (SELECT DISTINCT conv_id, turn, role FROM conversations WHERE turn <> 0) GROUP BY ALL", storage_count)
 
 
 @query("state_retention", "SELECT user_id, event_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) <= 10")
@@ -99,13 +168,13 @@ def state_retention(t):
     return store.retained(t("events").select("user_id", "event_id"), ["user_id"], "event_id")
 
 
-@query("prequential_accuracy", "WITH p AS (SELECT event_id, user_id, CASE WHEN (value > 20) = (lag(value) OVER (PARTITION BY user_id ORDER BY event_id) > 20) THEN 1.0 ELSE 0.0 END AS ok FROM events) SELECT event_id, round(avg(ok) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN 999 PRECEDING AND CURRENT ROW), 6) AS accuracy FROM p")
+@query("prequential_accuracy", "WITH p AS (SELECT event_id, user_id, CASE WHEN (value > 20) IS NOT DISTINCT FROM (lag(value) OVER (PARTITION BY user_id ORDER BY event_id) > 20) THEN 1.0 ELSE 0.0 END AS ok FROM events) SELECT event_id, round(avg(ok) OVER w, 6) AS accuracy, count(*) OVER w AS sample_count FROM p WINDOW w AS (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN 49 PRECEDING AND CURRENT ROW)")
 def prequential_accuracy(t):
     from pyspark.sql import Window
 
-    w = Window.partitionBy("user_id").orderBy("event_id")
-    ok = F.when((F.col("value") > 20) == (F.lag("value").over(w) > 20), 1.0).otherwise(0.0)
-    return t("events").withColumn("ok", ok).select("event_id", r6(F.avg("ok").over(w.rowsBetween(-999, 0))).alias("accuracy"))
+    before = F.lag("value").over(Window.partitionBy("user_id").orderBy("event_id"))
+    rows = t("events").withColumns({"actual": F.col("value") > 20, "predicted": before > 20})
+    return learning.prequential(rows, "event_id", "actual", "predicted", ["user_id"], 50).select("event_id", r6("accuracy").alias("accuracy"), "sample_count")
 
 
 def _streamed(spark, d):
@@ -118,10 +187,6 @@ def _folders(spark, name):
     return f"{at}/out", f"{at}/checkpoint"
 
 
-def _register(name, sql, f):
-    QUERIES[name], ORACLES[name] = f, sql
-
-
 def stream_pipeline_stateless(spark, d):
     out, checkpoint = _folders(spark, "stream-stateless")
     rows = _streamed(spark, d).select("event_id", F.col("value").cast("string").alias("v"), "event_type")
