@@ -1,8 +1,8 @@
 """Running values in the order of a column, over all rows or for each group, without one task for all rows.
 
-Without groups, rows are dealt to blocks of the order column; a block's totals are
-carried to the later ones (a table of as many rows as blocks) and the rest is a window inside
-each block.
+Without groups, rows are dealt to blocks between quantiles of the order column, so that outliers and crowded
+ranges make no large block; a block's totals are carried to the later ones (a table of as many rows as
+blocks) and the rest is a window inside each block.
 """
 
 from __future__ import annotations
@@ -10,7 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BLOCKS = 256
+#: Rows that a block is meant to hold, and blocks at most.
+BLOCK_ROWS, BLOCKS = 5000, 4096
 
 #: How a running value is made of a block's own and of what is carried into it.
 _JOIN = {
@@ -27,13 +28,29 @@ def _over(kind: str, c: Column) -> Column:
     return {"sum": F.sum(c), "count": F.count(c), "min": F.min(c), "max": F.max(c), "last": F.last(c, ignorenulls=True), "first": F.first(c, ignorenulls=True)}[kind]
 
 
+def cuts(df: DataFrame, order: str, blocks: int = BLOCKS) -> list:
+    """Values that cut the order column into blocks of about equal numbers of rows: quantiles, by one aggregation."""
+    row = df.agg(F.count(order).alias("n"), F.percentile_approx(order, [k / blocks for k in range(1, blocks)], 10 * blocks).alias("q")).first()
+    if not row.n:
+        return []
+    step = max(1, blocks // max(1, min(blocks, row.n // BLOCK_ROWS)))
+    return sorted(set(row.q[step - 1 :: step]))
+
+
+def block_of(c: Column, bounds: list) -> Column:
+    """How many of the sorted bounds lie below or at the value: a search by halves in the row; nulls come first."""
+    if not bounds:
+        return F.lit(0)
+    steps = [1 << k for k in range(len(bounds).bit_length() - 1, -1, -1)]
+    line = F.lit(bounds)
+    return F.aggregate(F.lit(steps), F.lit(0), lambda at, step: F.when((at + step <= len(bounds)) & F.coalesce(F.get(line, at + step - 1) <= c, F.lit(False)), at + step).otherwise(at))
+
+
 def running(df: DataFrame, order: str, measures: dict[str, tuple[str, Column]], inclusive: bool = True, backwards: bool = False, blocks: int = BLOCKS) -> DataFrame:
     """``df`` with each measure (kind, column) over all rows up to each row in the order of ``order`` (a unique number)."""
-    ends = df.agg(F.min(order).alias("lo"), F.max(order).alias("hi")).first()
-    lo, hi = ends.lo or 0, ends.hi or 0
-    width = max(1, -(-(int(hi) - int(lo) + 1) // blocks))
     sign = -1 if backwards else 1
-    placed = df.withColumn("_block", F.floor((F.coalesce(F.col(order), F.lit(lo)) - lo) / width).cast("int"))
+    bounds = cuts(df, order, blocks)
+    placed = df.withColumn("_block", block_of(F.col(order), bounds))
     key = F.col(order).desc() if backwards else F.col(order).asc()
     total = []
     for name, (kind, c) in measures.items():

@@ -11,7 +11,7 @@ from millrace.functions import casting as K
 from millrace.functions import expressions as X
 from millrace.functions import orderstats as O
 from millrace.functions import scalars as S
-from millrace.functions.running import running
+from millrace.functions.running import block_of, cuts, running
 from millrace.operators import aggregates, audit, clean, convert, duplicates, encode, envelope, features, missing, normalize, schema, windows
 from millrace.plans.pipeline import Pipeline, merged
 
@@ -183,6 +183,18 @@ def test_deviations(spark):
     assert w[0].w_std == 0.0 and math.isclose(w[3].w_std, 1.2909944487358056)
 
 
+def test_blocks_follow_the_rows(spark, monkeypatch):
+    """An outlier and a crowded range: blocks stay of about one size, and running values cross them."""
+    monkeypatch.setattr("millrace.functions.running.BLOCK_ROWS", 40)
+    order = [*range(600), 10**12, *[2000 + k for k in range(0, 4000, 10)]]
+    df = spark.createDataFrame([(i, 1.0) for i in order], "i long, v double")
+    bounds = cuts(df, "i", 64)
+    sizes = [r["count"] for r in df.groupBy(block_of(F.col("i"), bounds).alias("b")).count().collect()]
+    assert 10 < len(sizes) <= 64 and max(sizes) <= 5 * 1001 / len(sizes)
+    got = column(running(df, "i", {"n": ("count", F.lit(1)), "s": ("sum", F.col("v"))}, blocks=64), "n")
+    assert got == list(range(1, len(order) + 1)) and cuts(df.where("false"), "i") == []
+
+
 def test_global_running_crosses_blocks(spark):
     df = frame(spark, [float(i % 7) if i % 5 else None for i in range(300)])
     out = running(df, "i", {"s": ("sum", F.col("v")), "n": ("count", F.col("v")), "l": ("last", F.col("v"))}, blocks=16).orderBy("i").collect()
