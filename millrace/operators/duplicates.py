@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions.scalars import group_key
@@ -12,7 +12,13 @@ STAGE = "duplicates"
 STRATEGIES = ("reject", "keep_first", "keep_last", "mark")
 
 
-def firsts(df: DataFrame, keys: list[str], order: str, last: bool = False) -> DataFrame:
+def digest(keys: list[str]) -> list[Column]:
+    """128 bits that name the values of ``keys``; null differs from every value, and from null elsewhere."""
+    parts = [c for k in keys for c in (F.col(k).isNull(), F.col(k))]
+    return [F.xxhash64(F.lit(seed), *parts).alias(f"_h{seed}") for seed in (0, 1)]
+
+
+def firsts(df: DataFrame, keys: list[str | Column], order: str, last: bool = False) -> DataFrame:
     """keys and the first (or last) place of each: combined before the shuffle, so hot keys stay cheap."""
     return df.groupBy(*keys).agg((F.max if last else F.min)(order).alias("_first"))
 
@@ -20,22 +26,29 @@ def firsts(df: DataFrame, keys: list[str], order: str, last: bool = False) -> Da
 def dedup(df: DataFrame, order: str, keys: list[str] | None = None, strategy: str = "reject", strict: bool = False) -> DataFrame:
     """reject, keep_first, keep_last: one row of each key is valid. mark: all are, duplicates with _is_duplicate, _duplicate_key, _first_seen_index.
 
-    Keys compare null-safely by value; ``order`` is unique.
+    Keys compare null-safely by value; whole rows by a 128-bit digest, so texts aren't shuffled to be compared. ``order`` is unique:
+    rows meet what was found by it, never by their key, so copies of one key spread over all tasks (mark alone meets by key).
     """
     if strategy not in STRATEGIES:
         raise ValueError(f"unknown strategy {strategy}")
     df = A.audited(df)
+    whole = not keys
     keys = keys or sorted(c for c in df.columns if not c.startswith("_") and c != order)
-    found = firsts(df, keys, order, strategy == "keep_last").select(*[F.col(k).alias(f"_k_{k}") for k in keys], "_first")
-    on = None
-    for k in keys:
-        test = F.col(k).eqNullSafe(F.col(f"_k_{k}"))
-        on = test if on is None else on & test
-    joined = df.join(found, on).drop(*[f"_k_{k}" for k in keys])
-    again = F.col(order) != F.col("_first")
+    named = digest(keys) if whole else [F.col(k).alias(f"_k_{k}") for k in keys]
+    found = firsts(df, named, order, strategy == "keep_last")
     if strategy == "mark":
+        on = F.lit(True)
+        for k in keys:
+            on = on & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
+        if whole:
+            named = digest(keys)
+            df, on = df.select("*", *[c.alias(f"_d{i}") for i, c in enumerate(named)]), (F.col("_d0") == F.col("_h0")) & (F.col("_d1") == F.col("_h1"))
+        joined = df.join(found, on).drop("_d0", "_d1", "_h0", "_h1", *[f"_k_{k}" for k in keys])
+        again = F.col(order) != F.col("_first")
         out = joined.withColumns({"_is_duplicate": again, "_duplicate_key": F.when(again, group_key(keys)), "_first_seen_index": F.when(again, F.col("_first"))})
         return out.drop("_first")
+    joined = df.join(found.select("_first"), F.col(order) == F.col("_first"), "left")
+    again = F.col("_first").isNull() & F.col(order).isNotNull()
     error = {"reject": "duplicate", "keep_first": "duplicate_of_first", "keep_last": "replaced_by_later"}[strategy]
     return A.applied(joined, A.failures([(again, A.item(STAGE, ",".join(keys), error, group_key(keys)))]), {}, strict=strict).drop("_first")
 
@@ -44,8 +57,3 @@ def stats(df: DataFrame, keys: list[str]) -> DataFrame:
     """unique_keys, total_duplicates, duplicate_groups."""
     n = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
     return n.agg(F.count(F.lit(1)).alias("unique_keys"), F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("total_duplicates"), F.count_if(F.col("n") > 1).alias("duplicate_groups"))
-
-
-def ranked(df: DataFrame, order: str, keys: list[str]) -> DataFrame:
-    """``df`` with the place of each row among those of its key."""
-    return df.withColumn("_place", F.row_number().over(Window.partitionBy(*keys).orderBy(order)))
