@@ -7,6 +7,8 @@ import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -50,19 +52,44 @@ def work_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+#: Paths of the tables written since, for each ``scratch`` that is open.
+_OPEN: list[list[str]] = []
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write to the shared folder and read back: lineage ends there, a lost executor loses nothing."""
     at = work_path(df.sparkSession, name)
+    for made in _OPEN:
+        made.append(at)
     df.write.parquet(at)
     return df.sparkSession.read.schema(df.schema).parquet(at)
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def drop_path(spark: SparkSession, df: DataFrame) -> None:
     """Delete the files behind a frame that ``written`` returned."""
-    jvm = spark._jvm
     for f in df.inputFiles()[:1]:
-        at = jvm.org.apache.hadoop.fs.Path(f).getParent()
-        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+        delete(spark, f.rsplit("/", 1)[0])
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[list[str]]:
+    """At its end all tables written inside are deleted, but for the paths that are taken out of the list it gives.
+
+    For steps that end with a stored result, which needs none of the tables on the way.
+    """
+    made: list[str] = []
+    _OPEN.append(made)
+    try:
+        yield made
+    finally:
+        _OPEN.remove(made)
+        for path in made:
+            delete(spark, path)
 
 
 def fresh(df: DataFrame, name: str) -> str:

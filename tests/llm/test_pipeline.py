@@ -80,3 +80,16 @@ def test_stages_against_plain_python(spark, docs):
 def brute_roots(rows):
     """The class of each row, whatever ids it has: rows are numbered for the brute-force version."""
     return [int(c) for _, c in sorted((int(i), c) for i, c in brute_classes(list(enumerate(t for _, t in rows))))]
+
+
+def test_run_keeps_no_tables_on_the_way(spark, monkeypatch):
+    """After two stages only the last result is left of what they wrote; it is whole."""
+    import os
+
+    at = C.shared_dir(spark).removeprefix("file:")
+    before = set(os.listdir(at)) if os.path.isdir(at) else set()
+    stages = corpus_pipeline.STAGES
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [stages[0], stages[3], ("count", lambda spark, docs, sf_dir: docs)])
+    out = corpus_pipeline.run(spark, SF)
+    left = set(os.listdir(at)) - before
+    assert [x.rsplit("-", 1)[0] for x in left] == ["stage-pii_surrogates"] and out.count() > 0
