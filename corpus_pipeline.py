@@ -68,9 +68,15 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = common.table(spark, sf_dir, "documents")
+    """All stages over ``documents``; what a stage has written on its way goes once its result is stored, and so does the result before it."""
+    docs, before = common.table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
-        docs = common.written(stage(spark, docs, sf_dir), f"stage-{name}")
+        with common.scratch(spark) as made:
+            docs = common.written(stage(spark, docs, sf_dir), f"stage-{name}")
+            kept = made.pop()
+        if before:
+            common.delete(spark, before)
+        before = kept
     return STAGES[-1][1](spark, docs, sf_dir)
 
 
