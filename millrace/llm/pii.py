@@ -75,7 +75,8 @@ _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 _LOCAL = r"\p{L}\p{N}._%+\-"
 _CAP = r"\p{Lu}(?:['’]\p{Lu})?\p{Ll}++(?:-\p{Lu}\p{Ll}++)?"
 _PREFIXED = r"(?:AKIA|ASIA)[0-9A-Z]{16}|[spr]k[\-_](?:live|test)[\-_][0-9A-Za-z]{16,}+|gh[pousr]_[0-9A-Za-z]{36,}+|glpat-[0-9A-Za-z_\-]{20,}+|xox[abprs]-[0-9A-Za-z\-]{10,}+|AIza[0-9A-Za-z_\-]{35}|eyJ[0-9A-Za-z_\-]{10,}+\.[0-9A-Za-z_\-]{10,}+\.[0-9A-Za-z_\-]{5,}+"
-_LABEL = r"(?<=(?i:token|secret|passw(?:or)?d|api[_\- ]?key|access[_\- ]?key)[\"']?[ \t]?[=:][ \t]?[\"']?)"
+#: What a labelled value stands behind; the short tests come first, as they fail almost everywhere.
+_LABEL = r"(?<=[=:\"' \t])(?<=[=:][ \t]?[\"']?)(?<=(?i:token|secret|passw(?:or)?d|api[_\- ]?key|access[_\- ]?key)[\"']?[ \t]?[=:][ \t]?[\"']?)"
 _VALUE = r"[0-9A-Za-z+/_\-]{16,}+={0,2}"
 #: kind -> pattern, in the order in which they are tried. Every one starts at a boundary, so a scan is linear.
 PATTERNS = {
@@ -87,7 +88,7 @@ PATTERNS = {
     "phone": r"(?<![0-9])(?:\+[0-9]{1,3}[ .\-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[ .\-])[0-9]{3}[ .\-][0-9]{4}(?![0-9])",
     "card": r"(?<![0-9])(?:[0-9]{13,19}|[0-9]{4}(?:[ \-][0-9]{4}){3})(?![0-9])",
     "key": rf"(?<![0-9A-Za-z])(?:{_PREFIXED})(?![0-9A-Za-z])|{_LABEL}{_VALUE}(?![0-9A-Za-z+/_\-])",
-    "name": rf"(?<!\p{{L}})(?:(?:{_TITLE})\.? {_CAP}(?: {_CAP})?|(?:{_FIRST}) {_CAP}|(?<={'|'.join(map(re.escape, INTRODUCTIONS))}){_CAP} {_CAP})(?!\p{{L}})",
+    "name": rf"(?<!\p{{L}})(?=\p{{Lu}})(?:(?:{_TITLE})\.? {_CAP}(?: {_CAP})?|(?:{_FIRST}) {_CAP}|(?<={'|'.join(map(re.escape, INTRODUCTIONS))}){_CAP} {_CAP})(?!\p{{L}})",
 }
 ENTITY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 #: What tells the kind of an entity that ENTITY has matched, without what stands before it.
