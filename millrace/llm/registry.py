@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from millrace.llm import decontam, embeddings, langid, licenses, minhash, pieces, pii, quality, tokens, toxicity
+from millrace.llm import decontam, embeddings, langid, licenses, merkle, minhash, pieces, pii, quality, tokens, toxicity
 
 QUERIES: dict[str, Callable] = {
     "op3_toxicity": toxicity.op3_toxicity,
@@ -17,12 +17,14 @@ QUERIES: dict[str, Callable] = {
     "op9_benchmark_decontamination": decontam.op9_benchmark_decontamination,
     "op7_minhash_near_dedup": minhash.op7_minhash_near_dedup,
     "op8_quality_classifier": quality.op8_quality_classifier,
+    "op11_merkle_manifest": merkle.op11_merkle_manifest,
 }
 
 ORACLES: dict[str, str] = {
     "op1_embedding_near_dedup": embeddings.SQL,
     "op5_license_scan": licenses.SQL,
     "op9_benchmark_decontamination": decontam.SQL,
+    "op11_merkle_manifest": merkle.SQL,
 }
 
 
