@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from millrace.llm import decontam, embeddings, langid, licenses, merkle, minhash, pieces, pii, quality, tokens, toxicity
+from millrace.llm import alignment, decontam, embeddings, langid, licenses, merkle, minhash, pieces, pii, quality, tokens, toxicity
 
 QUERIES: dict[str, Callable] = {
     "op3_toxicity": toxicity.op3_toxicity,
@@ -18,6 +18,7 @@ QUERIES: dict[str, Callable] = {
     "op7_minhash_near_dedup": minhash.op7_minhash_near_dedup,
     "op8_quality_classifier": quality.op8_quality_classifier,
     "op11_merkle_manifest": merkle.op11_merkle_manifest,
+    "op12_token_alignment": alignment.op12_token_alignment,
 }
 
 ORACLES: dict[str, str] = {
