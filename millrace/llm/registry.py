@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from millrace.llm import alignment, decontam, embeddings, langid, licenses, merkle, minhash, pieces, pii, quality, tokens, toxicity
+from millrace.llm import alignment, decontam, embeddings, langid, licenses, merkle, minhash, pieces, pii, quality, secrets, tokens, toxicity
 
 QUERIES: dict[str, Callable] = {
     "op3_toxicity": toxicity.op3_toxicity,
@@ -19,6 +19,7 @@ QUERIES: dict[str, Callable] = {
     "op8_quality_classifier": quality.op8_quality_classifier,
     "op11_merkle_manifest": merkle.op11_merkle_manifest,
     "op12_token_alignment": alignment.op12_token_alignment,
+    "op13_secret_scan": secrets.op13_secret_scan,
 }
 
 ORACLES: dict[str, str] = {
