@@ -243,7 +243,7 @@ CONFIG = {
 }
 
 
-@query("full_pipeline", """
+_FLAGSHIP = """
 WITH c AS (SELECT event_type, row_number() OVER (ORDER BY count(*) DESC, min(event_id)) - 1 AS code FROM events GROUP BY event_type),
 k AS (SELECT event_id, ts, user_id, code, greatest(least(value, 400.0::DOUBLE), 0.0::DOUBLE) AS v FROM events JOIN c USING (event_type)),
 n AS (SELECT *, (v - (SELECT min(v) FROM k)) / ((SELECT max(v) FROM k) - (SELECT min(v) FROM k)) AS x FROM k)
@@ -251,9 +251,10 @@ SELECT 'flagship' AS stream_id, 'events' AS source, 'data_point' AS event_type,
        CASE WHEN isodow(ts) >= 6 THEN 1 ELSE 0 END::BIGINT AS is_weekend, count(x) OVER t AS trail_count, round(avg(x) OVER t, 6) AS trail_mean,
        round(sum(x) OVER (PARTITION BY code ORDER BY event_id ROWS UNBOUNDED PRECEDING), 5) AS total_sum
 FROM n WINDOW t AS (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 1 HOUR PRECEDING AND CURRENT ROW)
-""")
-def full_pipeline(t):
-    e = events(t).drop("props")
+"""
+
+
+def _flagship(e):
     p = Pipeline.of(CONFIG, "event_id").fit(e)
     m = envelope.envelope(p.accepted(e), "events", "flagship", metadata=(), timestamp=F.lit(0).cast("timestamp"))
     d = lambda c: F.col(f"data.{c}")
@@ -263,6 +264,18 @@ def full_pipeline(t):
     )
 
 
+@query("full_pipeline", _FLAGSHIP)
+def full_pipeline(t):
+    return _flagship(events(t).drop("props"))
+
+
+@query("full_pipeline_delivered_again", _FLAGSHIP)
+def full_pipeline_delivered_again(t):
+    """Every fourth event comes twice: the pipeline's stage rejects it, and the result is that of ``events``."""
+    e = events(t).drop("props")
+    return _flagship(e.unionByName(e.where("event_id % 4 = 0")))
+
+
 @query("drift_records", """
 WITH p AS (SELECT time_bucket(INTERVAL 1 DAY, ts, TIMESTAMP '1970-01-01') AS d, avg(value) AS m, stddev_samp(value) AS s FROM events GROUP BY 1),
 q AS (SELECT d, coalesce(abs(m - lag(m) OVER (ORDER BY d)) / greatest(lag(s) OVER (ORDER BY d), 1e-8), 0) AS z FROM p)

@@ -177,6 +177,47 @@ def dedup_full_row(t):
     return audit.split(duplicates.dedup(t("documents"), "doc_id"))[0].select("doc_id")
 
 
+def repeated(t):
+    """``events`` with every third row delivered once more and every ninth twice more."""
+    e = t("events")
+    return e.unionByName(e.where("event_id % 3 = 0")).unionByName(e.where("event_id % 9 = 0"))
+
+
+REPEATED = "(SELECT * FROM events UNION ALL SELECT * FROM events WHERE event_id % 3 = 0 UNION ALL SELECT * FROM events WHERE event_id % 9 = 0)"
+
+
+@query("dedup_delivered_again", "SELECT event_id, user_id, event_type, value FROM events")
+def dedup_delivered_again(t):
+    return audit.split(duplicates.dedup(repeated(t), "event_id", ["event_id"]))[0].select("event_id", "user_id", "event_type", "value")
+
+
+@query("dedup_whole_rows_again", "SELECT event_id, count(*) AS n FROM events GROUP BY event_id")
+def dedup_whole_rows_again(t):
+    kept = audit.split(duplicates.dedup(repeated(t).withColumn("arrival", F.lit(0)), "arrival"))[0]
+    return kept.groupBy("event_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("dedup_tied_order", f"SELECT user_id, event_type, max(CASE WHEN event_id % 4 <> 0 THEN event_id // 50 END) AS tied, count(*) AS copies FROM {REPEATED} GROUP BY ALL")
+def dedup_tied_order(t):
+    """The order column ties and is null in places; one row of each key stays, and as many are counted as there were."""
+    rows = repeated(t).withColumn("tied", F.when(F.col("event_id") % 4 != 0, F.floor(F.col("event_id") / 50)))
+    out = duplicates.dedup(rows, "tied", ["user_id", "event_type"], "keep_last")
+    copies = out.groupBy("user_id", "event_type").agg(F.count(F.lit(1)).alias("copies"))
+    return out.where(audit.VALID).select("user_id", "event_type", big("tied").alias("tied")).join(copies, ["user_id", "event_type"])
+
+
+@query("dedup_again_ledger", f"SELECT '_duplicate' AS field, 'duplicate_row' AS error, event_id, count(*) - 1 AS n FROM {REPEATED} GROUP BY event_id HAVING count(*) > 1")
+def dedup_again_ledger(t):
+    rejected = audit.ledger(duplicates.dedup(repeated(t), "event_id", ["event_id"]), "event_id")
+    return rejected.groupBy("field", "error", "event_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("dedup_again_mark", f"WITH r AS (SELECT user_id, event_type, event_id FROM {REPEATED}) SELECT user_id, event_type, min(event_id) AS first_seen, count(*) - 1 AS marked FROM r GROUP BY ALL HAVING count(*) > 1")
+def dedup_again_mark(t):
+    marked = duplicates.dedup(repeated(t), "event_id", ["user_id", "event_type"], "mark").where("_is_duplicate")
+    return marked.groupBy("user_id", "event_type").agg(F.min("_first_seen_index").alias("first_seen"), F.count(F.lit(1)).alias("marked"))
+
+
 @query("dedup_stats", "WITH g AS (SELECT count(*) AS n FROM documents GROUP BY text) SELECT count(*) AS unique_keys, CAST(sum(n - 1) AS BIGINT) AS total_duplicates, count(*) FILTER (WHERE n > 1) AS duplicate_groups FROM g")
 def dedup_stats(t):
     return duplicates.stats(t("documents"), ["text"]).select("unique_keys", big("total_duplicates").alias("total_duplicates"), "duplicate_groups")

@@ -258,6 +258,25 @@ def test_duplicates(spark):
     assert [r._is_duplicate for r in marked] == [False, False, True, True, False, True] and marked[3]._first_seen_index == 0
 
 
+def test_duplicates_of_copies_ties_and_null_orders(spark):
+    rows = [(1, "a", 1.0), (1, "a", 1.0), (2, "b", 2.0), (1, "b", 3.0), (None, "b", 4.0), (3, None, 5.0), (3, None, 5.0), (0, "c", 6.0)] + [(5, "hot", float(k % 2)) for k in range(2500)]
+    df = spark.createDataFrame(rows, "t int, k string, x double")
+    for strategy in ("reject", "keep_first", "keep_last"):
+        out = duplicates.dedup(df, "t", ["k"], strategy)
+        assert out.count() == len(rows)
+        kept = {r.k: r for r in out.where("_valid").collect()}
+        assert out.where("_valid").count() == len(kept) == 5
+        assert kept["b"].x == (2.0 if strategy == "keep_last" else 4.0) and kept["a"].x == 1.0  # a null order comes first
+    marked = duplicates.dedup(df, "t", ["k"], "mark")
+    assert marked.where("_is_duplicate").count() == len(rows) - 5 and marked.where("k = 'a' AND _is_duplicate").first()._first_seen_index == 1
+    assert marked.columns == [*audit.audited(df).columns, "_is_duplicate", "_duplicate_key", "_first_seen_index"]
+    whole = duplicates.dedup(df.withColumn("_row", F.lit(1)), "t")
+    assert whole.where("_valid").count() == df.select("k", "x").distinct().count() and "_row" in whole.columns
+    bad = duplicates.dedup(df, "t", ["k"]).where("k = 'a' AND NOT _valid").first()._errors[0]
+    assert (bad.field, bad.error, bad.value) == ("_duplicate", "duplicate_row", "k=a")
+    assert duplicates.dedup(df.where("false"), "t", ["k"]).count() == 0
+
+
 def test_rules(spark):
     df = frame(spark, [0.0, 10.0, -1.0, 11.0, None])
     assert column(clean.clean(df, [clean.Rule("v", "reject", 0, 10)]), "_valid") == [True, True, False, False, True]
