@@ -1,7 +1,7 @@
 """Rows in order, in blocks: the ground of everything that depends on order and must not meet in one task.
 
 ``numbered`` stores rows with a number of their own, so that equal rows are still told apart. ``placed``
-deals stored rows by range of (group, order, number): each block is a stretch of neighbouring rows, a group may
+deals rows by range of (group, order): each block is a stretch of neighbouring rows, a group may
 span any number of blocks, and what a block needs of earlier ones is carried in a table with one row
 for each group and block.
 """
@@ -33,6 +33,12 @@ def same(left: list[str], right: list[str]) -> Column:
     return on
 
 
+def marks(groups: list[Column], *names: str) -> list[Column]:
+    """128 bits that name a group, null groups among them, in two columns."""
+    parts = [c for g in groups for c in (g.isNull(), g)]
+    return [F.xxhash64(F.lit(seed), *parts).alias(n) for seed, n in enumerate(names)]
+
+
 def numbered(df: DataFrame, number: str, name: str) -> DataFrame:
     """``df``, stored, with a number for each row: rows read later are the ones numbered here."""
     return written(df.withColumn(number, F.monotonically_increasing_id()), name)
@@ -51,13 +57,19 @@ def spread(rows: DataFrame, table: DataFrame, on: list[str], copies: str) -> Dat
     return rows.join(F.broadcast(hot), on).unionByName(rows.join(keys, on, "left_anti").join(rest, on))
 
 
-def placed(df: DataFrame, groups: list[str], order: list[str], block: str, name: str, parts: int | None = None) -> DataFrame:
-    """``df``, stored, with its block: ranges of (groups, order). ``order`` tells all rows apart."""
-    by = [*groups, *order]
+def placed(df: DataFrame, by: list[str], pos: str, name: str, parts: int | None = None) -> DataFrame:
+    """``df``, stored in the order of ``by``, with ``pos``, which rises in that order over all rows; rows of equal values get one order.
+
+    The upper bits of ``pos`` (``block_of``) name the range that holds the row.
+    """
     ranged = df.repartitionByRange(parts, *by) if parts else df.repartitionByRange(*by)
-    return written(ranged.withColumn(block, F.spark_partition_id()).sortWithinPartitions(*by), name)
+    return written(ranged.sortWithinPartitions(*by).withColumn(pos, F.monotonically_increasing_id()), name)
+
+
+def block_of(pos: str) -> Column:
+    return F.shiftright(pos, 33).cast("int")
 
 
-def earlier(groups: list[str], block: str) -> Window:
+def earlier(groups: list[str], block: str):
     """Over a table with a row for each group and block: the group's blocks before this one."""
     return Window.partitionBy(*groups).orderBy(block).rowsBetween(Window.unboundedPreceding, -1)

@@ -2,14 +2,18 @@
 
 Without groups, rows are dealt to blocks between quantiles of the order column, so that outliers and crowded
 ranges make no large block; a block's totals are carried to the later ones (a table of as many rows as
-blocks) and the rest is a window inside each block.
+blocks) and the rest is a window inside each block. ``Blocks`` does the same for groups of any size, in any order.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from millrace.functions import ordered as D
+
 #: Rows that a block is meant to hold, and blocks at most.
 BLOCK_ROWS, BLOCKS = 5000, 4096
 
@@ -68,3 +72,44 @@ def running(df: DataFrame, order: str, measures: dict[str, tuple[str, Column]],
     out = placed.join(F.broadcast(carried), "_block")
     cols = [_JOIN[kind](F.col(f"_in_{n}"), _over(kind, c).over(inside)).alias(n) for n, (kind, c) in measures.items()]
     return out.select(*[F.col(c) for c in df.columns if c not in measures], *cols)
+
+
+@dataclass(frozen=True)
+class Blocks:
+    """Rows stored by range of (group, order), whose running values cross blocks by what is carried into each."""
+
+    df: DataFrame
+    names: list[str]
+    group: tuple[str, str]
+    pos: str
+
+    @classmethod
+    def of(cls, df: DataFrame, groups: list[Column], order: list[Column], parts: int | None = None) -> Blocks:
+        g0, g1, pos = (D.fresh(df, c) for c in ("_g0", "_g1", "_pos"))
+        keys, sorts = [D.fresh(df, f"_k{i}") for i in range(len(groups))], [D.fresh(df, f"_o{i}") for i in range(len(order))]
+        frame = df.select(*df.columns, *[c.alias(k) for c, k in zip([*groups, *order], [*keys, *sorts], strict=True)], *D.marks(groups, g0, g1))
+        return cls(D.placed(frame, [*keys, *sorts], pos, "running-blocks", parts).drop(*keys, *sorts), df.columns, (g0, g1), pos)
+
+    def running(self, measures: dict[str, tuple[str, Column]], inclusive: bool = True) -> Blocks:
+        """Each measure (kind, column) over the rows of the group up to each row (or before it)."""
+        g, block = list(self.group), D.fresh(self.df, "_block")
+        inputs = {f"_m{i}": c for i, (_, c) in enumerate(measures.values())}
+        rows = self.df.select("*", *[c.alias(k) for k, c in inputs.items()], D.block_of(self.pos).alias(block))
+        total = []
+        for k, (kind, _) in zip(inputs, measures.values(), strict=True):
+            at = F.when(F.col(k).isNotNull(), F.col(self.pos))
+            total.append((F.max_by(k, at) if kind == "last" else F.min_by(k, at) if kind == "first" else _over(kind, F.col(k))).alias(f"_t{k}"))
+        fold = {"count": F.sum, "sum": F.sum, "min": F.min, "max": F.max}
+        before = D.earlier(g, block)
+        carried = rows.groupBy(*g, block).agg(*total).withColumn("_blocks", F.count(F.lit(1)).over(Window.partitionBy(*g))).where("_blocks > 1")
+        carried = carried.select(
+            *[F.col(c).alias(f"_c{i}") for i, c in enumerate([*g, block])],
+            *[(fold[kind](f"_t{k}") if kind in fold else _over(kind, F.col(f"_t{k}"))).over(before).alias(f"_in{k}") for k, (kind, _) in zip(inputs, measures.values(), strict=True)],
+        )  # groups that span blocks: at most two rows for each block
+        out = rows.join(F.broadcast(carried), (F.col(g[0]) == F.col("_c0")) & (F.col(g[1]) == F.col("_c1")) & (F.col(block) == F.col("_c2")), "left")
+        inside = Window.partitionBy(*g, block).orderBy(self.pos).rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
+        made = {n: _JOIN[kind](F.col(f"_in{k}"), _over(kind, F.col(k)).over(inside)) for n, k, (kind, _) in zip(measures, inputs, measures.values(), strict=True)}
+        return Blocks(out.select(*[F.col(c) for c in self.df.columns if c not in made], *[v.alias(n) for n, v in made.items()]), self.names, self.group, self.pos)
+
+    def rows(self, *more: str) -> DataFrame:
+        return self.df.select(*[c for c in self.names if c not in more], *more)

@@ -3,6 +3,7 @@
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -92,29 +93,34 @@ def test_group_places_cross_partitions(spark):
     assert O.group_statistics(df.where("false"), ["g"], "v", ["median"]).count() == 0
 
 
-def test_sorted_blocks(monkeypatch):
-    monkeypatch.setattr(O.Sorted, "BLOCK", 3)
-    rng, values, plain = random.Random(2), O.Sorted(), []
-    for _ in range(2000):
-        if plain and rng.random() < 0.45:
-            v = plain.pop(rng.randrange(len(plain)))
-            values.remove(v)
-        else:
-            v = float(rng.randrange(30))
-            plain.append(v)
-            values.add(v)
-        plain.sort()
-        assert [values[i] for i in range(values.n)] == plain
-    values.add(float("nan"))
-    assert math.isnan(values[values.n - 1])
+def test_selected_places_of_stretches():
+    rng = np.random.default_rng(1)
+    for n in (1, 2, 3, 17, 300):
+        symbols = rng.permutation(n)
+        left = rng.integers(0, n, 200)
+        right = left + 1 + (rng.integers(0, n, 200) % (n - left))
+        place = rng.integers(0, n, 200) % (right - left)
+        got = O.selected(symbols, left, right, place)
+        assert got.tolist() == [sorted(symbols[a:b])[k] for a, b, k in zip(left, right, place, strict=True)]
+
+
+@pytest.fixture
+def no_merging(spark):
+    """Small shuffles stay in many partitions, so that groups span blocks."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    yield
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
 
 
-@pytest.mark.parametrize("back", [None, 5.0])
-def test_running_statistics(spark, back):
+@pytest.mark.parametrize(("back", "parts", "times"), [(None, None, 20), (5, None, 20), (None, 9, 20), (5, 9, 20), (3, 12, 200), (60, 12, 200), (1000, 7, 200), (0, 9, 4), (2, 9, 3)])
+def test_running_statistics(spark, no_merging, back, parts, times):
+    """Frames inside one block, over some and over all; ties that span blocks; values that drift."""
     rng = random.Random(3)
-    rows = [(rng.choice(["a", "b", None]), float(rng.randrange(20)), i, rng.choice([None, 1.0, 2.0, 2.0, 7.5, float("nan")])) for i in range(150)]
-    df = spark.createDataFrame(rows, "g string, t double, i long, x double").repartition(3)
-    got = {r.i: r for r in O.running_statistics(df, [F.col("g")], [F.col("t"), F.col("i")], F.col("x"), {"m": "median", "p": "p90", "u": "unique"}, back).collect()}
+    value = lambda i: rng.choice([None, 1.0, 2.0, 2.0, 7.5, float("nan"), float(i), -float(i), float(rng.randrange(100))])
+    rows = [(rng.choice(["a", "a", "a", "b", None]), rng.randrange(times), i, value(i)) for i in range(300)]
+    df = spark.createDataFrame([(*r, "kept") for r in rows], "g string, t long, i long, x double, _x string").repartition(3)
+    got = {r.i: r for r in O.running_statistics(df, [F.col("g")], [F.col("t"), F.col("i")], F.col("x"), {"m": "median", "p": "p90", "q": "p25", "u": "unique"}, back, parts).collect()}
+    assert len(got) == len(rows)
     key = lambda v: (v != v, v)
     for g, t, i, _ in rows:
         frame = [(u, j, x) for h, u, j, x in rows if h == g and ((t - back <= u <= t) if back is not None else (u, j) <= (t, i))]
@@ -122,12 +128,21 @@ def test_running_statistics(spark, back):
         r = got[i]
         assert r.u == len({str(x) for x in s})
         if s:
-            want = (s[(len(s) - 1) // 2] + s[len(s) // 2]) / 2, s[min(int(len(s) * 0.9), len(s) - 1)]
-            assert all(a == b or (a != a and b != b) for a, b in zip((r.m, r.p), want, strict=True))
+            want = (s[(len(s) - 1) // 2] + s[len(s) // 2]) / 2, s[min(int(len(s) * 0.9), len(s) - 1)], s[int(len(s) * 0.25)]
+            assert all(a == b or (a != a and b != b) for a, b in zip((r.m, r.p, r.q), want, strict=True))
         else:
             assert r.m is None and r.p is None
 
 
+def test_running_statistics_without_groups(spark, no_merging):
+    rng = random.Random(5)
+    x = [rng.gauss(i / 50, 3.0) for i in range(900)]
+    df = spark.createDataFrame(list(enumerate(x)), "i long, x double")
+    got = [r.m for r in O.running_statistics(df, [], [F.col("i")], F.col("x"), {"m": "median"}, None, 15).orderBy("i").collect()]
+    assert got == [float(np.median(x[: i + 1])) for i in range(900)]
+    assert O.running_statistics(df.where("false"), [], [F.col("i")], F.col("x"), {"m": "median", "u": "unique"}).count() == 0
+
+
 def test_nested_conditionals(spark):
     df = spark.createDataFrame([(2.0, 5.0)], "a double, b double")
     texts = {"a > 1 ? (b > 9 ? 1 : 2) : 3": 2.0, "a > 5 ? 1 : b > 4 ? 2 : 3": 2.0, "if a > 1 then if b > 9 then 1 else 4 else 3": 4.0, "(a + 1) * 2 > 5 ? (a) + (b) : 0": 7.0, "a ? 1": 0.0}
