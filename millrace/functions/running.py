@@ -7,12 +7,14 @@ blocks) and the rest is a window inside each block. ``Blocks`` does the same for
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.functions import ordered as D
+from millrace.session import written
 
 #: Rows that a block is meant to hold, and blocks at most.
 BLOCK_ROWS, BLOCKS = 5000, 4096
@@ -113,3 +115,41 @@ class Blocks:
 
     def rows(self, *more: str) -> DataFrame:
         return self.df.select(*[c for c in self.names if c not in more], *more)
+
+
+def trailing(df: DataFrame, groups: list[Column], at: Column, back: int, made: Callable, parts: int | None = None) -> DataFrame:
+    """``df`` with made(frame), columns over the rows of the group whose ``at`` (a whole number) lies at most ``back`` below a row's, and on all of its own.
+
+    Blocks of (group, at) get the rows of earlier blocks that their first frame reaches, so neither a group nor the
+    table meets in one task. Rows of one value that span blocks take what the last of these blocks has found.
+    """
+    time, own, target, block = (D.fresh(df, c) for c in ("_at", "_own", "_target", "_block"))
+    blocks = Blocks.of(df.withColumn(time, at), groups, [at], parts)
+    g = list(blocks.group)
+    rows = blocks.df.withColumn(block, D.block_of(blocks.pos))
+    spans = rows.groupBy(*g, block).agg(F.min(time).alias("low"), F.max(time).alias("high")).withColumn("blocks", F.count(F.lit(1)).over(Window.partitionBy(*g)))
+    spans = written(spans.where("blocks > 1").drop("blocks"), "trailing-spans")  # at most two rows for each block
+    ahead = spans.select(F.col(g[0]).alias("h0"), F.col(g[1]).alias("h1"), F.col(block).alias(target), (F.col("low") - back).alias("from"))
+    reach = spans.join(F.broadcast(ahead), (F.col(g[0]) == F.col("h0")) & (F.col(g[1]) == F.col("h1")) & (F.col(block) < F.col(target)) & (F.col("high") >= F.col("from")))
+    reach = F.broadcast(reach.select("h0", "h1", F.col(block).alias("hb"), target, "from"))
+    halo = rows.join(reach, (F.col(g[0]) == F.col("h0")) & (F.col(g[1]) == F.col("h1")) & (F.col(block) == F.col("hb")) & (F.col(time) >= F.col("from"))).drop("h0", "h1", "hb", "from")
+    every = rows.withColumns({target: F.col(block), own: F.lit(True)}).unionByName(halo.withColumn(own, F.lit(False)))
+    columns = made(Window.partitionBy(*g, target).orderBy(time).rangeBetween(-back, 0))
+    out = every.withColumns(columns).where(own)
+    edges = out.join(F.broadcast(spans.select(F.col(g[0]).alias("h0"), F.col(g[1]).alias("h1"), F.col(block).alias("hb"), F.col("low").alias("from"))), (F.col(g[0]) == F.col("h0")) & (F.col(g[1]) == F.col("h1")) & (F.col(block) == F.col("hb")) & (F.col(time) == F.col("from")))
+    edges = edges.groupBy("h0", "h1", "from").agg(F.max_by(F.struct(*columns), "hb").alias("_last"))
+    out = out.join(F.broadcast(edges), (F.col(g[0]) == F.col("h0")) & (F.col(g[1]) == F.col("h1")) & (F.col(time) == F.col("from")), "left")
+    return out.select(*[c for c in df.columns if c not in columns], *[F.when(F.col("h0").isNotNull(), F.col(f"_last.{c}")).otherwise(F.col(c)).alias(c) for c in columns])
+
+
+def last_rows(df: DataFrame, groups: list[Column], order: list[Column], n: int, made: Callable, rows: int = 10_000, parts: int | None = None) -> DataFrame:
+    """``df`` with made(frame), columns over a row and the n - 1 rows before it in its group: blocks of numbered rows, each with the n - 1 before it."""
+    size = max(rows, n)
+    at, own, target = (D.fresh(df, c) for c in ("_at", "_own", "_target"))
+    blocks = Blocks.of(df, groups, order, parts).running({at: ("count", F.lit(1))})
+    place = F.col(at) - 1
+    sent = F.array(F.struct(F.floor(place / size).alias("t"), F.lit(True).alias("o")))
+    sent = F.when(place % size > size - n, F.concat(sent, F.array(F.struct((F.floor(place / size) + 1).alias("t"), F.lit(False).alias("o"))))).otherwise(sent)
+    dealt = blocks.df.withColumn(target, F.explode(sent)).withColumns({own: F.col(target)["o"]}).withColumn(target, F.col(target)["t"])
+    columns = made(Window.partitionBy(*blocks.group, target).orderBy(at).rowsBetween(-(n - 1), 0))
+    return dealt.withColumns(columns).where(own).select(*[c for c in df.columns if c not in columns], *columns)

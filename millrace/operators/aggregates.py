@@ -7,6 +7,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from millrace.functions import ordered as D
 from millrace.functions import orderstats as O
 from millrace.functions import running as R
 
@@ -41,34 +42,77 @@ def seconds(c: Column) -> Column:
     return micros(c) / 1e6
 
 
-def running(df: DataFrame, agg: Aggregation, order: str) -> DataFrame:
-    """``df`` with <name>_<function> of the rows of its group up to each row; null where the source is null."""
+def running(df: DataFrame, agg: Aggregation, order: str, hot: bool = False) -> DataFrame:
+    """``df`` with <name>_<function> of the rows of its group up to each row; null where the source is null.
+
+    Without groups, or if ``hot`` says that a group may be too large for one task, rows go by blocks that groups span. Order statistics and
+    distinct counts always do.
+    """
     unknown = [f for f in agg.functions if f not in FUNCTIONS or f == "top_k"]
     if unknown:
         raise ValueError(f"no running form: {unknown}")
     c = F.col(agg.source)
-    x = c.try_cast("double")
-    if not agg.group_by and set(agg.functions) <= {"count", "sum", "mean", "min", "max", "std", "var", "first", "last"}:
-        got = R.running(df, order, {"_n": ("count", c), "_s": ("sum", x), "_q": ("sum", x * x), "_lo": ("min", x), "_hi": ("max", x), "_f": ("first", c), "_l": ("last", c)})
-        n, s, var = F.col("_n"), F.col("_s"), population(F.col("_n"), F.col("_s"), F.col("_q"))
-        made = {"count": n, "sum": s, "mean": s / n, "min": F.col("_lo"), "max": F.col("_hi"), "std": F.sqrt(var), "var": var, "first": F.col("_f"), "last": F.col("_l")}
-        out = got.withColumns({f"{agg.name}_{f}": F.when(c.isNotNull(), made[f]) for f in agg.functions})
-        return out.drop("_n", "_s", "_q", "_lo", "_hi", "_f", "_l")
-    ranks = {f"{agg.name}_{f}": f for f in agg.functions if f == "median" or f in O.PERCENTILES}
+    groups = [F.col(g) for g in agg.group_by]
+    ranks = {f"{agg.name}_{f}": f for f in agg.functions if f in ("median", *O.PERCENTILES)}
     if ranks:
-        df = O.running_statistics(df, [F.col(g) for g in agg.group_by], [F.col(order)], x, ranks)
-    if "unique" in agg.functions:  # a value counts where it stands for the first time
-        once = F.row_number().over(Window.partitionBy(*agg.group_by, c).orderBy(order)) == 1
-        df = df.withColumn("_once", (once & c.isNotNull()).cast("int"))
+        df = O.running_statistics(df, groups, [F.col(order)], c.try_cast("double"), ranks)
+    if "unique" in agg.functions:
+        df = O.running_unique(df, groups, [F.col(order)], c, [f"{agg.name}_unique"], None)
+        ranks[f"{agg.name}_unique"] = "unique"
+    rest = [f for f in agg.functions if f not in ranks.values()]
+    if rest:
+        df = _by_blocks(df, agg, order, rest) if hot or not groups else _by_window(df, agg, order, rest)
+    got = {f: F.col(f"{agg.name}_{f}") for f in agg.functions}
+    return df.withColumns({f"{agg.name}_{f}": F.when(c.isNotNull(), v.cast("int") if f == "unique" else v) for f, v in got.items()})
+
+
+def _by_window(df: DataFrame, agg: Aggregation, order: str, functions: list[str]) -> DataFrame:
+    c = F.col(agg.source)
+    x = c.try_cast("double")
     w = Window.partitionBy(*agg.group_by).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     n = F.count(c).over(w)
     made = {
         "count": lambda: n, "sum": lambda: F.coalesce(F.sum(x).over(w), F.lit(0.0)), "mean": lambda: F.avg(x).over(w), "min": lambda: F.min(x).over(w), "max": lambda: F.max(x).over(w),
         "std": lambda: F.coalesce(F.stddev_pop(x).over(w), F.lit(0.0)), "var": lambda: F.coalesce(F.var_pop(x).over(w), F.lit(0.0)),
-        "first": lambda: F.first(c, ignorenulls=True).over(w), "last": lambda: F.last(c, ignorenulls=True).over(w),
-        "unique": lambda: F.sum("_once").over(w).cast("int"), "rate": lambda: rate(agg, order, c, n),
-    } | {f: (lambda f: lambda: F.col(f"{agg.name}_{f}"))(f) for f in ranks.values()}
-    return df.withColumns({f"{agg.name}_{f}": F.when(c.isNotNull(), made[f]()) for f in agg.functions}).drop("_once")
+        "first": lambda: F.first(c, ignorenulls=True).over(w), "last": lambda: F.last(c, ignorenulls=True).over(w), "rate": lambda: rate(agg, order, c, n),
+    }
+    return df.withColumns({f"{agg.name}_{f}": made[f]() for f in functions})
+
+
+def _by_blocks(df: DataFrame, agg: Aggregation, order: str, functions: list[str]) -> DataFrame:
+    c, groups = F.col(agg.source), [F.col(g) for g in agg.group_by]
+    x = c.try_cast("double")
+    t = F.when(c.isNotNull(), seconds(F.col(agg.time))) if agg.time else F.lit(None).cast("double")
+    parts = {"n": ("count", c), "s": ("sum", x), "q": ("sum", x * x), "lo": ("min", x), "hi": ("max", x), "f": ("first", c), "l": ("last", c), "tf": ("first", t), "tn": ("count", t)}
+    uses = {"count": "n", "sum": "s", "mean": "sn", "min": "lo", "max": "hi", "std": "snq", "var": "snq", "first": "f", "last": "l", "rate": "n"}
+    names = {k: D.fresh(df, f"_{k}") for k in parts}
+    kept = [k for k in parts if any(k in uses[f] for f in functions) or ("rate" in functions and k in ("tf", "tn"))]
+    df = R.Blocks.of(df, groups, [F.col(order)]).running({names[k]: parts[k] for k in kept}).rows(*[names[k] for k in kept])
+    v = {k: F.col(names[k]) for k in kept}
+    made = {}
+    for f in functions:
+        if f in ("std", "var"):
+            var = population(v["n"], v["s"], v["q"])
+            made[f] = F.sqrt(var) if f == "std" else var
+        elif f == "mean":
+            made[f] = v["s"] / v["n"]
+        elif f != "rate":
+            made[f] = v[uses[f]]
+        elif agg.time is None:
+            made[f] = F.lit(0.0)
+        elif agg.window is None:
+            made[f] = per_minute(v["n"], v["tn"], t - v["tf"])
+    if "rate" in functions and agg.time is not None and agg.window is not None:
+        low, n = D.fresh(df, "_low"), D.fresh(df, "_kept")
+        df = R.trailing(df, groups, micros(F.col(agg.time)), round(agg.window * 1e6), lambda w: {low: F.min(t).over(w), n: F.count(t).over(w)})
+        made["rate"] = per_minute(F.col(n) if agg.strict_window else v["n"], F.col(n), t - F.col(low))
+        return df.withColumns({f"{agg.name}_{f}": m for f, m in made.items()}).drop(*names.values(), low, n)
+    return df.withColumns({f"{agg.name}_{f}": m for f, m in made.items()}).drop(*names.values())
+
+
+def per_minute(n: Column, kept: Column, span: Column) -> Column:
+    """n over a span of seconds, as a number a minute; fewer than two kept: 0; no span: the count."""
+    return F.when(kept < 2, 0.0).when(span <= 0, n.cast("double")).otherwise(n / (span / 60))
 
 
 def rate(agg: Aggregation, order: str, c: Column, n: Column) -> Column:
@@ -83,8 +127,7 @@ def rate(agg: Aggregation, order: str, c: Column, n: Column) -> Column:
         w = Window.partitionBy(*agg.group_by).orderBy(micros(F.col(agg.time))).rangeBetween(-round(agg.window * 1e6), 0)
         first, kept = F.min(t).over(w), F.count(t).over(w)
         n = kept if agg.strict_window else n
-    span = (t - first) / 60
-    return F.when(kept < 2, 0.0).when(span <= 0, n.cast("double")).otherwise(n / span)
+    return per_minute(n, kept, t - first)
 
 
 def grouped(df: DataFrame, agg: Aggregation, order: str) -> DataFrame:

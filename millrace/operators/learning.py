@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from millrace.functions import running as R
+
 
 def prequential(df: DataFrame, order: str, actual: str, predicted: str, groups: list[str] | None = None, last: int = 1000) -> DataFrame:
     """``df`` with accuracy and error over the last ``last`` rows of its group (a model, a stream)."""
-    w = Window.partitionBy(*(groups or [])).orderBy(order).rowsBetween(-(last - 1), 0)
     hit = F.col(actual).eqNullSafe(F.col(predicted)).cast("double")
-    return df.withColumns({"accuracy": F.avg(hit).over(w), "sample_count": F.count(F.lit(1)).over(w), "window_size": F.lit(last)})
+    made = lambda w: {"accuracy": F.avg(hit).over(w), "sample_count": F.count(F.lit(1)).over(w)}
+    return R.last_rows(df, [F.col(g) for g in groups or []], [F.col(order)], last, made).withColumn("window_size", F.lit(last))
 
 
 def drift(df: DataFrame, time: str, value: str, size: str, threshold: float, groups: list[str] | None = None) -> DataFrame:

@@ -8,7 +8,9 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from millrace.functions import ordered as D
 from millrace.functions import orderstats as O
+from millrace.functions import running as R
 from millrace.operators.aggregates import micros, seconds
 
 TYPES = ("tumbling", "sliding", "session", "global")
@@ -54,11 +56,16 @@ def _made(frame, x: Column, t: Column) -> dict[str, Column]:
     }
 
 
-def session_ids(df: DataFrame, time: str, groups: list[str], gap: float, order: str) -> DataFrame:
-    """``df`` with _session: a gap strictly longer than ``gap`` seconds starts a new one."""
-    w = Window.partitionBy(*groups).orderBy(seconds(F.col(time)), order)
-    new = F.when(seconds(F.col(time)) - F.lag(seconds(F.col(time))).over(w) > gap, 1).otherwise(0)
-    return df.withColumn("_new", new).withColumn("_session", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_new")
+def session_ids(df: DataFrame, time: str, groups: list[str], gap: float, order: str, parts: int | None = None) -> DataFrame:
+    """``df`` with _session: a gap strictly longer than ``gap`` seconds starts a new one.
+
+    Gaps and numbers are carried between blocks of (group, time), so a session and a group may span any number of them.
+    """
+    t = seconds(F.col(time))
+    before, new = D.fresh(df, "_before"), D.fresh(df, "_new")
+    rows = R.Blocks.of(df, [F.col(g) for g in groups], [t, F.col(order)], parts).running({before: ("last", t)}, inclusive=False)
+    rows = R.Blocks(rows.df.withColumn(new, F.when(t - F.col(before) > gap, 1).otherwise(0)), rows.names, rows.group, rows.pos)
+    return rows.running({"_session": ("sum", F.col(new))}).rows("_session").withColumn("_session", F.col("_session").cast("long"))
 
 
 def running(df: DataFrame, w: TimeWindow, order: str) -> DataFrame:
@@ -82,12 +89,34 @@ def running(df: DataFrame, w: TimeWindow, order: str) -> DataFrame:
     ranks = {f"{w.name}_{f}": f for f in w.functions if f == "median" or f in O.PERCENTILES or (f == "unique" and back is not None)}
     if ranks:
         df = O.running_statistics(df, keys, sorts, x, ranks, back)
-    made = _made(frame, x, t) | {f: F.col(c) for c, f in ranks.items()}
-    if "unique" in w.functions and back is None:  # a value counts where it stands for the first time in its window
-        once = F.row_number().over(Window.partitionBy(*keys, x).orderBy(*sorts)) == 1
-        df = df.withColumn("_once", (once & x.isNotNull()).cast("int"))
-        made["unique"] = F.sum("_once").over(frame)
-    return df.withColumns({f"{w.name}_{f}": F.when(x.isNotNull(), made[f].cast("int") if f == "unique" else made[f]) for f in w.functions}).drop("_session", "_once")
+    if "unique" in w.functions and back is None:
+        df = O.running_unique(df, keys, sorts, x, [f"{w.name}_unique"], None)
+        ranks[f"{w.name}_unique"] = "unique"
+    rest = [f for f in w.functions if f not in ranks.values()]
+    name = lambda f: f"{w.name}_{f}"
+    if rest and back is not None and not keys:
+        df = R.trailing(df, [], sorts[0], back, lambda over: {name(f): v for f, v in _made(over, x, t).items() if f in rest})
+    elif rest and not keys:
+        df = _global(df, w, sorts, x, t, rest)
+    else:
+        made = _made(frame, x, t)
+        df = df.withColumns({name(f): made[f] for f in rest})
+    return df.withColumns({name(f): F.when(x.isNotNull(), F.col(name(f)).cast("int") if f == "unique" else F.col(name(f))) for f in w.functions}).drop("_session")
+
+
+def _global(df: DataFrame, w: TimeWindow, sorts: list[Column], x: Column, t: Column, functions: list[str]) -> DataFrame:
+    """All rows so far without a group, by blocks."""
+    parts = {"n": ("count", x), "s": ("sum", x), "q": ("sum", x * x), "lo": ("min", x), "hi": ("max", x), "f": ("first", x), "l": ("last", x), "t0": ("min", t), "t1": ("max", t)}
+    names = {k: D.fresh(df, f"_{k}") for k in parts}
+    out = R.Blocks.of(df, [], sorts).running({names[k]: p for k, p in parts.items()}).rows(*names.values())
+    v = {k: F.col(c) for k, c in names.items()}
+    var = F.when(v["n"] > 1, F.greatest((v["q"] - v["s"] * v["s"] / v["n"]) / (v["n"] - 1), F.lit(0.0))).otherwise(0.0)
+    span = (v["t1"] - v["t0"]) / 60
+    made = {
+        "count": v["n"], "sum": v["s"], "mean": v["s"] / v["n"], "min": v["lo"], "max": v["hi"], "std": F.sqrt(var), "var": var, "first": v["f"], "last": v["l"],
+        "rate": F.when(v["n"] < 2, 0.0).when(span <= 0, v["n"].cast("double")).otherwise(v["n"] / span),
+    }
+    return out.withColumns({f"{w.name}_{f}": made[f] for f in functions}).drop(*names.values())
 
 
 def closed(df: DataFrame, w: TimeWindow) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from millrace.functions import casting as K
 from millrace.functions import expressions as X
+from millrace.functions import running as R
 from millrace.functions import orderstats as O
 from millrace.functions import scalars as S
 from millrace.functions.running import block_of, cuts, running
@@ -359,3 +360,52 @@ def test_empty_frames(spark):
     assert running(df, "i", {"s": ("sum", F.col("v"))}).count() == 0
     assert aggregates.grouped(df, aggregates.Aggregation("a", "v", ["i"], ["sum", "p50"]), "i").count() == 0
     assert isinstance(df.schema["v"].dataType, T.DoubleType)
+
+
+def test_blocks_carry_running_values(spark, no_merging):
+    rng = random.Random(8)
+    rows = [(rng.choice(["a", "a", "b", None]), i, rng.choice([None, float(rng.randrange(50))])) for i in range(200)]
+    df = spark.createDataFrame(rows, "g string, i long, x double").repartition(4)
+    kinds = {"n": "count", "s": "sum", "lo": "min", "hi": "max", "f": "first", "l": "last"}
+    for inclusive in (True, False):
+        got = {r.i: r for r in R.Blocks.of(df, [F.col("g")], [F.col("i")], 11).running({k: (v, F.col("x")) for k, v in kinds.items()}, inclusive).rows(*kinds).collect()}
+        for g, i, _ in rows:
+            seen = [v for h, j, v in rows if h == g and (j <= i if inclusive else j < i) and v is not None]
+            r = got[i]
+            assert (r.n, r.s) == (len(seen), sum(seen)) and (r.lo, r.hi, r.f, r.l) == ((min(seen), max(seen), seen[0], seen[-1]) if seen else (None,) * 4)
+
+
+@pytest.mark.parametrize(("back", "times"), [(0, 5), (3, 5), (20, 300), (400, 300), (1000, 300)])
+def test_trailing_frames_span_blocks(spark, no_merging, back, times):
+    rng = random.Random(back)
+    rows = [(rng.choice(["a", "a", "b"]), rng.randrange(times), i, rng.choice([None, float(rng.randrange(50))])) for i in range(250)]
+    df = spark.createDataFrame(rows, "g string, t long, i long, x double")
+    for groups in ([], ["g"]):
+        out = R.trailing(df, [F.col(c) for c in groups], F.col("t"), back, lambda w: {"n": F.count("x").over(w), "s": F.sum("x").over(w), "hi": F.max("x").over(w)}, 9)
+        got = {r.i: r for r in out.collect()}
+        assert len(got) == len(rows)
+        for g, t, i, _ in rows:
+            seen = [v for h, u, _, v in rows if (not groups or h == g) and t - back <= u <= t and v is not None]
+            assert (got[i].n, got[i].s, got[i].hi) == (len(seen), sum(seen) if seen else None, max(seen, default=None))
+
+
+def test_last_rows_and_sessions_span_blocks(spark, no_merging):
+    rng = random.Random(4)
+    rows = [(rng.choice(["a", "a", "b"]), i, float(rng.randrange(9))) for i in range(200)]
+    df = spark.createDataFrame(rows, "g string, i long, x double")
+    for groups in ([], ["g"]):
+        got = {r.i: r.s for r in R.last_rows(df, [F.col(c) for c in groups], [F.col("i")], 7, lambda w: {"s": F.sum("x").over(w)}, 20, 9).collect()}
+        for k, (g, i, _) in enumerate(rows):
+            assert got[i] == sum([x for h, _, x in rows[: k + 1] if not groups or h == g][-7:])
+    at, times = 0, []
+    for i in range(200):
+        at += rng.choice([1, 1, 5, 11])
+        times.append(at)
+    rows = [(rng.choice(["a", "a", "b"]), i, t) for i, t in enumerate(times)]
+    df = spark.createDataFrame(rows, "g string, i long, t long").withColumn("ts", F.timestamp_seconds("t"))
+    got = {r.i: r._session for r in windows.session_ids(df, "ts", ["g"], 10, "i", 9).collect()}
+    last, number = {}, {}
+    for g, i, t in rows:
+        number[g] = number.get(g, 0) + (g in last and t - last[g] > 10)
+        last[g] = t
+        assert got[i] == number[g]
