@@ -25,7 +25,6 @@ import json
 import re
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +36,9 @@ from millrace.llm import common as C
 #: Cuts that no token of either library crosses.
 CUT = re.compile(r"(?<=[!-~\w]) (?=[!-~\w])")
 #: Parts remembered, and their longest; tokens aligned at once; pairs of documents held before rows are handed on; pairs that are broadcast.
-KNOWN, LONG, TOKENS, HELD, MOST_SENT = 300_000, 64, 400_000, 4_000_000, 1_000_000
+KNOWN, LONG, TOKENS, HELD, MOST_SENT = 200_000, 64, 200_000, 2_000_000, 1_000_000
+#: Parts that may be encoded side by side, and how many at once.
+PLAIN, SIDE = re.compile(r"[!-~\w](?:.*[!-~\w])?", re.DOTALL), 500
 
 ROWS = "row long, doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, codes array<long>, times array<int>, groups string"
 
@@ -66,7 +67,7 @@ class ByteLevel:
         self.spelled = [spelled.get(i, b"") for i in range(max(spelled) + 1)]
 
     def encode(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.lib.encode_batch_fast([f" {t}" for t in texts], add_special_tokens=False)]
+        return [self.lib.encode_batch_fast([f" {t}"], add_special_tokens=False)[0].ids for t in texts]
 
 
 class Pieces:
@@ -86,9 +87,15 @@ class Pieces:
         return self.lib.encode(texts, num_threads=1)
 
 
+def union1d(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """numpy's, for two rising arrays: a stable sort merges them in one pass."""
+    both = np.sort(np.concatenate([a, b]), kind="stable")
+    return both[np.r_[True, both[1:] != both[:-1]]] if len(both) else both
+
+
 def elementary(a_ends: np.ndarray, b_ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Ends of the elementary intervals, the A token and the B token that own each, and the ends that both share."""
-    ends = np.union1d(a_ends, b_ends)
+    ends = union1d(a_ends, b_ends)
     a_own, b_own = np.searchsorted(a_ends, ends), np.searchsorted(b_ends, ends)
     return ends, a_own, b_own, ends[(a_ends[a_own] == ends) & (b_ends[b_own] == ends)]
 
@@ -100,22 +107,42 @@ class Aligner:
         self.a, self.b = ByteLevel(a_raw), Pieces(b_raw)
         self.cuts = self.a.cuts and self.b.cuts
         self.a_len, self.b_len = (np.array([len(s) for s in t.spelled], np.int64) for t in (self.a, self.b))
-        self.n, self.known = max(len(self.a_len), len(self.b_len)), {}
-        self.names = [f"{i}{sign}" for sign in ",|;" for i in range(self.n)]
+        self.n, self.known, self.older = max(len(self.a_len), len(self.b_len)), {}, {}
+        self.names = np.array([f"{i}{sign}" for sign in ",|;" for i in range(self.n)], "S")
 
-    def learn(self, parts: set[str]) -> dict[str, tuple[list[int], list[int]] | None]:
-        """The ids of each part on both sides; None if they don't spell it. Long parts are not remembered."""
-        found = {p: self.known[p] for p in parts if p in self.known}
+    def learn(self, parts: set[str]) -> dict[str, tuple[bytes, bytes] | tuple[()]]:
+        """The ids (four bytes each) of parts that are not in ``known`` on both sides; empty if they don't spell it.
+
+        The last KNOWN parts, and those before them that were seen since, are remembered, but for long ones.
+        """
+        found = {p: self.older[p] for p in parts if p in self.older}
         new = [p for p in parts if p not in found]
-        for p, x, y in zip(new, self.a.encode(new), self.b.encode(new), strict=True):
-            want = f" {p}".encode()
-            fits = b"".join(map(self.a.spelled.__getitem__, x)) == want and b"".join(map(self.b.spelled.__getitem__, y)) == want
-            found[p] = (x, y) if fits else None
-        if len(self.known) + len(new) > KNOWN:
-            self.known = {}
-        self.known |= {p: found[p] for p in new if len(p) <= LONG}
+        plain = [p for p in new if self.cuts and PLAIN.fullmatch(p)]
+        for k in range(0, len(plain), SIDE):
+            found |= self.encoded(plain[k : k + SIDE])
+        for p in set(new).difference(plain):
+            found |= self.encoded([p])
+        if len(self.known) + len(found) > KNOWN:
+            self.known, self.older = {}, self.known
+        self.known |= {p: v for p, v in found.items() if len(p) <= LONG}
         return found
 
+    def encoded(self, parts: list[str]) -> dict[str, tuple[bytes, bytes] | tuple[()]]:
+        """Parts side by side, with a space between, where no token crosses; one by one if these aren't spelled."""
+        text = " ".join(parts)
+        want = f" {text}".encode()
+        ids = [self.a.encode([text])[0], self.b.encode([text])[0]]
+        if any(b"".join(map(t.spelled.__getitem__, x)) != want for t, x in zip((self.a, self.b), ids, strict=True)):
+            return {p: v for x in parts for p, v in self.encoded([x]).items()} if len(parts) > 1 else {text: ()}
+        borders = np.cumsum([len(p.encode()) + 1 for p in parts])
+        sides = []
+        for x, lengths in zip(ids, (self.a_len, self.b_len), strict=True):
+            x = np.array(x, np.int32)
+            at = [0, *(4 * np.searchsorted(lengths[x].cumsum(), borders, "right")).tolist()]
+            raw = x.tobytes()
+            sides.append([raw[i:j] for i, j in zip(at, at[1:], strict=False)])
+        return dict(zip(parts, zip(*sides, strict=True), strict=True))
+
     def aligned(self, texts: list[str | None], keep: bool) -> Iterator[dict]:
         """A record for each text, in order."""
         wait: list[Document] = []
@@ -139,22 +166,26 @@ class Aligner:
 
     def align(self, run: list[tuple[Document, list[str]]]) -> None:
         """All stretches of a run at once, laid end to end: as both sides spell them, their borders are shared ends."""
-        known = self.learn({p for _, ps in run for p in ps})
-        docs, a_ids, b_ids, a_n, b_n = [], [], [], [], []
-        for doc, ps in run:
-            both = [known[p] for p in ps]
+        get, seen, missing = self.known.get, [], set()
+        for _, ps in run:
+            seen.append([get(p) for p in ps])
+            if None in seen[-1]:
+                missing.update(p for p, v in zip(ps, seen[-1], strict=True) if v is None)
+        found = self.learn(missing)
+        docs, a_ids, b_ids = [], [], []
+        for (doc, ps), both in zip(run, seen, strict=True):
             if None in both:
+                both = [found[p] if v is None else v for p, v in zip(ps, both, strict=True)]
+            if () in both:
                 doc.spelled = False
             if doc.spelled:
-                x, y = list(chain.from_iterable([v[0] for v in both])), list(chain.from_iterable([v[1] for v in both]))
                 docs.append(doc)
-                a_ids += x
-                b_ids += y
-                a_n.append(len(x))
-                b_n.append(len(y))
+                a_ids.append(b"".join([v[0] for v in both]))
+                b_ids.append(b"".join([v[1] for v in both]))
         if not docs:
             return
-        a, b = np.array(a_ids, np.int64), np.array(b_ids, np.int64)
+        a, b = (np.frombuffer(b"".join(x), np.int32).astype(np.int64) for x in (a_ids, b_ids))
+        a_n, b_n = ([len(i) // 4 for i in x] for x in (a_ids, b_ids))
         a_ends, b_ends = self.a_len[a].cumsum(), self.b_len[b].cumsum()
         ends, a_own, b_own, shared = elementary(a_ends, b_ends)
         borders = a_ends[np.cumsum(a_n) - 1]
@@ -173,10 +204,10 @@ class Aligner:
         signs = np.empty(len(a) + len(b), np.int64)
         signs[np.arange(len(a)) + np.searchsorted(b_group, a_group)] = a + self.n * a_last
         signs[np.arange(len(b)) + np.searchsorted(a_group, b_group, "right")] = b + 2 * self.n * b_last
-        names, at = self.names, np.r_[0, np.cumsum(np.array(a_n) + np.array(b_n))].tolist()
-        signs, links, closed = signs.tolist(), np.diff(links, prepend=0).tolist(), np.diff(closed, prepend=0).tolist()
+        at = np.r_[0, np.cumsum(np.array(a_n) + np.array(b_n))].tolist()
+        links, closed = np.diff(links, prepend=0).tolist(), np.diff(closed, prepend=0).tolist()
         for k, doc in enumerate(docs):
-            written = "".join([names[s] for s in signs[at[k] : at[k + 1]]])
+            written = self.names[signs[at[k] : at[k + 1]]].tobytes().replace(b"\0", b"")
             doc.add(a_n[k], b_n[k], closed[k], links[k], pairs[cuts[k] : cuts[k + 1]], times[cuts[k] : cuts[k + 1]], written)
 
 
@@ -185,15 +216,15 @@ class Document:
 
     def __init__(self, keep: bool) -> None:
         self.counts, self.pairs, self.written, self.spelled, self.keep = [0, 0, 0, 0], [], [], True, keep
-        self.hash, self.tail = hashlib.sha256(), ""
+        self.hash, self.tail = hashlib.sha256(), b""
 
-    def add(self, a: int, b: int, groups: int, links: int, pairs: np.ndarray, times: np.ndarray, written: str) -> None:
+    def add(self, a: int, b: int, groups: int, links: int, pairs: np.ndarray, times: np.ndarray, written: bytes) -> None:
         self.counts = [x + y for x, y in zip(self.counts, (a, b, groups, links), strict=True)]
         self.pairs.append((pairs, times))
         if len(self.pairs) >= 64:
             self.pairs = [self.summed()]
-        self.hash.update((self.tail + written[:-1]).encode())
-        self.tail = ";"
+        self.hash.update(self.tail + written[:-1])
+        self.tail = b";"
         if self.keep:
             self.written.append(written)
 
@@ -207,7 +238,7 @@ class Document:
         if not self.spelled or not self.counts[0]:
             none = np.zeros(0, np.int64)
             return {"counts": [0] * 4, "sha": "", "pairs": (none, none), "groups": "" if self.keep else None}
-        return {"counts": self.counts, "sha": self.hash.hexdigest(), "pairs": self.summed(), "groups": "".join(self.written)[:-1] if self.keep else None}
+        return {"counts": self.counts, "sha": self.hash.hexdigest(), "pairs": self.summed(), "groups": b"".join(self.written)[:-1].decode() if self.keep else None}
 
 
 @lru_cache(maxsize=1)
