@@ -299,13 +299,24 @@ def pair_counts(rows: DataFrame, b_size: int) -> DataFrame:
     return counts.join(F.broadcast(most), F.col("code") % b_size == F.col("b")).select("code", "n", (F.col("n") == F.col("most")).alias("best"))
 
 
+def sent_from(counts: DataFrame) -> tuple[int, bool]:
+    """The least power of two from which on at most MOST_SENT pairs have such counts, and whether others remain."""
+    sizes = dict(counts.groupBy(F.length(F.bin("n")).alias("k")).agg(F.count(F.lit(1))).collect())  # at most 64 rows
+    left = MOST_SENT
+    for k in sorted(sizes, reverse=True):
+        left -= sizes[k]
+        if left < 0:
+            return 1 << k, True
+    return 0, False
+
+
 def with_sums(rows: DataFrame, counts: DataFrame) -> DataFrame:
     """``rows`` with n_best and count_sum; ``counts`` as of ``pair_counts``, stored."""
     spark = rows.sparkSession
-    most = counts.orderBy(F.desc("n"), "code").limit(MOST_SENT)
-    table = most.toArrow().sort_by("code")
+    bar, more = sent_from(counts)
+    table = counts.where(F.col("n") >= bar).toArrow().sort_by("code")
     sent = spark.sparkContext.broadcast(tuple(table.column(c).to_numpy() for c in ("code", "n", "best")))
-    rest = counts.join(F.broadcast(most.select("code")), "code", "left_anti") if table.num_rows == MOST_SENT else None
+    rest = counts.where(F.col("n") < bar) if more else None
     kept = [c for c in rows.columns if c not in ("codes", "times")]
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
 
