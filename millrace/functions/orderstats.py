@@ -81,7 +81,7 @@ def place_of(n: np.ndarray, p: float) -> np.ndarray:
 
 
 #: The places (from 0) that a statistic takes among n values; their mean is the statistic.
-PLACES = {k: [lambda n, p=p: place_of(n, p)] for k, p in PERCENTILES.items()} | {"median": [lambda n: (n - 1) // 2, lambda n: n // 2]}
+PLACES = {k: [lambda n, p=p: place_of(n, p)] for k, p in PERCENTILES.items()} | {"median": [lambda n: (n - 1) // 2, lambda n: n // 2], "q1": [lambda n: n // 4], "q3": [lambda n: 3 * n // 4]}
 
 
 def selected(symbols: np.ndarray, left: np.ndarray, right: np.ndarray, place: np.ndarray) -> np.ndarray:

@@ -8,9 +8,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.functions import casting as K
+from millrace.functions import ordered as D
 from millrace.functions import orderstats as O
 from millrace.functions import running as R
 from millrace.operators import audit as A
+from millrace.session import written
 
 STAGE = "missing"
 STRATEGIES = ("reject", "fill_constant", "fill_mean", "fill_median", "fill_mode", "fill_forward", "fill_backward")
@@ -40,12 +42,41 @@ def statistic(df: DataFrame, c: str, strategy: str, order: str | None) -> Any:
     return top.v if top else None
 
 
-def online_mean(df: DataFrame, c: str, order: str, refresh: int = REFRESH) -> DataFrame:
-    """The mean of what had been seen at the last multiple of ``refresh`` rows (rows numbered by ``order``, from 1, densely)."""
-    v = K.to_float(value(df, c), df.schema[c].dataType)
-    seen = R.running(df, order, {"_sum": ("sum", v), "_n": ("count", v), "_row": ("count", F.lit(1))})
-    marks = seen.where(F.col("_row") % refresh == 0).select((F.col("_row") / refresh).cast("bigint").alias("_mark"), F.try_divide("_sum", F.col("_n")).alias("_mean"))
-    return seen.withColumn("_mark", F.floor(F.col("_row") / refresh)).join(marks, "_mark", "left").drop("_mark", "_sum", "_n", "_row")
+def online(df: DataFrame, c: str, how: str, order: str, out: str, refresh: int = REFRESH, parts: int | None = None) -> DataFrame:
+    """``df`` with ``out``: mean, median or mode of what had been seen at the last multiple of ``refresh`` rows, in the order of ``order``; null before it."""
+    if order is None:
+        raise ValueError(f"online {how} needs an order column")
+    v = value(df, c)
+    number = K.to_float(v, df.schema[c].dataType)
+    row, s, n, m = (D.fresh(df, x) for x in ("_row", "_sum", "_n", "_at"))
+    if how == "fill_mode":
+        return online_mode(df, v, order, out, refresh, parts)
+    if how == "fill_median":
+        got = O.running_statistics(df, [], [F.col(order)], number, {m: "median"}, parts=parts)
+        rows = R.Blocks.of(got, [], [F.col(order)], parts).running({row: ("count", F.lit(1)), m: ("last", F.col(m))})
+        stat = F.col(m)
+    else:
+        rows = R.Blocks.of(df, [], [F.col(order)], parts).running({row: ("count", F.lit(1)), s: ("sum", number), n: ("count", number)})
+        stat = F.try_divide(F.col(s), F.col(n))
+    return rows.running({out: ("last", F.when(F.col(row) % refresh == 0, stat))}).rows(out).drop(m)
+
+
+def online_mode(df: DataFrame, v: Column, order: str, out: str, refresh: int, parts: int | None) -> DataFrame:
+    """The most frequent value so far, the one seen first of several, at refresh marks.
+
+    Counts only rise, so the greatest (count, earlier first sight) that any value has had at any mark so far is the mode's of this mark:
+    a running sum for each value, and a running maximum over marks.
+    """
+    row, x, mark, best = (D.fresh(df, c) for c in ("_row", "_x", "_mark", "_best"))
+    rows = R.Blocks.of(df.withColumn(x, v), [], [F.col(order)], parts).running({row: ("count", F.lit(1))}).rows(x, row)
+    rows = written(rows.withColumn(mark, F.floor(F.col(row) / refresh)), "online-mode")
+    cells = rows.where(F.col(x).isNotNull()).groupBy(F.col(x).alias("v"), (F.floor((F.col(row) - 1) / refresh) + 1).alias("mark")).agg(F.count(F.lit(1)).alias("own"), F.min(row).alias("first"))
+    line = R.Blocks.of(cells, [F.col("v")], [F.col("mark")], parts).running({"n": ("sum", F.col("own")), "since": ("first", F.col("first"))}).rows("n", "since")
+    top = line.groupBy("mark").agg(F.max(F.struct("n", (-F.col("since")).alias("early"), "v")).alias("top"))
+    marks = rows.select(F.col(mark).alias("mark")).distinct().join(top, "mark", "left")
+    marks = R.Blocks.of(marks, [], [F.col("mark")], parts).running({"best": ("max", F.col("top"))}).rows("best")
+    found = marks.where("mark > 0").select(F.col("mark").alias(mark), F.col("best.v").alias(best))
+    return rows.join(found, mark, "left").select(*df.columns, F.col(best).alias(out))
 
 
 def impute(df: DataFrame, columns: list[str] | None = None, strategy: str = "fill_constant", fill_values: dict[str, Any] | None = None, required: list[str] | None = None,
@@ -83,10 +114,11 @@ def impute(df: DataFrame, columns: list[str] | None = None, strategy: str = "fil
                 df = R.running(df, order, {f"_near_{c}": ("last", value(df, c))}, inclusive=False, backwards=back)
                 fill = F.col(f"_near_{c}")
                 drop.append(f"_near_{c}")
-        elif how == "fill_mean" and mode == "online":
-            df = online_mean(df, c, order).withColumnRenamed("_mean", f"_mean_{c}")
-            fill = F.col(f"_mean_{c}")
-            drop.append(f"_mean_{c}")
+        elif mode == "online":
+            seen = D.fresh(df, f"_seen_{c}")
+            df = online(df, c, how, order, seen)
+            fill = F.col(seen)
+            drop.append(seen)
         else:
             stat = statistic(df, c, how, order)
             fill = None if stat is None else F.lit(stat)

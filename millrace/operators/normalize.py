@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from millrace.functions import ordered as D
 from millrace.functions import orderstats
 from millrace.functions import running as R
 from millrace.operators import audit as A
@@ -105,16 +106,51 @@ class NormalizerModel:
         return out.withColumns(new | {A.ERRORS: F.concat(A.ERRORS, "_new"), A.VALID: F.col(A.VALID) & (F.size("_new") == 0)}).drop("_new")
 
 
-def online_z(df: DataFrame, f: str, order: str, refresh: int = 1000) -> DataFrame:
-    """z-scores by the mean and deviation of what had been seen at the last multiple of ``refresh`` rows; before it, unchanged."""
+def online(df: DataFrame, f: str, order: str, strategy: str = "z_score", refresh: int = 1000, out: str | None = None, feature_range: tuple[float, float] = (0.0, 1.0), clip: bool = False, parts: int | None = None) -> DataFrame:
+    """``df`` with ``out`` (else ``f`` itself) scaled by what had been seen at the last multiple of ``refresh`` rows in ``order``; before it, unchanged.
+
+    Sums, extremes and quartiles run over blocks of rows; the values at a mark are carried to the rows behind it.
+    """
+    if strategy not in ("z_score", "min_max", "max_abs", "log", "robust", "none"):
+        raise ValueError(f"no online form: {strategy}")
     x = F.col(f).cast("double")
-    seen = R.running(df, order, {"_s": ("sum", x), "_q": ("sum", x * x), "_n": ("count", x), "_row": ("count", F.lit(1))})
-    mean = F.col("_s") / F.col("_n")
-    marks = seen.where(F.col("_row") % refresh == 0).select(
-        (F.col("_row") / refresh).cast("bigint").alias("_mark"), mean.alias("_mean"), F.greatest(F.sqrt(F.greatest(F.col("_q") / F.col("_n") - mean * mean, F.lit(0.0))), F.lit(FLOOR)).alias("_std")
-    )
-    out = seen.withColumn("_mark", F.floor(F.col("_row") / refresh)).join(marks, "_mark", "left")
-    return out.withColumn(f"{f}_z", F.coalesce((x - F.col("_mean")) / F.col("_std"), x)).drop("_s", "_q", "_n", "_row", "_mark", "_mean", "_std")
+    names = df.columns
+    made = {k: D.fresh(df, f"_{k}") for k in ("row", "s", "q", "n", "lo", "hi", "median", "q1", "q3")}
+    kept = {"z_score": "sqn", "min_max": ["lo", "hi"], "max_abs": ["lo", "hi"], "log": ["lo"], "robust": ["median", "q1", "q3"], "none": []}[strategy]
+    kinds = {"s": ("sum", x), "q": ("sum", x * x), "n": ("count", x), "lo": ("min", x), "hi": ("max", x)}
+    if strategy == "robust":
+        df = orderstats.running_statistics(df, [], [F.col(order)], x, {made[k]: k for k in kept}, parts=parts)
+        kinds = {k: ("last", F.col(made[k])) for k in kept}
+    rows = R.Blocks.of(df, [], [F.col(order)], parts).running({made["row"]: ("count", F.lit(1))} | {made[k]: kinds[k] for k in kept})
+    at_mark = F.col(made["row"]) % refresh == 0
+    rows = rows.running({made[k]: ("last", F.when(at_mark, F.col(made[k]))) for k in kept})
+    df = rows.rows(*[made[k] for k in kept])
+    v = {k: F.col(made[k]) for k in kept}
+    if strategy == "z_score":
+        mean = v["s"] / v["n"]
+        scaled = (x - mean) / F.greatest(F.sqrt(F.greatest(v["q"] / v["n"] - mean * mean, F.lit(0.0))), F.lit(FLOOR))
+    elif strategy == "min_max":
+        low, high = map(float, feature_range)
+        span = F.when(v["hi"] != v["lo"], v["hi"] - v["lo"]).otherwise(1.0)
+        scaled = (x - v["lo"]) / span * (high - low) + low
+        scaled = F.when(x.isNotNull(), F.greatest(F.least(scaled, F.lit(high)), F.lit(low))) if clip else scaled
+    elif strategy == "max_abs":
+        most = F.greatest(F.abs(v["lo"]), F.abs(v["hi"]))
+        scaled = x / F.when(most > 0, most).otherwise(1.0)
+    elif strategy == "log":
+        shifted = x + F.when(v["lo"] <= 0, F.abs(v["lo"]) + 1).otherwise(0.0)
+        scaled = F.when(shifted > 0, F.ln(shifted)).when(shifted <= 0, 0.0)
+    elif strategy == "robust":
+        scaled = (x - v["median"]) / F.greatest(v["q3"] - v["q1"], F.lit(FLOOR))
+    else:
+        scaled = x
+    fitted = v[kept[0]].isNotNull() if kept else F.lit(True)
+    return df.withColumn(out or f, F.when(fitted, scaled).otherwise(x)).select(*names, *([out] if out and out not in names else []))
+
+
+def online_z(df: DataFrame, f: str, order: str, refresh: int = 1000) -> DataFrame:
+    """z-scores by ``online``, in a column of their own."""
+    return online(df, f, order, "z_score", refresh, f"{f}_z")
 
 
 def unit_arrays(c: Column) -> Column:

@@ -409,3 +409,28 @@ def test_last_rows_and_sessions_span_blocks(spark, no_merging):
         number[g] = number.get(g, 0) + (g in last and t - last[g] > 10)
         last[g] = t
         assert got[i] == number[g]
+
+
+@pytest.mark.parametrize("parts", [None, 7])
+def test_online_statistics_span_blocks(spark, no_merging, parts):
+    rng = random.Random(6)
+    x = [rng.choice([None, float(rng.randrange(8)), float(rng.randrange(3))]) for _ in range(137)]
+    df = spark.createDataFrame(list(enumerate(x)), "i long, x double").repartition(3)
+    got = {how: [r.s for r in missing.online(df, "x", how, "i", "s", 10, parts).orderBy("i").collect()] for how in ("fill_mean", "fill_median", "fill_mode")}
+    for i in range(len(x)):
+        seen = [v for v in x[: (i + 1) // 10 * 10] if v is not None]
+        want = {"fill_mean": sum(seen) / len(seen), "fill_median": float(np.median(seen)), "fill_mode": max(seen, key=lambda v: (seen.count(v), -seen.index(v)))} if seen else dict.fromkeys(got)
+        assert all(got[h][i] == (want[h] if want[h] is None else pytest.approx(want[h])) for h in got)
+    with pytest.raises(ValueError, match="order"):
+        missing.impute(df, ["x"], "fill_median", mode="online")
+    for strategy in ("min_max", "max_abs", "log", "robust", "z_score"):
+        out = [r.x for r in normalize.online(df, "x", "i", strategy, 10, parts=parts).orderBy("i").collect()]
+        assert out[:9] == x[:9] and [v is None for v in out] == [v is None for v in x]
+        seen = sorted(v for v in x[:130] if v is not None)
+        k, v = next((k, v) for k, v in reversed(list(enumerate(x))) if v is not None)
+        n = len(seen)
+        want = {
+            "min_max": (v - seen[0]) / (seen[-1] - seen[0]), "max_abs": v / seen[-1], "log": math.log(v + 1) if seen[0] <= 0 else math.log(v),
+            "robust": (v - float(np.median(seen))) / (seen[3 * n // 4] - seen[n // 4]), "z_score": (v - float(np.mean(seen))) / float(np.std(seen)),
+        }
+        assert out[k] == pytest.approx(want[strategy])
