@@ -119,8 +119,15 @@ def identifier_dictionary(docs: DataFrame) -> bytes:
     """Code names, then the identifiers of all texts that save most; those that save most of all come last, where offsets are short."""
     each = F.explode(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(rf"(?<![0-9A-Za-z])[A-Za-z]{{{SHORTEST},{LONGEST}}}(?![0-9A-Za-z])"), F.lit(0))).alias("word")
     saved = F.count(F.lit(1)) * F.length("word")
-    top = docs.select(each).groupBy("word").agg(saved.alias("saved")).orderBy(F.desc("saved"), "word").limit(MOST_WORDS)
-    top = C.written(top, "secret-words").collect()  # stored first: partitions' candidates meet in a task, not on the driver
+    counts = C.written(docs.select(each).groupBy("word").agg(saved.alias("saved")), "secret-words")
+    sizes = counts.groupBy(F.length(F.bin("saved")).alias("k")).agg(F.count(F.lit(1)).alias("n")).collect()  # at most 64 rows
+    bar, n = 0, 0
+    for r in sorted(sizes, reverse=True):
+        bar, n = 1 << (r.k - 1), n + r.n
+        if n >= MOST_WORDS:
+            break
+    top = counts.where(F.col("saved") >= bar).orderBy(F.desc("saved"), "word").limit(MOST_WORDS)
+    top = C.written(top, "secret-top").collect()  # stored first: partitions' candidates meet in a task, not on the driver
     out, left = [], MOST_BYTES
     for word in [r.word for r in sorted(top, key=lambda r: (-r.saved, r.word))] + code_names():
         left -= len(word) + 1
