@@ -25,6 +25,7 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 from typing import NamedTuple
 
 import numpy as np
@@ -39,8 +40,8 @@ MOST_LABELLED, FALSE_RATE, WINDOW = 6000, 0.05, 8
 STEMS = range(3, 9)
 #: Least lengths of words for one and for two edits, and of stems for one; states kept at most.
 ONE_EDIT, TWO_EDITS, STEM_EDIT, MOST_STATES = 4, 8, 5, 100_000
-#: Where labelled rows show no misspelled terms, an edit keeps this share of a weight; the evidence that this prior is worth.
-EDIT_KEEPS, EDIT_PRIOR = 0.8, 5.0
+#: Where labelled rows show no misspelling of a term, an edit keeps this share of its weight; the texts that this prior is worth; the share below which such a match is none.
+EDIT_KEEPS, EDIT_PRIOR, EDIT_LEAST = 0.8, 5.0, 0.25
 # Words beside which a term is reported, not used; words that address a reader. What they weigh is learned.
 REPORTING = {b"said", b"says", b"say", b"called", b"calls", b"quote", b"quoted", b"quoting", b"wrote", b"word", b"words", b"term", b"slur", b"insult", b"insults", b"sagte", b"wort", b"nannte", b"dit", b"mot", b"dijo", b"palabra"}
 ADDRESS = {b"you", b"your", b"youre", b"du", b"dich", b"dein", b"ihr", b"tu", b"toi", b"vous", b"ton", b"usted", b"eres", b"ti"}
@@ -142,21 +143,23 @@ class Automaton:
 
 
 class Hits(dict):
-    """word (bytes) -> (weight, edits), weight 0 for no hit; emptied when it holds many."""
+    """word (bytes) -> (weight, edits, share, term), weight 0 for no hit; emptied when it holds many. An edited match counts by its share of the weight."""
 
     def __init__(self, model: dict):
         super().__init__()
-        self.auto, self.clean, self.near, self.keeps = Automaton(model["words"], model["stems"]), model["clean"], model.get("near", {}), model.get("keeps", EDIT_KEEPS)
+        self.auto, self.clean, self.near, self.keeps = Automaton(model["words"], model["stems"]), model["clean"], model.get("near", {}), model.get("keeps", {})
 
-    def __missing__(self, raw: bytes) -> tuple[float, int]:
+    def __missing__(self, raw: bytes) -> tuple[float, int, float, str]:
         if len(self) >= 300_000:
             self.clear()
         word = raw.decode("utf-8", "replace")
         got = self.auto.best(word)
-        if got is None or (got[1] and word in self.clean):
-            self[raw] = 0.0, 0
-        else:
-            self[raw] = self.auto.terms[got[0]][1], got[1]
+        self[raw] = 0.0, 0, 0.0, ""
+        if got is not None and not (got[1] and word in self.clean):
+            term, weight, _ = self.auto.terms[got[0]]
+            share = self.keeps.get((term, got[1]), EDIT_KEEPS ** got[1])
+            if not got[1] or share >= EDIT_LEAST:
+                self[raw] = weight, got[1], share if got[1] else 1.0, term
         return self[raw]
 
 
@@ -189,6 +192,8 @@ class Hit(NamedTuple):
     reported: bool
     addressed: bool
     context: float
+    share: float
+    term: str
 
 
 def hits_of(text: str, hits: Hits) -> list[Hit]:
@@ -202,11 +207,11 @@ def hits_of(text: str, hits: Hits) -> list[Hit]:
     starts = [m.start() for m in WORD.finditer(raw)] if spans else []
     opens = [a for a, _ in spans]
     out = []
-    for i, v, k in found:
+    for i, v, k, share, term in found:
         at = bisect.bisect_right(opens, starts[i]) - 1 if spans else -1
         near = set(ws[max(0, i - WINDOW) : i]) | set(ws[i + 1 : i + WINDOW + 1])
         told = sum(hits.near.get(w, 0.0) for w in near) if hits.near else 0.0
-        out.append(Hit(ws[i], i, v, k, at >= 0 and starts[i] < spans[at][1], bool(near & REPORTING), bool(near & ADDRESS), max(-3.0, min(3.0, told))))
+        out.append(Hit(ws[i], i, v, k, at >= 0 and starts[i] < spans[at][1], bool(near & REPORTING), bool(near & ADDRESS), max(-3.0, min(3.0, told)), share, term))
     return out
 
 
@@ -215,7 +220,7 @@ def features(texts: list[str | None], hits: Hits) -> np.ndarray:
     out = np.zeros((len(texts), N_FEATURES))
     for k, text in enumerate(texts):
         if text and (found := hits_of(text, hits)):
-            v = [h.weight * hits.keeps**h.edits for h in found]
+            v = [h.weight * h.share for h in found]
             plain = [(h.word, x) for h, x in zip(found, v, strict=True) if not h.quoted and not h.reported]
             of = lambda test: np.log1p(sum(x for h, x in zip(found, v, strict=True) if test(h)))  # noqa: B023, E731
             total = sum(x for _, x in plain)
@@ -227,6 +232,7 @@ def features(texts: list[str | None], hits: Hits) -> np.ndarray:
     return out
 
 
+@lru_cache(maxsize=1 << 18)
 def by_chance(a: int, c: int, n1: int, n: int) -> float:
     """The probability that ``a`` or more of the ``c`` texts with a term are among the ``n1`` of label 1 (Fisher's exact test)."""
     ways = lambda m, k: math.lgamma(m + 1) - math.lgamma(k + 1) - math.lgamma(m - k + 1)
@@ -235,7 +241,7 @@ def by_chance(a: int, c: int, n1: int, n: int) -> float:
 
 
 def chance_cut(found: list[float], counts: Counter, n1: int, n: int, rate: float) -> float:
-    """The largest probability of a kept term (Benjamini-Hochberg) among those terms that occur often enough to be told (Tarone)."""
+    """The largest probability of a kept term (Benjamini-Hochberg): ranked among the terms that occur often enough to be told (Tarone), or among all that were found if these are more."""
     least = sorted((by_chance(min(c, n1), c, n1, n), many) for c, many in counts.items())
     told, tests = 0, 1
     for p, many in least:
@@ -243,30 +249,50 @@ def chance_cut(found: list[float], counts: Counter, n1: int, n: int, rate: float
             break
         told += many
         tests = told
-    cut = 0.0
+    tests, cut = max(tests, len(found)), 0.0
     for k, p in enumerate(sorted(found), 1):
         if p <= rate * k / tests:
             cut = p
     return cut
 
 
-def lexicon(rows: list[tuple[str, int]], rate: float = FALSE_RATE) -> dict:
-    """words and stems with their log odds, and the words common in texts with label 0."""
+def counted(rows: list[tuple[str, int]]) -> tuple[dict[int, Counter], Counter]:
+    """In how many texts of either label each word and stem (after ^) stands, and how many texts there are."""
     seen = {0: Counter(), 1: Counter()}
     total = Counter(y for _, y in rows)
     for text, y in rows:
         ws = {w.decode("utf-8", "replace") for w in set(C.byte_words(text))}
         seen[y].update(ws)
         seen[y].update({f"^{w[:k]}" for w in ws for k in STEMS if len(w) > k})
-    n1, n0 = total[1] + 1, total[0] + 1
+    return seen, total
+
+
+def without(whole: tuple[dict[int, Counter], Counter], part: tuple[dict[int, Counter], Counter]) -> tuple[dict[int, Counter], Counter]:
+    """What is counted in the other parts; words of this one alone stay with zero."""
+    seen, total = {y: c.copy() for y, c in whole[0].items()}, whole[1].copy()
+    for y, c in part[0].items():
+        seen[y].subtract(c)
+    total.subtract(part[1])
+    return seen, total
+
+
+def lexicon(rows: list[tuple[str, int]], rate: float = FALSE_RATE) -> dict:
+    return lexicon_of(*counted(rows), rate)
+
+
+def lexicon_of(seen: dict[int, Counter], total: Counter, rate: float = FALSE_RATE) -> dict:
+    """words and stems with their log odds, and the words common in texts with label 0."""
+    n1, n0, n = total[1] + 1, total[0] + 1, total[0] + total[1]
     found = []
     for t, a in seen[1].items():
+        if not a:
+            continue
         b = seen[0][t]
         odds = np.log((a + 0.5) / n1) - np.log((b + 0.5) / n0)
         if odds > np.log(6):
-            found.append((by_chance(a, a + b, total[1], len(rows)), a, b, t, float(odds)))
+            found.append((by_chance(a, a + b, total[1], n), a, b, t, float(odds)))
     counts = Counter((seen[0] + seen[1]).values())
-    cut = chance_cut([f[0] for f in found], counts, total[1], len(rows), rate)
+    cut = chance_cut([f[0] for f in found], counts, total[1], n, rate)
     ranked = []
     for p, a, b, t, odds in found:
         if p <= cut:
@@ -284,15 +310,19 @@ def lexicon(rows: list[tuple[str, int]], rate: float = FALSE_RATE) -> dict:
 
 
 def contexts(rows: list[tuple[str, int]], model: dict, rate: float = FALSE_RATE) -> dict:
-    """``model`` with near (log odds of words beside hits, by label) and keeps (what an edit keeps of a weight), from the labels' hits."""
-    hits, seen, texts, edited = Hits(model), {0: Counter(), 1: Counter()}, Counter(), Counter()
+    """``model`` with near (log odds of words beside hits, by label) and keeps (what of its weight a term keeps at so many edits), from the labels' hits.
+
+    Each (term, edits) starts from the prior and follows the texts whose label its edited forms meet, so that a long term that chance
+    words resemble loses its edits and the others keep theirs, however many labels there are.
+    """
+    hits, seen, texts, edited = Hits(model), {0: Counter(), 1: Counter()}, Counter(), {0: Counter(), 1: Counter()}
     for text, y in rows:
         if not (found := hits_of(text, hits)):
             continue
         ws = C.byte_words(text)
         texts[y] += 1
         seen[y].update({w for h in found for w in (*ws[max(0, h.place - WINDOW) : h.place], *ws[h.place + 1 : h.place + WINDOW + 1]) if not hits[w][0]})
-        edited[y] += all(h.edits for h in found)
+        edited[y].update({(h.term, h.edits) for h in found if h.edits})
     n, counts = texts[0] + texts[1], Counter((seen[0] + seen[1]).values())
     near = {}
     for y in (0, 1):
@@ -301,13 +331,15 @@ def contexts(rows: list[tuple[str, int]], model: dict, rate: float = FALSE_RATE)
         for p, w in found:
             if p <= cut:
                 near[w] = float(np.log((seen[1][w] + 0.5) / (texts[1] + 1)) - np.log((seen[0][w] + 0.5) / (texts[0] + 1)))
-    keeps = (edited[1] + EDIT_KEEPS * EDIT_PRIOR) / (edited[1] + edited[0] + EDIT_PRIOR)
+    keeps = {t: (edited[1][t] + EDIT_KEEPS ** t[1] * EDIT_PRIOR) / (edited[1][t] + edited[0][t] + EDIT_PRIOR) for t in edited[0] | edited[1]}
     return model | {"near": near, "keeps": keeps}
 
 
 def fit(rows: list[tuple[str, int]], parts: int = 3) -> dict:
     """Lexicon and contexts from all labelled rows; the curve from sums by those of the other parts."""
-    model = contexts(rows, lexicon(rows))
+    each = [counted(rows[k::parts]) for k in range(parts)]
+    whole = {y: sum((e[0][y] for e in each), Counter()) for y in (0, 1)}, sum((e[1] for e in each), Counter())
+    model = contexts(rows, lexicon_of(*whole))
     y = np.array([v for _, v in rows], float)
     if len(set(y)) < 2:
         share = sum(v for _, v in rows) / len(rows) if rows else 0.0
@@ -315,7 +347,7 @@ def fit(rows: list[tuple[str, int]], parts: int = 3) -> dict:
     x = np.zeros((len(rows), N_FEATURES))
     for k in range(parts):
         rest = [r for i, r in enumerate(rows) if i % parts != k]
-        x[k::parts] = features([t for t, _ in rows[k::parts]], Hits(contexts(rest, lexicon(rest))))
+        x[k::parts] = features([t for t, _ in rows[k::parts]], Hits(contexts(rest, lexicon_of(*without(whole, each[k])))))
     sd = np.where(x.std(0) > 1e-9, x.std(0), 1.0)
     return model | {"w": C.logistic((x - x.mean(0)) / sd, y).tolist(), "mean": x.mean(0).tolist(), "sd": sd.tolist()}
 
