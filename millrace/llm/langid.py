@@ -354,23 +354,25 @@ def predicted(docs: DataFrame, model: dict, runs: bool = False, keep: list[str]
 
 
 def training_rows(docs: DataFrame, most_each: int = MOST_EACH, most: int = MOST_ROWS) -> list[tuple[str, str]]:
-    """At most ``most_each`` training texts of each language and about ``most`` of all (one for each at least), those of least hash of doc_id.
+    """At most ``most_each`` training texts of each language and about ``most`` of all (one for each at least), those of least hash.
 
-    Rows of each language are counted first, so that only about four times as many ids as are wanted are ranked,
-    however many there are (where few ids repeat over many rows, fewer may come). Bounded in bytes too.
+    What is hashed, counted and ranked are distinct (doc_id, text) pairs, so that ids which repeat crowd out neither their own language
+    nor others. They are counted first, by sketches, so that only about four times as many as are wanted are ranked, however many there
+    are. Bounded in bytes too.
     """
-    h = F.xxhash64("doc_id")
     known = docs.where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull() & (C.bucket_of(F.col("doc_id"), 4) != 2)).select("doc_id", "text", "lang")
-    counts = known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()  # one row for each language
+    known = known.withColumn("h", F.xxhash64("doc_id", "text"))
+    counts = known.groupBy("lang").agg(F.approx_count_distinct("h").alias("n")).collect()  # one row for each language
     if not counts:
         return []
     each = max(1, min(most_each, most // len(counts)))
-    bars = [(r.lang, min(2**63 - 1, -(2**63) + int(2**64 * min(1.0, 4 * each / r.n)))) for r in counts]
+    bars = [(r.lang, min(2**63 - 1, -(2**63) + int(2**64 * min(1.0, 4 * each / max(1, r.n))))) for r in counts]
     bar = docs.sparkSession.createDataFrame(bars, "lang string, bar bigint")
-    low = known.select("doc_id", "lang", h.alias("h")).join(F.broadcast(bar), "lang").where("h <= bar")
-    order = Window.partitionBy("lang").orderBy("h", "doc_id")
-    chosen = low.withColumn("n", F.row_number().over(order)).where(F.col("n") <= each).groupBy("doc_id").agg(F.min("lang").alias("only"))
-    return [(r.text, r.lang) for r in C.fetched(known, chosen, each * len(counts), ["lang"])]
+    low = known.select("doc_id", "lang", "h").join(F.broadcast(bar), "lang").where("h <= bar").select("doc_id", "lang", "h").distinct()
+    chosen = low.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))).where(F.col("n") <= each)
+    pairs = chosen.groupBy("doc_id", "h").agg(F.min("lang").alias("only"))
+    rows = known.join(F.broadcast(pairs.select("doc_id", "h")), ["doc_id", "h"], "left_semi").select("doc_id", "text", "lang")
+    return [(r.text, r.lang) for r in C.fetched(rows, pairs.groupBy("doc_id").agg(F.min("only").alias("only")), each * len(counts), ["lang"])]
 
 
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

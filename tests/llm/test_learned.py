@@ -4,6 +4,7 @@ import itertools
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -184,12 +185,14 @@ def test_toxicity_against_brute_force(spark, docs):
         found = []
         for i, w in enumerate(ws):
             word = w.decode()
-            near = [(distance(word, t), -v) for t, v in model["words"].items() if distance(word, t) <= (len(t) >= 4) + (len(t) >= 8)]
-            near += [(k, -v) for t, v in model["stems"].items() if (k := min(distance(word[:j], t) for j in range(len(word) + 1))) <= (len(t) >= 5)]
-            if near and not (min(near)[0] and word in model["clean"]):
+            near = [(distance(word, t), -v, t) for t, v in model["words"].items() if distance(word, t) <= (len(t) >= 4) + (len(t) >= 8)]
+            near += [(k, -v, t) for t, v in model["stems"].items() if (k := min(distance(word[:j], t) for j in range(len(word) + 1))) <= (len(t) >= 5)]
+            k, v, term = min(near, default=(0, 0, ""))
+            share = model["keeps"].get((term, k), toxicity.EDIT_KEEPS**k) if k else 1.0
+            if near and not (k and (word in model["clean"] or share < toxicity.EDIT_LEAST)):
                 around = set(ws[max(0, i - 8) : i] + ws[i + 1 : i + 9])
                 quoted = text.lower().split(word)[0].count('"') % 2 == 1
-                found.append((word, -min(near)[1] * model["keeps"] ** min(near)[0], quoted, bool(around & toxicity.REPORTING), bool(around & toxicity.ADDRESS), sum(model["near"].get(a, 0) for a in around)))
+                found.append((word, -v * share, quoted, bool(around & toxicity.REPORTING), bool(around & toxicity.ADDRESS), sum(model["near"].get(a, 0) for a in around)))
         if found:
             use = [(w, v) for w, v, q, r, *_ in found if not q and not r]
             total = sum(v for _, v in use)
@@ -263,3 +266,35 @@ def test_toxic_texts_are_found(spark):
     sf = "/root/testdata/sf0.1"
     out = registry.queries()["op3_toxicity"](spark, sf).join(C.table(spark, sf, "labels"), "doc_id").where("held_out and toxic = 1")
     assert out.agg(F.avg("predicted")).first()[0] >= 0.92
+
+
+def misspelled(term):
+    k = len(term) // 2
+    return {term[:k] + term[k + 1] + term[k] + term[k + 2 :], term[:k] + "x" + term[k + 1 :], term[:k] + term[k] + term[k:], term[:k] + term[k + 1 :]} - {term}
+
+
+@pytest.mark.parametrize("sf", ["/root/testdata/sf0.01", "/root/testdata/sf0.1"])
+def test_misspelled_terms_count_however_many_labels_there_are(spark, sf):
+    docs = C.table(spark, sf, "documents").select("doc_id", "text")
+    model = toxicity.fit(C.labelled_sample(docs, C.table(spark, sf, "labels"), "toxic", 5, 0, toxicity.MOST_LABELLED))
+    terms = [w for w in model["words"] if w in ("clown", "worthless", "trash", "scum", "idiot", "moron", "pathetic", "loser", "disgusting", "stupid")]
+    assert len(terms) == 10
+    texts = [f"you are nothing but {a} and a {b} here" for t in terms for a in sorted(misspelled(t)) for b in sorted(misspelled(terms[0]))[:1]]
+    made = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    assert all(r.score >= 0.5 for r in toxicity.score(made, model).collect())
+    calm = spark.createDataFrame([(1, "such a nice day for a walk in the park"), (2, "the report of the meeting is attached")], "doc_id long, text string")
+    assert all(r.score < 0.5 for r in toxicity.score(calm, model).collect())
+
+
+def test_context_words_are_told_from_chance():
+    """Words that stand beside one hit each are no evidence; the cut ranks all that are found."""
+    assert toxicity.chance_cut([0.577] * 1000, {1: 1000}, 461, 799, 0.05) == 0.0
+
+
+def test_no_language_is_lost_to_repeated_ids(spark):
+    rows = spark.range(40_000).selectExpr("7 doc_id", "concat('das ist der text nummer ', id) text", "'de' lang").unionByName(spark.range(200).selectExpr("id + 100 doc_id", "concat('this is the text number ', id) text", "'en' lang"))
+    for own in (7, 8, 9, 10):
+        moved = rows.withColumn("doc_id", F.when(F.col("lang") == "de", F.lit(own)).otherwise(F.col("doc_id")))
+        got = langid.training_rows(moved, most_each=100)
+        trained = moved.where((F.col("lang") == "de") & (C.bucket_of(F.col("doc_id"), 4) != 2)).limit(1).count()
+        assert sum(y == "de" for _, y in got) == (100 if trained else 0) and sum(y == "en" for _, y in got) == 100
