@@ -190,6 +190,7 @@ class HeldAggregates(Held):
         firsts[np.flatnonzero(known)[np.unique(at, return_index=True)[1]]] = new
         out: dict[str, Any] = {"unique": len(old) + np.cumsum(firsts)}
         kinds = [f for f in self.counted if f in O.PLACES]
+        out |= {f: np.full(len(x), np.nan) for f in kinds}
         if kinds and known.any():
             prior = np.array(sorted(old), float)
             held = np.array([old[v][0] for v in prior.tolist()], np.int64)
