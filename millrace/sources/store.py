@@ -1,17 +1,50 @@
-"""Versioned documents as append-only Parquet: configuration, model states, and stored collections."""
+"""Versioned documents as append-only Parquet: configuration, model states, and stored collections.
+
+Which write was last is told by numbers, not by clocks: a writer takes the next number by creating a file of that name, which only
+one can, and appends under it. Files that are made so are atomic on HDFS and its like.
+"""
 
 from __future__ import annotations
 
 import json
-import time
 from typing import Any
+from urllib.parse import quote
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from millrace.session import drop_written, written
 
-CONFIG = "service_name string, config_data string, version int, description string, deleted boolean, updated_at timestamp"
+CONFIG = "service_name string, config_data string, version int, description string, deleted boolean, updated_at timestamp, seq bigint"
+
+
+def _made(spark: SparkSession, fs: Any, path: Any) -> bool:
+    """Whether the file was made by this call: it must not exist. Hadoop's local file system only looks first, so Java makes local ones."""
+    if fs.getScheme() == "file":
+        return spark._jvm.java.io.File(path.toUri().getPath()).createNewFile()
+    try:
+        fs.create(path, False).close()
+    except Py4JJavaError:
+        if not fs.exists(path):
+            raise
+        return False
+    return True
+
+
+def claimed(spark: SparkSession, path: str, least: int = 1) -> int:
+    """The next number under ``path``, at least ``least``: nobody else gets it."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.mkdirs(folder)
+    taken = [int(f.getPath().getName()) for f in fs.listStatus(folder) if f.getPath().getName().isdigit()]
+    n = max([least - 1, *taken]) + 1
+    at = lambda k: spark._jvm.org.apache.hadoop.fs.Path(folder, f"{k:020d}")
+    while not _made(spark, fs, at(n)):
+        n += 1
+    for old in sorted(taken)[:-10]:  # the last ones tell where to go on
+        fs.delete(at(old), False)
+    return n
 
 
 def latest(df: DataFrame, keys: list[str], version: str | Column) -> DataFrame:
@@ -48,8 +81,8 @@ def page(df: DataFrame, number: int, size: int, sort: str, descending: bool = Fa
     return df.orderBy(key).offset((max(1, number) - 1) * size).limit(size), {"total_items": total, "total_pages": -(-total // size), "page": number, "size": size}
 
 
-#: Versions start anew after a deletion, so what was written last counts.
-LAST = ("updated_at", "version")
+#: Versions start anew after a deletion, so the highest number of a write counts.
+LAST = ("seq", "updated_at", "version")
 
 
 class ConfigStore:
@@ -72,12 +105,17 @@ class ConfigStore:
 
     def _append(self, name: str, data: str | None, version: int, description: str | None, deleted: bool) -> None:
         row = self.spark.createDataFrame([(name, data, version, description, deleted)], "service_name string, config_data string, version int, description string, deleted boolean")
-        row.withColumn("updated_at", F.current_timestamp()).write.mode("append").parquet(self.path)
+        row.withColumns({"updated_at": F.current_timestamp(), "seq": F.lit(claimed(self.spark, self._claims(name))).cast("bigint")}).write.mode("append").parquet(self.path)
+
+    def _claims(self, name: str) -> str:
+        return f"{self.path}-writes/{quote(name, safe='')}"
 
-    def upsert(self, name: str, data: dict, description: str | None = None) -> int:
-        """Version 1, or the next one; a description stays if none is given."""
+    def upsert(self, name: str, data: dict, description: str | None = None, expected: int | None = None) -> int:
+        """Version 1, or the next one; a description stays if none is given. With ``expected`` it fails unless that is the current version (0: none)."""
         last = latest(self.history().where(F.col("service_name") == name), ["service_name"], F.struct(*LAST)).first()
         version = 1 if last is None or last.deleted else last.version + 1
+        if expected is not None and expected != version - 1:
+            raise ValueError(f"{name} is at version {version - 1}, not {expected}")
         kept = description if description is not None else (last.description if last is not None and not last.deleted else None)
         self._append(name, json.dumps(data), version, kept, False)
         return version
@@ -95,7 +133,7 @@ class ConfigStore:
         new = rows.join(self.list_all().select("service_name"), "service_name", "left_anti")
         n = new.count()
         if n:
-            new.select("service_name", "config_data", F.lit(1).alias("version"), F.lit(None).cast("string").alias("description"), F.lit(False).alias("deleted"), F.current_timestamp().alias("updated_at")).write.mode("append").parquet(self.path)
+            new.select("service_name", "config_data", F.lit(1).alias("version"), F.lit(None).cast("string").alias("description"), F.lit(False).alias("deleted"), F.current_timestamp().alias("updated_at"), F.lit(0).cast("bigint").alias("seq")).write.mode("append").parquet(self.path)
         return n
 
 
@@ -104,7 +142,7 @@ class Collection:
 
     def __init__(self, spark: SparkSession, path: str, fields: str):
         self.spark, self.path = spark, path
-        self.schema = f"_id string, _version bigint, _deleted boolean, {fields}"
+        self.schema = f"_id string, _version bigint, _place bigint, _deleted boolean, {fields}"
 
     def _all(self) -> DataFrame:
         at = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
@@ -112,15 +150,14 @@ class Collection:
         return self.spark.read.schema(self.schema).parquet(self.path) if there else self.spark.createDataFrame([], self.schema)
 
     def current(self) -> DataFrame:
-        return latest(self._all(), ["_id"], "_version").where(~F.col("_deleted")).drop("_deleted", "_version")
+        return latest(self._all(), ["_id"], F.struct("_version", "_place")).where(~F.col("_deleted")).drop("_deleted", "_version", "_place")
 
-    @staticmethod
-    def _next() -> int:
-        """A version above all earlier ones: the time in nanoseconds, so a write reads nothing."""
-        return time.time_ns()
+    def _next(self) -> int:
+        """A version above all earlier ones; a write reads nothing but the names of the last claims."""
+        return claimed(self.spark, f"{self.path}-writes")
 
     def save(self, rows: DataFrame) -> int:
-        """Rows with or without _id; returns how many."""
+        """Rows with or without _id; returns how many. Of rows with one _id the last in the frame's order stays."""
         rows = rows if "_id" in rows.columns else rows.withColumn("_id", F.expr("uuid()"))
         return self._write(rows.withColumns({"_version": F.lit(self._next()), "_deleted": F.lit(False)}))
 
@@ -140,6 +177,7 @@ class Collection:
 
     def _write(self, rows: DataFrame) -> int:
         """Store the rows, then append them: what is read and what is counted is one and the same."""
+        rows = rows.withColumn("_place", F.monotonically_increasing_id())
         stored = written(rows.select(*self.spark.createDataFrame([], self.schema).columns), "collection")
         n = stored.count()
         if n:
@@ -170,7 +208,8 @@ class StateStore:
         return retained(rows, ["model_name"], "version", self.most)
 
     def save(self, name: str, state: dict, metadata: dict | None = None) -> int:
-        version = (self.history().where(F.col("model_name") == name).agg(F.max("version")).first()[0] or 0) + 1
+        last = self.history().where(F.col("model_name") == name).agg(F.max("version")).first()[0] or 0
+        version = claimed(self.spark, f"{self.path}-writes/{quote(name, safe='')}", last + 1)
         row = self.spark.createDataFrame([(name, json.dumps(state), version, json.dumps(metadata or {}))], "model_name string, state string, version int, metadata string")
         row.select("model_name", "state", "version", F.current_timestamp().alias("saved_at"), "metadata").write.mode("append").parquet(self.path)
         return version

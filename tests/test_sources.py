@@ -3,6 +3,7 @@
 import json
 import time
 
+import pytest
 from pyspark.sql import functions as F
 
 from millrace.operators import clean, convert
@@ -186,3 +187,53 @@ def test_collection_and_states(spark, tmp_path):
     assert c.delete({"_id": "a"}) == 1 and c.count() == 2 and c.find_one({"_id": "a"}) is None
     s = store.StateStore(spark, f"file:{tmp_path}/states", most=2)
     assert [s.save("m", {"k": i}) for i in range(3)] == [1, 2, 3] and s.load("m") == {"k": 2} and s.load("m", 1) is None and s.names().first().versions == 2
+
+
+def test_writes_are_numbered_not_timed(spark, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+
+    at = f"file:{tmp_path}/claims"
+    with ThreadPoolExecutor(4) as pool:
+        got = list(pool.map(lambda _: store.claimed(spark, at), range(24)))
+    assert sorted(got) == list(range(1, 25)) and store.claimed(spark, at, 100) == 100
+    s = store.ConfigStore(spark, f"file:{tmp_path}/config")
+    assert s.upsert("a", {"x": 1}) == 1 and s.upsert("a", {"x": 2}, expected=1) == 2
+    with pytest.raises(ValueError, match="version 2"):
+        s.upsert("a", {"x": 3}, expected=1)
+    assert s.delete("a") and s.get("a") is None and s.upsert("a", {"x": 4}) == 1 and s.get("a")["config"] == {"x": 4}
+    c = store.Collection(spark, f"file:{tmp_path}/docs", "v bigint")
+    c.save(spark.createDataFrame([("p", 1), ("q", 5), ("p", 2), ("p", 3)], "_id string, v bigint").coalesce(1))
+    assert sorted((r._id, r.v) for r in c.current().collect()) == [("p", 3), ("q", 5)]
+    m = store.StateStore(spark, f"file:{tmp_path}/models")
+    assert [m.save("m", {"w": k}) for k in range(3)] == [1, 2, 3] and m.load("m")["w"] == 2
+
+
+def test_groups_consume_at_their_own_pace(spark, tmp_path):
+    b = Broker(spark, f"file:{tmp_path}/broker")
+    values = lambda ks: spark.createDataFrame([(json.dumps({"k": k}),) for k in ks], "value string")
+    b.publish(values(range(10)), "ex", "k", order="value")
+    topic, seen = b.topic_for("ex", "k"), {"one": [], "two": []}
+
+    def handler(group, fail_at=None):
+        def handle(rows):
+            got = rows.withColumn("k", F.get_json_object("value", "$.k").cast("int"))
+            ks = sorted(r.k for r in got.collect())
+            if fail_at in ks:
+                raise RuntimeError("the consumer died")
+            seen[group].append(ks)
+            verdict = F.when(F.col("k") % 5 == 3, "nack").when((F.col("k") == 4) & F.lit(len(seen[group]) == 1), "requeue").otherwise("ack")
+            return got.select("partition", "offset", verdict.alias("verdict"), F.lit("bad").alias("reason"))
+
+        return handle
+
+    status = b.consume(topic, "one", handler("one")).wait()
+    assert seen["one"] == [list(range(10))] and (status["published"], status["failed"]) == (7, 3)
+    b.publish(values(range(10, 14)), "ex", "k", order="value")
+    with pytest.raises(Exception, match="died"):
+        b.consume(topic, "one", handler("one", fail_at=12)).wait()
+    b.consume(topic, "one", handler("one")).wait()  # what had not ended comes again, with the requeued record, and nothing else
+    assert seen["one"][1:] == [[4, 10, 11, 12, 13]]
+    b.consume(topic, "two", handler("two"), prefetch=1).wait()  # the other group begins at the first record
+    assert sorted(k for ks in seen["two"] for k in ks if k != 4) == [k for k in range(14) if k != 4] and len(seen["two"]) >= 2
+    dead = sorted((r.group_id, json.loads(r.value)["k"], json.loads(r.value)["_dead_letter"]["reason"]) for r in b.dead(topic).collect())
+    assert dead == [(g, k, "bad") for g in ("one", "two") for k in (3, 8, 13)]
