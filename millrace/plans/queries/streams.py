@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from millrace.plans.queries.base import ORACLES, QUERIES, big, r6
 from millrace.session import shared_dir
 from millrace.streaming import query as stream
-from millrace.streaming import timed
+from millrace.streaming import seen, timed
 
 
 _PERIOD = 6 * 86400
@@ -71,3 +71,18 @@ def stream_windows_with_late(spark, d):
     closed = spark.read.parquet(good).select(F.lit("window").alias("kind"), "event_type", F.unix_millis("window_start").alias("start"), big("w_count").alias("n"), F.round("w_sum", 4).alias("total"))
     behind = spark.read.parquet(late).groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("total"))
     return closed.unionByName(behind.select(F.lit("late").alias("kind"), "event_type", F.lit(None).cast("long").alias("start"), "n", "total"))
+
+
+@_query("stream_seen_keys", "SELECT event_id, value, 1 + CASE WHEN event_id % 3 = 0 THEN 1 ELSE 0 END AS copies FROM events")
+def stream_seen_keys(spark, d):
+    """Every third event comes a second time, in another file: it is marked, in memory of a few bits a key."""
+    out = f"{shared_dir(spark)}/stream-seen-{uuid.uuid4().hex}"
+    e = spark.read.parquet(f"{d}/events.parquet").select("event_id", "value")
+    e.write.parquet(f"{out}/in")
+    e.where("event_id % 3 = 0").write.mode("append").parquet(f"{out}/in")
+    rows = spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 1).parquet(f"{out}/in")
+    kept = seen.marked(rows, ["event_id"], "event_id", capacity=10_000_000, buckets=8)
+    stream.append(kept, f"{out}/good", f"{out}/checkpoint").wait()
+    got = spark.read.parquet(f"{out}/good")
+    copies = got.groupBy("event_id").agg(F.count(F.lit(1)).alias("copies"))
+    return got.where("NOT _is_duplicate").join(copies, "event_id").select("event_id", "value", "copies")

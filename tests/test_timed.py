@@ -9,7 +9,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import types as T
 
-from millrace.streaming import timed
+from millrace.streaming import seen, timed
 
 
 class Value:
@@ -72,3 +72,47 @@ def test_released_rows_continue_where_the_last_release_ended(sizes):
 def test_unknown_functions_are_refused(spark):
     with pytest.raises(ValueError, match="no ordered form"):
         timed.in_order(spark.range(1).selectExpr("id g", "id x", "current_timestamp() t", "id o"), ["g"], "x", "t", "o", "a", ["rate"], 5)
+
+
+class Keyed(Map):
+    def containsKey(self, k):
+        return k in self.d
+
+    def removeKey(self, k):
+        del self.d[k]
+
+
+@pytest.mark.parametrize(("bits", "capacity"), [(12.0, 10_000), (0.5, 10_000), (12.0, 100)])
+def test_seen_keys_are_exact_within_their_capacity(bits, capacity):
+    """Filters that are far too small cost lookups, not truth; beyond the capacity the oldest tenth goes first."""
+    p = seen.Seen(["k", "i"], "i", capacity, bits)
+    p.filters, p.keys = Keyed(), Keyed()
+    rng = np.random.default_rng(3)
+    generations, at, lookups = [[]], 0, 0
+    for _ in range(12):
+        ks = rng.integers(0, 400, 60)
+        rows = pd.DataFrame({"k": ks, "i": range(at, at + 60), "h0": ks * 7919, "h1": ks * 104729 + (ks << 40), "bucket": 0})
+        out = next(p.handleInputRows(0, iter([rows]), None))
+        lookups += p.lookups
+        known, new = {k for g in generations for k in g}, []
+        for k, d in zip(ks.tolist(), out["_is_duplicate"].tolist(), strict=True):
+            assert d == (k in known or k in new)
+            if not d:
+                new.append(k)
+        for k in new:
+            if len(generations[-1]) >= max(1, capacity // seen.GENERATIONS):
+                generations.append([])
+            generations[-1].append(k)
+        generations = generations[-seen.GENERATIONS :]
+        at += 60
+        assert len(p.keys.d) == sum(map(len, generations)) <= capacity
+        assert sum(len(v[0]) for v in p.filters.d.values()) <= seen.GENERATIONS * (capacity // seen.GENERATIONS * bits / 8 + seen.BLOCK / 8)
+    assert lookups >= 300 if bits < 1 else True
+
+
+def test_few_new_keys_are_looked_up():
+    bloom = seen.Bloom(5000, 12.0)
+    rng = np.random.default_rng(1)
+    h = rng.integers(-(2**63), 2**63 - 1, (2, 10_000))
+    bloom.add(h[0][:5000], h[1][:5000])
+    assert bloom.may_hold(h[0][:5000], h[1][:5000]).all() and bloom.may_hold(h[0][5000:], h[1][5000:]).mean() < 0.02
