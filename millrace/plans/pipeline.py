@@ -9,10 +9,14 @@ from typing import Any
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.operators import aggregates, audit, clean, convert, duplicates, encode, features, missing, normalize, schema, windows
+from millrace.operators import aggregates, audit, clean, convert, duplicates, encode, features, missing, normalize, observed, schema, windows
 from millrace.session import drop_written, written
 
 
+#: Stages that reject rows, by the names in their errors.
+STAGES = [m.STAGE for m in (schema, missing, duplicates, convert, clean, encode, normalize, features)]
+
+
 def on(config: dict | None) -> bool:
     """A stage runs only with enabled: true."""
     return bool(config) and config.get("enabled") is True
@@ -109,12 +113,19 @@ class Pipeline:
         return per.select("stage", F.lit(rows.rows).alias("rows"), "failed").unionByName(total)
 
     def apply(self, df: DataFrame) -> DataFrame:
-        """All stages, with audit columns. On a stream only stages without order across rows may be enabled."""
+        """All stages, with audit columns. On a stream only stages without order across rows may be enabled.
+
+        Batches are stored before features are built, as valid and rejected rows are read apart there; streams go through both branches.
+        """
         out = self.transform(self.validate(df))
-        valid = out.where(audit.VALID)
-        rest = out.where(~out[audit.VALID])
-        enriched = self.enrich(valid)
-        return enriched.unionByName(rest, allowMissingColumns=True)
+        if not df.isStreaming:
+            out = written(out, "pipeline-apply")
+        enriched = self.enrich(out.where(audit.VALID))
+        return enriched.unionByName(out.where(~F.col(audit.VALID)), allowMissingColumns=True)
+
+    def observed(self, df: DataFrame) -> observed.Observed:
+        """``apply``, with the numbers of ``stats`` once the rows have been written: without a pass of their own."""
+        return observed.audited(self.apply(df), STAGES)
 
     def accepted(self, df: DataFrame) -> DataFrame:
         return self.enrich(self.transform(self.validate(df)).where(audit.VALID)).drop(audit.ERRORS, audit.WARNINGS, audit.VALID)

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from millrace.operators import aggregates as A
-from millrace.operators import learning, missing, normalize
+from millrace.operators import learning, missing, normalize, observed
 from millrace.operators import windows as W
+from millrace.plans.pipeline import Pipeline
 from millrace.plans.queries.base import GAPPY, big, events, gappy, query, r6
 
 # The places that percentiles take.
@@ -120,3 +121,20 @@ def normalize_online_all(t):
     for s in names:
         df = normalize.online(df, "value", "event_id", s, out=s)
     return df.select("event_id", *[r6(s).alias(s) for s in names])
+
+
+@query("observed_missing", f"SELECT 'v' AS field, count(*) AS total_rows, count(*) - count(v) AS missing, count(*) - count(v) AS filled, 0::BIGINT AS rejected FROM {GAPPY}")
+def observed_missing(t):
+    """Statistics from the pass that writes the rows."""
+    out = observed.imputed(gappy(t), ["v"], strategy="fill_constant", fill_values={"v": 0.0})
+    out.df.write.format("noop").mode("overwrite").save()
+    return out.table()
+
+
+@query("observed_pipeline", "WITH e AS (SELECT value < 1 OR value > 400 AS bad, event_id % 5 = 0 AS twice FROM events), n AS (SELECT count(*) + count(*) FILTER (WHERE twice) AS rows, count(*) FILTER (WHERE twice) AS again, count(*) FILTER (WHERE bad) + count(*) FILTER (WHERE bad AND twice) AS bad, count(*) FILTER (WHERE bad AND twice) AS doubly FROM e) SELECT 'duplicates' AS stage, rows, again AS failed FROM n UNION ALL SELECT 'clean', rows, bad FROM n UNION ALL SELECT 'total', rows, again + bad - doubly FROM n")
+def observed_pipeline(t):
+    cfg = {"validation": {"duplicate": {"enabled": True, "key_fields": ["event_id"]}}, "transformation": {"data_cleaning": {"enabled": True, "rules": {"value": {"action": "reject", "min_value": 1.0, "max_value": 400.0}}}}}
+    e = t("events").select("event_id", "value")
+    out = Pipeline.of(cfg, "event_id").observed(e.unionByName(e.where("event_id % 5 = 0")))
+    out.df.write.format("noop").mode("overwrite").save()
+    return out.table().where("failed > 0")

@@ -237,3 +237,30 @@ def test_groups_consume_at_their_own_pace(spark, tmp_path):
     assert sorted(k for ks in seen["two"] for k in ks if k != 4) == [k for k in range(14) if k != 4] and len(seen["two"]) >= 2
     dead = sorted((r.group_id, json.loads(r.value)["k"], json.loads(r.value)["_dead_letter"]["reason"]) for r in b.dead(topic).collect())
     assert dead == [(g, k, "bad") for g in ("one", "two") for k in (3, 8, 13)]
+
+
+def test_observed_metrics_of_batches_and_streams(spark, tmp_path):
+    from millrace.operators import observed
+    from millrace.streaming.metrics import MetricsTable
+
+    df = spark.createDataFrame([("1", 1.0), ("x", None), (None, 3.0)], "a string, v double")
+    out = observed.converted(df, {"a": "int"})
+    out.df.write.format("noop").mode("overwrite").save()
+    assert [tuple(r) for r in out.table().collect()] == [("a", 1, 1)]
+    out = observed.imputed(df, ["v"], strategy="fill_mean")
+    assert sorted(r.v for r in out.df.collect()) == [1.0, 2.0, 3.0]
+    assert [tuple(r) for r in out.table().collect()] == [("v", 3, 1, 1, 0)]
+    for k in range(2):
+        df.write.mode("append").parquet(f"{tmp_path}/in")
+    table = MetricsTable.attached(spark, f"file:{tmp_path}/metrics")
+    try:
+        rows = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in").observe("seen", F.count(F.lit(1)).alias("n"), F.count("v").alias("v"))
+        query.append(rows, f"{tmp_path}/out", f"{tmp_path}/checkpoint").wait()
+        for _ in range(50):
+            if table.totals().count() == 2 and table.batches().agg(F.sum("rows")).first()[0] == 6:
+                break
+            time.sleep(0.2)
+        assert {r.metric: r.total for r in table.totals().collect()} == {"n": 6.0, "v": 4.0}
+        assert table.batches().select("batch").distinct().count() == table.batches().count()
+    finally:
+        spark.streams.removeListener(table)
