@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def csv(spark: SparkSession, path: str, columns: list[str] | None = None, multiline: bool = False) -> DataFrame:
-    """Header names the columns, every value is text; only the header is read to plan. Quoted newlines need ``multiline``, which reads a file in one task."""
-    reader = spark.read.option("header", True).option("inferSchema", False).option("encoding", "UTF-8").option("multiLine", multiline)
+def csv(spark: SparkSession, path: str, columns: list[str] | None = None, multiline: bool = False, escape: str = "\\") -> DataFrame:
+    """Header names the columns, every value is text; only the header is read to plan. Quoted newlines need ``multiline``, which reads a file in one task; ``escape`` stands before quotes in quoted values."""
+    reader = spark.read.option("header", True).option("escape", escape).option("inferSchema", False).option("encoding", "UTF-8").option("multiLine", multiline)
     return reader.schema(text_schema(columns)).csv(path) if columns else reader.csv(path)
 
 

@@ -64,7 +64,7 @@ class Running:
     def reset(self) -> None:
         """Stop, and forget offsets and state: the next start reads from the beginning."""
         self.query.stop()
-        spark = self.query_session()
+        spark = SparkSession.getActiveSession() or SparkSession.builder.getOrCreate()  # another thread has no active one
         at = spark._jvm.org.apache.hadoop.fs.Path(self.checkpoint)
         at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
@@ -73,10 +73,6 @@ class Running:
         self.query.stop()
         return start(self.checkpoint)
 
-    @staticmethod
-    def query_session() -> SparkSession:
-        return SparkSession.getActiveSession()
-
 
 def trigger(interval: float | None) -> dict:
     """A polling interval in seconds; without one the query ends with its input."""
