@@ -138,3 +138,28 @@ def observed_pipeline(t):
     out = Pipeline.of(cfg, "event_id").observed(e.unionByName(e.where("event_id % 5 = 0")))
     out.df.write.format("noop").mode("overwrite").save()
     return out.table().where("failed > 0")
+
+
+def _bayes(name: str, recent: int | None) -> str:
+    """Predictions of a naive Bayes model of what was seen at the mark before each row, less what was seen ``recent`` marks earlier."""
+    sums = {f"{k}{c}{f}": f"{e} FILTER (WHERE {'' if c else 'NOT '}y) OVER w" for c in (0, 1) for f in "ab" for k, e in (("s", f"sum({f})"), ("q", f"sum({f} * {f})"))} | {f"n{c}": f"count(*) FILTER (WHERE {'' if c else 'NOT '}y) OVER w" for c in (0, 1)}
+    less = ", ".join(f"m.{k} - coalesce(o.{k}, 0) AS {k}" for k in sums)
+    part = lambda c, f: f"(-0.5 * ln(greatest(q{c}{f} / n{c} - (s{c}{f} / n{c}) * (s{c}{f} / n{c}), 1e-9)) - ({f} - s{c}{f} / n{c}) * ({f} - s{c}{f} / n{c}) / (2 * greatest(q{c}{f} / n{c} - (s{c}{f} / n{c}) * (s{c}{f} / n{c}), 1e-9)))"
+    odds = f"ln(n1) - ln(n0) + {part(1, 'a')} - {part(0, 'a')} + {part(1, 'b')} - {part(0, 'b')}"
+    return f"""
+{name}s AS (SELECT rn, {", ".join(f"coalesce({e}, 0)::DOUBLE AS {k}" for k, e in sums.items())} FROM e WINDOW w AS (ORDER BY rn)),
+{name}m AS (SELECT rn // 250 AS mark, * FROM {name}s WHERE rn % 250 = 0),
+{name}r AS (SELECT m.mark, {less} FROM {name}m m LEFT JOIN {name}m o ON o.mark = m.mark - {recent or 1_000_000_000}),
+{name} AS (SELECT e.rn, coalesce(CASE WHEN n0 > 0 AND n1 > 0 THEN {odds} > 0 ELSE n1 > n0 END, false) AS p FROM e LEFT JOIN {name}r r ON (e.rn - 1) // 250 = r.mark)"""
+
+
+@query("online_model_switched", f"""WITH e AS (SELECT event_id, row_number() OVER (ORDER BY event_id) AS rn, CASE WHEN event_id % 2000 < 1000 THEN value > 20 ELSE value < 20 END AS y, value AS a, user_id::DOUBLE AS b FROM events),{_bayes("f", None)},{_bayes("g", 2)},
+h AS (SELECT e.*, f.p AS whole, g.p AS recent, coalesce(sum((y = f.p)::INT) OVER k, 0) AS hf, coalesce(sum((y = g.p)::INT) OVER k, 0) AS hg FROM e JOIN f USING (rn) JOIN g USING (rn) WINDOW k AS (ORDER BY rn ROWS BETWEEN 200 PRECEDING AND 1 PRECEDING))
+SELECT event_id, whole, recent, CASE WHEN hg > hf THEN 'recent' ELSE 'whole' END AS model, CASE WHEN hg > hf THEN recent ELSE whole END AS expected FROM h""")
+def online_model_switched(t):
+    """Two models learn as the rows go by, one of them forgets; the one that was right more often of late is asked. What is to be learned changes every thousand rows."""
+    y = F.when(F.col("event_id") % 2000 < 1000, F.col("value") > 20).otherwise(F.col("value") < 20)
+    df = t("events").select("event_id", "value", "user_id", y.alias("y"))
+    df = learning.online_bayes(df, "event_id", "y", ["value", "user_id"], "whole", 250)
+    df = learning.online_bayes(df, "event_id", "y", ["value", "user_id"], "recent", 250, recent=2)
+    return learning.switched(df, "event_id", "y", ["whole", "recent"], 200).select("event_id", "whole", "recent", "model", "expected")
