@@ -148,14 +148,20 @@ class Hits(dict):
     def __init__(self, model: dict):
         super().__init__()
         self.auto, self.clean, self.near, self.keeps = Automaton(model["words"], model["stems"]), model["clean"], model.get("near", {}), model.get("keeps", {})
+        self.exact = {(t, stem): w for t, w, stem in self.auto.terms}
+        self.lengths = sorted({len(t) for t, stem in self.exact if stem})
 
     def __missing__(self, raw: bytes) -> tuple[float, int, float, str]:
         if len(self) >= 300_000:
             self.clear()
         word = raw.decode("utf-8", "replace")
-        got = self.auto.best(word)
         self[raw] = 0.0, 0, 0.0, ""
-        if got is not None and not (got[1] and word in self.clean):
+        if word in self.clean:  # only without edits
+            ways = [(word, False), *((word[:k], True) for k in self.lengths if k <= len(word))]
+            if found := [(self.exact[t], t[0]) for t in ways if t in self.exact]:
+                weight, term = max(found)
+                self[raw] = weight, 0, 1.0, term
+        elif (got := self.auto.best(word)) is not None:
             term, weight, _ = self.auto.terms[got[0]]
             share = self.keeps.get((term, got[1]), EDIT_KEEPS ** got[1])
             if not got[1] or share >= EDIT_LEAST:
@@ -236,8 +242,18 @@ def features(texts: list[str | None], hits: Hits) -> np.ndarray:
 def by_chance(a: int, c: int, n1: int, n: int) -> float:
     """The probability that ``a`` or more of the ``c`` texts with a term are among the ``n1`` of label 1 (Fisher's exact test)."""
     ways = lambda m, k: math.lgamma(m + 1) - math.lgamma(k + 1) - math.lgamma(m - k + 1)
-    low = max(a, c - (n - n1))
-    return min(1.0, sum(math.exp(ways(n1, x) + ways(n - n1, c - x) - ways(n, c)) for x in range(low, min(c, n1) + 1)))
+    low, top = max(a, c - (n - n1)), min(c, n1)
+    if low > top:
+        return 0.0
+    if a * n <= c * n1:  # no more than expected: the terms still rise
+        return min(1.0, sum(math.exp(ways(n1, x) + ways(n - n1, c - x) - ways(n, c)) for x in range(low, top + 1)))
+    term = total = math.exp(ways(n1, low) + ways(n - n1, c - low) - ways(n, c))
+    for x in range(low, top):
+        term *= (n1 - x) * (c - x) / ((x + 1) * (n - n1 - c + x + 1))
+        total += term
+        if term <= total * 1e-17:
+            break
+    return min(1.0, total)
 
 
 def chance_cut(found: list[float], counts: Counter, n1: int, n: int, rate: float) -> float:
