@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import ctypes
 import itertools
 import os
 import tempfile
 import uuid
 import zipfile
-from collections.abc import Iterator
-from contextlib import contextmanager
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager, suppress
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,6 +46,46 @@ def ship(spark: SparkSession) -> None:
     ship.app = app
 
 
+#: What this Python worker keeps from task to task: of one operator at a time.
+_HELD: dict = {}
+
+
+def held(key: tuple, make: Callable[[], object]) -> object:
+    """What ``make`` gives, once for each Python worker, until another operator's tasks come."""
+    if key not in _HELD:
+        _HELD.clear()
+        _HELD[key] = make()
+    return _HELD[key]
+
+
+def let_go() -> None:
+    _HELD.clear()
+
+
+def given_back() -> None:
+    """Free memory of this process goes back to the machine."""
+    pa.default_memory_pool().release_unused()
+    with suppress(OSError, AttributeError):  # where the C library is glibc
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def thrifty(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], holds: bool = False) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run`` for mapInArrow. What other operators held goes first (unless ``run`` itself ``holds``), and free memory goes back at the end.
+
+    Spark keeps idle workers, at times more of them than cores: what each of them holds stands beside the heap of all later stages.
+    """
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if not holds:
+            let_go()
+        try:
+            yield from run(batches)
+        finally:
+            given_back()
+
+    return whole
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -24,12 +24,12 @@ from __future__ import annotations
 
 import codecs
 import re
-from collections.abc import Iterator
-from functools import lru_cache
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -327,10 +327,9 @@ class Model:
         return out + (ids(self.path(tail[2], 0, [(b, b)], goal)) if tail is not None else [])
 
 
-@lru_cache(maxsize=2)
 def loaded(raw: bytes, kind: str) -> Model:
-    """The model, once for each Python worker: what it has solved serves the worker's later tasks too."""
-    return Model(raw, kind)
+    """The model, once for each Python worker: the pairs it knows serve the worker's later tasks too, solved segments only their own."""
+    return C.held((raw, kind), lambda: Model(raw, kind))
 
 
 def product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -415,6 +414,19 @@ def states_of(mats: DataFrame, fan: int = FAN) -> DataFrame:
     return known
 
 
+def solving(run: Callable[[Iterator[pa.RecordBatch], Model], Iterator[pa.RecordBatch]], sent: Broadcast, kind: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run`` with the worker's model; the segments that a task has solved go with it."""
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = loaded(sent.value, kind)
+        try:
+            yield from run(batches, model)
+        finally:
+            model.solved.clear()
+
+    return C.thrifty(whole, holds=True)
+
+
 def encoded(docs: DataFrame, raw: bytes, keep: tuple[str, ...] = ("doc_id",), chunk: int = CHUNK, kind: str = "auto", fan: int = FAN) -> DataFrame:
     """keep columns, ids (array<int>) and round_trip (decoding gives the text) of every document."""
     spark = docs.sparkSession
@@ -427,8 +439,7 @@ def encoded(docs: DataFrame, raw: bytes, keep: tuple[str, ...] = ("doc_id",), ch
     types = ", ".join(f"{n} {docs.schema[c].dataType.simpleString()}" for n, c in zip(names, keep, strict=True))
     giant = F.length(F.coalesce("text", F.lit(""))) > chunk
 
-    def small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = loaded(sent.value, kind)
+    def small(batches: Iterator[pa.RecordBatch], m: Model) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
                 part = batch.slice(lo, 256)
@@ -437,7 +448,7 @@ def encoded(docs: DataFrame, raw: bytes, keep: tuple[str, ...] = ("doc_id",), ch
                 ok = [m.decode(i) == t for i, t in zip(ids, texts, strict=True)]
                 yield pa.RecordBatch.from_arrays([*(part.column(n) for n in names), pa.array(ids, pa.list_(pa.int32())), pa.array(ok)], names=[*names, "ids", "round_trip"])
 
-    short = docs.where(~giant).select(*kept, "text").mapInArrow(small, f"{types}, ids array<int>, round_trip boolean")
+    short = docs.where(~giant).select(*kept, "text").mapInArrow(solving(small, sent, kind), f"{types}, ids array<int>, round_trip boolean")
 
     def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fields = ("row", "lo", "left", "size", "body")
@@ -453,10 +464,9 @@ def encoded(docs: DataFrame, raw: bytes, keep: tuple[str, ...] = ("doc_id",), ch
                 yield pa.RecordBatch.from_arrays([*kept_, *cols], names=[*names, *fields])
 
     giants = docs.where(giant).select(F.monotonically_increasing_id().alias("row"), *kept, "text")
-    cut = C.written(giants.mapInArrow(slices, f"{types}, row bigint, lo bigint, left int, size int, body string"), "pieces-chunks")
+    cut = C.written(giants.mapInArrow(C.thrifty(slices, holds=True), f"{types}, row bigint, lo bigint, left int, size int, body string"), "pieces-chunks")
 
-    def matrices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = loaded(sent.value, kind)
+    def matrices(batches: Iterator[pa.RecordBatch], m: Model) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
             for r in batch.to_pylist():
@@ -464,11 +474,10 @@ def encoded(docs: DataFrame, raw: bytes, keep: tuple[str, ...] = ("doc_id",), ch
                 out.append((r["row"], r["lo"] // chunk, [x for s in starts for x in s], [x for s in goals for x in s], w.ravel().tolist()))
             yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.float64())))], names=["row", "at", "starts", "goals", "w"])
 
-    mats = C.written(cut.select("row", "lo", "left", "size", "body").mapInArrow(matrices, MATRIX), "pieces-matrices")
+    mats = C.written(cut.select("row", "lo", "left", "size", "body").mapInArrow(solving(matrices, sent, kind), MATRIX), "pieces-matrices")
     states = states_of(mats, fan).withColumn("lo", F.col("at") * chunk)
 
-    def trace(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = loaded(sent.value, kind)
+    def trace(batches: Iterator[pa.RecordBatch], m: Model) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, ok = [], []
             for r in batch.to_pylist():
@@ -481,7 +490,7 @@ def encoded(docs: DataFrame, raw: bytes, keep: tuple[str, ...] = ("doc_id",), ch
             keys = [batch.column(n) for n in ("row", "lo", *names)]
             yield pa.RecordBatch.from_arrays([*keys, pa.array(ids, pa.list_(pa.int32())), pa.array(ok)], names=["row", "lo", *names, "ids", "ok"])
 
-    traced = cut.join(states.drop("at"), ["row", "lo"]).select("row", "lo", *names, "left", "size", "body", "a0", "a1", "b0", "b1").mapInArrow(trace, f"row bigint, lo bigint, {types}, ids array<int>, ok boolean")
+    traced = cut.join(states.drop("at"), ["row", "lo"]).select("row", "lo", *names, "left", "size", "body", "a0", "a1", "b0", "b1").mapInArrow(solving(trace, sent, kind), f"row bigint, lo bigint, {types}, ids array<int>, ok boolean")
     joined = traced.groupBy("row").agg(*[F.first(n).alias(n) for n in names], F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("lo", "ids"))), lambda x: x["ids"])).alias("ids"), F.min("ok").alias("round_trip"))
     out = short.unionByName(joined.select(*names, "ids", "round_trip"))
     return out.select(*[F.col(n).alias(c) for n, c in zip(names, keep, strict=True)], "ids", "round_trip")
@@ -496,15 +505,14 @@ def decoded(df: DataFrame, raw: bytes, kind: str = "auto", keep: tuple[str, ...]
     names = [f"k{i}" for i in range(len(keep))]
     types = ", ".join(f"{n} {df.schema[c].dataType.simpleString()}" for n, c in zip(names, keep, strict=True))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = loaded(sent.value, kind)
+    def run(batches: Iterator[pa.RecordBatch], m: Model) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
                 part = batch.slice(lo, 256)
                 texts = [None if i is None else m.decode(i) for i in part.column("ids").to_pylist()]
                 yield pa.RecordBatch.from_arrays([*(part.column(n) for n in names), pa.array(texts, pa.string())], names=[*names, "text"])
 
-    out = df.select(*[F.col(c).alias(n) for c, n in zip(keep, names, strict=True)], "ids").mapInArrow(run, f"{types}{', ' if names else ''}text string")
+    out = df.select(*[F.col(c).alias(n) for c, n in zip(keep, names, strict=True)], "ids").mapInArrow(solving(run, sent, kind), f"{types}{', ' if names else ''}text string")
     return out.select(*[F.col(n).alias(c) for n, c in zip(names, keep, strict=True)], "text")
 
 

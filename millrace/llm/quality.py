@@ -92,7 +92,7 @@ def score(docs: DataFrame, model: dict, keep: list[str] | None = None) -> DataFr
     docs = docs.drop("score", "predicted")
     kept = docs.columns if keep is None else keep
     fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in kept)
-    return docs.mapInArrow(run, f"{fields}, score double, predicted int")
+    return docs.mapInArrow(C.thrifty(run), f"{fields}, score double, predicted int")
 
 
 def trained(spark: SparkSession, sf_dir: str, docs: DataFrame | None = None, most: int = MOST_LABELLED) -> dict:

@@ -120,6 +120,23 @@ def test_dealt_blocks_meet_every_pair(spark):
         assert len(met) == len(want) or chunk < 100
 
 
+def test_workers_hold_little_between_tasks():
+    """What a task has solved goes with it; the model goes when another operator's task comes."""
+    from types import SimpleNamespace
+
+    def run(batches, model):
+        model.encode("some words that are solved")
+        assert model.solved
+        yield from batches
+
+    sent = SimpleNamespace(value=pieces.model_bytes())
+    assert list(pieces.solving(run, sent, "auto")(iter([1]))) == [1]
+    model = pieces.loaded(sent.value, "auto")
+    assert not model.solved and pieces.loaded(sent.value, "auto") is model
+    assert list(C.thrifty(lambda batches: batches)(iter([2]))) == [2]
+    assert pieces.loaded(sent.value, "auto") is not model
+
+
 def test_minhash_recall(spark, capsys):
     """All pairs of sf0.01 of J_P 0.8 or more, by an inverted list of shingles: their share in one class."""
     docs = C.table(spark, "/root/testdata/sf0.01", "documents").select("doc_id", "text")
