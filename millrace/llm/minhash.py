@@ -14,7 +14,7 @@ unite components (or lie at the threshold) come out, so no group's pairs are emi
 more than CHUNK members lie outside its largest component (texts that share a passage, mostly) is
 split first by its members' rarest shingles: J_P is at most the mass of what two texts share, so
 two texts of similarity s share a shingle among the rarest that make up more than 1 - s
-of either (ranked by how often they occur in the bucket), and meet there. Every link is verified on the whole texts.
+of either (ranked by how many texts of such buckets hold them), and meet there. Every link is verified on the whole texts.
 
 What can be lost: a pair of similarity s shares no band with a chance of (1 - s^4)^24, 3e-6 at 0.8; and a
 candidate whose registers agree six standard errors below the threshold (a chance under 1e-6 at 0.8) is not
@@ -46,6 +46,8 @@ BANDS, ROWS, WIDTH, SIMILARITY = 24, 4, 5, 0.8
 ERRORS = 6
 #: Members of a block compared in one task; candidate ids up to which they are broadcast (8 bytes each); texts that a task remembers.
 CHUNK, MOST_SENT, SEEN = 512, 1_000_000, 200_000
+#: Shingles of crowded buckets that are ranked by their counts (12 bytes each in every task).
+MOST_RANKED = 50_000
 
 _M1, _M2, _GOLD = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 
@@ -170,7 +172,7 @@ def signatures(docs: DataFrame, seed: int = 0, bands: int = BANDS, rows: int = R
                 yield pa.RecordBatch.from_arrays([*cols, pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)), sigs], names=["doc_id", "node", "check", "bands", "sig"])
 
     source = docs.select("doc_id", F.xxhash64(F.lit(seed), text).alias("node"), F.xxhash64(F.lit(seed + 1), text).alias("check"), "text")
-    return source.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, node bigint, check bigint, bands array<bigint>, sig binary")
+    return source.mapInArrow(C.thrifty(run), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, node bigint, check bigint, bands array<bigint>, sig binary")
 
 
 def alike(pairs: DataFrame, sigs: DataFrame, least: float) -> DataFrame:
@@ -183,7 +185,7 @@ def alike(pairs: DataFrame, sigs: DataFrame, least: float) -> DataFrame:
             keep = pa.array((sa == sb).mean(1) >= least)
             yield pa.RecordBatch.from_arrays([batch.column("a").filter(keep), batch.column("b").filter(keep)], names=["a", "b"])
 
-    return both.select("a", "b", "sa", "sb").mapInArrow(run, "a bigint, b bigint")
+    return both.select("a", "b", "sa", "sb").mapInArrow(C.thrifty(run), "a bigint, b bigint")
 
 
 def verified(pairs: DataFrame, docs: DataFrame, seed: int, least: float = SIMILARITY, width: int = WIDTH) -> DataFrame:
@@ -206,7 +208,7 @@ def verified(pairs: DataFrame, docs: DataFrame, seed: int, least: float = SIMILA
             mask = pa.array(keep)
             yield pa.RecordBatch.from_arrays([batch.column("a").filter(mask), batch.column("b").filter(mask)], names=["a", "b"])
 
-    return both.select("a", "b", "ta", "tb").mapInArrow(run, "a bigint, b bigint")
+    return both.select("a", "b", "ta", "tb").mapInArrow(C.thrifty(run), "a bigint, b bigint")
 
 
 def shingled(docs: DataFrame, nodes: DataFrame, seed: int, width: int) -> DataFrame:
@@ -226,7 +228,7 @@ def shingled(docs: DataFrame, nodes: DataFrame, seed: int, width: int) -> DataFr
                 counts.append(np.minimum(count[at], 2**32 - 1).astype(np.uint32).tobytes())
             yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(keys, pa.binary()), pa.array(counts, pa.binary())], names=["node", "keys", "counts"])
 
-    return texts.mapInArrow(run, "node bigint, keys binary, counts binary")
+    return texts.mapInArrow(C.thrifty(run), "node bigint, keys binary, counts binary")
 
 
 def compared(pdf: pd.DataFrame, least: float, estimate: float, margin: float = 0.01) -> pd.DataFrame:
@@ -301,24 +303,59 @@ def dealt(named: DataFrame, groups: DataFrame, key: list[str], chunk: int) -> Da
     return rows.select(*key, "node", "component", F.explode(tasks).alias("t")).select(*key, "t.kind", "t.x", "t.y", "t.side", "node", "component")
 
 
-def rarest(named: DataFrame, known: DataFrame, least: float) -> DataFrame:
-    """band, node, component, shingle: the rarest shingles of each member, as many as hold more than 1 - ``least`` of its mass."""
-    kinds = "node bigint, shingle bigint, share double"
+def frequent(own: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray, bool]:
+    """Shingles (sorted) that the most texts of ``own`` hold, how many do, and whether no other shingle stands in two texts.
 
-    def shares(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    At most ``most`` of them, from a power of two of their counts on: this bounds what reaches the driver, and orders shingles; it leaves none out.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, n = np.unique(np.frombuffer(b"".join(batch.column("keys").to_pylist()), np.uint32), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(keys.astype(np.int64)), pa.array(n)], names=["shingle", "n"])
+
+    often = own.select("keys").mapInArrow(C.thrifty(run), "shingle bigint, n bigint").groupBy("shingle").agg(F.sum("n").alias("n")).where("n > 1")
+    often = C.written(often.withColumn("level", F.floor(F.log2("n")).cast("int")), "minhash-often")
+    left, bar = most, None
+    levels = often.groupBy("level").agg(F.count(F.lit(1)).alias("n")).collect()
+    for r in sorted(levels, key=lambda r: -r.level):
+        if r.n > left:
+            break
+        left, bar = left - r.n, r.level
+    rows = [] if bar is None else often.where(F.col("level") >= bar).select("shingle", "n").collect()
+    C.drop_path(often.sparkSession, often)
+    got = np.array(sorted((r.shingle, r.n) for r in rows), np.int64).reshape(-1, 2)
+    return got[:, 0].astype(np.uint32), got[:, 1], len(rows) == sum(r.n for r in levels)
+
+
+def rarest(named: DataFrame, known: DataFrame, least: float, most: int | None = None) -> DataFrame:
+    """band, node, component, shingle: the rarest shingles of each member, as many as hold more than 1 - ``least`` of its mass.
+
+    All texts rank their shingles alike: by how many texts of ``named`` hold them (0 beyond the ``most`` frequent), then by hash. Shingles that
+    are known to stand in one text alone count as mass, but meet nothing and don't come out.
+    """
+    own = C.written(known.join(named.select("node").distinct(), "node", "left_semi").select("node", "keys", "counts"), "minhash-crowd")
+    common, n, whole = frequent(own, MOST_RANKED if most is None else most)
+    sent = own.sparkSession.sparkContext.broadcast((common, n, whole))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common, n, whole = sent.value
         for batch in batches:
-            for node, k, c in zip(*(batch.column(n).to_pylist() for n in ("node", "keys", "counts")), strict=True):
+            kept = []
+            for k, c in zip(batch.column("keys").to_pylist(), batch.column("counts").to_pylist(), strict=True):
                 keys, counts = np.frombuffer(k, np.uint32), np.frombuffer(c, np.uint32).astype(float)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), node)), pa.array(keys.astype(np.int64)), pa.array(counts / counts.sum())], names=["node", "shingle", "share"])
-
-    mass = known.select("node", "keys", "counts").mapInArrow(shares, kinds)
-    each = C.written(named.join(mass, "node"), "minhash-shares")
-    often = each.groupBy("band", "shingle").agg(F.count(F.lit(1)).alias("n"))
-    order = F.array_sort(F.collect_list(F.struct("n", "shingle", "share")))  # of one text
-    full = each.join(often, ["band", "shingle"]).groupBy("band", "node", "component").agg(order.alias("s"))
-    step = F.aggregate("s", F.struct(F.array().cast("array<bigint>").alias("kept"), F.lit(0.0).alias("mass")), lambda a, x: F.when(
-        a["mass"] > 1 - least + 1e-9, a).otherwise(F.struct(F.concat(a["kept"], F.array(x["shingle"])).alias("kept"), (a["mass"] + x["share"]).alias("mass"))), lambda a: a["kept"])
-    return full.select("band", "node", "component", F.explode(step).alias("shingle"))
+                at = np.searchsorted(common, keys)
+                hit = np.zeros(len(keys), bool)
+                hit[at < len(common)] = common[at[at < len(common)]] == keys[at < len(common)]
+                rank = np.zeros(len(keys), np.int64)
+                rank[hit] = n[at[hit]]
+                order = np.lexsort((keys, rank))
+                first = order[: np.searchsorted(np.cumsum(counts[order]) / counts.sum(), 1 - least + 1e-9, side="right") + 1]
+                kept.append(keys[first[hit[first]] if whole else first].astype(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(kept, pa.list_(pa.int64()))], names=["node", "kept"])
+
+    firsts = own.mapInArrow(C.thrifty(run), "node bigint, kept array<bigint>")
+    return named.join(firsts, "node").select("band", "node", "component", F.explode("kept").alias("shingle"))
 
 
 def across(docs: DataFrame, rows: DataFrame, sigs: DataFrame, labels: DataFrame, seed: int, least: float, estimate: float, width: int) -> DataFrame:

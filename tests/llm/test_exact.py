@@ -1,5 +1,6 @@
 """Operators with exact results, against brute force or the library."""
 
+import collections
 import itertools
 import random
 import re
@@ -120,6 +121,33 @@ def test_dealt_blocks_meet_every_pair(spark):
         assert len(met) == len(want) or chunk < 100
 
 
+@pytest.mark.parametrize("most", [1000, 4, 0])
+def test_rarest_shingles_are_ranked_alike(spark, most):
+    """A text's shingles come out once for each bucket, in one order for all texts, up to a fifth of its mass; what one text alone holds meets nothing and stays out."""
+    texts = {n: {**{1000 * n + i: 1 for i in range(10)}, **{i: 3 for i in range(n, n + 8)}} for n in range(1, 7)}
+    rows = [(n, np.array(sorted(s), np.uint32).tobytes(), np.array([s[k] for k in sorted(s)], np.uint32).tobytes()) for n, s in texts.items()]
+    known = spark.createDataFrame(rows, "node long, keys binary, counts binary")
+    named = spark.createDataFrame([(b, n, n) for b in (1, 2) for n in texts], "band long, node long, component long")
+    often = collections.Counter(k for s in texts.values() for k in s)
+    got = collections.defaultdict(set)
+    for r in minhash.rarest(named, known, 0.6, most).collect():
+        assert r.shingle in texts[r.node] and r.shingle not in got[r.band, r.node]
+        got[r.band, r.node].add(r.shingle)
+    if most == 1000:
+        for n, s in texts.items():
+            first, mass = set(), 0
+            for k in sorted(s, key=lambda k: (often[k] if often[k] > 1 else 0, k)):
+                first.add(k)
+                mass += s[k] / sum(s.values())
+                if mass > 0.4 + 1e-9:
+                    break
+            assert got[1, n] == got[2, n] == {k for k in first if often[k] > 1}
+    for a, b in itertools.combinations(texts, 2):
+        shared = set(texts[a]) & set(texts[b])
+        if min(sum(s[k] for k in shared) / sum(s.values()) for s in (texts[a], texts[b])) >= 0.6:
+            assert got[1, a] & got[1, b]
+
+
 def test_workers_hold_little_between_tasks():
     """What a task has solved goes with it; the model goes when another operator's task comes."""
     from types import SimpleNamespace
