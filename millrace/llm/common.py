@@ -98,12 +98,16 @@ def work_path(spark: SparkSession, name: str) -> str:
 _OPEN: list[list[str]] = []
 
 
+#: No ``_SUCCESS`` file: ``written`` reads a table only once its write has ended, and on a local disk Hadoop starts processes from the driver for it.
+UNMARKED = {"mapreduce.fileoutputcommitter.marksuccessfuljobs": "false"}
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write to the shared folder and read back: lineage ends there, a lost executor loses nothing."""
     at = work_path(df.sparkSession, name)
     for made in _OPEN:
         made.append(at)
-    df.write.parquet(at)
+    df.write.options(**UNMARKED).parquet(at)
     return df.sparkSession.read.schema(df.schema).parquet(at)
 
 

@@ -93,3 +93,13 @@ def test_run_keeps_no_tables_on_the_way(spark, monkeypatch):
     out = corpus_pipeline.run(spark, SF)
     left = set(os.listdir(at)) - before
     assert [x.rsplit("-", 1)[0] for x in left] == ["stage-pii_surrogates"] and out.count() > 0
+
+
+def test_tables_on_the_way_are_whole_and_unmarked(spark):
+    """No marker file: on a local disk each one has the driver start processes, which share its memory for a moment."""
+    import os
+
+    out = C.written(spark.range(7), "unmarked")
+    at = out.inputFiles()[0].removeprefix("file:").rsplit("/", 1)[0]
+    names = os.listdir("/" + at.lstrip("/"))
+    assert not [n for n in names if "_SUCCESS" in n] and sorted(r.id for r in out.collect()) == list(range(7))
