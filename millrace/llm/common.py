@@ -51,10 +51,11 @@ _HELD: dict = {}
 
 
 def held(key: tuple, make: Callable[[], object]) -> object:
-    """What ``make`` gives, once for each Python worker, until another operator's tasks come."""
+    """What ``make`` gives, once for each Python worker, until another operator's tasks come; what it used besides goes back."""
     if key not in _HELD:
         _HELD.clear()
         _HELD[key] = make()
+        given_back()
     return _HELD[key]
 
 

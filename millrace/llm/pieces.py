@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import codecs
 import re
+from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -38,6 +39,8 @@ from millrace.llm import common as C
 SPACE, CHUNK, KNOWN = "▁", 16_384, 500_000
 #: Matrices of one text that are multiplied in one group; bytes of giant texts that a task slices at once.
 FAN = 256
+#: Rows of texts, and of chunks, that are Python objects in a worker at once, however many a batch has.
+TEXTS, CHUNKS = 256, 32
 NONE = -np.inf
 
 
@@ -68,7 +71,7 @@ class Model:
         self.pairs = {a + b for p in self.ids for a, b in zip(p, p[1:], strict=False)}
         self.closed = not any(p[1:] == SPACE and p[0] != SPACE for p in self.pairs)
         alone = "\n" if not any("\n" in p for p in self.pairs) else ""
-        self.segment = re.compile((f"{alone}|" if alone else "") + f"{SPACE}+[^{SPACE}{alone}]*|[^{SPACE}{alone}]+") if self.closed else re.compile(r"(?s).+")
+        self.segment = re.compile((f"{alone}|" if alone else "") + f"[ {SPACE}]+[^ {SPACE}{alone}]*|[^ {SPACE}{alone}]+") if self.closed else re.compile(r"(?s).+")
         self.trie: dict[str, list] = {}  # character -> [the same below it, the piece that ends there or None]
         for p in self.ids:
             if self.kind == "bpe" and self.merged(p) != [p]:
@@ -84,7 +87,8 @@ class Model:
         self.leading = {i for p, i in self.ids.items() if p[0] == SPACE}
         self.next: dict[str, dict[str, bool]] = {}
         self.pairs_known = 0
-        self.solved: dict[str, tuple[int, ...]] = {}
+        self.code = "H" if len(self.names) <= 1 << 16 else "I"
+        self.solved: dict[str, bytes] = {}  # stretch, with plain spaces (a byte a character in Latin texts) -> its ids as an array of self.code
 
     def free(self, a: str, b: str) -> bool:
         """Whether no piece spans the place between these two characters."""
@@ -218,30 +222,23 @@ class Model:
 
     def inside(self, text: str) -> list[int]:
         """The ids of a text whose ends no piece crosses."""
-        solved, out = self.solved, []
-        for seg in self.segment.findall(text):
-            got = solved.get(seg)
-            if got is None:
-                got = self.fresh(seg)
-            out += got
-        return out
-
-    def fresh(self, seg: str) -> tuple[int, ...]:
-        """Solve a new segment: the stretches between its free places, each of them once."""
-        solved, pairs, got, last = self.solved, self.pairs, (), 0
+        known, fresh = self.solved.get, self.fresh
+        return memoryview(b"".join([known(seg) or fresh(seg) for seg in self.segment.findall(text.replace(SPACE, " "))])).cast(self.code).tolist()
+
+    def fresh(self, seg: str) -> bytes:
+        """The ids of a segment that is not known as a whole: its stretches between free places are solved, each of them once, and only they are kept."""
+        solved, pairs, got, last, full = self.solved, self.pairs, b"", 0, seg.replace(" ", SPACE)
         for i in range(1, len(seg) + 1):
-            if i == len(seg) or seg[i - 1 : i + 1] not in pairs:
+            if i == len(seg) or full[i - 1 : i + 1] not in pairs:
                 part = seg[last:i]
                 ids = solved.get(part)
                 if ids is None:
-                    ids = self.solve(part)
+                    ids = array(self.code, self.solve(full[last:i])).tobytes()
                     if len(part) <= 64:
                         solved[part] = ids
                 got, last = got + ids if last else ids, i
         if len(solved) >= KNOWN:
             solved.clear()
-        if len(seg) <= 64:
-            solved[seg] = got
         return got
 
     def encode(self, text: str | None) -> list[int]:
@@ -332,6 +329,13 @@ def loaded(raw: bytes, kind: str) -> Model:
     return C.held((raw, kind), lambda: Model(raw, kind))
 
 
+def sliced(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of so many rows at most."""
+    for batch in batches:
+        for lo in range(0, batch.num_rows, rows):
+            yield batch.slice(lo, rows)
+
+
 def product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """The max-plus product of two transfer matrices."""
     return np.max(a[:, :, None] + b[None, :, :], axis=1, initial=NONE)
@@ -440,13 +444,11 @@ def encoded(docs: DataFrame, raw: bytes, keep: tuple[str, ...] = ("doc_id",), ch
     giant = F.length(F.coalesce("text", F.lit(""))) > chunk
 
     def small(batches: Iterator[pa.RecordBatch], m: Model) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for lo in range(0, batch.num_rows, 256):
-                part = batch.slice(lo, 256)
-                texts = [t or "" for t in part.column("text").to_pylist()]
-                ids = [m.encode(t) for t in texts]
-                ok = [m.decode(i) == t for i, t in zip(ids, texts, strict=True)]
-                yield pa.RecordBatch.from_arrays([*(part.column(n) for n in names), pa.array(ids, pa.list_(pa.int32())), pa.array(ok)], names=[*names, "ids", "round_trip"])
+        for part in sliced(batches, TEXTS):
+            texts = [t or "" for t in part.column("text").to_pylist()]
+            ids = [m.encode(t) for t in texts]
+            ok = [m.decode(i) == t for i, t in zip(ids, texts, strict=True)]
+            yield pa.RecordBatch.from_arrays([*(part.column(n) for n in names), pa.array(ids, pa.list_(pa.int32())), pa.array(ok)], names=[*names, "ids", "round_trip"])
 
     short = docs.where(~giant).select(*kept, "text").mapInArrow(solving(small, sent, kind), f"{types}, ids array<int>, round_trip boolean")
 
@@ -467,7 +469,7 @@ def encoded(docs: DataFrame, raw: bytes, keep: tuple[str, ...] = ("doc_id",), ch
     cut = C.written(giants.mapInArrow(C.thrifty(slices, holds=True), f"{types}, row bigint, lo bigint, left int, size int, body string"), "pieces-chunks")
 
     def matrices(batches: Iterator[pa.RecordBatch], m: Model) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches, CHUNKS):
             out = []
             for r in batch.to_pylist():
                 starts, goals, w = m.chunk(r["body"], r["left"], r["left"] + r["size"], r["lo"] == 0)
@@ -478,7 +480,7 @@ def encoded(docs: DataFrame, raw: bytes, keep: tuple[str, ...] = ("doc_id",), ch
     states = states_of(mats, fan).withColumn("lo", F.col("at") * chunk)
 
     def trace(batches: Iterator[pa.RecordBatch], m: Model) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches, CHUNKS):
             ids, ok = [], []
             for r in batch.to_pylist():
                 lo, hi = r["left"], r["left"] + r["size"]
@@ -506,11 +508,9 @@ def decoded(df: DataFrame, raw: bytes, kind: str = "auto", keep: tuple[str, ...]
     types = ", ".join(f"{n} {df.schema[c].dataType.simpleString()}" for n, c in zip(names, keep, strict=True))
 
     def run(batches: Iterator[pa.RecordBatch], m: Model) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for lo in range(0, batch.num_rows, 256):
-                part = batch.slice(lo, 256)
-                texts = [None if i is None else m.decode(i) for i in part.column("ids").to_pylist()]
-                yield pa.RecordBatch.from_arrays([*(part.column(n) for n in names), pa.array(texts, pa.string())], names=[*names, "text"])
+        for part in sliced(batches, TEXTS):
+            texts = [None if i is None else m.decode(i) for i in part.column("ids").to_pylist()]
+            yield pa.RecordBatch.from_arrays([*(part.column(n) for n in names), pa.array(texts, pa.string())], names=[*names, "text"])
 
     out = df.select(*[F.col(c).alias(n) for c, n in zip(keep, names, strict=True)], "ids").mapInArrow(solving(run, sent, kind), f"{types}{', ' if names else ''}text string")
     return out.select(*[F.col(n).alias(c) for n, c in zip(names, keep, strict=True)], "text")

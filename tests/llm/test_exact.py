@@ -165,6 +165,28 @@ def test_workers_hold_little_between_tasks():
     assert pieces.loaded(sent.value, "auto") is not model
 
 
+def test_solved_segments_are_small(monkeypatch):
+    """No stretch is kept twice, as itself and in segments that are cut beside it; ids are packed, Latin keys have a byte a character; a model's building gives back what it used."""
+    import sys
+    from types import SimpleNamespace
+
+    import sentencepiece
+
+    raw, freed = pieces.model_bytes(), []
+    monkeypatch.setattr(C, "given_back", lambda: freed.append(1))
+    C.let_go()
+    m = pieces.loaded(SimpleNamespace(value=raw).value, "auto")
+    assert freed
+    C.let_go()
+    text = " ".join(f"{w}{mark}" for w in ("word", "zqxvword", "Straße", "thention") for mark in ("", ",", ",,", "\x01", "!?", "…"))
+    lib = sentencepiece.SentencePieceProcessor(model_proto=raw)
+    assert m.encode(text) == lib.encode(text) == m.encode(text)
+    assert m.encode("\u2581" + text) == lib.encode("\u2581" + text) and m.encode(" ") == lib.encode(" ") and m.inside("") == []
+    assert m.solved and not [k for k in m.solved for a, b in zip(k, k[1:], strict=False) if m.free(a.replace(" ", pieces.SPACE), b.replace(" ", pieces.SPACE))]
+    plain = [k for k in m.solved if max(k) < "\x80"]
+    assert " word" in plain and max(sys.getsizeof(k) - len(k) for k in plain) < 48 and max(sys.getsizeof(v) for v in m.solved.values()) <= 33 + 4 * 64
+
+
 def test_minhash_recall(spark, capsys):
     """All pairs of sf0.01 of J_P 0.8 or more, by an inverted list of shingles: their share in one class."""
     docs = C.table(spark, "/root/testdata/sf0.01", "documents").select("doc_id", "text")
