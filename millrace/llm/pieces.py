@@ -24,8 +24,10 @@ from __future__ import annotations
 
 import codecs
 import re
+import sys
 from array import array
-from collections.abc import Callable, Iterator
+from collections import Counter
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -36,7 +38,7 @@ from pyspark.sql import functions as F
 
 from millrace.llm import common as C
 
-SPACE, CHUNK, KNOWN = "▁", 16_384, 500_000
+SPACE, CHUNK, KNOWN, MIXED = "▁", 16_384, 500_000, 16_384
 #: Matrices of one text that are multiplied in one group; bytes of giant texts that a task slices at once.
 FAN = 256
 #: Rows of texts, and of chunks, that are Python objects in a worker at once, however many a batch has.
@@ -47,6 +49,11 @@ NONE = -np.inf
 codecs.register_error("millrace_each_byte", lambda e: ("\ufffd" * (e.end - e.start), e.end))
 
 
+def any_of(chars: Iterable[str]) -> str:
+    """A pattern of one of these characters."""
+    return "[" + "".join(re.escape(c) for c in sorted(chars)) + "]"
+
+
 class Model:
     """Pieces of a SentencePiece model and their lattice."""
 
@@ -70,39 +77,60 @@ class Model:
         self.floor = min(self.scores.values(), default=0.0) - 10.0
         self.pairs = {a + b for p in self.ids for a, b in zip(p, p[1:], strict=False)}
         self.closed = not any(p[1:] == SPACE and p[0] != SPACE for p in self.pairs)
-        alone = "\n" if not any("\n" in p for p in self.pairs) else ""
-        self.segment = re.compile((f"{alone}|" if alone else "") + f"[ {SPACE}]+[^ {SPACE}{alone}]*|[^ {SPACE}{alone}]+") if self.closed else re.compile(r"(?s).+")
-        self.trie: dict[str, list] = {}  # character -> [the same below it, the piece that ends there or None]
-        for p in self.ids:
+        often = Counter(c for p in self.pairs for c in p)
+        # Rare characters are not likely to be joined to their neighbours; where none stands, a segment is solved before it is cut.
+        common = {c for c, n in often.items() if 4 * n >= max(often.values(), default=0)} | {" ", SPACE}
+        self.rare = re.compile("[^" + any_of(common)[1:])
+        self.segment = re.compile(self.cutting() if self.closed else r"(?s).+")
+        self.trie: dict[str, list] = {}  # character -> [the same below it, the pieces that end there or before, longest first]
+        for p in sorted(self.ids, key=len):
             if self.kind == "bpe" and self.merged(p) != [p]:
                 continue  # merging never yields it
-            below, node = self.trie, None
+            below, found = self.trie, (p[0],)
             for c in p:
-                node = below.setdefault(c, [{}, None])
-                below = node[0]
-            node[1] = p
+                node = below.setdefault(c, [{}, found])
+                below, found = node
+            if len(p) > 1:
+                node[1] = (p, *found)
         back = {i: b for b, i in self.bytes.items()}
         special = {i: " ⁇ ".encode() if p.type == 2 else b"" for i, p in enumerate(proto.pieces) if p.type in (2, 3)}  # as the library shows them
         self.raw = [bytes([back[i]]) if i in back else special.get(i, n.replace(SPACE, " ").encode()) for i, n in enumerate(self.names)]
+        self.shown: pa.Array | None = None  # the same for Arrow, once it is asked for
         self.leading = {i for p, i in self.ids.items() if p[0] == SPACE}
         self.next: dict[str, dict[str, bool]] = {}
         self.pairs_known = 0
         self.code = "H" if len(self.names) <= 1 << 16 else "I"
+        self.mixed: dict[str, bytes] = {}  # the same for the latest segments with free places inside, MIXED at most
         self.solved: dict[str, bytes] = {}  # stretch, with plain spaces (a byte a character in Latin texts) -> its ids as an array of self.code
 
     def free(self, a: str, b: str) -> bool:
         """Whether no piece spans the place between these two characters."""
         return a + b not in self.pairs
 
+    def cutting(self) -> str:
+        """A pattern that cuts a text at free places only: runs of characters that pieces connect (letters, marks, ...) with the spaces before them, single characters else."""
+        group: dict[str, set[str]] = {}
+        for a, b in (p for p in self.pairs if SPACE not in p):
+            one = group.setdefault(a, {a}) | group.setdefault(b, {b})
+            group.update(dict.fromkeys(one, one))
+        runs = sorted({id(g): g for g in group.values()}.values(), key=lambda g: (-len(g), min(g)))
+        spaced = {p[1] for p in self.pairs if p[0] == SPACE} - {SPACE, *group}
+        found = [*(f"{any_of(g)}+" for g in runs), *([any_of(spaced)] if spaced else [])]
+        return (f"[ {SPACE}]*(?:{'|'.join(found)})|" if found else "") + f"[ {SPACE}]+|(?s:.)"
+
     def merged(self, s: str) -> list[str]:
         """The merges of a BPE model on a short string."""
-        parts = list(s)
-        while True:
-            best = max(((self.scores[p], -i) for i in range(len(parts) - 1) if (p := parts[i] + parts[i + 1]) in self.scores), default=None)
-            if best is None:
-                return parts
-            i = -best[1]
+        score, parts = self.scores.get, list(s)
+        gains = [score(a + b, NONE) for a, b in zip(parts, parts[1:], strict=False)]
+        while gains and (best := max(gains)) > NONE:
+            i = gains.index(best)
             parts[i : i + 2] = [parts[i] + parts[i + 1]]
+            del gains[i]
+            if i:
+                gains[i - 1] = score(parts[i - 1] + parts[i], NONE)
+            if i < len(gains):
+                gains[i] = score(parts[i] + parts[i + 1], NONE)
+        return parts
 
     def weight(self, before: str, piece: str) -> float:
         """The weight of ``piece`` after ``before`` ("" at the start)."""
@@ -115,26 +143,23 @@ class Model:
             after = self.next[before] = {}
         known = after.get(piece)
         if known is None:
+            if before[-1] + piece[0] not in self.pairs:
+                return 0.0
             if self.pairs_known >= KNOWN:
                 self.next, self.pairs_known, after = {}, 0, {}
             self.pairs_known += 1
             known = after[piece] = self.merged(before + piece) == [before, piece]
         return 0.0 if known else NONE
 
-    def arcs(self, text: str, at: int) -> list[str]:
+    def arcs(self, text: str, at: int) -> tuple[str, ...]:
         """Pieces that start here, longest first; a character that is no piece stands for itself."""
-        found, below = [], self.trie
+        found, below = None, self.trie
         for c in text[at : at + self.longest]:
             node = below.get(c)
             if node is None:
                 break
-            below, p = node
-            if p is not None:
-                found.append(p)
-        if not found or len(found[0]) > 1:
-            found.insert(0, text[at])
-        found.reverse()
-        return found
+            below, found = node
+        return found or (text[at],)
 
     def transfer(self, text: str, lo: int, hi: int, starts: list[tuple[int, int]]) -> tuple[list[tuple[int, int]], np.ndarray, dict]:
         """Best weights from each start state to each state at ``hi``, and the way back.
@@ -188,62 +213,105 @@ class Model:
             return known
         return tuple(self.bytes[b] for b in piece.encode("utf-8", "surrogatepass")) if self.bytes else (self.unknown,)
 
-    def solve(self, seg: str) -> tuple[int, ...]:
-        """The ids of a segment that no piece crosses the ends of; the first path found, longest pieces first, is the only one in a BPE model."""
+    def solve(self, seg: str) -> list[str]:
+        """The pieces of a segment that no piece crosses the ends of; the first path found, longest pieces first, is the only one in a BPE model."""
         if self.kind == "unigram":
             last, w, way = self.transfer(seg, 0, len(seg), [(0, 0)])
             ends = [k for k, s in enumerate(last) if s[1] == len(seg)]
             best = max(ends, key=lambda k: w[0, k])
-            return tuple(i for a, b in self.path(way, 0, [(0, 0)], last[best]) for i in self.of(seg[a:b]))
+            return [seg[a:b] for a, b in self.path(way, 0, [(0, 0)], last[best])]
         arcs, after, weight, n = self.arcs, self.next, self.weight, len(seg)
-        stack, dead = [("", 0, iter(arcs(seg, 0)))], set()
+        before, at, rest, stack, dead = "", 0, iter(arcs(seg, 0)), [], set()
         while True:
-            before, at, rest = stack[-1]
             known = after.get(before) or {}
             for p in rest:
                 fine = known.get(p)
                 if fine is None:
                     fine = weight(before, p) == 0.0
-                if fine and (at, p) not in dead:
-                    end = at + len(p)
-                    if end == n:
-                        ids, of = [], self.of
-                        for q, _, _ in stack[1:]:
-                            ids += of(q)
-                        return (*ids, *of(p))
-                    stack.append((p, end, iter(arcs(seg, end))))
+                if fine and (not dead or (at, p) not in dead):
+                    stack.append((before, at, rest))
+                    before, at = p, at + len(p)
+                    if at == n:
+                        return [*[x[0] for x in stack[1:]], p]
+                    rest = iter(arcs(seg, at))
                     break
             else:
                 dead.add((at - len(before), before))
-                stack.pop()
+                before, at, rest = stack.pop()
 
     def __getstate__(self):
         raise TypeError("send the model's bytes instead")
 
+    def packed(self, text: str) -> bytes:
+        """The ids of a text whose ends no piece crosses, as an array of self.code."""
+        known, mixed, fresh = self.solved.get, self.mixed.get, self.fresh
+        return b"".join([known(seg) or mixed(seg) or fresh(seg) for seg in self.segment.findall(text.replace(SPACE, " "))])
+
+    def unpacked(self, ids: bytes) -> list[int]:
+        return memoryview(ids).cast(self.code).tolist()
+
     def inside(self, text: str) -> list[int]:
         """The ids of a text whose ends no piece crosses."""
-        known, fresh = self.solved.get, self.fresh
-        return memoryview(b"".join([known(seg) or fresh(seg) for seg in self.segment.findall(text.replace(SPACE, " "))])).cast(self.code).tolist()
+        return self.unpacked(self.packed(text))
 
     def fresh(self, seg: str) -> bytes:
-        """The ids of a segment that is not known as a whole: its stretches between free places are solved, each of them once, and only they are kept."""
-        solved, pairs, got, last, full = self.solved, self.pairs, b"", 0, seg.replace(" ", SPACE)
-        for i in range(1, len(seg) + 1):
-            if i == len(seg) or full[i - 1 : i + 1] not in pairs:
-                part = seg[last:i]
-                ids = solved.get(part)
-                if ids is None:
-                    ids = array(self.code, self.solve(full[last:i])).tobytes()
-                    if len(part) <= 64:
-                        solved[part] = ids
-                got, last = got + ids if last else ids, i
-        if len(solved) >= KNOWN:
-            solved.clear()
-        return got
+        """The ids of a segment that is not known as a whole: its stretches between free places are solved, each of them once.
+
+        Among common characters most places are not free; as pieces hold no free place, a segment of only them is cut after it is solved.
+        """
+        full, pairs = seg.replace(" ", SPACE), self.pairs
+        if not self.rare.search(seg):
+            found = self.solve(full)
+            if all([p[-1] + q[0] in pairs for p, q in zip(found, found[1:], strict=False)]):
+                return self.keep(self.solved, seg, self.numbers(found), KNOWN)
+        cuts = [i for i in range(1, len(full)) if full[i - 1 : i + 1] not in pairs]
+        got, known = [], self.solved.get
+        for a, b in zip([0, *cuts], [*cuts, len(seg)], strict=True):
+            part = seg[a:b]
+            got.append(known(part) or self.keep(self.solved, part, self.numbers(self.solve(full[a:b])), KNOWN))
+        return self.keep(self.mixed, seg, b"".join(got), MIXED) if cuts else got[0]
+
+    def numbers(self, pieces: list[str]) -> bytes:
+        """Their ids, packed."""
+        return array(self.code, [i for p in pieces for i in self.of(p)]).tobytes()
+
+    def keep(self, memory: dict[str, bytes], seg: str, ids: bytes, most: int) -> bytes:
+        if len(seg) <= 64:
+            if len(memory) >= most:
+                memory.clear()
+            memory[seg] = ids
+        return ids
+
+    def forget(self) -> None:
+        self.solved.clear()
+        self.mixed.clear()
 
     def encode(self, text: str | None) -> list[int]:
         return self.inside((self.prefix + text).replace(" ", SPACE)) if text else []
 
+    def listed(self, many: list[bytes]) -> tuple[pa.ListArray, list[bytes]]:
+        """Packed ids of several texts as lists of Arrow, and the bytes that those of each text show."""
+        if self.shown is None:
+            self.shown = pa.array(self.raw, pa.large_binary())
+        ids = pa.array(np.frombuffer(b"".join(many), self.code).astype(np.int32))
+        ends = np.cumsum([0, *(len(x) // array(self.code).itemsize for x in many)])
+        _, offsets, data = self.shown.take(ids).buffers()
+        at = np.frombuffer(offsets, np.int64)[ends].tolist()
+        data = memoryview(data or b"")
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), ids), [bytes(data[a:b]) for a, b in zip(at, at[1:], strict=False)]
+
+    def returns(self, ids: bytes, shown: bytes, want: str, first: bool = True) -> bool:
+        """Whether packed ids, which show these bytes, decode to what is wanted: a text with its prefix's space, or a later part of one (not ``first``).
+
+        Most do byte for byte; the others are decoded.
+        """
+        opened = not first or not self.prefix or int.from_bytes(ids[: array(self.code).itemsize], sys.byteorder) in self.leading
+        if opened and SPACE not in want and shown == want.encode():
+            return True
+        if first:
+            return self.prefix.replace(SPACE, " ") + self.decode(self.unpacked(ids)) == want
+        return self.decode([self.ids.get(SPACE, 0), *self.unpacked(ids)]) == want
+
     def decode(self, ids: list[int]) -> str:
         text = b"".join(map(self.raw.__getitem__, ids)).decode("utf-8", "millrace_each_byte").replace(SPACE, " ")
         first = next((i for i in ids if self.raw[i]), None)  # control pieces show nothing
@@ -309,19 +377,23 @@ class Model:
 
     def backtrace(self, text: str, lo: int, hi: int, start: tuple[int, int], goal: tuple[int, int]) -> list[int]:
         """The ids of the pieces after state ``start`` up to and with state ``goal``."""
+        return self.unpacked(self.traced(text, lo, hi, start, goal))
+
+    def traced(self, text: str, lo: int, hi: int, start: tuple[int, int], goal: tuple[int, int]) -> bytes:
+        """The same, packed."""
         whole, head, tail, a, b = self.parts(text, lo, hi, [start])
-        ids = lambda spans: [i for x, y in spans for i in self.of(text[x:y])]
+        ids = lambda spans: array(self.code, [i for x, y in spans for i in self.of(text[x:y])]).tobytes()
         if whole:
             return ids(self.path(whole[2], 0, [start], goal))
-        out: list[int] = []
+        out = b""
         if head is not None:
             ends = [s for s in head[0] if s[1] == a]
             w = [head[1][0, head[0].index(s)] for s in ends]
             if tail is None and a == b:
                 return ids(self.path(head[2], 0, [start], goal))
             out += ids(self.path(head[2], 0, [start], ends[int(np.argmax(w))]))
-        out += self.inside(text[a:b])
-        return out + (ids(self.path(tail[2], 0, [(b, b)], goal)) if tail is not None else [])
+        out += self.packed(text[a:b])
+        return out + (ids(self.path(tail[2], 0, [(b, b)], goal)) if tail is not None else b"")
 
 
 def loaded(raw: bytes, kind: str) -> Model:
@@ -426,7 +498,7 @@ def solving(run: Callable[[Iterator[pa.RecordBatch], Model], Iterator[pa.RecordB
         try:
             yield from run(batches, model)
         finally:
-            model.solved.clear()
+            model.forget()
 
     return C.thrifty(whole, holds=True)
 
@@ -437,7 +509,7 @@ def encoded(docs: DataFrame, raw: bytes, keep: tuple[str, ...] = ("doc_id",), ch
     C.ship(spark)
     sent = spark.sparkContext.broadcast(raw)
     model = Model(raw, kind)
-    edge, prefix = model.longest, model.prefix
+    edge, prefix, ahead = model.longest, model.prefix, model.prefix.replace(SPACE, " ")
     names = [f"k{i}" for i in range(len(keep))]
     kept = [F.col(c).alias(n) for c, n in zip(keep, names, strict=True)]
     types = ", ".join(f"{n} {docs.schema[c].dataType.simpleString()}" for n, c in zip(names, keep, strict=True))
@@ -446,9 +518,10 @@ def encoded(docs: DataFrame, raw: bytes, keep: tuple[str, ...] = ("doc_id",), ch
     def small(batches: Iterator[pa.RecordBatch], m: Model) -> Iterator[pa.RecordBatch]:
         for part in sliced(batches, TEXTS):
             texts = [t or "" for t in part.column("text").to_pylist()]
-            ids = [m.encode(t) for t in texts]
-            ok = [m.decode(i) == t for i, t in zip(ids, texts, strict=True)]
-            yield pa.RecordBatch.from_arrays([*(part.column(n) for n in names), pa.array(ids, pa.list_(pa.int32())), pa.array(ok)], names=[*names, "ids", "round_trip"])
+            codes = [m.packed(m.prefix + t) if t else b"" for t in texts]
+            ids, shown = m.listed(codes)
+            ok = [not t or m.returns(c, s, ahead + t) for c, s, t in zip(codes, shown, texts, strict=True)]
+            yield pa.RecordBatch.from_arrays([*(part.column(n) for n in names), ids, pa.array(ok)], names=[*names, "ids", "round_trip"])
 
     short = docs.where(~giant).select(*kept, "text").mapInArrow(solving(small, sent, kind), f"{types}, ids array<int>, round_trip boolean")
 
@@ -481,16 +554,16 @@ def encoded(docs: DataFrame, raw: bytes, keep: tuple[str, ...] = ("doc_id",), ch
 
     def trace(batches: Iterator[pa.RecordBatch], m: Model) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, CHUNKS):
-            ids, ok = [], []
+            codes, wanted = [], []
             for r in batch.to_pylist():
                 lo, hi = r["left"], r["left"] + r["size"]
                 start, goal = (lo + r["a0"], lo + r["a1"]), (hi + r["b0"], hi + r["b1"])
-                ids.append(m.backtrace(r["body"], lo, hi, start, goal))
-                want = r["body"][start[1] : goal[1]].replace(SPACE, " ")
-                got = m.decode(ids[-1]) if r["lo"] == 0 else m.decode([m.ids.get(SPACE, 0), *ids[-1]])
-                ok.append((got if r["lo"] else (prefix.replace(SPACE, " ") + got)) == want)
+                codes.append(m.traced(r["body"], lo, hi, start, goal))
+                wanted.append((r["body"][start[1] : goal[1]].replace(SPACE, " "), r["lo"] == 0))
+            ids, shown = m.listed(codes)
+            ok = [m.returns(c, s, *w) for c, s, w in zip(codes, shown, wanted, strict=True)]
             keys = [batch.column(n) for n in ("row", "lo", *names)]
-            yield pa.RecordBatch.from_arrays([*keys, pa.array(ids, pa.list_(pa.int32())), pa.array(ok)], names=["row", "lo", *names, "ids", "ok"])
+            yield pa.RecordBatch.from_arrays([*keys, ids, pa.array(ok)], names=["row", "lo", *names, "ids", "ok"])
 
     traced = cut.join(states.drop("at"), ["row", "lo"]).select("row", "lo", *names, "left", "size", "body", "a0", "a1", "b0", "b1").mapInArrow(solving(trace, sent, kind), f"row bigint, lo bigint, {types}, ids array<int>, ok boolean")
     joined = traced.groupBy("row").agg(*[F.first(n).alias(n) for n in names], F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("lo", "ids"))), lambda x: x["ids"])).alias("ids"), F.min("ok").alias("round_trip"))

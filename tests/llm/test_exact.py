@@ -187,6 +187,22 @@ def test_solved_segments_are_small(monkeypatch):
     assert " word" in plain and max(sys.getsizeof(k) - len(k) for k in plain) < 48 and max(sys.getsizeof(v) for v in m.solved.values()) <= 33 + 4 * 64
 
 
+def test_known_segments_are_not_cut_again(monkeypatch):
+    """A text met again is looked up: letters and marks are segments of their own, and segments with free places inside are remembered. Packed ids return as the library's do."""
+    import sentencepiece
+
+    raw = pieces.model_bytes()
+    m, lib = pieces.Model(raw), sentencepiece.SentencePieceProcessor(model_proto=raw)
+    texts = ["The word, the word. The WORD!! (word)", "éç ñción.!! x,### \n y", "日本語\x00 a  b ", "a\u2581b", "\u2581", " ", "", "Straße–Ñíue"]
+    codes = [m.packed((m.prefix + t).replace(" ", pieces.SPACE)) if t else b"" for t in texts]
+    monkeypatch.setattr(m, "fresh", lambda seg: pytest.fail(f"cut again: {seg!r}"))
+    assert [m.encode(t) for t in texts] == [lib.encode(t) for t in texts]
+    ids, shown = m.listed(codes)
+    assert ids.to_pylist() == [lib.encode(t) for t in texts]
+    assert [not t or m.returns(c, s, " " + t) for c, s, t in zip(codes, shown, texts, strict=True)] == [lib.decode(lib.encode(t)) == t for t in texts]
+    assert not m.returns(codes[0], shown[0], " " + texts[1]) and m.listed([b""])[0].to_pylist() == [[]]
+
+
 def test_minhash_recall(spark, capsys):
     """All pairs of sf0.01 of J_P 0.8 or more, by an inverted list of shingles: their share in one class."""
     docs = C.table(spark, "/root/testdata/sf0.01", "documents").select("doc_id", "text")
