@@ -44,10 +44,15 @@ class TimeWindow:
     emit_on_close: bool = False
 
 
-def _made(frame, x: Column, t: Column) -> dict[str, Column]:
-    """Each function over a frame; deviations are the sample's."""
-    first_t, last_t, n = F.min(t).over(frame), F.max(t).over(frame), F.count(x).over(frame)
-    span = (last_t - first_t) / 60
+def minutes(first: Column, last: Column) -> Column:
+    """From one time in microseconds to another; whole numbers are subtracted, as seconds of today's times have no exact microseconds."""
+    return (last - first) / 6e7
+
+
+def _made(frame, x: Column, at: Column) -> dict[str, Column]:
+    """Each function over a frame (``at``: the time in microseconds); deviations are the sample's."""
+    n = F.count(x).over(frame)
+    span = minutes(F.min(at).over(frame), F.max(at).over(frame))
     return {
         "count": n, "sum": F.sum(x).over(frame), "mean": F.avg(x).over(frame), "min": F.min(x).over(frame), "max": F.max(x).over(frame),
         "std": F.coalesce(F.stddev_samp(x).over(frame), F.lit(0.0)), "var": F.coalesce(F.var_samp(x).over(frame), F.lit(0.0)),
@@ -72,7 +77,7 @@ def running(df: DataFrame, w: TimeWindow, order: str) -> DataFrame:
     """``df`` with <name>_<function> of the window as it stands at each row; null where source or time is null."""
     if w.type not in TYPES:
         raise ValueError(f"unknown window type {w.type}")
-    x, t = F.col(w.source).try_cast("double"), seconds(F.col(w.time))
+    x, t, at = F.col(w.source).try_cast("double"), seconds(F.col(w.time)), micros(F.col(w.time))
     size = duration(w.size)
     x = F.when(t.isNotNull(), x)
     keys, sorts, back = [F.col(g) for g in w.group_by], [t, F.col(order)], None
@@ -83,7 +88,7 @@ def running(df: DataFrame, w: TimeWindow, order: str) -> DataFrame:
         keys.append(F.floor(t / size))
     elif w.type == "sliding" or w.watermark is not None:
         back = round((size if w.type == "sliding" else duration(w.watermark)) * 1e6)
-        sorts[0] = micros(F.col(w.time))
+        sorts[0] = at
     frame = Window.partitionBy(*keys)
     frame = frame.orderBy(*sorts).rowsBetween(Window.unboundedPreceding, 0) if back is None else frame.orderBy(sorts[0]).rangeBetween(-back, 0)
     ranks = {f"{w.name}_{f}": f for f in w.functions if f == "median" or f in O.PERCENTILES or (f == "unique" and back is not None)}
@@ -95,23 +100,23 @@ def running(df: DataFrame, w: TimeWindow, order: str) -> DataFrame:
     rest = [f for f in w.functions if f not in ranks.values()]
     name = lambda f: f"{w.name}_{f}"
     if rest and back is not None and not keys:
-        df = R.trailing(df, [], sorts[0], back, lambda over: {name(f): v for f, v in _made(over, x, t).items() if f in rest})
+        df = R.trailing(df, [], sorts[0], back, lambda over: {name(f): v for f, v in _made(over, x, at).items() if f in rest})
     elif rest and not keys:
-        df = _global(df, w, sorts, x, t, rest)
+        df = _global(df, w, sorts, x, at, rest)
     else:
-        made = _made(frame, x, t)
+        made = _made(frame, x, at)
         df = df.withColumns({name(f): made[f] for f in rest})
     return df.withColumns({name(f): F.when(x.isNotNull(), F.col(name(f)).cast("int") if f == "unique" else F.col(name(f))) for f in w.functions}).drop("_session")
 
 
-def _global(df: DataFrame, w: TimeWindow, sorts: list[Column], x: Column, t: Column, functions: list[str]) -> DataFrame:
+def _global(df: DataFrame, w: TimeWindow, sorts: list[Column], x: Column, at: Column, functions: list[str]) -> DataFrame:
     """All rows so far without a group, by blocks."""
-    parts = {"n": ("count", x), "s": ("sum", x), "q": ("sum", x * x), "lo": ("min", x), "hi": ("max", x), "f": ("first", x), "l": ("last", x), "t0": ("min", t), "t1": ("max", t)}
+    parts = {"n": ("count", x), "s": ("sum", x), "q": ("sum", x * x), "lo": ("min", x), "hi": ("max", x), "f": ("first", x), "l": ("last", x), "t0": ("min", at), "t1": ("max", at)}
     names = {k: D.fresh(df, f"_{k}") for k in parts}
     out = R.Blocks.of(df, [], sorts).running({names[k]: p for k, p in parts.items()}).rows(*names.values())
     v = {k: F.col(c) for k, c in names.items()}
     var = F.when(v["n"] > 1, F.greatest((v["q"] - v["s"] * v["s"] / v["n"]) / (v["n"] - 1), F.lit(0.0))).otherwise(0.0)
-    span = (v["t1"] - v["t0"]) / 60
+    span = minutes(v["t0"], v["t1"])
     made = {
         "count": v["n"], "sum": v["s"], "mean": v["s"] / v["n"], "min": v["lo"], "max": v["hi"], "std": F.sqrt(var), "var": var, "first": v["f"], "last": v["l"],
         "rate": F.when(v["n"] < 2, 0.0).when(span <= 0, v["n"].cast("double")).otherwise(v["n"] / span),
@@ -132,9 +137,9 @@ def closed(df: DataFrame, w: TimeWindow) -> DataFrame:
     else:
         key = F.window(w.time, size)
     x = F.col(w.source).try_cast("double")
-    t = F.when(x.isNotNull(), seconds(F.col(w.time)))
+    t = F.when(x.isNotNull(), micros(F.col(w.time)))
     n = F.count(x)
-    span = (F.max(t) - F.min(t)) / 60
+    span = minutes(F.min(t), F.max(t))
     made = {
         "count": n, "sum": F.sum(x), "mean": F.avg(x), "min": F.min(x), "max": F.max(x), "std": F.coalesce(F.stddev_samp(x), F.lit(0.0)), "var": F.coalesce(F.var_samp(x), F.lit(0.0)),
         "first": F.min_by(x, t), "last": F.max_by(x, t), "unique": F.count_distinct(x), "rate": F.when(n < 2, 0.0).when(span <= 0, n.cast("double")).otherwise(n / span),

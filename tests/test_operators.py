@@ -321,6 +321,14 @@ def test_trailing_tumbling_session(spark):
     assert column(rate, "w_rate") == pytest.approx([0.0, 2.0, 1.5])
 
 
+@pytest.mark.parametrize(("kind", "groups"), [("sliding", ["g"]), ("sliding", []), ("global", []), ("global", ["g"])])
+def test_rates_of_a_few_microseconds_are_exact(spark, kind, groups):
+    """Seconds since 1970 as doubles have no exact microseconds."""
+    df = spark.createDataFrame([(0, 1704067211172425), (1, 1704067211172426), (2, 1704067211185427)], "i long, us long").withColumns({"t": F.timestamp_micros("us"), "v": F.lit(1.0), "g": F.lit(1)})
+    out = windows.running(df, windows.TimeWindow("w", "v", "t", kind, 60, functions=["rate"], group_by=groups), "i")
+    assert column(out, "w_rate") == [0.0, 2 / (1 / 6e7), 3 / (13002 / 6e7)]
+
+
 def test_durations():
     assert [windows.duration(x) for x in (90, "90", "5 minutes", "1h", "1 day 2 hours", None)] == [90, 90.0, 300.0, 3600.0, 93600.0, None]
 
