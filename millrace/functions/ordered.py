@@ -15,6 +15,8 @@ from millrace.session import written
 
 #: Keys with at least so many rows may be hot; at most so many keys can hold more than their share of all rows.
 HOT_ROWS, HOT_KEYS = 1000, 50_000
+#: Rows of a block at most, as a power of two (33 bits of ``pos`` are the row's place in its range).
+BLOCK_BITS = 17
 
 
 def fresh(df: DataFrame, name: str) -> str:
@@ -60,14 +62,15 @@ def spread(rows: DataFrame, table: DataFrame, on: list[str], copies: str) -> Dat
 def placed(df: DataFrame, by: list[str], pos: str, name: str, parts: int | None = None) -> DataFrame:
     """``df``, stored in the order of ``by``, with ``pos``, which rises in that order over all rows; rows of equal values get one order.
 
-    The upper bits of ``pos`` (``block_of``) name the range that holds the row.
+    The upper bits of ``pos`` (``block_of``) name the range that holds the row, and its stretch of ``2 ** BLOCK_BITS`` rows.
     """
     ranged = df.repartitionByRange(parts, *by) if parts else df.repartitionByRange(*by)
     return written(ranged.sortWithinPartitions(*by).withColumn(pos, F.monotonically_increasing_id()), name)
 
 
 def block_of(pos: str) -> Column:
-    return F.shiftright(pos, 33).cast("int")
+    """However few ranges the rows were dealt to, a block stays within what one task may hold."""
+    return F.shiftright(pos, BLOCK_BITS)
 
 
 def earlier(groups: list[str], block: str):

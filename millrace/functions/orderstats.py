@@ -229,7 +229,7 @@ def running_statistics(df: DataFrame, groups: list[Column], order: list[Column],
     prior = _prior(stored.select(g0, g1, F.col(block).alias("block"), F.col(pos).alias("pos"), F.col(t).alias("t"), F.col(x).alias("x")).withColumnsRenamed({g0: "g0", g1: "g1"}), kinds, back)
     types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema) + "".join(f", `{m}` double" for m in made)
     if back is not None:
-        types += f", `{g0}` long, `{g1}` long, `{t}` long, `{block}` int, `{edge}` boolean"
+        types += f", `{g0}` long, `{g1}` long, `{t}` long, `{block}` long, `{edge}` boolean"
 
     def run(rows: pa.Table, earlier: pa.Table | None = None) -> pa.Table:
         rows, found, first_end = solved(kinds, rows, earlier, back, x, t, pos, [g0, g1])

@@ -10,6 +10,8 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -142,6 +144,116 @@ def trailing(df: DataFrame, groups: list[Column], at: Column, back: int, made: C
     return out.select(*[c for c in df.columns if c not in columns], *[F.when(F.col("h0").isNotNull(), F.col(f"_last.{c}")).otherwise(F.col(c)).alias(c) for c in columns])
 
 
+#: Of the totals of stretches: how values join, and what stands for none. NaN is Spark's largest number.
+_FOLDS = {"count": (np.add, 0), "sum": (np.add, 0.0), "min": (np.fmin, np.nan), "max": (np.maximum, -np.inf)}
+
+
+def folded(op: np.ufunc, none: float, values: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """op over values[left:right] (none empty) for all stretches at once, without taking back what is outside of them.
+
+    A stretch is cut in the middle of the smallest aligned range of 2, 4, 8, ... values that holds it: a running op to the middle, one from it.
+    """
+    last, out = right - 1, values[left]
+    level = np.frexp((left ^ last).astype(float))[1]  # 0: one value
+    for h in range(1, int(level.max(initial=0)) + 1):
+        asked = np.flatnonzero(level == h)
+        if len(asked):
+            line = np.full(-(-len(values) >> h) << h, none, values.dtype)
+            line[: len(values)] = values
+            line = line.reshape(-1, 2, 1 << (h - 1))
+            line = np.stack([op.accumulate(line[:, 0, ::-1], axis=1)[:, ::-1], op.accumulate(line[:, 1], axis=1)], axis=1).ravel()
+            out[asked] = op(line[left[asked]], line[last[asked]])
+    return out
+
+
+def _framed(kinds: dict[str, str], rows: pa.Table, prior: pa.Table | None, back: int, time: str, pos: str, marks: list[str]) -> tuple[pa.Table, dict[str, pa.Array]]:
+    """A block's rows in order, and each total (input column -> kind) over each row's frame.
+
+    The sequence is: earlier rows that some frames hold (prior's kind 0), one row of totals for those that all hold (1), the block's own, one row
+    for what later blocks have at the last one's time (2). A frame is a stretch of it.
+    """
+    rows = rows.sort_by(pos).combine_chunks()
+    n = rows.num_rows
+    at = rows.column(time).fill_null(-(1 << 62)).to_numpy()
+    seg = np.zeros(n, np.int64)
+    for m in marks:
+        v = rows.column(m).to_numpy()
+        seg[1:] |= v[1:] != v[:-1]
+    seg = np.cumsum(seg)
+    ends = np.flatnonzero(np.r_[(np.diff(at) != 0) | (np.diff(seg) != 0), True])
+    right = ends[np.searchsorted(ends, np.arange(n))] + 1
+    both = np.lexsort((np.r_[np.ones(n), np.zeros(n)], np.r_[at, at - back], np.r_[seg, seg]))
+    left, asked = np.empty(n, np.int64), both >= n
+    left[both[asked] - n] = np.cumsum(~asked)[asked]
+    p = whole = 0
+    if prior is not None and prior.num_rows:
+        prior = prior.sort_by([("kind", "ascending"), (pos, "ascending")]).combine_chunks()
+        kind = prior.column("kind").to_numpy()
+        halo, whole, later = (int((kind == k).sum()) for k in range(3))
+        p = halo + whole
+        start = np.searchsorted(prior.column(time).slice(0, halo).to_numpy(), at - back)
+        left, right = left + p, right + p
+        left = np.where((seg == 0) & ((start < halo) | (whole > 0)), start, left)
+        right[right == p + n] += later
+    out = {}
+    for c, k in kinds.items():
+        line = rows.column(c)
+        if p or prior is not None:
+            past = prior.column(c).cast(line.type)
+            line = pa.chunked_array([*past.slice(0, p).chunks, *line.chunks, *past.slice(p).chunks], line.type)
+        op, none = _FOLDS[k]
+        known = ~line.is_null().to_numpy()
+        values = line.to_numpy().astype(np.int64 if k == "count" else float, copy=True)
+        values[~known] = none
+        found = folded(op, none, values, left, right)
+        some = None if k == "count" else ~folded(np.logical_or, False, known, left, right)
+        out[c] = pa.array(found, mask=some)
+    return rows, out
+
+
+def trailing_totals(df: DataFrame, groups: list[Column], at: Column, back: int, measures: dict[str, tuple[str, Column]], parts: int | None = None) -> DataFrame:
+    """``df`` with each measure (count, sum, min or max, and its column) over the frames that ``trailing`` has.
+
+    A block gets the rows of earlier blocks that some of its frames hold and others don't: about as many as it has itself. Blocks that all its
+    frames hold come as one row of totals, so that neither the length of frames nor that of a group counts. Each frame is
+    folded in two steps from running values of aligned ranges.
+    """
+    time, block = (D.fresh(df, c) for c in ("_at", "_block"))
+    inputs = {D.fresh(df, f"_m{i}"): (k, F.when(c.isNotNull(), 1).otherwise(0).cast("long") if k == "count" else c.cast("double")) for i, (k, c) in enumerate(measures.values())}
+    blocks = Blocks.of(df.withColumns({time: at.cast("long"), **{c: x for c, (_, x) in inputs.items()}}), groups, [at], parts)
+    g, pos = list(blocks.group), blocks.pos
+    rows = blocks.df.withColumn(block, D.block_of(pos))
+    kinds = {c: k for c, (k, _) in inputs.items()}
+    totals = [(F.min(c) if k == "min" else F.max(c) if k == "max" else F.sum(c)).alias(c) for c, k in kinds.items()]
+    own = rows.select(F.col(g[0]).alias("g0"), F.col(g[1]).alias("g1"), F.col(block).alias("block"), F.col(time).alias("t"), F.col(pos).alias("pos"), *[F.col(c).alias(c) for c in kinds])
+    group = ["g0", "g1"]
+    spans = own.groupBy(*group, "block").agg(F.min("t").alias("low"), F.max("t").alias("high"), *totals).withColumn("blocks", F.count(F.lit(1)).over(Window.partitionBy(*group)))
+    spans = written(spans.where("blocks > 1").drop("blocks"), "trailing-spans")  # at most two rows for each block
+    here = spans.select(*group, F.col("block").alias("target"), (F.col("low") - back).alias("from"), (F.col("high") - back).alias("upto"))
+    pairs = spans.join(F.broadcast(here), group).where((F.col("block") < F.col("target")) & (F.col("high") >= F.col("from")))
+    whole = F.coalesce(F.col("low") >= F.col("upto"), F.lit(False))
+    made = lambda kind: (F.lit(kind).alias("kind"), F.lit(None).cast("long").alias("t"), F.lit(None).cast("long").alias("pos"), *kinds)
+    cores = pairs.where(whole).groupBy("target").agg(*totals).select("target", *made(1))
+    halo = own.join(F.broadcast(pairs.where(~whole).select(*group, "block", "target", "from")), [*group, "block"]).where(F.col("t") >= F.col("from")).select("target", F.lit(0).alias("kind"), "t", "pos", *kinds)
+    # times that go on in the next block
+    goes_on = F.lead("low").over(Window.partitionBy(*group).orderBy("block")) == F.col("high")
+    cut = spans.select(*group, F.col("block").alias("target"), F.when(goes_on, F.col("high")).alias("t")).where("t IS NOT NULL")
+    ties = own.join(F.broadcast(cut.select(*group, "t").distinct()), [*group, "t"]).groupBy(*group, "t", "block").agg(*totals)
+    later = ties.join(F.broadcast(cut), [*group, "t"]).where("block > target").groupBy("target").agg(*totals).select("target", *made(2))
+    prior = halo.unionByName(cores).unionByName(later).withColumnsRenamed({"t": time, "pos": pos})
+    names, outs = [c for c in df.columns if c not in measures], list(measures)
+    types = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema if f.name in names], *[f"`{m}` {'long' if k == 'count' else 'double'}" for m, (k, _) in measures.items()]])
+
+    def run(rows: pa.Table, prior: pa.Table) -> pa.Table:
+        rows, found = _framed(kinds, rows, prior, back, time, pos, g)
+        out = rows.select(names)
+        for m, c in zip(outs, kinds, strict=True):
+            out = out.append_column(m, found[c])
+        return out
+
+    return rows.groupBy(block).cogroup(prior.groupBy("target")).applyInArrow(run, types)
+
+
 def last_rows(df: DataFrame, groups: list[Column], order: list[Column], n: int, made: Callable, rows: int = 10_000, parts: int | None = None) -> DataFrame:
     """``df`` with made(frame), columns over a row and the n - 1 rows before it in its group: blocks of numbered rows, each with the n - 1 before it."""
     size = max(rows, n)

@@ -49,6 +49,10 @@ def minutes(first: Column, last: Column) -> Column:
     return (last - first) / 6e7
 
 
+def per_minute(n: Column, span: Column) -> Column:
+    return F.when(n < 2, 0.0).when(span <= 0, n.cast("double")).otherwise(n / span)
+
+
 def _made(frame, x: Column, at: Column) -> dict[str, Column]:
     """Each function over a frame (``at``: the time in microseconds); deviations are the sample's."""
     n = F.count(x).over(frame)
@@ -57,7 +61,7 @@ def _made(frame, x: Column, at: Column) -> dict[str, Column]:
         "count": n, "sum": F.sum(x).over(frame), "mean": F.avg(x).over(frame), "min": F.min(x).over(frame), "max": F.max(x).over(frame),
         "std": F.coalesce(F.stddev_samp(x).over(frame), F.lit(0.0)), "var": F.coalesce(F.var_samp(x).over(frame), F.lit(0.0)),
         "first": F.first(x, ignorenulls=True).over(frame), "last": F.last(x, ignorenulls=True).over(frame),
-        "rate": F.when(n < 2, 0.0).when(span <= 0, n.cast("double")).otherwise(n / span),
+        "rate": per_minute(n, span),
     }
 
 
@@ -100,7 +104,7 @@ def running(df: DataFrame, w: TimeWindow, order: str) -> DataFrame:
     rest = [f for f in w.functions if f not in ranks.values()]
     name = lambda f: f"{w.name}_{f}"
     if rest and back is not None and not keys:
-        df = R.trailing(df, [], sorts[0], back, lambda over: {name(f): v for f, v in _made(over, x, at).items() if f in rest})
+        df = _trailing(df, x, at, back, {f: name(f) for f in rest})
     elif rest and not keys:
         df = _global(df, w, sorts, x, at, rest)
     else:
@@ -109,6 +113,22 @@ def running(df: DataFrame, w: TimeWindow, order: str) -> DataFrame:
     return df.withColumns({name(f): F.when(x.isNotNull(), F.col(name(f)).cast("int") if f == "unique" else F.col(name(f))) for f in w.functions}).drop("_session")
 
 
+def _trailing(df: DataFrame, x: Column, at: Column, back: int, names: dict[str, str]) -> DataFrame:
+    """Trailing frames without a group: totals by ``trailing_totals``, which skips what a frame holds between its ends; deviations, first and last by windows."""
+    uses = {"count": ["n"], "sum": ["s"], "mean": ["s", "n"], "min": ["lo"], "max": ["hi"], "rate": ["n", "t"]}
+    parts = {"n": ("count", x), "s": ("sum", x), "lo": ("min", x), "hi": ("max", x), "t": ("min", at)}
+    plain = [f for f in names if f not in uses]
+    if plain:
+        df = R.trailing(df, [], at, back, lambda over: {names[f]: v for f, v in _made(over, x, at).items() if f in plain})
+    kept = {k: D.fresh(df, f"_{k}") for k in parts if any(k in uses.get(f, []) for f in names)}
+    if not kept:
+        return df
+    df = R.trailing_totals(df, [], at, back, {c: parts[k] for k, c in kept.items()})
+    v = {k: F.col(c) for k, c in kept.items()}
+    made = {"count": lambda: v["n"], "sum": lambda: v["s"], "mean": lambda: v["s"] / v["n"], "min": lambda: v["lo"], "max": lambda: v["hi"], "rate": lambda: per_minute(v["n"], minutes(v["t"], at))}
+    return df.withColumns({names[f]: made[f]() for f in names if f in uses}).drop(*kept.values())
+
+
 def _global(df: DataFrame, w: TimeWindow, sorts: list[Column], x: Column, at: Column, functions: list[str]) -> DataFrame:
     """All rows so far without a group, by blocks."""
     parts = {"n": ("count", x), "s": ("sum", x), "q": ("sum", x * x), "lo": ("min", x), "hi": ("max", x), "f": ("first", x), "l": ("last", x), "t0": ("min", at), "t1": ("max", at)}
@@ -119,7 +139,7 @@ def _global(df: DataFrame, w: TimeWindow, sorts: list[Column], x: Column, at: Co
     span = minutes(v["t0"], v["t1"])
     made = {
         "count": v["n"], "sum": v["s"], "mean": v["s"] / v["n"], "min": v["lo"], "max": v["hi"], "std": F.sqrt(var), "var": var, "first": v["f"], "last": v["l"],
-        "rate": F.when(v["n"] < 2, 0.0).when(span <= 0, v["n"].cast("double")).otherwise(v["n"] / span),
+        "rate": per_minute(v["n"], span),
     }
     return out.withColumns({f"{w.name}_{f}": made[f] for f in functions}).drop(*names.values())
 
@@ -142,7 +162,7 @@ def closed(df: DataFrame, w: TimeWindow) -> DataFrame:
     span = minutes(F.min(t), F.max(t))
     made = {
         "count": n, "sum": F.sum(x), "mean": F.avg(x), "min": F.min(x), "max": F.max(x), "std": F.coalesce(F.stddev_samp(x), F.lit(0.0)), "var": F.coalesce(F.var_samp(x), F.lit(0.0)),
-        "first": F.min_by(x, t), "last": F.max_by(x, t), "unique": F.count_distinct(x), "rate": F.when(n < 2, 0.0).when(span <= 0, n.cast("double")).otherwise(n / span),
+        "first": F.min_by(x, t), "last": F.max_by(x, t), "unique": F.count_distinct(x), "rate": per_minute(n, span),
     }
     ranks = [f for f in w.functions if f == "median" or f in O.PERCENTILES]
     if df.isStreaming or w.type == "session":

@@ -397,6 +397,37 @@ def test_trailing_frames_span_blocks(spark, no_merging, back, times):
             assert (got[i].n, got[i].s, got[i].hi) == (len(seen), sum(seen) if seen else None, max(seen, default=None))
 
 
+@pytest.mark.parametrize(("bits", "back", "times"), [(17, 20, 300), (3, 0, 5), (3, 3, 5), (3, 20, 300), (4, 400, 300), (3, 30, 3000)])
+def test_totals_of_trailing_frames(spark, no_merging, monkeypatch, bits, back, times):
+    """Frames inside a block, over some and over all; ties that span blocks; NaN is the largest number."""
+    monkeypatch.setattr("millrace.functions.ordered.BLOCK_BITS", bits)
+    rng = random.Random(back)
+    rows = [(rng.choice(["a", "a", "b"]), rng.choice([None, *range(times)]), i, rng.choice([None, float("nan"), *map(float, range(20))])) for i in range(250)]
+    df = spark.createDataFrame(rows, "g string, t long, i long, x double")
+    x = F.when(F.col("t").isNotNull(), F.col("x"))
+    for groups in ([], ["g"]):
+        got = {r.i: r for r in R.trailing_totals(df, [F.col(c) for c in groups], F.col("t"), back, {"n": ("count", x), "s": ("sum", x), "hi": ("max", x), "lo": ("min", x)}, 5).collect()}
+        assert len(got) == len(rows)
+        for g, t, i, _ in rows:
+            if t is None:
+                continue
+            seen = [v for h, u, _, v in rows if u is not None and (not groups or h == g) and t - back <= u <= t and v is not None]
+            good = [v for v in seen if v == v]
+            most = None if not seen else math.nan if len(good) < len(seen) else max(seen)
+            want = (len(seen), most if most is None or most != most else sum(seen), most, min(good, default=math.nan) if seen else None)
+            assert all(a == b or (a is not None and b is not None and a != a and b != b) for a, b in zip((got[i].n, got[i].s, got[i].hi, got[i].lo), want, strict=True))
+
+
+def test_trailing_windows_do_not_go_through_each_frame(spark, monkeypatch):
+    """Every row's frame holds all rows before it: no window function may walk through them."""
+    monkeypatch.setattr(R, "trailing", None)
+    df = spark.range(3000).selectExpr("id AS i", "timestamp_seconds(id) AS t", "double(id % 7) AS v")
+    out = windows.running(df, windows.TimeWindow("w", "v", "t", "sliding", 3600, functions=["count", "sum", "mean", "min", "max", "rate"]), "i").orderBy("i").collect()
+    v = [float(i % 7) for i in range(3000)]
+    assert [(r.w_count, r.w_sum, r.w_min, r.w_max) for r in out] == [(i + 1, sum(v[: i + 1]), 0.0, max(v[: i + 1])) for i in range(3000)]
+    assert out[60].w_rate == 61.0 and out[60].w_mean == sum(v[:61]) / 61
+
+
 def test_last_rows_and_sessions_span_blocks(spark, no_merging):
     rng = random.Random(4)
     rows = [(rng.choice(["a", "a", "b"]), i, float(rng.randrange(9))) for i in range(200)]
