@@ -104,7 +104,7 @@ def _by_blocks(df: DataFrame, agg: Aggregation, order: str, functions: list[str]
             made[f] = per_minute(v["n"], v["tn"], t - v["tf"])
     if "rate" in functions and agg.time is not None and agg.window is not None:
         low, n = D.fresh(df, "_low"), D.fresh(df, "_kept")
-        df = R.trailing(df, groups, micros(F.col(agg.time)), round(agg.window * 1e6), lambda w: {low: F.min(t).over(w), n: F.count(t).over(w)})
+        df = R.trailing_totals(df, groups, micros(F.col(agg.time)), round(agg.window * 1e6), {low: ("min", t), n: ("count", t)})
         made["rate"] = per_minute(F.col(n) if agg.strict_window else v["n"], F.col(n), t - F.col(low))
         return df.withColumns({f"{agg.name}_{f}": m for f, m in made.items()}).drop(*names.values(), low, n)
     return df.withColumns({f"{agg.name}_{f}": m for f, m in made.items()}).drop(*names.values())

@@ -428,6 +428,13 @@ def test_trailing_windows_do_not_go_through_each_frame(spark, monkeypatch):
     assert out[60].w_rate == 61.0 and out[60].w_mean == sum(v[:61]) / 61
 
 
+def test_running_rates_do_not_go_through_each_frame(spark, monkeypatch):
+    monkeypatch.setattr(R, "trailing", None)
+    df = spark.range(2000).selectExpr("id AS i", "timestamp_seconds(id) AS t", "double(id % 7) AS v")
+    out = aggregates.running(df, aggregates.Aggregation("a", "v", [], ["rate"], "t", 600, strict_window=True), "i")
+    assert column(out, "a_rate") == [0.0, *[(min(i, 600) + 1) / (min(i, 600) / 60) for i in range(1, 2000)]]
+
+
 def test_last_rows_and_sessions_span_blocks(spark, no_merging):
     rng = random.Random(4)
     rows = [(rng.choice(["a", "a", "b"]), i, float(rng.randrange(9))) for i in range(200)]
