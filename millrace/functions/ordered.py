@@ -16,7 +16,7 @@ from millrace.session import written
 #: Keys with at least so many rows may be hot; at most so many keys can hold more than their share of all rows.
 HOT_ROWS, HOT_KEYS = 1000, 50_000
 #: Rows of a block at most, as a power of two (33 bits of ``pos`` are the row's place in its range).
-BLOCK_BITS = 17
+BLOCK_BITS = 16
 
 
 def fresh(df: DataFrame, name: str) -> str:

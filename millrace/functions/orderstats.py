@@ -72,6 +72,8 @@ def group_statistics(df: DataFrame, groups: list[str], value: str, names: list[s
     return out.select(*groups, *[((F.col("_low") + F.col("_high")) / 2).alias(n) if n == "median" else F.col(n) for n in names])
 
 
+#: Values of a range at most, as a power of two.
+RANGE_BITS = 14
 #: Rows of the table of wanted ranges up to which it is broadcast.
 MOST_SENT = 500_000
 
@@ -116,7 +118,7 @@ def bounds(kinds: list[str], core: int, more: int) -> list[tuple[int, int]]:
 
 
 def wanted(kinds: list[str], table: pa.Table) -> pa.Table:
-    """Of a block's rows (range, base, before: values of the range and below it among the core), those that a place may fall into."""
+    """Of a block's rows (range, base, before: values below the range and of it among the core), those that a place may fall into."""
     base, before = (table.column(c).to_numpy() for c in ("base", "before"))
     take = np.zeros(len(base), bool)
     for lo, hi in bounds(kinds, table.column("core")[0].as_py(), table.column("more")[0].as_py()):
@@ -158,19 +160,19 @@ def solved(kinds: list[str], rows: pa.Table, prior: pa.Table | None, back: int |
     all_core = 0
     if prior is not None and prior.num_rows:
         kind = prior.column("kind").to_numpy()
-        pv, pt, pp = prior.column("x").to_numpy(zero_copy_only=False), prior.column("t").to_numpy(zero_copy_only=False), prior.column("pos").to_numpy(zero_copy_only=False)
+        pv, one, two = prior.column("x").to_numpy(zero_copy_only=False), prior.column("a").to_numpy(zero_copy_only=False), prior.column("b").to_numpy(zero_copy_only=False)
         at = np.flatnonzero(kind == 0)
-        at = at[np.argsort(pp[at])]
-        halo, times = pv[at], pt[at]
+        at = at[np.argsort(two[at])]
+        halo, times = pv[at], one[at]
         core = pv[kind == 1]
         info = np.flatnonzero(kind == 2)
         if len(info):
-            base, held, more = (prior.column(c).to_numpy(zero_copy_only=False)[info].astype(np.int64) for c in ("base", "before", "more"))
-            all_core = int(prior.column("core").to_numpy(zero_copy_only=False)[info[0]])
+            base, held = (c[info].astype(np.int64) for c in (one, two))
+            all_core, more = (int(c[kind == 3][0]) for c in (one, two))
             order = np.argsort(base)
             base, held = base[order], held[order]
             fetched = np.cumsum(held) - held
-            for i, (lo, _) in enumerate(bounds(kinds, all_core, int(more[0]))):
+            for i, (lo, _) in enumerate(bounds(kinds, all_core, more)):
                 k = min(np.searchsorted(base + held, lo, "right"), len(base) - 1)
                 unseen[i] = int(base[k] - fetched[k])
     p = len(halo) + len(core)
@@ -259,9 +261,9 @@ def running_statistics(df: DataFrame, groups: list[Column], order: list[Column],
 
 
 def _prior(rows: DataFrame, kinds: list[str], back: int | None) -> DataFrame | None:
-    """What blocks need of earlier ones: target (block), kind (0 halo, 1 core value, 2 a wanted range), t, pos, x, base, before, core, more.
+    """What blocks need of earlier ones: target (block), kind, x, a and b: 0 a row of the halo (a its time, b its pos), 1 a core value, 2 a wanted range (a base, b before), 3 the counts core and more.
 
-    Only groups that span blocks have any, at most one in each block, so the tables over (group, block) and (group, range) hold
+    Ranges are stretches of at most ``2 ** RANGE_BITS`` values, less than a block has, as a block gets them whole. Only groups that span blocks have any, at most one in each block, so the tables over (group, block) and (group, range) hold
     at most two rows for each partition.
     """
     g = ["g0", "g1"]
@@ -272,7 +274,7 @@ def _prior(rows: DataFrame, kinds: list[str], back: int | None) -> DataFrame | N
         return None
     every = rows.where(F.col("x").isNotNull()).join(F.broadcast(spans.select(*g).distinct()), g)
     # ranges of each group's values, and the values of each (range, block)
-    ranged = every.repartitionByRange(*g, "x", "pos").withColumn("range", F.spark_partition_id())
+    ranged = every.repartitionByRange(*g, "x", "pos").sortWithinPartitions(*g, "x", "pos").withColumn("range", F.shiftright(F.monotonically_increasing_id(), RANGE_BITS))
     ranged = written(ranged, "running-ranges")
     cells = ranged.groupBy(*g, "range", "block").agg(F.count(F.lit(1)).alias("own"))
     grid = cells.select(*g, "range").distinct().join(F.broadcast(spans.select(*g, "block")), g).join(cells, [*g, "range", "block"], "left")
@@ -301,14 +303,14 @@ def _prior(rows: DataFrame, kinds: list[str], back: int | None) -> DataFrame | N
     asked = needs.select(*g, "target", "range", "since")
     if asked.count() <= MOST_SENT:
         asked = F.broadcast(asked)
-    none = lambda kind: F.lit(None).cast(kind)
+    sent = lambda kind, x, a, b: ("target", F.lit(kind).alias("kind"), x.cast("double").alias("x"), a.cast("long").alias("a"), b.cast("long").alias("b"))
+    none = F.lit(None)
     core = ranged.join(asked, [*g, "range"]).where("block < target AND block >= since")
-    core = core.select("target", F.lit(1).alias("kind"), "t", "pos", "x", *[none("long").alias(c) for c in ("base", "before", "core", "more")])
-    marks = needs.select("target", F.lit(2).alias("kind"), none("long").alias("t"), none("long").alias("pos"), none("double").alias("x"), "base", "before", "core", "more")
-    out = core.unionByName(marks)
+    out = core.select(*sent(1, F.col("x"), none, none)).unionByName(needs.select(*sent(2, none, F.col("base"), F.col("before"))))
+    out = out.unionByName(needs.groupBy("target").agg(F.max("core").alias("core"), F.max("more").alias("more")).select(*sent(3, none, F.col("core"), F.col("more"))))
     if parted is not None:
         halo = every.join(F.broadcast(parted), [*g, "block"])
-        out = out.unionByName(halo.select("target", F.lit(0).alias("kind"), "t", "pos", "x", *[none("long").alias(c) for c in ("base", "before", "core", "more")]))
+        out = out.unionByName(halo.select(*sent(0, F.col("x"), F.col("t"), F.col("pos"))))
     return out
 
 

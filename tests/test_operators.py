@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from millrace.functions import casting as K
 from millrace.functions import expressions as X
+from millrace.functions import ordered as D
 from millrace.functions import running as R
 from millrace.functions import orderstats as O
 from millrace.functions import scalars as S
@@ -144,6 +145,37 @@ def test_running_statistics_without_groups(spark, no_merging):
     assert O.running_statistics(df.where("false"), [], [F.col("i")], F.col("x"), {"m": "median", "u": "unique"}).count() == 0
 
 
+def sent(spark, monkeypatch, kinds, rows, bits, ranges):
+    """Rows of each block, and how many earlier values each block gets, of rows that all lie in one partition."""
+    monkeypatch.setattr("millrace.functions.ordered.BLOCK_BITS", bits)
+    monkeypatch.setattr("millrace.functions.orderstats.RANGE_BITS", ranges)
+    df = spark.range(rows).selectExpr("id", "double(pmod(hash(id), 1000)) AS x", "1L AS g0", "2L AS g1", "CAST(NULL AS long) AS t")
+    df = D.placed(df, ["id"], "pos", "test", 1).withColumn("block", D.block_of("pos"))
+    prior = O._prior(df, kinds, None)
+    got = {r.target: r.n for r in prior.where("kind = 1").groupBy("target").agg(F.count("x").alias("n")).collect()} if prior else {}
+    return [r["count"] for r in df.groupBy("block").count().collect()], got
+
+
+def test_blocks_of_one_partition_get_about_their_own_rows(spark, monkeypatch):
+    """However few partitions the rows are in, neither a block nor what it gets grows with the table."""
+    for rows in (2000, 8000):
+        blocks, got = sent(spark, monkeypatch, ["median"], rows, 8, 6)
+        assert len(blocks) == -(-rows // 256) and max(blocks) == 256
+        assert len(got) == len(blocks) - 1 and max(got.values()) <= 256 + 2 * 64 + 4
+
+
+def test_running_percentiles_get_a_few_ranges_for_each_place(spark, monkeypatch):
+    _, got = sent(spark, monkeypatch, ["p25", "p75", "p90", "p99"], 8000, 8, 6)
+    assert max(got.values()) <= 4 * (256 + 2 * 64 + 4)
+    x = [float(v) for v in np.random.default_rng(1).integers(0, 50, 1500)]
+    df = spark.createDataFrame(list(enumerate(x)), "i long, x double")
+    made = {"m": "median", "a": "p25", "b": "p90", "q": "q3"}
+    for r in O.running_statistics(df, [], [F.col("i")], F.col("x"), made, None, 2).collect():
+        s = sorted(x[: r.i + 1])
+        n = len(s)
+        assert (r.m, r.a, r.b, r.q) == ((s[(n - 1) // 2] + s[n // 2]) / 2, s[min(int(n * 0.25), n - 1)], s[min(int(n * 0.9), n - 1)], s[3 * n // 4])
+
+
 def test_nested_conditionals(spark):
     df = spark.createDataFrame([(2.0, 5.0)], "a double, b double")
     texts = {"a > 1 ? (b > 9 ? 1 : 2) : 3": 2.0, "a > 5 ? 1 : b > 4 ? 2 : 3": 2.0, "if a > 1 then if b > 9 then 1 else 4 else 3": 4.0, "(a + 1) * 2 > 5 ? (a) + (b) : 0": 7.0, "a ? 1": 0.0}
