@@ -110,6 +110,33 @@ def test_seen_keys_are_exact_within_their_capacity(bits, capacity):
     assert lookups >= 300 if bits < 1 else True
 
 
+@pytest.mark.parametrize("capacity", [100_000, 20_000])
+def test_many_new_keys_are_packed(capacity):
+    """A row for each of many keys is a round trip for each; pages are exact too, and go with their generation."""
+    p = seen.Seen(["k", "i"], "i", capacity, 12.0)
+    p.filters, p.keys, p.pages = Keyed(), Keyed(), Keyed()
+    p.pages.getValue = p.pages.d.get
+    rng = np.random.default_rng(3)
+    generations = [[]]
+    for n in (3000, 4000, 50, 6000, 9000, 100, 9000, 8000):
+        ks = rng.integers(0, 40_000, n)
+        rows = pd.DataFrame({"k": ks, "i": range(n), "h0": ks * 7919, "h1": ks * 104729 + (ks << 40), "bucket": 0})
+        out = next(p.handleInputRows(0, iter([rows]), None))
+        known, new = {k for g in generations for k in g}, []
+        for k, d in zip(ks.tolist(), out["_is_duplicate"].tolist(), strict=True):
+            assert d == (k in known)
+            if not d:
+                known.add(k)
+                new.append(k)
+        for k in new:
+            if len(generations[-1]) >= capacity // seen.GENERATIONS:
+                generations.append([])
+            generations[-1].append(k)
+        generations = generations[-seen.GENERATIONS :]
+        assert len(p.keys.d) + sum(len(v[0]) // 16 for v in p.pages.d.values()) == sum(map(len, generations)) <= capacity
+    assert len(p.keys.d) < 1000
+
+
 def test_few_new_keys_are_looked_up():
     bloom = seen.Bloom(5000, 12.0)
     rng = np.random.default_rng(1)
