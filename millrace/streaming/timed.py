@@ -30,6 +30,8 @@ SIMPLE = ("count", "sum", "mean", "min", "max", "std", "var", "first", "last")
 FUNCTIONS = (*SIMPLE, "median", *O.PERCENTILES, "unique", "top_k")
 #: What a late row is reported under.
 LATE = "late"
+#: Milliseconds of event time whose waiting rows lie together; rows that are released at a time, about.
+SLOT, RELEASED = 3_600_000, 200_000
 #: State of the sums: rows, first value, differences from it, their squares, extremes, first and last value.
 SUMS = "n long, k double, d double, q double, lo double, hi double, f double, l double"
 
@@ -57,15 +59,31 @@ def ticked(df: DataFrame, time: str, delay: float) -> DataFrame:
     return rows.mapInArrow(run, rows.schema).withWatermark("_mark", f"{delay} seconds")
 
 
+def packed(rows: pd.DataFrame) -> bytes:
+    sink = pa.BufferOutputStream()
+    table = pa.Table.from_pandas(rows, preserve_index=False)
+    with pa.ipc.new_stream(sink, table.schema) as out:
+        out.write_table(table)
+    return sink.getvalue().to_pybytes()
+
+
+def unpacked(data: bytes) -> pd.DataFrame:
+    return pa.ipc.open_stream(data).read_all().to_pandas()
+
+
 class Held(StatefulProcessor):
-    """Rows of a key wait until the watermark has passed them; then they come in order, through ``released``."""
+    """Rows of a key wait until the watermark has passed them; then they come in order, through ``released``.
+
+    They wait packed, those of a micro-batch and an hour of event time together, and are read again hour by hour.
+    """
 
     def __init__(self, columns: list[str], order: str, held: T.StructType, idle: float | None = None) -> None:
         self.columns, self.order, self.schema, self.idle = columns, order, held, idle
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", self.schema)
+        self.slots = handle.getMapState("slots", "slot long", "parts int, low long")
+        self.waiting = handle.getMapState("held", "slot long, part int", "rows binary")
         self.opened(handle)
 
     def opened(self, handle: StatefulProcessorHandle) -> None:
@@ -101,29 +119,49 @@ class Held(StatefulProcessor):
             yield self.tagged(new[late])
         new = new[~late]
         if len(new):
-            known = self.waiting.exists()
-            self.waiting.appendList([tuple(None if pd.isna(v) else v for v in r) for r in new.itertuples(index=False)])
+            known = self.slots.exists()
+            for slot, part in new.groupby(new["_at"].astype("int64") // SLOT):
+                at = (int(slot),)
+                parts, low = self.slots.getValue(at) if known and self.slots.containsKey(at) else (0, int(part["_at"].min()))
+                self.waiting.updateValue((int(slot), int(parts)), (packed(part),))
+                self.slots.updateValue(at, (int(parts) + 1, min(int(low), int(part["_at"].min()))))
             first = int(new["_at"].min()) + 1
             held = [t for t in self.handle.listTimers() if t > passed] if known else []
             self.timer_at(min([first, *held]), passed)
 
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
         passed = timerValues.getCurrentWatermarkInMs()
-        rows = pd.DataFrame(list(self.waiting.get()), columns=[*self.columns, "_at"])
-        if not len(rows):
+        slots = {int(k[0]): (int(v[0]), int(v[1])) for k, v in self.slots.iterator()}
+        if not slots:
             self.forgotten()
             self.timer_at(None, passed)
             return
-        due = rows["_at"] < passed
-        rest, rows = rows[~due], rows[due]
-        if len(rest):
-            self.waiting.put([tuple(None if pd.isna(v) else v for v in r) for r in rest.itertuples(index=False)])
-            self.timer_at(int(rest["_at"].min()) + 1, passed)
+        out: list[pd.DataFrame] = []
+        last = passed
+        for slot in sorted(s for s, (_, low) in slots.items() if low < passed):
+            rows = pd.concat([unpacked(bytes(self.waiting.getValue((slot, p))[0])) for p in range(slots[slot][0])], ignore_index=True)
+            for p in range(slots[slot][0]):
+                self.waiting.removeKey((slot, p))
+            due = rows["_at"] < passed
+            rest = rows[~due]
+            if len(rest):
+                slots[slot] = (1, int(rest["_at"].min()))
+                self.waiting.updateValue((slot, 0), (packed(rest),))
+                self.slots.updateValue((slot,), slots[slot])
+            else:
+                del slots[slot]
+                self.slots.removeKey((slot,))
+            out.append(rows[due].sort_values(["_at", self.order], kind="stable"))
+            last = int(out[-1]["_at"].max())
+            if sum(map(len, out)) >= RELEASED:
+                yield self.tagged(self.released(key, pd.concat(out, ignore_index=True)), late=False)
+                out = []
+        if out:
+            yield self.tagged(self.released(key, pd.concat(out, ignore_index=True)), late=False)
+        if slots:
+            self.timer_at(min(low for _, low in slots.values()) + 1, passed)
         else:
-            self.waiting.clear()
-            self.timer_at(None if self.idle is None else max(int(rows["_at"].max()) + int(self.idle * 1000), passed) + 1, passed)
-        if len(rows):
-            yield self.tagged(self.released(key, rows.sort_values(["_at", self.order], kind="stable")), late=False)
+            self.timer_at(None if self.idle is None else max(last + int(self.idle * 1000), passed) + 1, passed)
 
     def tagged(self, rows: pd.DataFrame, late: bool = True) -> pd.DataFrame:
         out = rows.drop(columns="_at")

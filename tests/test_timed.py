@@ -74,6 +74,78 @@ def test_unknown_functions_are_refused(spark):
         timed.in_order(spark.range(1).selectExpr("id g", "id x", "current_timestamp() t", "id o"), ["g"], "x", "t", "o", "a", ["rate"], 5)
 
 
+class Handle:
+    """A key's timers and maps; counts what goes to the state."""
+
+    def __init__(self):
+        self.timers, self.maps = set(), {}
+
+    def getMapState(self, name, *_):
+        return self.maps.setdefault(name, Counted())
+
+    def listTimers(self):
+        return list(self.timers)
+
+    def deleteTimer(self, t):
+        self.timers.discard(t)
+
+    def registerTimer(self, t):
+        self.timers.add(t)
+
+
+class Counted(Map):
+    calls = 0
+
+    def exists(self):
+        return bool(self.d)
+
+    def containsKey(self, k):
+        return k in self.d
+
+    def getValue(self, k):
+        return self.d[k]
+
+    def updateValue(self, k, v):
+        self.calls += 1
+        self.d[k] = v
+
+    def removeKey(self, k):
+        self.calls += 1
+        del self.d[k]
+
+
+class Passed:
+    def __init__(self, t):
+        self.t = t
+
+    def getCurrentWatermarkInMs(self):
+        return self.t
+
+
+@pytest.mark.parametrize("at_once", [200_000, 100])
+def test_waiting_rows_come_out_once_and_in_order(monkeypatch, at_once):
+    """Rows wait packed: the state is called for micro-batches and hours of event time, not for rows."""
+    monkeypatch.setattr(timed, "RELEASED", at_once)
+    p, rng = timed.Held(["i", "x"], "i", T.StructType()), random.Random(4)
+    p.init(Handle())
+    given, out, late, passed = 0, [], [], 0
+    for k in range(6):
+        n = 2000
+        rows = pd.DataFrame({"i": range(given, given + n), "x": [rng.choice([None, "a"]) for _ in range(n)], "at": [rng.randrange(k * 10, k * 10 + 30) * 720_000 + rng.randrange(9) for _ in range(n)], "tick": False, "mark": None})
+        given += n
+        late += [r for f in p.handleInputRows("k", iter([rows]), Passed(passed)) for r in f["i"]]
+        passed = k * 10 * 720_000 + 4
+        due = [t for t in p.handle.listTimers() if t <= passed]
+        for t in due:
+            p.handle.deleteTimer(t)
+        if due:
+            out += [(r.x, r.i) for f in p.handleExpiredTimer("k", Passed(passed), None) for r in f.itertuples()]
+    rest = [r for f in p.handleExpiredTimer("k", Passed(1 << 60), None) for r in f["i"]]
+    assert sorted([*late, *[i for _, i in out], *rest]) == list(range(given)) and out and {x for x, _ in out} == {None, "a"}
+    assert not p.slots.d and not p.waiting.d
+    assert p.slots.calls + p.waiting.calls < 400
+
+
 class Keyed(Map):
     def containsKey(self, k):
         return k in self.d
