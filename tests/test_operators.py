@@ -176,6 +176,26 @@ def test_running_percentiles_get_a_few_ranges_for_each_place(spark, monkeypatch)
         assert (r.m, r.a, r.b, r.q) == ((s[(n - 1) // 2] + s[n // 2]) / 2, s[min(int(n * 0.25), n - 1)], s[min(int(n * 0.9), n - 1)], s[3 * n // 4])
 
 
+@pytest.mark.parametrize("what", ["median", "robust"])
+def test_online_statistics_cross_blocks_of_one_partition(spark, monkeypatch, what):
+    """Rows of a single partition are cut into blocks, and what is seen at marks is carried over them."""
+    monkeypatch.setattr("millrace.functions.ordered.BLOCK_BITS", 5)
+    monkeypatch.setattr("millrace.functions.orderstats.RANGE_BITS", 3)
+    held = []
+    solve = O._prior
+    monkeypatch.setattr(O, "_prior", lambda *a: held.append(solve(*a)) or held[-1])
+    x = [float(v) for v in np.random.default_rng(2).integers(0, 99, 200)]
+    df = spark.createDataFrame(list(enumerate(x)), "i long, v double")
+    if what == "median":
+        out = column(missing.online(df, "v", "fill_median", "i", "m", 20, 1), "m")
+        want = [None if i < 19 else float(np.median(x[: (i + 1) // 20 * 20])) for i in range(200)]
+    else:
+        out = column(normalize.online(df, "v", "i", "robust", 20, "m", parts=1), "m")
+        seen = [sorted(x[: (i + 1) // 20 * 20]) for i in range(200)]
+        want = [v if not s else (v - float(np.median(s))) / max(s[3 * len(s) // 4] - s[len(s) // 4], 1e-8) for v, s in zip(x, seen, strict=True)]
+    assert out == pytest.approx(want) and held[0] is not None
+
+
 def test_nested_conditionals(spark):
     df = spark.createDataFrame([(2.0, 5.0)], "a double, b double")
     texts = {"a > 1 ? (b > 9 ? 1 : 2) : 3": 2.0, "a > 5 ? 1 : b > 4 ? 2 : 3": 2.0, "if a > 1 then if b > 9 then 1 else 4 else 3": 4.0, "(a + 1) * 2 > 5 ? (a) + (b) : 0": 7.0, "a ? 1": 0.0}
